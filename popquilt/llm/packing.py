@@ -124,7 +124,8 @@ class Packer:
         """Windows of all tiers, longest first. Without ``last``, what fills no window waits on."""
         for tier in reversed(self.tiers):
             lower = max((t for t in self.tiers if t < tier), default=0)
-            while pieces := self.some >> (lower + 1) << (lower + 1):
+            own = (1 << (tier + 1)) - (1 << (lower + 1))
+            while pieces := self.some & own:
                 if self.tokens < tier:
                     break
                 window = [piece := self.take(pieces.bit_length() - 1)]
