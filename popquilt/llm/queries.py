@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from popquilt.llm import mpegts, packing, secrets
+from popquilt.llm import jaccard, mpegts, packing, secrets
 
 QUERIES = {
     "op1_hierarchical_packing": packing.op1_hierarchical_packing,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_transport_streams": mpegts.op6_transport_streams,
+    "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_ngram_jaccard_join": jaccard.OP8_SQL}
