@@ -3,8 +3,8 @@
 1. One scan gives each document's set size and a 128-bit digest of its set; equal sets are
    linked through the digest and their texts are not compared. The scan also counts n-grams
    in a sketch of fixed size.
-2. The sketch sets the global order of n-grams: those it calls frequent come last. Any order
-   is right; this one keeps passages that many documents share out of the prefixes. Two sets
+2. The sketch sets the global order of n-grams, rarest buckets first. Any order is right;
+   this one keeps passages that several documents share out of the prefixes. Two sets
    that link share an n-gram of their prefixes (the first ``n - ceil(t n) + 1`` in that
    order). The prefixes are dealt by n-gram and sorted by set size; neighbours whose sizes
    allow a link are chained, so that documents that may link fall into one cluster, with as
@@ -123,7 +123,7 @@ def _scan_sets(width: int, bits: int):
 
 
 def frequency_levels(blobs: DataFrame, bits: int) -> np.ndarray:
-    """A byte per bucket of the sketch: 0, or the logarithm of a count that stands out of the noise."""
+    """A byte per bucket of the sketch, that grows with its count: evenly near the mean, with the logarithm above."""
     step = min(PIECE, 1 << bits)
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,8 @@ def frequency_levels(blobs: DataFrame, bits: int) -> np.ndarray:
             for blob in batch.column("blob"):
                 total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
         mean = total.mean()
-        level = np.where(total > mean + 4 * math.sqrt(mean) + 2, np.log2(np.maximum(total, 1)), 0).astype(np.uint8)
+        z = (total - mean) / math.sqrt(max(mean, 1))
+        level = np.where(z < 4, 100 + 20 * z, 180 + 6 * np.log2(np.maximum(z, 4) / 4)).clip(0, 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], names=["piece", "blob"])
 
     levels = np.zeros(1 << bits, np.uint8)
