@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from popquilt.llm import jaccard, langid, mpegts, packing, quality, secrets
+from popquilt.llm import ann, jaccard, langid, mpegts, packing, quality, secrets, urlrules
 
 QUERIES = {
     "op1_hierarchical_packing": packing.op1_hierarchical_packing,
+    "op2_projection_forest": ann.op2_projection_forest,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_transport_streams": mpegts.op6_transport_streams,
+    "op7_association_rules": urlrules.op7_association_rules,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_byte_cnn_language": langid.op9_byte_cnn_language,
     "op10_weak_label_quality": quality.op10_weak_label_quality,
