@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from popquilt.llm import ann, jaccard, langid, mpegts, packing, quality, secrets, urlrules
+from popquilt.llm import ann, jaccard, langid, lmscore, mpegts, packing, quality, secrets, spm, urlrules
 
 QUERIES = {
     "op1_hierarchical_packing": packing.op1_hierarchical_packing,
     "op2_projection_forest": ann.op2_projection_forest,
+    "op3_sentencepiece_viterbi": spm.op3_sentencepiece_viterbi,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_cross_entropy_difference": lmscore.op5_cross_entropy_difference,
     "op6_transport_streams": mpegts.op6_transport_streams,
     "op7_association_rules": urlrules.op7_association_rules,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
