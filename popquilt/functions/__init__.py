@@ -1 +1 @@
-
+"""Column expressions and fixed values."""

@@ -1 +1 @@
-
+"""Operators, by subject."""

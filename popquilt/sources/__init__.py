@@ -1 +1 @@
-
+"""Tables and their schemas."""
