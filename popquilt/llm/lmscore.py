@@ -89,7 +89,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, Model]:
     """Target and background models. ``labels`` has (doc_id, good); a document is good if all its labels are."""
-    good = labels.groupBy("doc_id").agg(F.min("good").alias("good")).filter("good")
+    # One plan at every size: the texts are dealt once and not sorted, and a partition's labels are its hash table.
+    good = labels.groupBy("doc_id").agg(F.min("good").alias("good")).filter("good").hint("shuffle_hash")
     marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     schema = "model int, kind int, piece int, counts binary"
     rows = marked.mapInArrow(_count, schema).groupBy("model", "kind", "piece").applyInArrow(_add, schema).collect()  # of fixed size
