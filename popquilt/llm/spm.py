@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from popquilt.llm.common import prepare, table
 
-SPACE = "▁"
+SPACE, END = "▁", ""
 _models: dict[str, Vocabulary] = {}
 
 
@@ -58,8 +58,13 @@ class Vocabulary:
         splits = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         self.stretches = None if splits else re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.allowed: dict[tuple[int, int], bool] = {}
-        # Every beginning of a piece, with the piece's id where it is one, else -1.
-        self.beginnings = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
+        # The pieces as a tree by characters; a node's id, if it is a piece, is under END.
+        self.tree: dict = {}
+        for piece, i in self.ids.items():
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[END] = i
 
     def merged(self, text: str) -> list[str]:
         """Merges neighbours by score, best and then leftmost first."""
@@ -156,7 +161,7 @@ class Viterbi:
 class _Memo(dict):
     """Ids of stretches; it starts again when it is full."""
 
-    def __init__(self, encoder: Encoder, most: int = 500_000):
+    def __init__(self, encoder: Encoder, most: int = 1_000_000):
         super().__init__()
         self.encoder, self.most = encoder, most
 
@@ -208,21 +213,24 @@ class Encoder:
 
     def whole(self, text: str) -> list[int]:
         """The byte-pair trellis of a text that fits the window, extended forwards from living boundaries."""
-        v = self.v
-        beginnings, allowed, n = v.beginnings, v.allowed, len(text)
+        v, n = self.v, len(text)
+        tree, allowed, follows = v.tree, v.allowed, v.follows
         last: list[int | None] = [None] * (n + 1)
         last[0], back = -1, [0] * (n + 1)
         for start in range(n):
             before = last[start]
             if before is None:
                 continue
-            for end in range(start + 1, n + 1):
-                piece = beginnings.get(text[start:end])
-                if piece is None:
+            node, end = tree, start
+            for c in text[start:] if start else text:
+                node = node.get(c)
+                if node is None:
                     break
-                if piece >= 0 and last[end] is None:
+                end += 1
+                if last[end] is None and END in node:
+                    piece = node[END]
                     known = allowed.get((before, piece))
-                    if known or known is None and v.follows(before, piece):
+                    if known or known is None and follows(before, piece):
                         last[end], back[end] = piece, start
         out = []
         while n:
