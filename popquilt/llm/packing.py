@@ -131,7 +131,11 @@ class Packer:
                 window = [piece := self.take(pieces.bit_length() - 1)]
                 gap = self.fill(window, tier - piece[2], lower + 1)
                 if gap:  # no shorter piece is left: cut one of the same tier
-                    self.fill(window, gap, tier + 1)
+                    gap = self.fill(window, gap, tier + 1)
+                if gap:  # only longer pieces are left
+                    for piece in window:
+                        self.put(*piece)
+                    break
                 yield tier, window
         while last and self.some:
             window: list[tuple] = []
