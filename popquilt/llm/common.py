@@ -49,6 +49,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with as many ``_`` before it as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """Finalises 64-bit values so that every input bit reaches every output bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -148,7 +156,3 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         total = splitmix(total * _MUL + words[k : k + n])
     return total
 
-
-def fraction(x: np.ndarray) -> np.ndarray:
-    """Hashes as numbers in [0, 1)."""
-    return (x >> _U(11)).astype(np.float64) / float(1 << 53)

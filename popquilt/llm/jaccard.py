@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from popquilt.llm.common import prepare, splitmix, table, window_hashes, word_hashes
+from popquilt.llm.common import fresh, prepare, splitmix, table, window_hashes, word_hashes
 from popquilt.llm.graph import components
 
 #: Bytes of the sketch that one blob holds.
@@ -365,8 +365,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_
 def one_of_each(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
     """The documents that are the smallest doc_id of their component, one row for each; rows without doc_id stay."""
     kept = jaccard_components(docs, width, least).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
-    return one.filter("_nth = 1").drop("_nth").unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    nth = fresh("nth", docs.columns)
+    one = docs.join(kept, "doc_id", "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
+    return one.filter(F.col(nth) == 1).drop(nth).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popquilt.llm.common import _LOWER, prepare, table, utf8
+from popquilt.llm.common import _LOWER, fresh, prepare, table, utf8
 
 WINDOW, WIDTHS, EMBEDDING, FILTERS = 256, (2, 3, 4), 8, 12
 POSITIONS = WINDOW - max(WIDTHS) + 1
@@ -170,23 +170,22 @@ def fit(docs: DataFrame, sample: int = 1000) -> Network:
     rows = known.filter(place < share).select("lang", "text").limit(2 * sample * max(1, len(counts))).mapInArrow(_windows, "lang string, bytes binary")
     rows = sorted((r["lang"], bytes(r["bytes"])) for r in rows.collect())
     languages = sorted(counts)
-    windows = np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(-1, WINDOW)
+    windows = np.frombuffer(bytearray().join(b for _, b in rows), np.uint8).reshape(-1, WINDOW) if rows else np.empty((0, WINDOW), np.uint8)
     number = {lang: i for i, lang in enumerate(languages)}
     return train(windows, np.array([number[lang] for lang, _ in rows], dtype=np.int64), languages)
 
 
-def predict(docs: DataFrame, net: Network) -> DataFrame:
-    """The documents with the columns lang_pred and score, those two replacing any of that name."""
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The documents with two more columns: the language and its probability."""
     place = docs.columns.index("text")
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["lang_pred string, score double"])
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + [f"`{names[0]}` string, `{names[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
         for batch in batches:
-            names, scores = predict_column(net, tables, batch.column(place))
+            found, scores = predict_column(net, tables, batch.column(place))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"]
+                [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names]
             )
 
     return docs.mapInArrow(run, schema)
@@ -206,8 +205,9 @@ def identify(docs: DataFrame, sample: int = 1000) -> DataFrame:
 
 def known_language(docs: DataFrame, least: float = 0.4, sample: int = 1000) -> DataFrame:
     """The documents whose language is told with at least that probability."""
-    found = predict(docs, fit(docs, sample))
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+    lang, score = fresh("lang_pred", docs.columns), fresh("lang_score", docs.columns)
+    found = predict(docs, fit(docs, sample), (lang, score))
+    return found.filter((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)
 
 
 def op9_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popquilt.llm.common import prepare, splitmix, table, utf8, word_hashes
+from popquilt.llm.common import fresh, prepare, splitmix, table, utf8, word_hashes
 
 HEURISTICS = ("symbols", "capitals", "repeats", "top_word", "word_length", "lines", "marks", "separators")
 GOOD, BAD, ABSTAIN = "+", "-", "0"
@@ -231,11 +231,10 @@ def fit(docs: DataFrame, sample: int = 3000) -> tuple[LabelModel, Scorer]:
     return model, fit_scorer(x, np.array([model.posterior(p) for p, _ in rows]))
 
 
-def predict(docs: DataFrame, model: LabelModel, scorer: Scorer) -> DataFrame:
-    """The documents with votes, posterior and score, which replace columns of those names."""
-    docs = docs.drop("votes", "posterior", "score")
+def predict(docs: DataFrame, model: LabelModel, scorer: Scorer, names: tuple[str, str, str] = ("votes", "posterior", "score")) -> DataFrame:
+    """The documents with three more columns: votes, the label model's posterior and the scorer's score."""
     place = docs.columns.index("text")
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["votes string, posterior double, score double"])
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + [f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
@@ -245,7 +244,7 @@ def predict(docs: DataFrame, model: LabelModel, scorer: Scorer) -> DataFrame:
                 known[p] = model.posterior(p)
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(patterns, pa.string()), pa.array([known[p] for p in patterns], pa.float64()), pa.array(scorer.score(x), pa.float64())],
-                names=[*part.schema.names, "votes", "posterior", "score"],
+                names=[*part.schema.names, *names],
             )
 
     return docs.mapInArrow(run, schema)
@@ -263,15 +262,16 @@ def classify(docs: DataFrame, least: float = 0.8, sample: int = 3000) -> DataFra
     return found.select("doc_id", "votes", "posterior", "score", _good(least).alias("good"))
 
 
-def _good(least: float):
-    return (F.col("score") >= least) & F.col("votes").rlike("[+-]")
+def _good(least: float, votes: str = "votes", score: str = "score"):
+    return (F.col(score) >= least) & F.col(votes).rlike("[+-]")
 
 
 def good_documents(docs: DataFrame, least: float = 0.8, sample: int = 3000) -> DataFrame:
     """The documents that the scorer finds good, and those too short for any vote unless they are blank."""
-    found = predict(docs, *fit(docs, sample))
-    short = ~F.col("votes").rlike("[+-]") & (F.length(F.trim("text")) > 0)
-    return found.filter(_good(least) | short).select(*docs.columns)
+    votes, posterior, score = (fresh(c, docs.columns) for c in ("votes", "posterior", "quality_score"))
+    found = predict(docs, *fit(docs, sample), (votes, posterior, score))
+    short = ~F.col(votes).rlike("[+-]") & (F.length(F.trim("text")) > 0)
+    return found.filter(_good(least, votes, score) | short).select(*docs.columns)
 
 
 def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
