@@ -173,8 +173,8 @@ _WANTED = ("2000q1", "2000q3", "2001q2", "2003q4", "2007q2")
 
 @query(f"""WITH {I.SERIES}, w(t) AS (VALUES {", ".join(f"('{t}')" for t in _WANTED)}),
 a AS (SELECT t, least(CAST(t[1:4] AS INT), 2003) AS y0, least(CAST(t[1:4] AS INT) + 1, 2003) AS y1, (CAST(t[6:6] AS INT) - 1) / 4.0::double AS w FROM w)
-SELECT location_id, t AS time_point, round((1 - w) * p.population + CASE WHEN w > 0 THEN w * q.population ELSE 0 END, 4) AS population
-FROM a JOIN series p ON p.year_id = y0 LEFT JOIN series q USING (location_id) WHERE q.year_id = y1""")
+SELECT p.location_id, t AS time_point, round((1 - w) * p.population + CASE WHEN w > 0 THEN w * q.population ELSE 0 END, 4) AS population
+FROM a JOIN series p ON p.year_id = y0 LEFT JOIN series q ON q.location_id = p.location_id AND q.year_id = y1""")
 def interp_quarter(spark, sf):
     wanted = spark.createDataFrame([(t,) for t in _WANTED], "time_point string")
     return rounded(timeaxis.quarterly(I.series(spark, sf), wanted).select("location_id", "time_point", "population"))

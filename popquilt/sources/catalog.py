@@ -32,6 +32,7 @@ TABLES: dict[str, tuple[str, ...]] = {
     "itu_masks": ("iso3",),
     "hierarchies": ("source",),
     "populations": ("source",),
+    "wpp": ("version",),
     "shapes": ("source",),
     "raking_population": ("version",),
     "raking_shapes": ("version",),
@@ -105,7 +106,11 @@ class Catalog:
             df = df.filter(meets_bounds(*bounds_of(bounds)))
         return clean(df.select(*columns) if columns else df)
 
-    def write(self, df: DataFrame, table: str, sort: list[str] | None = None, **keys) -> None:
+    def append(self, df: DataFrame, table: str, **keys) -> None:
+        """Adds rows to what is there."""
+        self.write(df, table, mode="append", **keys)
+
+    def write(self, df: DataFrame, table: str, sort: list[str] | None = None, mode: str = "overwrite", **keys) -> None:
         """Replaces the partitions that the rows are of; keys become columns. Tables without partitions are replaced whole."""
         for k, v in keys.items():
             df = df.withColumn(k, F.lit(v))
@@ -114,7 +119,7 @@ class Catalog:
             df = df.sortWithinPartitions(*by, "minx", "miny")
         elif sort:
             df = df.sortWithinPartitions(*by, *sort)
-        out = df.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
+        out = df.write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
         (out.partitionBy(*by) if by else out).parquet(self.path(table))
 
     def values(self, table: str, *columns: str, **keys) -> DataFrame:
