@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
             "year": {"default": "all"},
             "time_point": {"nargs": "+", "required": True},
             "denominator": {"nargs": "+", "required": True},
-            "raking_version": {"default": "gbd"},
+            "raking_version": {"default": "primary"},
             "copy_from_version": {},
         }
         for o in options:
@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     g = group("preprocess")
     command(g, "census_data", "iso3", "year")
     c = command(g, "raking_data")
-    c.add_argument("--out-version", default="gbd")
+    c.add_argument("--out-version", default="primary")
     c.add_argument("--override", type=int, nargs="*", default=[])
     c.add_argument("--drop-children-of", type=int, nargs="*", default=[])
     g = group("model_prep")

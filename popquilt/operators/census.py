@@ -72,8 +72,8 @@ def under(path: Column, ids: list[str]) -> Column:
 
 def country_locations(hierarchy: DataFrame, iso3: str) -> DataFrame:
     """Locations with that code, or if there are none those whose code starts with it."""
-    exact = hierarchy.filter(F.col("ihme_loc_id") == iso3)
-    return exact if not exact.isEmpty() else hierarchy.filter(F.col("ihme_loc_id").startswith(iso3))
+    exact = hierarchy.filter(F.col("location_code") == iso3)
+    return exact if not exact.isEmpty() else hierarchy.filter(F.col("location_code").startswith(iso3))
 
 
 def deepest(units: DataFrame) -> DataFrame:

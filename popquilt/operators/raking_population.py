@@ -1,7 +1,7 @@
 """National and subnational population series reconciled into one table of raking targets.
 
 Tables: ``wpp`` (iso3, year_id, population), ``metadata`` (location_id, location_name,
-region_id, ihme_loc_id), ``supplement`` (the same and category), ``ihme`` (location_id,
+region_id, location_code), ``supplement`` (the same and category), ``estimates`` (location_id,
 year_id, population and the hierarchy's columns). Every step is a lazy DataFrame; only
 ``validate`` runs jobs.
 """
@@ -15,7 +15,7 @@ from popquilt.functions.constants import NO_REGION
 from popquilt.functions.semantics import clip_low, ratio, total
 
 WPP, UNMODELED, ZERO = "wpp", "unmodeled", "zero_population"
-HIERARCHY = ("location_id", "location_name", "ihme_loc_id", "parent_id", "region_id", "level", "most_detailed")
+HIERARCHY = ("location_id", "location_name", "location_code", "parent_id", "region_id", "level", "most_detailed")
 #: Series that stand under another country's code.
 MERGED = {"HKG": "CHN", "MAC": "CHN", "XKX": "SRB"}
 
@@ -28,11 +28,11 @@ def merge_countries(wpp: DataFrame, merged: dict[str, str] = MERGED) -> DataFram
 
 def add_metadata(wpp: DataFrame, metadata: DataFrame) -> DataFrame:
     """Left join of the series with countries (level 3 and the supplement of that category) on the code."""
-    return wpp.join(metadata, F.col("iso3") == F.col("ihme_loc_id"), "left").drop("iso3")
+    return wpp.join(metadata, F.col("iso3") == F.col("location_code"), "left").drop("iso3")
 
 
 def country_metadata(hierarchy: DataFrame, supplement: DataFrame) -> DataFrame:
-    columns = ["location_id", "location_name", "region_id", "ihme_loc_id"]
+    columns = ["location_id", "location_name", "region_id", "location_code"]
     return hierarchy.filter("level = 3").select(columns).unionByName(supplement.filter(F.col("category") == WPP).select(columns))
 
 
@@ -61,43 +61,43 @@ def regional_scalar(wpp: DataFrame) -> DataFrame:
     return wpp.withColumn("scalar", F.when(F.col("population") == 0, F.lit(0.0)).otherwise(share))
 
 
-def prepare_series(gbd: DataFrame, drop_children_of: DataFrame, fhs: DataFrame | None = None) -> DataFrame:
+def prepare_series(primary: DataFrame, drop_children_of: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
     """The series with children of listed parents dropped and these parents most detailed.
 
-    With ``fhs``, its years replace those of ``gbd``, whose other years are kept for its
+    With ``forecast``, its years replace those of ``primary``, whose other years are kept for its
     locations and take its metadata.
     """
     listed = drop_children_of.select(F.col("location_id").alias("_listed")).distinct()
-    kept = gbd.join(listed, F.col("parent_id") == F.col("_listed"), "left_anti").join(listed, F.col("location_id") == F.col("_listed"), "left")
+    kept = primary.join(listed, F.col("parent_id") == F.col("_listed"), "left_anti").join(listed, F.col("location_id") == F.col("_listed"), "left")
     series = kept.withColumn("most_detailed", F.when(F.col("_listed").isNotNull(), 1).otherwise(F.col("most_detailed"))).drop("_listed")
-    if fhs is not None:
-        meta = fhs.select(*HIERARCHY).distinct()
-        older = series.select("location_id", "year_id", "population").join(fhs.select("year_id").distinct(), "year_id", "left_anti")
+    if forecast is not None:
+        meta = forecast.select(*HIERARCHY).distinct()
+        older = series.select("location_id", "year_id", "population").join(forecast.select("year_id").distinct(), "year_id", "left_anti")
         columns = ["location_id", "year_id", "population", *HIERARCHY[1:]]
-        series = older.join(meta, "location_id").select(columns).unionByName(fhs.select(columns))
+        series = older.join(meta, "location_id").select(columns).unionByName(forecast.select(columns))
     return series.withColumn("region_id", F.coalesce("region_id", F.lit(NO_REGION)).cast("int"))
 
 
-def residual_population(ihme: DataFrame) -> DataFrame:
+def residual_population(estimates: DataFrame) -> DataFrame:
     """(region_id, year_id, left): regions' totals less their most detailed locations, not under 0; 0 without region.
 
     A region is missing a residual in years for which either side is absent.
     """
-    region = ihme.filter("location_id = region_id").select("region_id", "year_id", F.col("population").alias("_region"))
-    detailed = ihme.filter("most_detailed = 1").groupBy("region_id", "year_id").agg(total("population").alias("_detailed"))
+    region = estimates.filter("location_id = region_id").select("region_id", "year_id", F.col("population").alias("_region"))
+    detailed = estimates.filter("most_detailed = 1").groupBy("region_id", "year_id").agg(total("population").alias("_detailed"))
     both = region.join(detailed, ["region_id", "year_id"], "full").filter(F.col("region_id") != NO_REGION)
-    nowhere = ihme.select(F.lit(NO_REGION).alias("region_id"), "year_id", F.lit(0.0).alias("left")).distinct()
+    nowhere = estimates.select(F.lit(NO_REGION).alias("region_id"), "year_id", F.lit(0.0).alias("left")).distinct()
     return both.select("region_id", "year_id", clip_low(F.col("_region") - F.col("_detailed")).alias("left")).unionByName(nowhere)
 
 
-def missing_populations(wpp: DataFrame, ihme: DataFrame) -> DataFrame:
-    """Locations of ``wpp`` (with scalar) that ``ihme`` lacks, with their part of the region's residual."""
-    subset = wpp.join(ihme.select("location_id").distinct(), "location_id", "left_anti").join(ihme.select("year_id").distinct(), "year_id", "left_semi")
+def missing_populations(wpp: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Locations of ``wpp`` (with scalar) that ``estimates`` lacks, with their part of the region's residual."""
+    subset = wpp.join(estimates.select("location_id").distinct(), "location_id", "left_anti").join(estimates.select("year_id").distinct(), "year_id", "left_semi")
     among = Window.partitionBy("region_id", "year_id")
     part = F.when(F.col("scalar") == 0, F.lit(0.0)).otherwise(ratio("scalar", F.sum("scalar").over(among)))
     return (
         subset.withColumn("_part", part)
-        .join(residual_population(ihme), ["region_id", "year_id"], "left")
+        .join(residual_population(estimates), ["region_id", "year_id"], "left")
         .withColumn("population", F.col("left") * F.col("_part"))
         .withColumns({"most_detailed": F.lit(1), "level": F.lit(3), "parent_id": F.col("region_id")})
         .drop("left", "_part", "scalar")
@@ -136,20 +136,20 @@ def ancestors_sql(parents_view: str, goals_view: str) -> str:
     WHERE at IN (SELECT location_id FROM {goals_view}) GROUP BY location_id"""
 
 
-def raking_population(ihme: DataFrame, wpp: DataFrame, missing: DataFrame) -> DataFrame:
+def raking_population(estimates: DataFrame, wpp: DataFrame, missing: DataFrame) -> DataFrame:
     """Most detailed and missing locations with ``wpp_population``.
 
     Where a location has no series of its own, its ancestor's is scaled by the location's
-    share of the ancestor in ``ihme``.
+    share of the ancestor in ``estimates``.
     """
     own = wpp.select("location_id", "year_id", F.col("population").alias("wpp_population"))
-    full = ihme.filter("most_detailed = 1").unionByName(missing, allowMissingColumns=True).join(own, ["location_id", "year_id"], "left")
-    climb = nearest_ancestor(full, ihme.select("location_id", "parent_id"), wpp).withColumnRenamed("ancestor_id", "_up")
+    full = estimates.filter("most_detailed = 1").unionByName(missing, allowMissingColumns=True).join(own, ["location_id", "year_id"], "left")
+    climb = nearest_ancestor(full, estimates.select("location_id", "parent_id"), wpp).withColumnRenamed("ancestor_id", "_up")
     above = own.select(F.col("location_id").alias("_up"), "year_id", F.col("wpp_population").alias("_wpp_up"))
-    ihme_above = ihme.select(F.col("location_id").alias("_up"), "year_id", F.col("population").alias("_ihme_up"))
-    filled = full.join(climb, "location_id", "left").join(above, ["_up", "year_id"], "left").join(ihme_above, ["_up", "year_id"], "left")
-    scaled = F.col("_wpp_up") * ratio("population", "_ihme_up")
-    return filled.withColumn("wpp_population", F.coalesce("wpp_population", F.when(F.col("population").isNotNull(), scaled))).drop("_up", "_wpp_up", "_ihme_up")
+    estimates_above = estimates.select(F.col("location_id").alias("_up"), "year_id", F.col("population").alias("_estimates_up"))
+    filled = full.join(climb, "location_id", "left").join(above, ["_up", "year_id"], "left").join(estimates_above, ["_up", "year_id"], "left")
+    scaled = F.col("_wpp_up") * ratio("population", "_estimates_up")
+    return filled.withColumn("wpp_population", F.coalesce("wpp_population", F.when(F.col("population").isNotNull(), scaled))).drop("_up", "_wpp_up", "_estimates_up")
 
 
 def raking_shapes(primary: DataFrame, fallback: DataFrame, overridden: list[int], needed: DataFrame) -> DataFrame:
@@ -172,8 +172,8 @@ def validate(population: DataFrame, shapes: DataFrame) -> None:
         raise ValueError("population and shapes differ: " + ", ".join(f"{r['location_id']} has no {r['missing']}" for r in found))
 
 
-def build(wpp: DataFrame, gbd: DataFrame, hierarchy: DataFrame, supplement: DataFrame, drop_children_of: DataFrame, fhs: DataFrame | None = None) -> DataFrame:
+def build(wpp: DataFrame, primary: DataFrame, hierarchy: DataFrame, supplement: DataFrame, drop_children_of: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
     """The whole chain, lazily."""
     series = add_absent_locations(add_metadata(merge_countries(wpp), country_metadata(hierarchy, supplement)), supplement)
-    ihme = prepare_series(gbd, drop_children_of, fhs)
-    return raking_population(ihme, series, missing_populations(regional_scalar(series), ihme))
+    estimates = prepare_series(primary, drop_children_of, forecast)
+    return raking_population(estimates, series, missing_populations(regional_scalar(series), estimates))

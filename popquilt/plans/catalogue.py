@@ -75,28 +75,28 @@ def regional_scalar(spark, sf):
     return R.regional_scalar(I.series(spark, sf)).select("location_id", "year_id", F.round("scalar", 6).alias("scalar"))
 
 
-_MISSING = f"""{I.SERIES}, {I.IHME},
+_MISSING = f"""{I.SERIES}, {I.ESTIMATES},
 sc AS (SELECT *, CASE WHEN population = 0 THEN 0 ELSE population / sum(population) OVER (PARTITION BY region_id, year_id) END AS scalar FROM series),
-sub AS (SELECT * FROM sc WHERE location_id NOT IN (SELECT location_id FROM ihme)),
-det AS (SELECT region_id, year_id, sum(population) AS d FROM ihme WHERE most_detailed = 1 GROUP BY 1, 2),
-res AS (SELECT i.region_id, i.year_id, greatest(i.population - det.d, 0) AS left_ FROM ihme i JOIN det USING (region_id, year_id) WHERE i.location_id = i.region_id),
+sub AS (SELECT * FROM sc WHERE location_id NOT IN (SELECT location_id FROM estimates)),
+det AS (SELECT region_id, year_id, sum(population) AS d FROM estimates WHERE most_detailed = 1 GROUP BY 1, 2),
+res AS (SELECT i.region_id, i.year_id, greatest(i.population - det.d, 0) AS left_ FROM estimates i JOIN det USING (region_id, year_id) WHERE i.location_id = i.region_id),
 missing AS (SELECT sub.location_id, sub.year_id, left_ * scalar / sum(scalar) OVER (PARTITION BY sub.region_id, sub.year_id) AS population FROM sub JOIN res USING (region_id, year_id))"""
 
 
 @query(f"WITH {_MISSING} SELECT location_id, year_id, round(population, 3) AS population FROM missing")
 def missing_population(spark, sf):
     wpp = R.regional_scalar(I.named(I.series(spark, sf)))
-    return R.missing_populations(wpp, I.ihme(spark, sf)).select("location_id", "year_id", F.round("population", 3).alias("population"))
+    return R.missing_populations(wpp, I.estimates(spark, sf)).select("location_id", "year_id", F.round("population", 3).alias("population"))
 
 
 @query(f"""WITH {_MISSING}, wpp AS (SELECT * FROM series WHERE location_id % 3 <> 1 UNION ALL SELECT region_id, region_id, year_id, 2 * sum(population) FROM series GROUP BY region_id, year_id),
-full_ AS (SELECT location_id, year_id, population, region_id AS parent_id FROM ihme WHERE most_detailed = 1 UNION ALL SELECT m.location_id, m.year_id, m.population, s.region_id FROM missing m JOIN series s USING (location_id, year_id)),
+full_ AS (SELECT location_id, year_id, population, region_id AS parent_id FROM estimates WHERE most_detailed = 1 UNION ALL SELECT m.location_id, m.year_id, m.population, s.region_id FROM missing m JOIN series s USING (location_id, year_id)),
 up AS (SELECT f.*, w.population AS own, u.population AS wu, i.population AS iu FROM full_ f LEFT JOIN wpp w USING (location_id, year_id)
-  LEFT JOIN wpp u ON u.location_id = f.parent_id AND u.year_id = f.year_id LEFT JOIN ihme i ON i.location_id = f.parent_id AND i.year_id = f.year_id)
+  LEFT JOIN wpp u ON u.location_id = f.parent_id AND u.year_id = f.year_id LEFT JOIN estimates i ON i.location_id = f.parent_id AND i.year_id = f.year_id)
 SELECT location_id, year_id, round(population, 3) AS population,
   round(coalesce(own, CASE WHEN location_id % 7 <> 0 THEN wu * population / iu END), 3) AS wpp_population FROM up""")
 def raking_population(spark, sf):
-    s, i = I.series(spark, sf), I.ihme(spark, sf)
+    s, i = I.series(spark, sf), I.estimates(spark, sf)
     missing = R.missing_populations(R.regional_scalar(I.named(s)), i)
     high = s.groupBy("region_id", "year_id").agg((2 * F.sum("population")).alias("population")).select(F.col("region_id").alias("location_id"), "region_id", "year_id", "population")
     wpp = s.filter("location_id % 3 <> 1").unionByName(high)
@@ -109,7 +109,7 @@ SELECT c.year_id, round(c.population, 2) AS population, n.n_nationkey AS locatio
 def merged_countries(spark, sf):
     code = F.concat(F.lit("L"), F.col("c_nationkey").cast("string"))
     wpp = I.table(spark, sf, "customer").groupBy(code.alias("iso3"), (F.col("c_custkey") % 3).cast("int").alias("year_id")).agg(F.sum("c_acctbal").alias("population"))
-    meta = I.table(spark, sf, "nation").filter("n_nationkey % 4 <> 3").select(F.col("n_nationkey").alias("location_id"), F.concat(F.lit("L"), F.col("n_nationkey").cast("string")).alias("ihme_loc_id"))
+    meta = I.table(spark, sf, "nation").filter("n_nationkey % 4 <> 3").select(F.col("n_nationkey").alias("location_id"), F.concat(F.lit("L"), F.col("n_nationkey").cast("string")).alias("location_code"))
     merged = R.merge_countries(wpp, {"L1": "L0", "L2": "L0", "L24": "L7"})
     return R.add_metadata(merged, meta).select("year_id", F.round("population", 2).alias("population"), "location_id")
 
@@ -133,15 +133,15 @@ def hierarchy_climb(spark, sf):
     return R.nearest_ancestor(n.select(F.col("n_nationkey").alias("location_id")), parents, goals).select("location_id", F.col("ancestor_id").cast("int").alias("ancestor_id"))
 
 
-@query(f"""WITH {I.SERIES}, {I.IHME}, fhs AS (SELECT location_id, year_id, 2 * population AS population, 7 AS level FROM series WHERE year_id = 2002 AND location_id < 18),
-kept AS (SELECT * FROM ihme WHERE parent_id <> 101)
-SELECT location_id, year_id, round(population, 2) AS population, 7 AS level FROM kept WHERE year_id <> 2002 AND location_id IN (SELECT location_id FROM fhs)
-UNION ALL SELECT location_id, year_id, round(population, 2), level FROM fhs""")
+@query(f"""WITH {I.SERIES}, {I.ESTIMATES}, forecast AS (SELECT location_id, year_id, 2 * population AS population, 7 AS level FROM series WHERE year_id = 2002 AND location_id < 18),
+kept AS (SELECT * FROM estimates WHERE parent_id <> 101)
+SELECT location_id, year_id, round(population, 2) AS population, 7 AS level FROM kept WHERE year_id <> 2002 AND location_id IN (SELECT location_id FROM forecast)
+UNION ALL SELECT location_id, year_id, round(population, 2), level FROM forecast""")
 def forecast_series(spark, sf):
     s = I.named(I.series(spark, sf).filter("year_id = 2002 and location_id < 18"))
-    fhs = s.withColumns({"population": 2 * F.col("population"), "level": F.lit(7), "most_detailed": F.lit(1), "parent_id": F.col("region_id")})
+    forecast = s.withColumns({"population": 2 * F.col("population"), "level": F.lit(7), "most_detailed": F.lit(1), "parent_id": F.col("region_id")})
     drop = spark.createDataFrame([(101,)], "location_id int")
-    return R.prepare_series(I.ihme(spark, sf), drop, fhs).select("location_id", "year_id", F.round("population", 2).alias("population"), "level")
+    return R.prepare_series(I.estimates(spark, sf), drop, forecast).select("location_id", "year_id", F.round("population", 2).alias("population"), "level")
 
 
 @query("""SELECT DISTINCT c_nationkey AS location_id, 'shape' AS missing FROM customer WHERE c_nationkey % 3 <> 0 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 4 <> 1)

@@ -28,12 +28,12 @@ def series(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # The same with a hierarchy: detailed nations (all but each seventh) with nine tenths of their people, and region totals.
-IHME = """ihme AS (
+ESTIMATES = """estimates AS (
   SELECT location_id, region_id AS parent_id, region_id, year_id, 0.9 * population AS population, 3 AS level, 1 AS most_detailed FROM series WHERE location_id % 7 <> 0
   UNION ALL SELECT region_id, 999, region_id, year_id, sum(population), 2, 0 FROM series GROUP BY region_id, year_id)"""
 
 
-def ihme(spark: SparkSession, sf: str) -> DataFrame:
+def estimates(spark: SparkSession, sf: str) -> DataFrame:
     s = series(spark, sf)
     low = s.filter("location_id % 7 <> 0").select(
         "location_id", F.col("region_id").alias("parent_id"), "region_id", "year_id", (0.9 * F.col("population")).alias("population"), F.lit(3).alias("level"), F.lit(1).alias("most_detailed")
@@ -46,7 +46,7 @@ def ihme(spark: SparkSession, sf: str) -> DataFrame:
 
 def named(df: DataFrame) -> DataFrame:
     code = F.concat(F.lit("L"), F.col("location_id").cast("string"))
-    return df.withColumns({"location_name": code, "ihme_loc_id": code})
+    return df.withColumns({"location_name": code, "location_code": code})
 
 
 # Pixels with a location: lines with their customer's nation.

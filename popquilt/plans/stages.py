@@ -62,19 +62,19 @@ def census_data(cat: Catalog, iso3: str = census.RUN_ALL, year: str = census.RUN
     cat.write(both.drop("shape_id").withColumnRenamed("_s", "shape_id").select(*keys, *census.CENSUS_COLUMNS, "minx", "miny", "maxx", "maxy"), "census")
 
 
-def raking_data(cat: Catalog, version: str = "gbd", overridden: list[int] = (), drop_children_of: list[int] = ()) -> None:
+def raking_data(cat: Catalog, version: str = "primary", overridden: list[int] = (), drop_children_of: list[int] = ()) -> None:
     """Raking population and shapes from the ingested series; raises where they do not match."""
     spark = cat.spark
-    hierarchy = cat.read("hierarchies", source="gbd").drop("source")
-    gbd = cat.read("populations", source="gbd").select("location_id", "year_id", "population").join(hierarchy, "location_id")
-    fhs = None
-    if version.startswith("fhs"):
-        fhs = cat.read("populations", source="fhs").select("location_id", "year_id", "population").join(cat.read("hierarchies", source="fhs").drop("source"), "location_id")
+    hierarchy = cat.read("hierarchies", source="primary").drop("source")
+    primary = cat.read("populations", source="primary").select("location_id", "year_id", "population").join(hierarchy, "location_id")
+    forecast = None
+    if version.startswith("forecast"):
+        forecast = cat.read("populations", source="forecast").select("location_id", "year_id", "population").join(cat.read("hierarchies", source="forecast").drop("source"), "location_id")
     dropped = spark.createDataFrame([(x,) for x in drop_children_of], "location_id int")
     wpp = cat.read("wpp").select("iso3", "year_id", "population")
-    supplement = cat.read("gbd_inputs", measure="supplement").select("location_id", "location_name", "region_id", "ihme_loc_id", "category")
-    population = R.build(wpp, gbd, hierarchy, supplement, dropped, fhs)
-    shapes = R.raking_shapes(cat.read("shapes", source="gbd").drop("source"), cat.read("shapes", source="lsae").drop("source"), list(overridden), population)
+    supplement = cat.read("raking_inputs", measure="supplement").select("location_id", "location_name", "region_id", "location_code", "category")
+    population = R.build(wpp, primary, hierarchy, supplement, dropped, forecast)
+    shapes = R.raking_shapes(cat.read("shapes", source="primary").drop("source"), cat.read("shapes", source="fallback").drop("source"), list(overridden), population)
     R.validate(population, shapes)
     cat.write(population, "raking_population", version=version)
     cat.write(polygons(shapes), "raking_shapes", version=version)
@@ -214,7 +214,7 @@ def _labelled(cat: Catalog, resolution: str, version: str, time_point: str, raki
     return spatial_join.labelled(pixels, shapes, cell * JOIN_CELLS, CELL, "ordinal", "location_id")
 
 
-def raking_factors(cat: Catalog, resolution: str, version: str, time_points: list[str], raking_version: str = "gbd", last_year: int | None = None) -> None:
+def raking_factors(cat: Catalog, resolution: str, version: str, time_points: list[str], raking_version: str = "primary", last_year: int | None = None) -> None:
     """Factors by block and location; locations without any predicted people have none."""
     wanted = cat.spark.createDataFrame([(t,) for t in time_points], "time_point string")
     targets = timeaxis.quarterly(cat.read("raking_population", version=raking_version).select("location_id", "year_id", "population"), wanted, last_year=last_year)
@@ -227,7 +227,7 @@ def raking_factors(cat: Catalog, resolution: str, version: str, time_points: lis
         cat.write(found, "raking_factors", resolution=resolution, version=version, time_point=row["time_point"])
 
 
-def rake(cat: Catalog, resolution: str, version: str, time_points: list[str], raking_version: str = "gbd") -> None:
+def rake(cat: Catalog, resolution: str, version: str, time_points: list[str], raking_version: str = "primary") -> None:
     """Predictions times their location's factor, missing outside all locations."""
     have = cat.values("raw_predictions", "time_point", resolution=resolution, version=cat.origin(resolution, version))
     for row in timeaxis.prediction_time(cat.spark.createDataFrame([(t,) for t in time_points], "time_point string"), have).collect():
@@ -237,7 +237,7 @@ def rake(cat: Catalog, resolution: str, version: str, time_points: list[str], ra
         cat.write(as_tiles(raked, cat.raw_predictions(resolution, version, row["source"])), "raked_predictions", resolution=resolution, version=version, time_point=row["time_point"])
 
 
-def rake_fine(cat: Catalog, resolution: str, version: str, iso3: str, time_point: str, raking_version: str = "gbd", distance: int = 100) -> None:
+def rake_fine(cat: Catalog, resolution: str, version: str, iso3: str, time_point: str, raking_version: str = "primary", distance: int = 100) -> None:
     """Predictions summed to the cells of a country's finer mask and raked there to the UN series.
 
     The mask is one tile in its own Mercator system; cells inside without a location take the

@@ -36,7 +36,7 @@ TABLES: dict[str, tuple[str, ...]] = {
     "shapes": ("source",),
     "raking_population": ("version",),
     "raking_shapes": ("version",),
-    "gbd_inputs": ("version", "measure"),
+    "raking_inputs": ("version", "measure"),
     "modeling_frame": ("resolution",),
     "validation_frame": ("resolution",),
     "features": ("resolution", "feature", "time_point"),

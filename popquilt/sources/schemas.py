@@ -9,9 +9,9 @@ CENSUS = (
     f"population_total double, household_total double, geometry binary, {BOUNDS}"
 )
 WPP = "iso3 string, year_id int, population double"
-IHME = "location_id int, year_id int, population double"
-HIERARCHY = "location_id int, location_name string, ihme_loc_id string, parent_id int, region_id int, level int, most_detailed int"
-SUPPLEMENT = "location_id int, location_name string, region_id int, ihme_loc_id string, category string"
+ESTIMATES = "location_id int, year_id int, population double"
+HIERARCHY = "location_id int, location_name string, location_code string, parent_id int, region_id int, level int, most_detailed int"
+SUPPLEMENT = "location_id int, location_name string, region_id int, location_code string, category string"
 RAKING_POPULATION = f"{HIERARCHY}, year_id int, population double, wpp_population double"
 SHAPES = f"location_id int, geometry binary, {BOUNDS}"
 MODELING_FRAME = f"tile_key string, block_key string, geometry binary, {BOUNDS}"

@@ -91,21 +91,21 @@ def hierarchy_rows():
 
 
 def test_raking_population_chain(spark):
-    h = spark.createDataFrame(hierarchy_rows(), "location_id int, location_name string, ihme_loc_id string, parent_id int, region_id int, level int, most_detailed int")
+    h = spark.createDataFrame(hierarchy_rows(), "location_id int, location_name string, location_code string, parent_id int, region_id int, level int, most_detailed int")
     pop = {1: 200.0, 10: 130.0, 11: 60.0, 12: 40.0, 111: 20.0, 112: 40.0, 20: 5.0}
-    gbd = spark.createDataFrame([(k, 2020, v) for k, v in pop.items()], "location_id int, year_id int, population double").join(h, "location_id")
+    primary = spark.createDataFrame([(k, 2020, v) for k, v in pop.items()], "location_id int, year_id int, population double").join(h, "location_id")
     wpp = spark.createDataFrame([("AAA", 2020, 80.0), ("BBB", 2020, 50.0), ("CCC", 2020, 12.0), ("DDD", 2020, 6.0), ("ZZZ", 2020, 1.0)], "iso3 string, year_id int, population double")
     extra = [(31, "c", 10, "CCC", "wpp"), (32, "d", 10, "DDD", "wpp"), (33, "e", -1, "EEE", "zero_population"), (34, "f", -1, "FFF", "unmodeled")]
-    supplement = spark.createDataFrame(extra, "location_id int, location_name string, region_id int, ihme_loc_id string, category string")
+    supplement = spark.createDataFrame(extra, "location_id int, location_name string, region_id int, location_code string, category string")
     nothing = spark.createDataFrame([], "location_id int")
-    got = {r["location_id"]: r for r in R.build(wpp, gbd, h, supplement, nothing).collect()}
+    got = {r["location_id"]: r for r in R.build(wpp, primary, h, supplement, nothing).collect()}
     assert set(got) >= {12, 111, 112, 20, 31, 32}
     # the region's 130 less 100 detailed are shared 12 to 6
     assert got[31]["population"] == pytest.approx(20.0) and got[32]["population"] == pytest.approx(10.0)
     # subnationals get their country's series by share: 80 * 20 / 60
     assert got[111]["wpp_population"] == pytest.approx(80 / 3) and got[12]["wpp_population"] == 50.0
     assert got[20]["region_id"] == C.NO_REGION and got[20]["wpp_population"] is None
-    merged = R.prepare_series(gbd, spark.createDataFrame([(11,)], "location_id int")).collect()
+    merged = R.prepare_series(primary, spark.createDataFrame([(11,)], "location_id int")).collect()
     assert {r["location_id"] for r in merged if r["most_detailed"] == 1} == {11, 12, 20}
 
 
@@ -305,7 +305,7 @@ def test_census_checks(spark):
         census.select_runs(runs, "AAA", "2001")
     paths = spark.createDataFrame([("1,10",), ("10,100",), ("100",)], "p string")
     assert [r[0] for r in paths.select(census.under(F.col("p"), ["1"])).collect()] == [True, False, False]
-    h = spark.createDataFrame([("AAA",), ("AAA_1",), ("BBB_1",)], "ihme_loc_id string")
+    h = spark.createDataFrame([("AAA",), ("AAA_1",), ("BBB_1",)], "location_code string")
     assert census.country_locations(h, "AAA").count() == 1 and census.country_locations(h, "BBB").count() == 1
     share = census.heatmap(spark.createDataFrame([(0.5, 0.5), (30.0, 3.0)], "population_total double, area double"))
     assert share.agg(F.sum("share")).first()[0] == 1 and share.count() == 110

@@ -50,13 +50,13 @@ def cat(spark, tmp_path_factory):
     counts = [(s, i, p) for s, i, _, _, p in units]
     cat.write(spark.createDataFrame(counts, "shape_id string, iso3 string, value double").withColumns({"measure": F.lit("population_total"), "year": F.lit("2020")}), "census_counts")
     tree = [(1, "world", "W", None, None, 0, 0), (10, "r", "R", 1, 10, 2, 0), (11, "a", "AAA", 10, 10, 3, 1), (12, "b", "BBB", 10, 10, 3, 1)]
-    cat.ingest({"gbd": spark.createDataFrame(tree, schemas.HIERARCHY.replace("location_id", "loc_id"))}, "hierarchies", "source")
+    cat.ingest({"primary": spark.createDataFrame(tree, schemas.HIERARCHY.replace("location_id", "loc_id"))}, "hierarchies", "source")
     people = [(k, y, p * (1 + (y - 2020) / 10)) for k, p in ((1, 900.0), (10, 900.0), (11, 330.0), (12, 570.0)) for y in (2020, 2021)]
-    cat.write(spark.createDataFrame(people, schemas.IHME), "populations", source="gbd")
+    cat.write(spark.createDataFrame(people, schemas.ESTIMATES), "populations", source="primary")
     wpp = [(i, y, p) for i, p in (("AAA", 400.0), ("BBB", 600.0)) for y in (2020, 2021)]
     cat.write(spark.createDataFrame(wpp, schemas.WPP), "wpp", version="2024")
-    cat.write(spark.createDataFrame([(77, "z", -1, "ZZZ", "unmodeled")], schemas.SUPPLEMENT), "gbd_inputs", version="gbd", measure="supplement")
-    for source, keep in (("gbd", [11]), ("lsae", [11, 12, 77])):
+    cat.write(spark.createDataFrame([(77, "z", -1, "ZZZ", "unmodeled")], schemas.SUPPLEMENT), "raking_inputs", version="primary", measure="supplement")
+    for source, keep in (("primary", [11]), ("fallback", [11, 12, 77])):
         b = {11: (0, -1600, 800, 0), 12: (800, -1600, 1600, 0), 77: (9000, 9000, 9100, 9100)}
         cat.write(spark.createDataFrame([(k, bytearray(G.write_wkb(G.box(*b[k])))) for k in keep], "location_id int, geometry binary"), "shapes", source=source)
     return cat
@@ -71,9 +71,9 @@ def test_stages_run_in_order(cat, spark):
     assert cat.read("census").count() == 5 and cat.deepest_level("AAA", "2020") == 1
     assert cat.census("AAA", "2020", bounds=(0, -700, 700, -100), admin_level=1).count() == 1
     stages.raking_data(cat)
-    raking = {(r["location_id"], r["year_id"]): r for r in cat.read("raking_population", version="gbd").collect()}
+    raking = {(r["location_id"], r["year_id"]): r for r in cat.read("raking_population", version="primary").collect()}
     assert raking[11, 2020]["population"] == 330 and raking[12, 2020]["wpp_population"] == 600
-    assert cat.read("raking_shapes", version="gbd").count() == 3
+    assert cat.read("raking_shapes", version="primary").count() == 3
     stages.modeling_frame(cat, "100")
     assert cat.read("modeling_frame", resolution="100").count() == 8 and cat.read("validation_frame", resolution="100").filter("iso3 = 'AAA'").count() >= 2
     stages.features(cat, "100", VERSION)
