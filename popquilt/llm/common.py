@@ -17,6 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
+# Freed Arrow buffers go back to the system, so that a worker that waits for tasks holds little.
+pa.set_memory_pool(pa.system_memory_pool())
+
+#: Rows of an Arrow batch: texts may be long, and a batch is in memory on both sides.
+BATCH_ROWS = 1000
+
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
 _INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -29,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Makes the package importable in the Python workers and sets a checkpoint folder where none is set.
+    """Makes the package importable in the Python workers, bounds Arrow batches, and sets a checkpoint folder where none is set.
 
     The folder that the cluster names in ``spark.checkpoint.dir`` is used as it is; only a
     local session without one gets a new temporary folder.
@@ -38,6 +44,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = [p for p in (sc.environment.get("PYTHONPATH") or "").split(os.pathsep) if p]
     if ROOT not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named:
@@ -115,6 +124,16 @@ def byte_slices(b: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def text_slices(column: pa.Array, most: int = 2 * SLICE_BYTES) -> Iterator[pa.Array]:
+    """Parts of a column of about that many bytes, or one text where it is longer, so that what is made of them stays small."""
+    off = utf8(column)[1]
+    at, n = 0, len(off) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+        yield column.slice(at, end - at)
+        at = end
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of a column of texts and, for n texts, n + 1 offsets into them.
 

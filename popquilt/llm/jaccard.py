@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from popquilt.llm.common import fresh, prepare, splitmix, table, window_hashes, word_hashes
+from popquilt.llm.common import fresh, prepare, splitmix, table, text_slices, window_hashes, word_hashes
 from popquilt.llm.graph import components
 
 #: Bytes of the sketch that one blob holds.
@@ -42,7 +42,7 @@ BLOCK, LEAST_WEIGHT = 1 << 20, 512
 #: Runs of up to this many documents that share an n-gram are counted pair by pair, longer ones by matrix product.
 SHORT_RUN = 24
 #: N-grams that the sketch gathers before it adds them.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def ngram_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -50,16 +50,17 @@ def ngram_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
     A text of fewer than ``width`` words is one n-gram; one without words has none.
     """
-    words, off = word_hashes(column)
-    grams = window_hashes(words, width)
-    for a, b in zip(off[:-1], off[1:]):
-        if b - a >= width:
-            own = np.sort(grams[a : b - width + 1])
-            yield own[np.concatenate([[True], own[1:] != own[:-1]])]
-        elif b > a:
-            yield splitmix(window_hashes(words[a:b], int(b - a)))
-        else:
-            yield words[:0]
+    for part in text_slices(column):
+        words, off = word_hashes(part)
+        grams = window_hashes(words, width)
+        for a, b in zip(off[:-1], off[1:]):
+            if b - a >= width:
+                own = np.sort(grams[a : b - width + 1])
+                yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+            elif b > a:
+                yield splitmix(window_hashes(words[a:b], int(b - a)))
+            else:
+                yield words[:0]
 
 
 def digest_of(grams: np.ndarray) -> bytes:
@@ -145,7 +146,7 @@ def frequency_levels(blobs: DataFrame, bits: int) -> np.ndarray:
 def _prefixes(width: int, least: int, bits: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = levels.value, set()
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             grams, ids, sizes, counts = [], [], [], []
             for doc_id, own in zip(batch.column(0).to_pylist(), ngram_sets(batch.column(1), width)):
                 if doc_id is None or not len(own) or (d := digest_of(own)) in seen:

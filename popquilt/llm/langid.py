@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popquilt.llm.common import _LOWER, fresh, prepare, table, utf8
+from popquilt.llm.common import _LOWER, fresh, prepare, table, text_slices, utf8
 
 WINDOW, WIDTHS, EMBEDDING, FILTERS = 256, (2, 3, 4), 8, 12
 POSITIONS = WINDOW - max(WIDTHS) + 1
 WINDOWS = 4
 #: Bytes that are read at once.
-SLICE = 1 << 19
+SLICE = 1 << 17
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, dtype=bool)
@@ -115,6 +115,11 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
 
 def predict_column(net: Network, tables: tuple, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """A language and its probability for every text."""
+    parts = [_predict_part(net, tables, part) for part in text_slices(column)]
+    return [name for names, _ in parts for name in names], np.concatenate([np.empty(0), *(scores for _, scores in parts)])
+
+
+def _predict_part(net: Network, tables: tuple, column: pa.Array) -> tuple[list[str], np.ndarray]:
     raw, off = utf8(column)
     low = _LOWER[raw]
     n = len(off) - 1

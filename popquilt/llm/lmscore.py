@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popquilt.llm.common import _MUL, prepare, splitmix, table, word_hashes
+from popquilt.llm.common import _MUL, prepare, splitmix, table, text_slices, word_hashes
 
 WORD_BITS, PAIR_BITS = 18, 22
 #: Counts of one piece of an array, as sent.
@@ -42,9 +42,18 @@ def events(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return word.astype(np.int64), context.astype(np.int64), pair.astype(np.int64), off
 
 
+def small(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that their texts are short together."""
+    for batch in batches:
+        at = 0
+        for part in text_slices(batch.column(place)):
+            yield batch.slice(at, len(part))
+            at += len(part)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = {(m, a): np.zeros(n, np.uint32) for m in (TARGET, BACKGROUND) for a, n in _SIZES.items()}
-    for batch in batches:
+    for batch in small(batches, 0):
         *numbers, off = events(batch.column(0))
         good = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(off))
         for a, x in enumerate(numbers):
@@ -113,7 +122,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     models = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1):
             *numbers, off = events(batch.column(1))
             n = np.diff(off)
             owner = np.repeat(np.arange(len(n)), n)
