@@ -240,6 +240,37 @@ def test_scores_match_a_plain_model(spark):
     assert lmscore.score(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_words_that_share_leading_bits_are_scored_apart(spark, monkeypatch):
+    names = [f"w{i}" for i in range(5000)]
+    lead = {}
+    for name, h in zip(names, lmscore.word_hashes(pa.array(names))[0]):
+        lead.setdefault(int(h) >> 46, []).append(name)
+    a, b = next(x for x in lead.values() if len(x) > 1)[:2]
+    rows = [(0, f"{a} {a} {a}"), (1, f"{b} {b} {b}"), *((i, " ".join(names[i * 9 : i * 9 + 9])) for i in range(2, 60)), (None, a), (None, "")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(0, True)], "doc_id long, good boolean")
+    whole = {(r["doc_id"], r["n_tokens"]): r for r in lmscore.score(docs, labels).collect()}
+    n, v = sum(len(words(t)) for _, t in rows), 1 << 18
+
+    def loss(count, total, pairs, contexts):
+        return -np.log((pairs + 64 * (count + 0.1) / (total + 0.1 * v)) / (contexts + 64))
+
+    texts = len(rows) - 1
+    in_a, in_b = (sum(words(t).count(w) for _, t in rows) for w in (a, b))
+    ctx_b = sum(words(t)[:-1].count(b) for _, t in rows)
+    start_a, start_b = (sum(words(t)[:1] == [w] for _, t in rows) for w in (a, b))
+    assert whole[1, 3]["ce_target"] == pytest.approx((loss(0, 3, 0, 1) + 2 * loss(0, 3, 0, 0)) / 3)
+    assert whole[1, 3]["ce_background"] == pytest.approx((loss(in_b, n, start_b, texts) + 2 * loss(in_b, n, 2, ctx_b)) / 3)
+    assert whole[None, 1]["ce_target"] == pytest.approx(loss(3, 3, 1, 1))
+    assert whole[None, 1]["ce_background"] == pytest.approx(loss(in_a, n, start_a, texts))
+
+    monkeypatch.setattr(lmscore, "CHUNK_BYTES", 100)
+    parts = {(r["doc_id"], r["n_tokens"]): r for r in lmscore.score(docs, labels).collect()}
+    assert parts.keys() == whole.keys() and len(parts) == len(rows)
+    for k, r in whole.items():
+        assert parts[k]["score"] == (None if r["score"] is None else pytest.approx(r["score"]))
+
+
 # Languages
 
 VOWELS = {"xx": "aou", "yy": "eiy"}
