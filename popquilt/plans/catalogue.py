@@ -408,8 +408,20 @@ x AS (SELECT k.vec_id, k."row", k.col, k.value, arg_min(h.value, ((h."row" - k."
   ON h.vec_id = k.vec_id AND (h."row" - k."row") ** 2 + (h.col - k.col) ** 2 <= 16 GROUP BY ALL)
 SELECT vec_id, "row", col, round(CASE WHEN value >= 0.2 THEN value ELSE near_ END, 3) AS value FROM x""")
 def nearest_gap_fill(spark, sf):
+    return _gap_fill(I.table(spark, sf, "embeddings").filter("vec_id % 10 = 0"))
+
+
+@query(f"""WITH {I.RASTER}, h AS (SELECT * FROM raster WHERE value >= 0.2),
+x AS (SELECT k.vec_id, k."row", k.col, k.value, arg_min(h.value, ((h."row" - k."row") ** 2 + (h.col - k.col) ** 2, h."row" - k."row", h.col - k.col)) AS near_ FROM raster k LEFT JOIN h
+  ON h.vec_id = k.vec_id AND (h."row" - k."row") ** 2 + (h.col - k.col) ** 2 <= 16 GROUP BY ALL)
+SELECT vec_id, "row", col, round(CASE WHEN value >= 0.2 THEN value ELSE near_ END, 3) AS value FROM x""")
+def nearest_gap_fill_all(spark, sf):
+    return _gap_fill(I.table(spark, sf, "embeddings"))
+
+
+def _gap_fill(vectors: DataFrame) -> DataFrame:
     known = F.transform("embedding", lambda x: F.when(F.round(F.abs(x.cast("double")), 3) >= 0.2, F.round(F.abs(x.cast("double")), 3)).otherwise(F.lit(float("nan"))))
-    tiles = I.table(spark, sf, "embeddings").filter("vec_id % 10 = 0").select(F.col("vec_id").cast("string").alias("block_key"), F.lit(8).alias("height"), F.lit(8).alias("width"), known.alias("data"))
+    tiles = vectors.select(F.col("vec_id").cast("string").alias("block_key"), F.lit(8).alias("height"), F.lit(8).alias("width"), known.alias("data"))
     out = raster.fill_nearest(tiles, 4).select(F.col("block_key").cast("long").alias("vec_id"), F.posexplode("data").alias("k", "v"))
     return out.select("vec_id", F.floor(F.col("k") / 8).cast("int").alias("row"), (F.col("k") % 8).cast("int").alias("col"), F.round(S.nan_to_null(F.col("v").cast("double")), 3).alias("value"))
 
@@ -431,7 +443,18 @@ def chunked_tiles(spark, sf):
 g AS (SELECT bx * 8 + col AS gx, "by" * 8 + "row" AS gy, value FROM raster JOIN b USING (vec_id))
 SELECT vec_id, CAST(gy - "by" * 8 AS INT) AS "row", CAST(gx - bx * 8 AS INT) AS col, value FROM b JOIN g ON gx BETWEEN bx * 8 - 2 AND bx * 8 + 9 AND gy BETWEEN "by" * 8 - 2 AND "by" * 8 + 9""")
 def block_halo(spark, sf):
-    r = I.raster(spark, sf).filter("vec_id < 25")
+    return _halo(I.raster(spark, sf).filter("vec_id < 25"))
+
+
+@query(f"""WITH {I.RASTER}, b AS (SELECT DISTINCT vec_id, vec_id % 5 AS bx, vec_id // 5 AS "by" FROM raster),
+near_ AS (SELECT b.vec_id, n.vec_id AS other, (n.bx - b.bx) * 8 AS dx, (n."by" - b."by") * 8 AS dy
+  FROM b CROSS JOIN (VALUES (-1), (0), (1)) x(i) CROSS JOIN (VALUES (-1), (0), (1)) y(j) JOIN b n ON n.bx = b.bx + i AND n."by" = b."by" + j)
+SELECT near_.vec_id, CAST("row" + dy AS INT) AS "row", CAST(col + dx AS INT) AS col, value FROM near_ JOIN raster r ON r.vec_id = other WHERE col + dx BETWEEN -2 AND 9 AND "row" + dy BETWEEN -2 AND 9""")
+def block_halo_all(spark, sf):
+    return _halo(I.raster(spark, sf))
+
+
+def _halo(r: DataFrame) -> DataFrame:
     blocks = r.select("block_key", (F.col("vec_id") % 5).cast("int").alias("block_x"), F.floor(F.col("vec_id") / 5).cast("int").alias("block_y")).distinct()
     return raster.with_halo(r.select("block_key", "row", "col", "value"), blocks, 8, 2).select(F.col("block_key").cast("long").alias("vec_id"), "row", "col", "value")
 
@@ -476,9 +499,19 @@ def tiles_near_shapes(spark, sf):
 @query("""WITH t AS (SELECT vec_id % 25 AS x, vec_id // 25 AS y FROM embeddings WHERE vec_id < 500), b AS (SELECT x // 5 AS bx, y // 5 AS "by", min(x) * 10.0 AS x0, max(x) * 10.0 + 10 AS x1, min(y) * 10.0 AS y0, max(y) * 10.0 + 10 AS y1 FROM t GROUP BY 1, 2)
 SELECT a.bx || '_' || a."by" AS block_key, n.bx || '_' || n."by" AS neighbour FROM b a JOIN b n ON greatest(n.x0 - a.x1, a.x0 - n.x1, 0) ** 2 + greatest(n.y0 - a.y1, a.y0 - n.y1, 0) ** 2 <= 625""")
 def block_neighbours(spark, sf):
+    return _neighbours(I.table(spark, sf, "embeddings").filter("vec_id < 500"))
+
+
+@query("""WITH t AS (SELECT vec_id % 25 AS x, vec_id // 25 AS y FROM embeddings), b AS (SELECT x // 5 AS bx, y // 5 AS "by", min(x) * 10.0 AS x0, max(x) * 10.0 + 10 AS x1, min(y) * 10.0 AS y0, max(y) * 10.0 + 10 AS y1 FROM t GROUP BY 1, 2)
+SELECT a.bx || '_' || a."by" AS block_key, n.bx || '_' || n."by" AS neighbour FROM b a JOIN b n ON greatest(n.x0 - a.x1, a.x0 - n.x1, 0) ** 2 + greatest(n.y0 - a.y1, a.y0 - n.y1, 0) ** 2 <= 625""")
+def block_neighbours_all(spark, sf):
+    return _neighbours(I.table(spark, sf, "embeddings"))
+
+
+def _neighbours(vectors: DataFrame) -> DataFrame:
     v = F.col("vec_id")
     x, y = v % 25, F.floor(v / 25)
-    tiles = I.table(spark, sf, "embeddings").filter("vec_id < 500").select(
+    tiles = vectors.select(
         F.concat_ws("_", F.floor(x / 5), F.floor(y / 5)).alias("block_key"), (x * 10.0).alias("minx"), (y * 10.0).alias("miny"), (x * 10.0 + 10).alias("maxx"), (y * 10.0 + 10).alias("maxy")
     )
     return spatial_join.neighbours(spatial_join.dissolve(tiles, "block_key"), 25.0, 40.0)
