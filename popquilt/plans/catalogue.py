@@ -277,6 +277,15 @@ def pixel_densify(spark, sf):
     return rounded(allocate.densify(a, tiles, "pixel_population").withColumn("pixel_id", F.col("pixel_id").cast("long")))
 
 
+@query(f"""WITH {_ALLOCATED}, f AS (SELECT tile_key, pixel_id, min(pixel_population) AS v FROM q GROUP BY 1, 2), t AS (SELECT DISTINCT tile_key FROM q), n AS (SELECT max(p_partkey) + 1 AS n FROM part)
+SELECT g.tile_key, k AS pixel_id, round(coalesce(v, 0), 4) AS pixel_population FROM (SELECT tile_key, unnest(range(0, n)) AS k FROM t, n) g LEFT JOIN f ON f.tile_key = g.tile_key AND f.pixel_id = k""")
+def pixel_densify_all(spark, sf):
+    a = allocate.allocate(I.intersections(spark, sf))
+    n = I.table(spark, sf, "part").agg((F.max("p_partkey") + 1).alias("n_pixels"))
+    tiles = a.select("tile_key").distinct().crossJoin(F.broadcast(n))  # one row
+    return rounded(allocate.densify(a, tiles, "pixel_population").withColumn("pixel_id", F.col("pixel_id").cast("long")))
+
+
 @query(f"""WITH {_ALLOCATED}, f AS (SELECT p_partkey, 'size' AS feature, p_size::double AS v FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part)
 SELECT admin_id, feature, round(sum(v * isection_area / admin_area), 7) AS value FROM q JOIN f ON pixel_id = p_partkey GROUP BY 1, 2""")
 def admin_feature_means(spark, sf):

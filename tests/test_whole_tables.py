@@ -55,3 +55,15 @@ def test_every_block_has_its_neighbours(spark, vectors):
     want = {("%d_%d" % p, "%d_%d" % q) for p, a in blocks.items() for q, b in blocks.items() if gap(a, b, 0) ** 2 + gap(a, b, 1) ** 2 <= 625}
     rows = [tuple(r) for r in catalogue.QUERIES["block_neighbours_all"](spark, sf).collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_no_population_is_lost_when_pixels_are_made_dense(spark, tmp_path):
+    sf = str(tmp_path)
+    lines = [(k % 3, t, 100 * k, 1.0 + k, 0.05) for t in range(1, 8) for k in range(1, 10)]
+    spark.createDataFrame(lines, "l_suppkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{sf}/lineitem.parquet")
+    spark.createDataFrame([(k, 1000.0 + k) for k in range(3)], "s_suppkey long, s_acctbal double").write.parquet(f"{sf}/supplier.parquet")
+    spark.createDataFrame([(k,) for k in range(1, 901)], "p_partkey long").write.parquet(f"{sf}/part.parquet")
+    rows = catalogue.QUERIES["pixel_densify_all"](spark, sf).collect()
+    assert len({(r["tile_key"], r["pixel_id"]) for r in rows}) == len(rows) == 7 * 901
+    assert sum(r["pixel_population"] for r in rows) == pytest.approx(3003, abs=0.01)
+    assert sum(r["pixel_population"] > 0 for r in rows) == 7 * 9
