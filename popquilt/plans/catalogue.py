@@ -220,7 +220,24 @@ SELECT g AS cell_group, a."row", a.col, t AS time_point, round(CASE WHEN x < 0.0
   FROM s a JOIN s b USING (g, "row", col) CROSS JOIN (VALUES ('2000q1', 1.0::double), ('2002q3', 0.5::double), ('2003q4', 0.25::double)) v(t, w) WHERE a.k = 0 AND b.k = 1) a""")
 def raster_interpolation(spark, sf):
     r = I.raster(spark, sf).filter("vec_id % 3 < 2")
-    values = r.select(F.lit("built").alias("feature"), F.floor(F.col("vec_id") / 3).alias("cell_group"), "row", "col", F.when(F.col("vec_id") % 3 == 0, "2000q1").otherwise("2005q1").alias("time_point"), "value")
+    values = r.select(F.floor(F.col("vec_id") / 3).alias("cell_group"), "row", "col", F.when(F.col("vec_id") % 3 == 0, "2000q1").otherwise("2005q1").alias("time_point"), "value")
+    return _interpolated(spark, values)
+
+
+@query(f"""WITH {I.RASTER}
+SELECT cell_group, "row", col, t AS time_point, round(CASE WHEN x < 0.01 THEN 0 ELSE x END, 5) AS value FROM (
+  SELECT a.vec_id AS cell_group, a."row", a.col, t, CASE WHEN w = 1 THEN a.value ELSE a.value * w + b.value * (1 - w) END AS x
+  FROM raster a JOIN raster b ON b.vec_id = a.vec_id + 1 AND b."row" = a."row" AND b.col = a.col
+  CROSS JOIN (VALUES ('2000q1', 1.0::double), ('2002q3', 0.5::double), ('2003q4', 0.25::double)) v(t, w))""")
+def raster_interpolation_all(spark, sf):
+    # Each tile is the start of its own group and the end of the one before it.
+    ends = F.array(F.struct(F.col("vec_id").alias("cell_group"), F.lit("2000q1").alias("time_point")), F.struct((F.col("vec_id") - 1).alias("cell_group"), F.lit("2005q1").alias("time_point")))
+    values = I.raster(spark, sf).select(F.explode(ends).alias("e"), "row", "col", "value").select("e.cell_group", "row", "col", "e.time_point", "value")
+    return _interpolated(spark, values)
+
+
+def _interpolated(spark: SparkSession, values: DataFrame) -> DataFrame:
+    values = values.withColumn("feature", F.lit("built"))
     both = values.groupBy("cell_group").agg(F.count_distinct("time_point").alias("n")).filter("n = 2").select("cell_group")
     wanted = spark.createDataFrame([("built", t) for t in ("2000q1", "2002q3", "2003q4")], "feature string, time_point string")
     return rounded(timeaxis.interpolate(values.join(both, "cell_group", "left_semi"), wanted, ["feature"], ["cell_group", "row", "col"]).drop("feature"), 5)

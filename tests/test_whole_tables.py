@@ -67,3 +67,13 @@ def test_no_population_is_lost_when_pixels_are_made_dense(spark, tmp_path):
     assert len({(r["tile_key"], r["pixel_id"]) for r in rows}) == len(rows) == 7 * 901
     assert sum(r["pixel_population"] for r in rows) == pytest.approx(3003, abs=0.01)
     assert sum(r["pixel_population"] > 0 for r in rows) == 7 * 9
+
+
+def test_all_tiles_are_interpolated(spark, vectors):
+    sf, tiles = vectors
+    rows = catalogue.QUERIES["raster_interpolation_all"](spark, sf).collect()
+    got = {(r["cell_group"], r["row"], r["col"]): r["value"] for r in rows if r["time_point"] == "2002q3"}
+    half = (tiles[:-1] + tiles[1:]) / 2
+    want = {(int(v), int(y), int(x)): h if h >= 0.01 else 0.0 for (v, y, x), h in np.ndenumerate(half) if abs(h - 0.01) > 1e-6}
+    assert len(rows) == 3 * half.size and len(got) == half.size
+    assert {k: got[k] for k in want} == pytest.approx(want, abs=1e-5)
