@@ -15,6 +15,7 @@ is run again gives the same pieces.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -36,6 +37,9 @@ _ARROW = pa.schema(
 #: Partitions number their sequences and step groups from multiples of this.
 PARTITION_STRIDE = 1 << 36
 END_OF_TEXT = 1
+#: White space of this length goes to ``tokenizers``: tiktoken's pattern backtracks over it and runs out of stack at some 10^6 characters.
+LONG_SPACE = 100_000
+_LONG_SPACE = re.compile(r"\s{%d}" % LONG_SPACE)
 _encoders: dict[str, tuple] = {}
 
 
@@ -44,7 +48,7 @@ def byte_bpe(name: str = "byte_bpe_50k"):
 
     The rank file of the same vocabulary gives the same ids four times as fast, through
     tiktoken; a text with a special token's string goes to ``tokenizers``, which gives such
-    a string an id of its own.
+    a string an id of its own, and so does one with LONG_SPACE or more white space at a stretch.
     """
     if name not in _encoders:
         import base64
@@ -62,7 +66,7 @@ def byte_bpe(name: str = "byte_bpe_50k"):
     fast, exact, special = _encoders[name]
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
             return np.array(exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.array(fast.encode_ordinary(text), dtype=np.uint32)
 
@@ -233,7 +237,7 @@ def pack(
 
     A null or empty text is one end-of-text token; a null doc_id stays null; repeated rows
     are packed as often as they come; columns other than doc_id and text are not read; an
-    empty table gives no rows. ``sequence_tokens`` is what the piece's sequence holds, at
+    empty table gives no rows. A very long text is read whole, whatever it consists of. ``sequence_tokens`` is what the piece's sequence holds, at
     most its tier; only a partition's last sequence holds less.
     """
 

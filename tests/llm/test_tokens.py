@@ -150,3 +150,12 @@ def test_encode_and_decode_columns(spark):
 def test_arrow_lists_are_read_from_their_own_offset():
     lists = pa.array([[1, 2], [3]], pa.list_(pa.int32()))
     assert [x.values.to_pylist() for x in lists] == [[1, 2], [3]]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "a", "a" * 2_000_000, "1" * 2_000_000, "\n" * 2_000_000, "b" + " " * packing.LONG_SPACE + "c"], ids=["spaces", "letters", "digits", "lines", "limit"])
+def test_very_long_runs_have_the_librarys_ids(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.byte_bpe()(text).tolist() == exact.encode(text, add_special_tokens=False).ids
