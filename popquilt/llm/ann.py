@@ -3,7 +3,8 @@
 The trees are built on the driver from a bounded sample of vectors: a node splits at the
 median of the sample's projections on the difference of two of its vectors. Every row is
 then indexed in every tree. A query walks all trees through one priority queue, largest
-margin first, and takes leaves until they hold its share of the rows. A leaf's rows and the
+margin first, and takes leaves until they hold enough rows; how many is measured on a bounded
+sample of queries against all rows, so that it is what the data need. A leaf's rows and the
 queries that took it meet in blocks of bounded size, where cosines are a matrix product and
 only the best of each query go on; the last step sorts these by their exact cosines.
 
@@ -25,6 +26,8 @@ from popquilt.llm.common import prepare, table
 
 #: Rows of a leaf, and queries, that meet in one block.
 ROWS, QUERIES = 8192, 8192
+#: More than the rounding error of a matrix product of unit vectors.
+ERROR = 1e-12
 
 
 @dataclass
@@ -111,18 +114,41 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
-def nearest_in_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (query, candidate) of each query's ``k`` nearest, ties to the smaller id; a query isn't its own."""
+def least_ids(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Rows to keep, in the order of their ids: of equal vectors those with the ``most`` smallest ids.
+
+    The others score the same and lose every tie, so that no query's nearest change.
+    """
     order = np.argsort(ids, kind="stable")
-    near = np.round(_unit(q) @ _unit(x[order]).T, 12)
-    near[q_ids[:, None] == ids[order][None]] = -np.inf
-    if (extra := near.shape[1] - k) > 0:
-        near[near < np.partition(near, extra, axis=1)[:, extra, None]] = -np.inf
+    kind = np.unique(np.ascontiguousarray(x[order]).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True)[1]
+    key = np.lexsort((ids[order], kind))
+    k, i = kind[key], ids[order][key]
+    first, again = np.concatenate([[True], k[1:] != k[:-1]]), np.concatenate([[False], (k[1:] == k[:-1]) & (i[1:] == i[:-1])])
+    place = np.cumsum(~again)
+    place -= place[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
+    return order[np.sort(key[~again & (place < most)])]
+
+
+def nearest_in_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's ``k`` nearest distinct ids, ties to the smaller id; a query isn't its own.
+
+    ``ids`` ascend. The matrix product only narrows down; what is within its error of the
+    ``k``-th is scored again, by the measure that is returned.
+    """
+    near = _unit(q) @ _unit(x).T
+    near[q_ids[:, None] == ids[None]] = -np.inf
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    by_id = near if len(starts) == len(ids) else np.maximum.reduceat(near, starts, axis=1)
+    if (extra := by_id.shape[1] - k) > 0:
+        near[near < np.partition(by_id, extra, axis=1)[:, extra, None] - ERROR] = -np.inf
     i, j = np.nonzero(near > -np.inf)
-    best = np.lexsort((ids[order][j], -near[i, j], i))
-    i, j = i[best], j[best]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
-    return i[place < k], order[j[place < k]]
+    score = cosine(q[i], x[j])
+    best = np.lexsort((ids[j], -score, i))
+    i, j, score = i[best], j[best], score[best]
+    once = np.sort(np.unique(np.stack([i, ids[j]], axis=1), axis=0, return_index=True)[1]) if len(i) else np.empty(0, np.int64)
+    i, j, score = i[once], j[once], score[once]
+    own = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[own], j[own], score[own]
 
 
 def _meet(k: int):
@@ -134,11 +160,11 @@ def _meet(k: int):
                 return
             q_ids, ids = np.array([a for a, _ in queries]), np.array([a for a, _ in rows])
             q, x = np.stack([v for _, v in queries]), np.stack([v for _, v in rows])
+            few = least_ids(x, ids, k + 1)
+            ids, x = ids[few], x[few]
             for at in range(0, len(q), 512):
-                i, j = nearest_in_block(q[at : at + 512], q_ids[at : at + 512], x, ids, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[at + i]), pa.array(ids[j]), pa.array(cosine(q[at + i], x[j]))], names=["query_id", "vec_id", "score"]
-                )
+                i, j, score = nearest_in_block(q[at : at + 512], q_ids[at : at + 512], x, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at + i]), pa.array(ids[j]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             x = _matrix(batch.column(3)) if batch.num_rows else np.empty((0, 1))
@@ -152,6 +178,15 @@ def _meet(k: int):
     return run
 
 
+def needed_rows(trees: list[Tree], sizes: dict[tuple[int, int], int], q: np.ndarray, leaves: list[list[int]]) -> list[int]:
+    """For rows given by their leaf in each tree: how many rows the query has taken when it takes the first of these leaves."""
+    held, at = 0, {}
+    for leaf in search(trees, sizes, q, sum(sizes.values())):
+        held += sizes[leaf]
+        at[leaf] = held
+    return [min(at[leaf] for leaf in enumerate(own)) for own in leaves]
+
+
 def nearest(
     vectors: DataFrame,
     every: int = 50,
@@ -159,55 +194,85 @@ def nearest(
     trees: int = 8,
     sample: int = 20_000,
     leaf_rows: int = 800,
-    visit: float = 0.85,
-    exact_below: int = 2_000,
+    recall: float = 0.95,
+    trial: int = 256,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose vec_id is divisible by ``every``.
 
-    A query takes leaves that together hold ``visit`` times as many rows as there are (a row
-    counts once for each tree), or ``exact_below`` rows for each tree. Vectors that are null, zero or
-    not finite, of another length than most, or without vec_id take no part. Rows that repeat a vec_id count once, by
-    the nearest. Other columns are not read; an empty table gives no rows.
+    A query takes leaves until they hold a number of rows (a row counts once for each tree)
+    that the data decide: about ``trial`` queries, twice that at most, are compared with all
+    rows, and the number is the least that finds the share ``recall`` of their nearest. It is
+    small where vectors have structure, and most of the table where they have none.
+
+    Vectors that are null, zero or not finite, of another length than most, or without
+    vec_id take no part. Rows that repeat a vec_id count once, by the nearest; with fewer
+    than ``k`` candidates all are returned. Other columns are not read; an empty table gives
+    no rows.
     """
     spark = vectors.sparkSession
     known = usable(vectors)
     schema = "query_id long, rank int, vec_id long, score double"
-    lengths = known.groupBy(F.size("x").alias("n")).count().collect()
-    if not lengths:
+    most = known.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    if most is None:
         return spark.createDataFrame([], schema)
-    dims = max(lengths, key=lambda r: (r["count"], r["n"]))["n"]
-    total = next(r["count"] for r in lengths if r["n"] == dims)
+    dims, total = most["n"], most["count"]
     known = known.filter(F.size("x") == dims)
-    place = F.pmod(F.xxhash64(F.lit("forest"), "vec_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = sorted((r["vec_id"], r["x"]) for r in known.filter(place < min(1.0, sample / total)).limit(2 * sample).collect())
-    fitted = _unit(np.array([x for _, x in drawn] or [[1.0] * dims]))
+
+    def drawn(df: DataFrame, salt: str, n: int, of: int) -> list[tuple[int, list[float]]]:
+        place = F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(1 << 30)) / float(1 << 30)
+        return sorted((r["vec_id"], r["x"]) for r in df.filter(place < min(1.0, n / max(1, of))).limit(2 * n).collect())
+
+    fitted = _unit(np.array([x for _, x in drawn(known, "forest", sample, total)] or [[1.0] * dims]))
     least = max(16, leaf_rows * len(fitted) // total)
     forest = [build_tree(fitted, np.random.default_rng(seed), least) for seed in range(trees)]
 
-    def leaves(batch: pa.RecordBatch) -> np.ndarray:
-        unit = _unit(_matrix(batch.column(1)))
+    def leaves_of(x: np.ndarray) -> np.ndarray:
+        unit = _unit(x)
         return np.stack([t.leaf_of(unit) for t in forest], axis=1)
 
+    def fewer_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.take(pa.array(least_ids(_matrix(batch.column(1)), batch.column(0).to_numpy(), k + 1)))
+
+    indexed = known.mapInArrow(fewer_copies, "vec_id long, x array<double>")
+    asked = known.filter(F.col("vec_id") % every == 0)
+    tried = drawn(asked, "trial", trial, asked.count())
+    trial_ids, trial_x = np.array([i for i, _ in tried], np.int64), np.array([x for _, x in tried]).reshape(-1, dims)
+
     def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (tree, leaf, n) of the leaves' sizes and, with a query, of a trial query's nearest rows and their leaves."""
         counts: dict[tuple[int, int], int] = {}
         for batch in batches:
-            if batch.num_rows:
-                for t, column in enumerate(leaves(batch).T):
-                    for leaf, n in zip(*np.unique(column, return_counts=True)):
-                        counts[t, int(leaf)] = counts.get((t, int(leaf)), 0) + int(n)
+            if not batch.num_rows:
+                continue
+            x, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
+            leaves = leaves_of(x)
+            for t, column in enumerate(leaves.T):
+                for leaf, n in zip(*np.unique(column, return_counts=True)):
+                    counts[t, int(leaf)] = counts.get((t, int(leaf)), 0) + int(n)
+            if len(trial_ids):
+                i, j, score = nearest_in_block(trial_x, trial_ids, x, ids, k)
+                yield _counts({}, trial_ids[i], ids[j], score, leaves[j])
         yield _counts(counts)
 
-    def _counts(counts: dict) -> pa.RecordBatch:
+    def _counts(counts: dict, q=(), ids=(), score=(), leaves=()) -> pa.RecordBatch:
         cols = list(zip(*((t, leaf, n) for (t, leaf), n in counts.items()))) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["tree", "leaf", "n"])
-
-    def counted(df: DataFrame, run) -> dict[tuple[int, int], int]:
-        rows = df.mapInArrow(run, "tree long, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect()
-        return {(r["tree"], r["leaf"]): r["n"] for r in rows}
-
-    sizes = counted(known, count_rows)
-    asked = known.filter(F.col("vec_id") % every == 0)
-    wanted = max(visit * total, exact_below * trees)
+        n, m = len(cols[0]), len(q)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*c, *[None] * m], pa.int64()) for c in cols]
+            + [pa.array([*[None] * n, *c], t) for c, t in ((q, pa.int64()), (ids, pa.int64()), (score, pa.float64()), ([x.tolist() for x in leaves], pa.list_(pa.int64())))],
+            names=["tree", "leaf", "n", "query_id", "vec_id", "score", "leaves"],
+        )
+
+    seen = indexed.mapInArrow(count_rows, "tree long, leaf long, n long, query_id long, vec_id long, score double, leaves array<long>").checkpoint()
+    sizes = {(r["tree"], r["leaf"]): r["n"] for r in seen.filter("n is not null").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect()}
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    one = seen.filter("query_id is not null").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.max_by("leaves", "score").alias("leaves"))
+    truth = one.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "leaves").collect()  # k rows a trial query
+    unit = dict(zip(trial_ids.tolist(), _unit(trial_x) if len(trial_ids) else ()))
+    needed = sorted(n for q, rows in _by_query(truth).items() for n in needed_rows(forest, sizes, unit[q], rows))
+    wanted = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 1
 
     def count_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, int], int] = {}
@@ -215,9 +280,11 @@ def nearest(
             for q in _unit(_matrix(batch.column(1))) if batch.num_rows else ():
                 for leaf in search(forest, sizes, q, wanted):
                     counts[leaf] = counts.get(leaf, 0) + 1
-        yield _counts(counts)
+        cols = list(zip(*((t, leaf, n) for (t, leaf), n in counts.items()))) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["tree", "leaf", "n"])
 
-    visits = counted(asked, count_queries)
+    counted = asked.mapInArrow(count_queries, "tree long, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect()
+    visits = {(r["tree"], r["leaf"]): r["n"] for r in counted}
 
     def blocks(leaf: tuple[int, int]) -> tuple[int, int]:
         return -(-sizes.get(leaf, 0) // ROWS), -(-visits.get(leaf, 0) // QUERIES)
@@ -231,7 +298,7 @@ def nearest(
                     continue
                 ids = batch.column(0).to_pylist()
                 unit = None if of_rows else _unit(_matrix(batch.column(1)))
-                own = leaves(batch) if of_rows else None
+                own = leaves_of(_matrix(batch.column(1))) if of_rows else None
                 names, take = [], []
                 for i, vec_id in enumerate(ids):
                     for leaf in enumerate(own[i].tolist()) if of_rows else search(forest, sizes, unit[i], wanted):
@@ -252,16 +319,22 @@ def nearest(
 
     dealt = "block string, is_row boolean, vec_id long, x array<double>"
     found = (
-        known.mapInArrow(deal(True), dealt)
+        indexed.mapInArrow(deal(True), dealt)
         .union(asked.mapInArrow(deal(False), dealt))
         .repartition("block")
         .sortWithinPartitions("block", "is_row")
         .mapInArrow(_meet(k), "query_id long, vec_id long, score double")
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return one.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _by_query(rows: list) -> dict[int, list[list[int]]]:
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r["query_id"], []).append(r["leaves"])
+    return out
+
+
 def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(prepare(spark), sf_dir, "embeddings"))

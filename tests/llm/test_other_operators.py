@@ -107,12 +107,43 @@ def test_forest_finds_nine_of_ten(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(6000, 64)).astype(np.float32)
     x[1000:2000] = x[7]  # a hot vector
-    got = rows_of(ann.nearest(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), exact_below=500))
+    got = rows_of(ann.nearest(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])))
     want = brute(np.arange(6000), x.astype(np.float64))
     hits = sum(len({v for v, _ in got[q]} & {v for v, _ in near}) for q, near in want.items())
     assert got.keys() == want.keys() and hits >= 0.9 * 5 * len(want)
 
 
+def test_a_repeated_id_takes_one_place(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(46, 8)).astype(np.float32)
+    x[40:] = x[0] + 0.01 * rng.normal(size=(6, 8))
+    ids = np.array([*range(40), *[7] * 6])
+    got = rows_of(ann.nearest(vectors(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x)])))
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    best = {}
+    for i, s in zip(ids[1:].tolist(), unit[1:] @ unit[0]):
+        best[i] = max(best.get(i, -2), s)
+    assert [v for v, _ in got[0]] == sorted(best, key=lambda i: -best[i])[:5] and got[0][0][0] == 7
+    assert ann.least_ids(x[[0, 0, 0, 1, 0]].astype(np.float64), np.array([5, 3, 3, 9, 1]), 2).tolist() in ([4, 1, 3], [4, 2, 3])
+
+
+def test_structured_vectors_need_few_rows(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(60, 16))
+    x = (centre[np.arange(6000) % 60] + 0.05 * rng.normal(size=(6000, 16))).astype(np.float32)
+    ids = np.arange(6000)
+    want = brute(ids, x.astype(np.float64))
+    df = vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]).repartition(4)
+    got = rows_of(ann.nearest(df, leaf_rows=100, recall=0.95))
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in near}) for q, near in want.items()) >= 0.9 * 5 * len(want)
+    unit = ann._unit(x.astype(np.float64))
+    trees = [ann.build_tree(unit, np.random.default_rng(s), 100) for s in range(8)]
+    leaves = np.stack([t.leaf_of(unit) for t in trees], axis=1)
+    sizes = {(t, int(n)): int(c) for t in range(8) for n, c in zip(*np.unique(leaves[:, t], return_counts=True))}
+    needed = [n for q, near in want.items() for n in ann.needed_rows(trees, sizes, unit[q], [leaves[v].tolist() for v, _ in near])]
+    assert np.quantile(needed, 0.95) < 3000
+
+
 def test_tiny_and_repeated_vectors(spark):
     rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [1.0, 1.0], 1), (1, [1.0, 1.0], 1), (2, [-1.0, 0.0], 1)]
     assert rows_of(ann.nearest(vectors(spark, rows))) == {0: [(1, pytest.approx(2**-0.5)), (2, -1.0)]}
