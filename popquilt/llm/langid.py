@@ -11,7 +11,6 @@ that a filter response is two look-ups.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,6 @@ WINDOWS = 4
 #: Bytes that are read at once.
 SLICE = 1 << 17
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, dtype=bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -146,7 +144,7 @@ def _predict_part(net: Network, tables: tuple, column: pa.Array) -> tuple[list[s
     best = sums.argmax(1)
     letters = np.add.reduceat(np.append(_ASCII_LETTER[raw], False).astype(np.int64), off[:-1]) * (size > 0) if n else size
     for i in range(n):
-        if size[i] and (letters[i] or _LETTER.search(column[i].as_py())):
+        if size[i] and (letters[i] or any(map(str.isalpha, column[i].as_py()))):
             names[i], scores[i] = net.languages[best[i]], min(1.0, sums[i, best[i]] / size[i])
     return names, scores
 
@@ -199,8 +197,9 @@ def predict(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred"
 def identify(docs: DataFrame, sample: int = 1000) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row.
 
-    A text that is null, empty or without letters is ``und`` with score 0, and so is every
-    text where no row has a language to learn from. Nulls in other columns, repeated rows
+    A text that is null, empty or without letters (characters of Unicode's categories L) is
+    ``und`` with score 0, and so is every text where no row has a language to learn from.
+    Long texts are read whole, in batches of windows. Nulls in other columns, repeated rows
     and extra columns change nothing; an empty table gives no rows.
     """
     net = fit(docs, sample)
@@ -209,7 +208,10 @@ def identify(docs: DataFrame, sample: int = 1000) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float = 0.4, sample: int = 1000) -> DataFrame:
-    """The documents whose language is told with at least that probability."""
+    """The documents whose language is told with at least that probability.
+
+    Each row is judged by its own text, also where rows share a doc_id; rows without letters go.
+    """
     lang, score = fresh("lang_pred", docs.columns), fresh("lang_score", docs.columns)
     found = predict(docs, fit(docs, sample), (lang, score))
     return found.filter((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)

@@ -1,5 +1,6 @@
 """Secrets, language-model scores, language identification, quality, the n-gram join, and the pipeline."""
 
+import math
 import re
 import zlib
 
@@ -70,45 +71,142 @@ def test_base_spans_are_the_contracts():
         assert [(secrets.KINDS[k], s, e) for s, k, e in secrets.base_spans(text or "")] == expected_base(text)
 
 
+def plain_battery(symbols, alphabet):
+    """The three tests of one string, one by one."""
+    x, size, n = [alphabet.index(c) for c in symbols], len(alphabet), len(symbols)
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi, df = sum((x.count(k) - n / size) ** 2 for k in range(size)) * size / n, size - 1
+    p1 = upper(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = [v >= size / 2 for v in x]
+    a, b = sum(high), n - sum(high)
+    if not a or not b:
+        p2 = 2.0 ** (1 - n)
+    else:
+        mean, var = 1 + 2 * a * b / n, 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+        p2 = 2 * upper(abs(1 + sum(h != g for h, g in zip(high, high[1:])) - mean) / math.sqrt(var)) if var > 0 else 1.0
+    u, v = np.array(x[:-1], float), np.array(x[1:], float)
+    p3 = 1e-300 if u.std() < 1e-6 or v.std() < 1e-6 else 2 * upper(abs(((u - u.mean()) * (v - v.mean())).mean() / (u.std() * v.std())) * math.sqrt(n - 1))
+    half = -sum(math.log(min(1.0, max(1e-300, p))) for p in (p1, p2, p3))
+    return min(1.0, max(1e-300, math.exp(-half) * (1 + half + half * half / 2)))
+
+
+def plain_secrets(texts, level=0.05):
+    """All spans of every text, with p-values counted over the windows one by one."""
+    alphabets = dict(secrets.ENCODINGS)
+    strata = [s for s in secrets.STRATA]
+
+    def look(symbols):
+        name = next(n for n, a in secrets.ENCODINGS if set(symbols) <= set(a))
+        return name, max(k for k, s in enumerate(strata) if len(symbols) >= s), secrets.bins(np.array([plain_battery(symbols, alphabets[name])]))[0]
+
+    windows = [look(w)[1:] for t in texts for w in secrets.text_windows(t or "")]
+    found = []
+    for i, t in enumerate(texts):
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}={0,2}", t or ""):
+            body = m[0].rstrip("=")
+            if body in (body.lower(), body.upper()) and re.search("[A-Za-z]", body):
+                body = re.sub("[-+/_]", "", body)
+            if len(body) >= 16 and re.search("[A-Za-z+/_-]", body) and any(set(body) <= set(a) for a in alphabets.values()):
+                found.append((i, m.start(), m.end(), *look(body)))
+    out = [list(expected_base(t)) for t in texts]
+    for i, start, end, name, s, b in found:
+        own, ordinary = [x[5] for x in found if x[4] == s], [w for st, w in windows if st == s]
+        p = lambda c: (1 + sum(w <= c for w in ordinary)) / (1 + len(ordinary))
+        if any(c >= b and p(c) * len(own) <= level * sum(d <= c for d in own) for c in own):
+            out[i].append((f"random-{name}", start, end))
+    return out
+
+
+def secret_corpus(rng):
+    """Texts of words, some with keys in several encodings, signs or none."""
+    hexes, all62 = list("0123456789abcdef"), list(dict(secrets.ENCODINGS)["base62"])
+    texts = [sentence(rng, "xx", 40 + int(rng.integers(60))) for _ in range(300)]
+    for k in range(12):
+        h = "".join(rng.choice(hexes, 32))
+        key = ("".join(rng.choice(all62, 44)) + "==", "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:])), h, "".join(rng.choice(all62, 24)))[k % 4]
+        texts[k * 20] += f" {key} and 1234567890123456789 in file_name_with_many_parts_of_words"
+    return texts
+
+
 def test_secret_rows(spark):
     import hashlib
 
-    docs = documents(spark, [(i, t) for i, t in enumerate(SECRET_TEXTS)] + [(None, SECRET_TEXTS[3]), (3, SECRET_TEXTS[3])])
+    texts = SECRET_TEXTS + secret_corpus(np.random.default_rng(6))
+    docs = documents(spark, [(i, t) for i, t in enumerate(texts)] + [(None, SECRET_TEXTS[3]), (3, SECRET_TEXTS[3])])
     rows = secrets.find_secrets(docs).collect()
-    assert len(rows) == len(SECRET_TEXTS) + 2
+    assert len(rows) == len(texts) + 2
+    want = plain_secrets([*texts, SECRET_TEXTS[3], SECRET_TEXTS[3]])
     for r in rows:
-        text = SECRET_TEXTS[r["doc_id"] if r["doc_id"] is not None else 3]
+        text = texts[r["doc_id"] if r["doc_id"] is not None else 3]
         base = expected_base(text)
         joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(b[0] == k for b in base) for k in secrets.KINDS)
         spans = [(x["kind"], x["start"], x["end"]) for x in r["all_spans"]]
         assert [s for s in spans if s[0] in secrets.KINDS] == base
-    added = [x for r in rows if r["doc_id"] == 8 for x in r["all_spans"]]
-    assert [(x["kind"], SECRET_TEXTS[8][x["start"] : x["end"]]) for x in added] == [("random-base62", "i6G4fnwgHXVr7TJKcCfIgug7tqW55RLrEWp80nn4")]
+        assert sorted(spans) == sorted(want[r["doc_id"] if r["doc_id"] is not None else 3])
+    added = {(r["doc_id"] - len(SECRET_TEXTS), x["kind"]) for r in rows if r["doc_id"] is not None for x in r["all_spans"] if x["kind"] not in secrets.KINDS}
+    assert {(0, "random-base62"), (20, "random-hex"), (40, "random-hex"), (80, "random-base62")} <= added
+    assert sum(k >= 0 and k % 20 != 0 for k, _ in added) <= 1
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
-def test_battery_tells_noise_from_structure():
+def test_battery_is_the_plain_one():
     rng = np.random.default_rng(3)
-    letters = np.array(list("0123456789abcdef"))
-    noise = [secrets.randomness("a1" + "".join(rng.choice(letters, 62)))[1] for _ in range(300)]
-    assert np.mean(np.array(noise) < 0.01) < 0.05 and 0.3 < np.median(noise) < 0.7
-    assert secrets.randomness("0123456789abcdef" * 4)[1] < 1e-6 and secrets.randomness("aaaaaaaaaaaaaaaaaaa1aaaaaaaa")[1] < 1e-6
-    assert secrets.randomness("onlyletters" * 4) is None
+    letters = [list(a) for _, a in secrets.ENCODINGS]
+    kinds = [int(k) for k in rng.integers(0, len(letters), 300)]
+    texts = ["".join(rng.choice(letters[k], int(rng.integers(16, 90)))) for k in kinds] + ["a" * 20, "ab" * 10, "0123456789abcdef" * 4]
+    kinds += [0, 0, 0]
+    got = secrets.battery(texts, kinds)
+    assert got == pytest.approx([plain_battery(t, secrets.ENCODINGS[k][1]) for t, k in zip(texts, kinds)], rel=1e-6, abs=1e-290)
+    assert 0.3 < np.median(got[:300]) < 0.8 and (got[300:] < 1e-3).all()
+    assert secrets.infer_encoding("xyz!") is None and len(secrets.battery([], [])) == 0
 
 
 def test_false_discovery_cut():
-    counts = {(0, 0): 90, (0, 100): 10}
-    cut = secrets.rejection_bins(counts, 0.05)
-    assert 0 < cut[0] <= 100 and cut[1] == secrets.BINS
+    text = {(0, b): 10 for b in range(100)}
+    assert secrets.secret_bins({(0, 0): 90, (0, 99): 10}, text, 0.05)[:2] == [1, 0]
+    assert secrets.secret_bins({(0, 50): 100}, text, 0.05)[0] == 0
+    assert secrets.secret_bins({(0, 0): 5}, {}, 0.05)[0] == 0
+
+
+def test_false_secrets_are_few():
+    """Of strings of ordinary text and random ones, the share of text among those found stays near the level."""
+    rng = np.random.default_rng(8)
+    words_ = [sentence(rng, "xx", 400) for _ in range(400)]
+    ordinary, found, truth = {}, {}, {}
+    for _, (s, b) in ((t, w) for t in words_ for w in secrets.ordinary([t])[0]):
+        ordinary[s, b] = ordinary.get((s, b), 0) + 1
+    text = ["".join(t.split())[:40] for t in (sentence(rng, "xx", 40) for _ in range(300))]
+    noise = ["".join(rng.choice(list("0123456789abcdefghijklmnopqrstuvwxyz"), 40)) for _ in range(100)]
+    for t, real in [(t, False) for t in text] + [(t, True) for t in noise]:
+        ((*_, s, b),) = secrets.candidates([t])[0]
+        found[s, b] = found.get((s, b), 0) + 1
+        truth.setdefault((s, b), []).append(real)
+    cut = secrets.secret_bins(found, ordinary, 0.05)
+    kept = [r for (s, b), real in truth.items() if b < cut[s] for r in real]
+    assert sum(kept) >= 80 and kept.count(False) <= 0.1 * len(kept)
+
+
+def test_scanning_takes_time_in_proportion():
+    import time
+
+    text = f'token = "{SECRET}" and words ' * 20_000
+    began = time.time()
+    (found,) = secrets.candidates([text])
+    assert len(found) == 20_000 and time.time() - began < 20
 
 
 def test_redaction(spark):
-    docs = documents(spark, [(1, f'a token = "{SECRET}" b'), (2, None), (3, "clean")])
+    corpus = [(10 + i, t) for i, t in enumerate(secret_corpus(np.random.default_rng(7)))]
+    docs = documents(spark, [(1, f'a token = "{SECRET}" b'), (2, None), (3, "clean"), *corpus])
     rows = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
     assert rows[1]["text"] == 'a [secret]" b' and rows[1]["n_chars"] == len(rows[1]["text"])
     assert rows[2]["text"] is None and rows[3]["text"] == "clean" and list(rows[1].asDict()) == docs.columns
+    spans = {r["doc_id"]: r["all_spans"] for r in secrets.find_secrets(docs).collect()}
+    for i, text in corpus:
+        kept = [c for k, c in enumerate(text) if not any(x["start"] <= k < x["end"] for x in spans[i])]
+        assert rows[i]["text"].replace("[secret]", "") == "".join(kept)
 
 
 # The n-gram join
