@@ -5,7 +5,8 @@ are counted (there are at most 3 to the number of heuristics), and expectation-m
 over these counts estimates each heuristic's accuracy for either class and the share of bad
 documents, without any given label. A pattern's posterior labels a bounded sample of
 documents, on which a linear scorer with hashed features is trained on the driver; it then
-scores every document. Texts are scanned three times and never shuffled.
+scores every document. The votes are not among the features, so that the scorer has to learn
+what the labels mean. Texts are scanned twice and never shuffled.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popquilt.llm.common import fresh, prepare, splitmix, table, utf8, word_hashes
+from popquilt.llm.common import fresh, prepare, splitmix, table, text_slices, utf8, word_hashes
 
 HEURISTICS = ("symbols", "capitals", "repeats", "top_word", "word_length", "lines", "marks", "separators")
 GOOD, BAD, ABSTAIN = "+", "-", "0"
-#: Dimensions of the hashed features; their last ones are left to the votes.
-DIMENSIONS = 4096
-SLICE_TEXTS = 200
+#: Dimensions of the hashed features; the last NUMBERS are measures of the whole text.
+DIMENSIONS, NUMBERS = 4096, 8
+#: Texts, and bytes, that are worked on at once; a longer text is one slice.
+SLICE_TEXTS, PART_BYTES = 200, 1 << 18
 
 # Classes of bytes: other, lower, upper, digit, space, line end, stop or comma, symbol, separator, beyond ASCII.
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -43,14 +45,34 @@ def _vote(value: np.ndarray, good: tuple[float, float], bad: np.ndarray, known:
     return vote
 
 
+def _shapes(raw: np.ndarray, off: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of bytes (texts x 10) and hashed runs of four of them (texts x dims), counted in parts of PART_BYTES."""
+    n = len(off) - 1
+    counts, x = np.zeros((n, 10)), np.zeros((n, dims))
+    for lo in range(0, len(raw), PART_BYTES):
+        hi = min(len(raw), lo + PART_BYTES)
+        before = min(3, lo)
+        kind = _CLASS[raw[lo - before : hi]]
+        at = np.arange(lo, hi)
+        text = np.searchsorted(off, at, "right") - 1
+        first, own = int(text[0]), int(text[-1] - text[0] + 1)
+        counts[first : first + own] += np.bincount((text - first) * 10 + kind[before:], minlength=own * 10).reshape(own, 10)
+        runs = np.zeros(len(kind), dtype=np.uint64)
+        for k in range(4):
+            runs[k:] += kind[: len(kind) - k].astype(np.uint64) << np.uint64(8 * k)
+        shape = (splitmix(runs[before:]) % np.uint64(dims)).astype(np.int64)
+        inside = at - off[text] >= 3
+        x[first : first + own] += np.bincount(((text - first) * dims + shape)[inside], minlength=own * dims).reshape(own, dims)
+    return counts, x
+
+
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Votes (texts x heuristics) and hashed features (texts x DIMENSIONS, float32) of a short column."""
     raw, off = utf8(column)
     words, woff = word_hashes(column)
     n = len(off) - 1
-    kind = _CLASS[raw]
-    text = np.repeat(np.arange(n), np.diff(off))
-    counts = np.bincount(text * 10 + kind, minlength=n * 10).reshape(n, 10).astype(np.float64)
+    dims = DIMENSIONS - NUMBERS
+    counts, shapes = _shapes(raw, off, dims // 2)
     size, n_words = np.diff(off), np.diff(woff)
     some, visible = n_words > 0, np.maximum(1, counts.sum(1) - counts[:, 4] - counts[:, 5])
     letters = np.maximum(1, counts[:, 1] + counts[:, 2])
@@ -86,22 +108,13 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         axis=1,
     )
 
-    dims = DIMENSIONS - 2 * len(HEURISTICS) - 8
-    grams = np.zeros(len(raw), dtype=np.uint64)
-    for k in range(4):
-        grams[k:] = grams[k:] * np.uint64(1) + (kind[: len(raw) - k].astype(np.uint64) << np.uint64(8 * k))
-    shape = (splitmix(grams) % np.uint64(dims // 2)).astype(np.int64)
-    inside = np.arange(len(raw)) - off[text] >= 3
-    x = np.bincount((text * DIMENSIONS + shape)[inside], minlength=n * DIMENSIONS).reshape(n, DIMENSIONS) / np.maximum(1, size)[:, None]
+    x = np.zeros((n, DIMENSIONS))
+    x[:, : dims // 2] = shapes / np.maximum(1, size)[:, None]
     place = dims // 2 + (words % np.uint64(dims - dims // 2)).astype(np.int64)
     x += np.bincount(owner * DIMENSIONS + place, minlength=n * DIMENSIONS).reshape(n, DIMENSIONS) / np.maximum(1, n_words)[:, None]
-    np.sqrt(x, out=x)
-    at = DIMENSIONS - 2 * len(HEURISTICS) - 8
     for j, value in enumerate((symbols, capitals, repeated, top, 1 - distinct, np.minimum(1, length / 30), line_repeats, np.minimum(1, separators))):
-        x[:, at + j] = np.sqrt(value)
-    x[:, at + 8 :: 2] = votes == 1
-    x[:, at + 9 :: 2] = votes == 0
-    return votes, x.astype(np.float32)
+        x[:, dims + j] = value
+    return votes, np.sqrt(x, out=x).astype(np.float32)
 
 
 def _lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +193,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip((x @ self.weights).astype(np.float64) + self.bias, -30, 30)))
 
 
-def fit_scorer(x: np.ndarray, good: np.ndarray, rounds: int = 150, rate: float = 0.05, decay: float = 1e-4) -> Scorer:
+def fit_scorer(x: np.ndarray, good: np.ndarray, rounds: int = 400, rate: float = 0.1, decay: float = 1e-4) -> Scorer:
     """Logistic regression on posteriors; both classes weigh the same."""
     x, good = x.astype(np.float32), np.asarray(good, dtype=np.float64)
     weight = good / max(1e-9, good.sum()) + (1 - good) / max(1e-9, (1 - good).sum())
@@ -198,33 +211,42 @@ def fit_scorer(x: np.ndarray, good: np.ndarray, rounds: int = 150, rate: float =
 
 def _slices(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_TEXTS):
-            part = batch.slice(at, SLICE_TEXTS)
-            yield part, *features(part.column(place))
+        at = 0
+        for short in text_slices(batch.column(place), PART_BYTES):
+            for lo in range(0, len(short), SLICE_TEXTS):
+                part = batch.slice(at + lo, min(SLICE_TEXTS, len(short) - lo))
+                yield part, *features(part.column(place))
+            at += len(short)
 
 
-def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, int] = {}
-    for _, votes, _ in _slices(batches, 0):
-        for p in _pattern(votes):
-            counts[p] = counts.get(p, 0) + 1
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["votes", "n"])
+def _evidence(share: float):
+    """Rows (votes, n, x): how often a task saw a pattern, and about ``share`` of the texts as examples with their features."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, votes, x in _slices(batches, 0):
-        yield pa.RecordBatch.from_arrays([pa.array(_pattern(votes)), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["votes", "x"])
+        def rows(patterns: list[str], n: list[int], x: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(patterns, pa.string()), pa.array(n, pa.int64()), pa.array(x, pa.binary())], names=["votes", "n", "x"])
+
+        for part, votes, x in _slices(batches, 0):
+            patterns = _pattern(votes)
+            for p in patterns:
+                counts[p] = counts.get(p, 0) + 1
+            drawn = np.flatnonzero(part.column(1).to_numpy() < share)
+            yield rows([patterns[k] for k in drawn], [0] * len(drawn), [x[k].astype(np.float16).tobytes() for k in drawn])
+        yield rows(list(counts), list(counts.values()), [None] * len(counts))
+
+    return run
 
 
 def fit(docs: DataFrame, sample: int = 3000) -> tuple[LabelModel, Scorer]:
-    """The label model from all documents; the scorer from about ``sample`` of them, twice that at most."""
-    texts = docs.select("text")
-    seen = texts.mapInArrow(_count_patterns, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
-    counts = {r["votes"]: r["n"] for r in seen}
-    model, total = fit_labels(counts), sum(counts.values())
+    """The label model from all documents; the scorer from about ``sample`` different ones of them, twice that at most."""
     place = F.pmod(F.xxhash64(F.lit("quality"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.filter(place < min(1.0, sample / max(1, total))).select("text").limit(2 * sample)
-    rows = sorted((r["votes"], bytes(r["x"])) for r in chosen.mapInArrow(_examples, "votes string, x binary").collect())
+    seen = docs.select("text", place.alias("place")).mapInArrow(_evidence(min(1.0, sample / max(1, docs.count()))), "votes string, n long, x binary")
+    seen = seen.groupBy("votes", "x").agg(F.sum("n").alias("n")).orderBy(F.col("x").isNotNull(), "votes", "x").limit(3 ** len(HEURISTICS) + 2 * sample).collect()
+    counts = {r["votes"]: r["n"] for r in seen if r["x"] is None}
+    model = fit_labels(counts)
+    rows = [(r["votes"], bytes(r["x"])) for r in seen if r["x"] is not None][: 2 * sample]
     if not rows:
         return model, Scorer(np.zeros(DIMENSIONS, np.float32), 0.0)
     x = np.frombuffer(b"".join(b for _, b in rows), np.float16).reshape(-1, DIMENSIONS)
@@ -255,7 +277,8 @@ def classify(docs: DataFrame, least: float = 0.8, sample: int = 3000) -> DataFra
 
     ``score`` is the scorer's probability of a good document; good where it is ``least`` or
     more. A null or empty text gets no votes and is not good. Nulls elsewhere, repeated rows
-    and extra columns change nothing; an empty table gives no rows.
+    and extra columns change nothing; an empty table gives no rows. A very long text is read
+    whole; what is made of its bytes is held in parts.
     """
     model, scorer = fit(docs, sample)
     found = predict(docs.select("doc_id", "text"), model, scorer)
@@ -267,7 +290,10 @@ def _good(least: float, votes: str = "votes", score: str = "score"):
 
 
 def good_documents(docs: DataFrame, least: float = 0.8, sample: int = 3000) -> DataFrame:
-    """The documents that the scorer finds good, and those too short for any vote unless they are blank."""
+    """The documents that the scorer finds good, and those too short for any vote unless they are blank.
+
+    Each row is judged by its own text, also where rows share a doc_id.
+    """
     votes, posterior, score = (fresh(c, docs.columns) for c in ("votes", "posterior", "quality_score"))
     found = predict(docs, *fit(docs, sample), (votes, posterior, score))
     short = ~F.col(votes).rlike("[+-]") & (F.length(F.trim("text")) > 0)

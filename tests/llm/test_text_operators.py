@@ -412,6 +412,21 @@ def test_tables_give_the_networks_responses():
     assert names == [net.languages[int(expected.argmax())]] and scores[0] == pytest.approx(expected.max(), rel=1e-4)
 
 
+def test_long_texts_are_the_mean_of_their_windows():
+    rng = np.random.default_rng(10)
+    net = langid.train(rng.integers(97, 123, (64, langid.WINDOW)).astype(np.uint8), np.arange(64) % 3, ["a", "b", "c"], epochs=1)
+    text = "".join(chr(c) for c in rng.integers(97, 123, 3 * langid.WINDOW + 17)) + "é"
+    raw, sums = text.encode(), np.zeros(3)
+    for at in range(0, len(raw), langid.WINDOW):
+        window = raw[at : at + langid.WINDOW]
+        e = net.embedding[np.frombuffer(window.ljust(langid.WINDOW, b"\0"), np.uint8)]
+        pooled = np.concatenate([np.max([np.einsum("ke,kef->f", e[i : i + len(w)], w) for i in range(langid.POSITIONS)], axis=0) for w in net.filters])
+        sums += net.probabilities(pooled[None])[0] * len(window)
+    names, scores = langid.predict_column(net, net.tables(), pa.array([None, "12", text, "²½ⅧⅠ①", "x"]))
+    assert names[2] == net.languages[int(sums.argmax())] and scores[2] == pytest.approx(sums.max() / len(raw), rel=1e-4)
+    assert names[:2] == [langid.UNDETERMINED] * 2 and names[3] == langid.UNDETERMINED and scores[3] == 0 and names[4] != langid.UNDETERMINED
+
+
 # Quality
 
 
@@ -457,6 +472,43 @@ def test_features_do_not_depend_on_neighbours():
         assert (v[0] == votes[i]).all() and np.allclose(y[0], x[i])
 
 
+def plain_votes(text):
+    """The heuristics of one text, word by word and byte by byte."""
+    raw, w = (text or "").encode(), words(text)
+    visible = max(1, sum(b not in b"\t\n\x0b\x0c\r " for b in raw))
+    letters = max(1, sum(65 <= b <= 90 or 97 <= b <= 122 for b in raw))
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    n = max(1, len(w))
+    values = (
+        (sum(b in b"#$%&*!@^~+=<>\\/_" for b in raw) / visible, 0, 0.02, lambda v: v > 0.08, len(w) > 0),
+        (sum(65 <= b <= 90 for b in raw) / letters, 0, 0.15, lambda v: v > 0.5, len(w) > 0 and letters >= 20),
+        (sum(((k > 0 and w[k] == w[k - 1]) + 2 * (k > 1 and w[k] == w[k - 2])) % 2 for k in range(len(w))) / n, 0, 0.02, lambda v: v > 0.15, len(w) >= 10),
+        (max(map(w.count, set(w)), default=0) / n, 0, 0.15, lambda v: v > 0.25, len(w) >= 30),
+        (visible / n, 3, 12, lambda v: v < 2 or v > 30, len(w) >= 5),
+        (1 - len(set(lines)) / len(lines) if len(lines) > 1 else 0, 0, 0.1, lambda v: v > 0.4, len(lines) >= 4),
+        (sum(b in b".,;:?'-" for b in raw) / n, 0.02, 0.6, lambda v: v < 0.003, len(w) >= 40),
+        (sum(b in b"|{}[]()" for b in raw) / n, 0, 0.02, lambda v: v > 0.2, len(w) >= 10),
+    )
+    return [-1 if not known else 0 if bad(v) else 1 if low <= v <= high else -1 for v, low, high, bad, known in values]
+
+
+def test_votes_are_the_plain_ones():
+    rng = np.random.default_rng(9)
+    texts = [None, "", " \n ", "é" * 40, "a|b {c} [d] | (e) f g h i | j k l | |", "ONE TWO " * 30, "!! ##\n" * 9, "to to be be to be or not to be. " * 4]
+    texts += [t + (" |", " !!", "", ".\n")[k % 4] * (k % 7) for k, t in enumerate(t if k % 3 else t.upper() for k, (_, t, _) in enumerate(quality_rows(rng)[:60]))]
+    votes, _ = quality.features(pa.array(texts))
+    for v, t in zip(votes.tolist(), texts):
+        assert v == plain_votes(t), t
+
+
+def test_features_do_not_depend_on_parts(monkeypatch):
+    texts = [sentence(np.random.default_rng(1), "xx", 5000), "x", "", "Été, " * 300]
+    votes, x = quality.features(pa.array(texts))
+    monkeypatch.setattr(quality, "PART_BYTES", 37)
+    again, y = quality.features(pa.array(texts))
+    assert (votes == again).all() and np.allclose(x, y)
+
+
 # The pipeline
 
 
