@@ -203,14 +203,40 @@ def test_mining_is_brute_force(spark):
 
     rng = np.random.default_rng(9)
     data = [(sorted({f"t{k}" for k in rng.integers(0, 6, 3)}), bool(rng.random() < 0.5)) for _ in range(80)]
-    got = {tuple(r["antecedent"]): r["confidence"] for r in urlrules.mine_rules(spark.createDataFrame(data, "tokens array<string>, bad boolean"), 0.03, 0.6).collect()}
-    rules = {}
-    for n in (1, 2, 3):
-        for a in combinations([f"t{k}" for k in range(6)], n):
-            own = [b for t, b in data if set(a) <= set(t)]
-            if own and sum(own) / len(data) >= 0.03 and sum(own) / len(own) >= 0.6 and not any(set(r) < set(a) for r in rules):
-                rules[a] = sum(own) / len(own)
-    assert got == pytest.approx(rules)
+    share = sum(b for _, b in data) / len(data)
+    for confidence, lift, errors in ((0.6, 1.0, 0.0), (0.0, 1.2, 0.0), (0.0, 1.0, 0.8), (0.5, 1.1, 0.5)):
+        mined = urlrules.mine_rules(spark.createDataFrame(data, "tokens array<string>, bad boolean"), 0.03, confidence, lift, errors, least=1)
+        got = {tuple(r["antecedent"]): r["confidence"] for r in mined.collect()}
+        rules = {}
+        for n in (1, 2, 3):
+            for a in combinations([f"t{k}" for k in range(6)], n):
+                own = [b for t, b in data if set(a) <= set(t)]
+                good = own and sum(own) / len(data) >= 0.03 and sum(own) / len(own) >= max(confidence, lift * share)
+                if good and sum(own) / len(own) - share >= errors * (share * (1 - share) / len(own)) ** 0.5 and not any(set(r) < set(a) for r in rules):
+                    rules[a] = sum(own) / len(own)
+        assert got == pytest.approx(rules) and rules
+
+
+def test_frequent_sets_change_nothing(spark, monkeypatch):
+    urls = [f"http://{h}.test/{p}/{k}" for k, (h, p) in enumerate((h, p) for h in ("bad", "fine") for p in ("x", "y") for _ in range(40))]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, "bad" in u and "/x/" in u) for k, u in enumerate(urls) if k % 2], "url_number long, bad boolean")
+    rows = {}
+    for share in (1e-3, 2.0):
+        monkeypatch.setattr(urlrules, "FREQUENT", share)
+        rows[share] = sorted(map(tuple, urlrules.judge(pages, labels).collect()))
+    assert rows[1e-3] == rows[2.0]
+    assert [r[0] for r in rows[2.0] if r[4] == "block"] == list(range(40))
+
+
+def test_long_hosts_are_read_in_proportion(spark):
+    import time
+
+    host = ".".join(f"l{k}" for k in range(100_000)) + ".org"
+    pages = spark.createDataFrame([(1, f"http://{host}/es/1"), (2, f"http://{host}/de/1")], "page_id long, url string")
+    began = time.time()
+    rows = {r["page_id"]: r for r in urlrules.judge(pages, spark.createDataFrame([(1, True)], "url_number long, bad boolean")).collect()}
+    assert rows[1]["rule"] == "org/es/" and rows[2]["rule"] is None and rows[2]["host"] == host and time.time() - began < 60
 
 
 # The registry
