@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-The trellis has a boundary after every character and an edge for every piece. A window of as
-many boundaries as the longest piece has characters is kept. When all paths that are still
-alive pass through one boundary, the ids up to it are final and leave the window, so that
-memory does not grow with the text.
+The trellis has a boundary after every character and an edge for every piece. Edges are drawn
+from a boundary once as many characters follow as the longest piece has. From then on, at
+least as often as that many boundaries are done, the paths that are still alive are followed
+back; where they meet, the ids up to there are final and leave the window, so that memory
+does not grow with the text. Every text takes this way.
 
 The trellis serves both kinds of vocabulary. In a unigram vocabulary an edge adds its piece's
 score and the best path to a boundary survives. In a byte-pair vocabulary an edge is allowed
@@ -34,6 +35,17 @@ SPACE, END = "▁", ""
 _models: dict[str, Vocabulary] = {}
 
 
+def tree_of(ids: dict[str, int]) -> dict:
+    """The pieces as a tree by characters; a node's id, if it is a piece, is under END."""
+    tree: dict = {}
+    for piece, i in ids.items():
+        node = tree
+        for c in piece:
+            node = node.setdefault(c, {})
+        node[END] = i
+    return tree
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model file."""
 
@@ -58,13 +70,7 @@ class Vocabulary:
         splits = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         self.stretches = None if splits else re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.allowed: dict[tuple[int, int], bool] = {}
-        # The pieces as a tree by characters; a node's id, if it is a piece, is under END.
-        self.tree: dict = {}
-        for piece, i in self.ids.items():
-            node = self.tree
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[END] = i
+        self.tree = tree_of(self.ids)
 
     def merged(self, text: str) -> list[str]:
         """Merges neighbours by score, best and then leftmost first."""
@@ -100,48 +106,62 @@ class Viterbi:
         # Per boundary of the window: (piece, boundary before, score), or None where no path ends.
         self.window: list[tuple[int, int, float] | None] = [(-1, -1, 0.0)]
         self.text = ""
+        self.done = 0  # boundaries whose edges are drawn
         self.most = 1  # boundaries held at once
 
     def push(self, chars: str) -> list[int]:
         """Takes characters; the ids that have become final."""
-        v, out = self.v, []
-        ids, longest, bpe = v.ids, v.longest, v.kind == "bpe"
-        for c in chars:
-            self.text += c
-            text, window, end = self.text, self.window, len(self.text)
-            best = None
-            for start in range(max(0, end - longest), end):
-                at = window[start]
-                if at is None:
-                    continue
-                piece = ids.get(text[start:end])
+        out, step = [], self.v.longest
+        for at in range(0, len(chars), step):
+            self.text += chars[at : at + step]
+            out += self.draw(len(self.text) - step + 1)
+        return out
+
+    def finish(self) -> list[int]:
+        out = self.draw(len(self.text))
+        return out + self.leave(len(self.text))
+
+    def draw(self, end: int) -> list[int]:
+        """Draws the edges of living boundaries before ``end``, which no longer piece can change; the ids that have become final."""
+        v, text, window = self.v, self.text, self.window
+        window += [None] * (len(text) + 1 - len(window))
+        self.most = max(self.most, len(window))
+        tree, scores, longest, bpe = v.tree, v.scores, v.longest, v.kind == "bpe"
+        allowed, follows = (v.allowed, v.follows) if bpe else (None, None)
+        for start in range(self.done, end):
+            at = window[start]
+            if at is None:
+                continue
+            before, _, score = at
+            node, stop = tree, start
+            for c in text[start : start + longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                stop += 1
+                piece = node.get(END)
                 if piece is None:
                     continue
+                old = window[stop]
                 if bpe:
-                    if v.follows(at[0], piece):
-                        best = (piece, start, 0.0)
-                        break
-                elif best is None or at[2] + v.scores[piece] > best[2]:
-                    best = (piece, start, at[2] + v.scores[piece])
-            window.append(best)
-            self.most = max(self.most, len(window))
-            if end >= 2 * longest:
-                out += self.commit()
-        return out
+                    if old is None:
+                        known = allowed.get((before, piece))
+                        if known or known is None and follows(before, piece):
+                            window[stop] = (piece, start, 0.0)
+                elif old is None or score + scores[piece] > old[2]:
+                    window[stop] = (piece, start, score + scores[piece])
+        self.done = max(self.done, end)
+        return self.commit() if self.done >= longest else []
 
     def commit(self) -> list[int]:
         """Ids up to the last boundary that all living paths share."""
-        window, end = self.window, len(self.window) - 1
-        shared: set[int] | None = None
-        for last in range(max(0, end - self.v.longest + 1), end + 1):
-            if window[last] is None:
-                continue
-            path, at = {last}, last
-            while at > 0:
-                at = window[at][1]
-                path.add(at)
-            shared = path if shared is None else shared & path
-        return self.leave(max(shared or {0}))
+        window = self.window
+        heads = {k for k in range(self.done, len(window)) if window[k] is not None}
+        while len(heads) > 1:
+            last = max(heads)
+            heads.remove(last)
+            heads.add(window[last][1])
+        return self.leave(heads.pop()) if heads else []
 
     def leave(self, at: int) -> list[int]:
         out, k = [], at
@@ -152,11 +172,9 @@ class Viterbi:
             shift = [None if w is None else (w[0], w[1] - at, w[2]) for w in self.window[at:]]
             self.window = [(shift[0][0], -1, shift[0][2]), *shift[1:]]
             self.text = self.text[at:]
+            self.done = max(0, self.done - at)
         return out[::-1]
 
-    def finish(self) -> list[int]:
-        return self.leave(len(self.window) - 1)
-
 
 class _Memo(dict):
     """Ids of stretches; it starts again when it is full."""
@@ -206,38 +224,9 @@ class Encoder:
         return out + (self.run(text[at:]) if at < len(text) else [])
 
     def run(self, text: str) -> list[int]:
-        if len(text) <= 2 * self.v.longest and self.v.kind == "bpe":
-            return self.whole(text)
         trellis = Viterbi(self.v)
         return trellis.push(text) + trellis.finish()
 
-    def whole(self, text: str) -> list[int]:
-        """The byte-pair trellis of a text that fits the window, extended forwards from living boundaries."""
-        v, n = self.v, len(text)
-        tree, allowed, follows = v.tree, v.allowed, v.follows
-        last: list[int | None] = [None] * (n + 1)
-        last[0], back = -1, [0] * (n + 1)
-        for start in range(n):
-            before = last[start]
-            if before is None:
-                continue
-            node, end = tree, start
-            for c in text[start:] if start else text:
-                node = node.get(c)
-                if node is None:
-                    break
-                end += 1
-                if last[end] is None and END in node:
-                    piece = node[END]
-                    known = allowed.get((before, piece))
-                    if known or known is None and follows(before, piece):
-                        last[end], back[end] = piece, start
-        out = []
-        while n:
-            out.append(last[n])
-            n = back[n]
-        return out[::-1]
-
     def encode(self, text: str) -> list[int]:
         """Ids of a text; a mark of a space in the text itself is kept as bytes."""
         if not text:
@@ -284,7 +273,12 @@ def vocabulary(name: str = "piece_bpe_32k.model", kind: str = "bpe") -> Vocabula
 
 
 def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "bpe") -> DataFrame:
-    """(doc_id, ids) for every row; a null or empty text has no ids. Other columns are not read."""
+    """(doc_id, ids) for every row; a null or empty text has no ids.
+
+    A null doc_id stays null, repeated rows give repeated rows, other columns are not read,
+    and an empty table gives no rows. A text is read whole; besides its ids, what is held of
+    a stretch does not grow with it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(name, kind))
@@ -300,7 +294,7 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "bpe"
 
 
 def decode(encoded: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "bpe") -> DataFrame:
-    """(doc_id, text) of (doc_id, ids); null ids give an empty text."""
+    """(doc_id, text) of (doc_id, ids); null ids give an empty text. Null doc_ids and repeated rows stay; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Encoder(vocabulary(name, kind))

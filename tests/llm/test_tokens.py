@@ -122,6 +122,7 @@ class Unigram:
     scores = [-2.0, -2.1, -2.9, -3.3, -3.8, -3.6]
     longest = 3
     ids = {p: i for i, p in enumerate(pieces)}
+    tree = spm.tree_of(ids)
 
 
 def test_unigram_paths_are_the_best_of_all():
