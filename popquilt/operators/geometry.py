@@ -105,15 +105,110 @@ def clip(parts: Parts, x0: float, y0: float, x1: float, y1: float) -> Parts:
     return [rings for rings in found if rings and ring_area(rings[0]) > 0]
 
 
-def contains(parts: Parts, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Points inside, by crossings of a ray; edges are half open, so that neighbours share no point."""
-    inside = np.zeros(np.broadcast(x, y).shape, dtype=bool)
+def edges_of(parts: Parts) -> np.ndarray:
+    """All rings' edges as rows (ax, ay, bx, by); outer rings run counter-clockwise, holes clockwise."""
+    out = [np.empty((0, 4))]
     for rings in parts:
-        for ring in rings:
-            for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, axis=0)):
-                if ay != by:
-                    inside ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
-    return inside
+        for k, ring in enumerate(rings):
+            x, y = (ring - ring[0]).T
+            turn = float(x @ np.roll(y, -1) - y @ np.roll(x, -1))
+            ring = ring if (turn >= 0) == (k == 0) else ring[::-1]
+            out.append(np.hstack([ring, np.roll(ring, -1, axis=0)]))
+    return np.vstack(out)
+
+
+def inside_edges(edges: np.ndarray, x: np.ndarray, y: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """Points inside, by crossings of a ray; edges are half open, so that neighbours share no point."""
+    ax, ay, bx, by = edges[edges[:, 1] != edges[:, 3]].T
+    out = np.zeros(len(x), dtype=bool)
+    step = max(1, most // max(1, len(ax)))
+    for at in range(0, len(x) if len(ax) else 0, step):
+        px, py = x[at : at + step, None], y[at : at + step, None]
+        crossed = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
+        out[at : at + step] = crossed.sum(1) % 2 == 1
+    return out
+
+
+def contains(parts: Parts, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """As ``inside_edges``, for points of any shape."""
+    x, y = np.broadcast_arrays(np.asarray(x, float), np.asarray(y, float))
+    return inside_edges(edges_of(parts), x.ravel(), y.ravel()).reshape(x.shape)
+
+
+def cells_of(edges: np.ndarray, size: float, first: int, last: int) -> list[tuple[int, int, np.ndarray | None]]:
+    """(cx, cy, edges) of the cells in rows first to last that a polygon meets.
+
+    Edges are None where the whole cell is inside. Elsewhere they are those that decide
+    whether a point of the cell is: of the cell's row, and not left of it.
+    """
+    out: list[tuple[int, int, np.ndarray | None]] = []
+    low_y, high_y, high_x = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 0], edges[:, 2])
+    for cy in range(first, last + 1):
+        y0, y1 = cy * size, (cy + 1) * size
+        near = (high_y >= y0) & (low_y <= y1)
+        if not near.any():
+            continue
+        own, right = edges[near], high_x[near]
+        ax, ay, bx, by = own.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t0, t1 = np.where(by == ay, 0.0, (y0 - ay) / (by - ay)).clip(0, 1), np.where(by == ay, 1.0, (y1 - ay) / (by - ay)).clip(0, 1)
+        p, q = ax + t0 * (bx - ax), ax + t1 * (bx - ax)
+        slack = size * 1e-9
+        start, stop = np.floor((np.minimum(p, q) - slack) / size).astype(np.int64), np.floor((np.maximum(p, q) + slack) / size).astype(np.int64)
+        base, width = int(start.min()), int(stop.max() - start.min() + 1)
+        touched = np.cumsum(np.bincount(start - base, minlength=width + 1) - np.bincount(stop - base + 1, minlength=width + 1))[:width] > 0
+        middle = (y0 + y1) / 2
+        cross = (ay > middle) != (by > middle)
+        at = np.sort(ax[cross] + (middle - ay[cross]) / (by[cross] - ay[cross]) * (bx[cross] - ax[cross]))
+        centres = (base + np.arange(width) + 0.5) * size
+        full = ~touched & ((len(at) - np.searchsorted(at, centres, "right")) % 2 == 1)
+        out += [(base + int(k), cy, None) for k in np.flatnonzero(full)]
+        out += [(base + int(k), cy, own[right >= (base + k) * size - slack]) for k in np.flatnonzero(touched)]
+    return out
+
+
+def coverage(edges: np.ndarray, cell: float, x_origin: float, y_origin: float, first: int, last: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(columns, rows, areas) of a grid's cells in rows first to last that the polygon of these edges covers.
+
+    Edges are cut at the grid's lines; a piece of height dy adds dy times what lies right of
+    it to its own cell, and dy times the width to all cells right of that.
+    """
+    ax, ay, bx, by = ((edges - [x_origin, y_origin] * 2) / cell).T
+    keep = (np.maximum(ay, by) > first) & (np.minimum(ay, by) < last + 1) & (ay != by)
+    ax, ay, bx, by = ax[keep], ay[keep], bx[keep], by[keep]
+    none = np.empty(0, np.int64)
+    if not len(ax):
+        return none, none, np.empty(0)
+    left, columns = int(np.floor(np.minimum(ax, bx).min())), 0
+    columns = int(np.floor(np.maximum(ax, bx).max())) - left + 1
+    if (last - first + 1) * columns > most and last > first:
+        middle = (first + last) // 2
+        halves = [coverage(edges, cell, x_origin, y_origin, a, b, most) for a, b in ((first, middle), (middle + 1, last))]
+        return tuple(np.concatenate(x) for x in zip(*halves))
+    owner, t = [np.arange(len(ax))] * 2, [np.zeros(len(ax)), np.ones(len(ax))]
+    for a, b in ((ax, bx), (ay, by)):
+        low, high = np.ceil(np.minimum(a, b)), np.floor(np.maximum(a, b))
+        n = np.where(a == b, 0, np.maximum(0, high - low + 1)).astype(np.int64)
+        own = np.repeat(np.arange(len(a)), n)
+        line = low[own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owner.append(own)
+        t.append(((line - a[own]) / (b - a)[own]).clip(0, 1))
+    owner, t = np.concatenate(owner), np.concatenate(t)
+    order = np.lexsort((t, owner))
+    owner, t = owner[order], t[order]
+    piece = np.flatnonzero((owner[1:] == owner[:-1]) & (t[1:] > t[:-1]))
+    o, t0, t1 = owner[piece], t[piece], t[piece + 1]
+    x0, x1 = ax[o] + t0 * (bx - ax)[o], ax[o] + t1 * (bx - ax)[o]
+    y0, y1 = ay[o] + t0 * (by - ay)[o], ay[o] + t1 * (by - ay)[o]
+    row, col = np.floor((y0 + y1) / 2).astype(np.int64), np.floor((x0 + x1) / 2).astype(np.int64) - left
+    mine = (row >= first) & (row <= last)
+    row, col, dy, x = row[mine] - first, col[mine], (y1 - y0)[mine], ((x0 + x1) / 2)[mine] - left
+    place, shape = row * (columns + 1) + col, (last - first + 1) * (columns + 1)
+    here = np.bincount(place, dy * (col + 1 - x), shape).reshape(-1, columns + 1)
+    beyond = np.cumsum(np.bincount(place + 1, dy, shape).reshape(-1, columns + 1), axis=1)
+    covered = -(here + beyond)[:, :columns]  # counter-clockwise: the left sides run down
+    r, c = np.nonzero(covered > 1e-9)
+    return c + left, r + first, covered[r, c] * cell * cell
 
 
 def meets_box(parts: Parts, x0: float, y0: float, x1: float, y1: float) -> bool:
@@ -197,21 +292,6 @@ def st_clip(wkb: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf(T.DoubleType())
-def st_clip_area(wkb: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    return pd.Series([None if g is None else area(clip(read_wkb(g), *b)) for g, *b in zip(wkb, x0, y0, x1, y1)], dtype=float)
-
-
-@F.pandas_udf(T.DoubleType())
-def st_distance_to_box(wkb: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    return pd.Series([None if g is None else distance_to_box(read_wkb(g), *b) for g, *b in zip(wkb, x0, y0, x1, y1)], dtype=float)
-
-
-@F.pandas_udf(T.BooleanType())
-def st_contains(wkb: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([None if g is None else bool(contains(read_wkb(g), np.array([a]), np.array([b]))[0]) for g, a, b in zip(wkb, x, y)])
-
-
 @F.pandas_udf(T.BinaryType())
 def st_hull(wkb: pd.Series) -> pd.Series:
     return wkb.map(lambda g: None if g is None else write_wkb([[convex_hull(np.vstack([r for rings in read_wkb(g) for r in rings]))]]))

@@ -34,18 +34,31 @@ def pixels(tiles: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def to_tiles(long: DataFrame, height: int, width: int, by: tuple[str, ...] = ("block_key",), fill: float | None = None) -> DataFrame:
-    """(by, chunk_row, chunk_col, height, width, data): pixels gathered into chunks, row by row; absent ones get ``fill``."""
-    place = (F.col("row") % height) * width + F.col("col") % width
-    chunk = [F.floor(F.col("row") / height).cast("int").alias("chunk_row"), F.floor(F.col("col") / width).cast("int").alias("chunk_col")]
-    cells = long.groupBy(*by, *chunk).agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int"), F.col("value").cast("float")))).alias("_m"))
-    data = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda k: F.coalesce(F.element_at("_m", k), F.lit(fill).cast("float")))
-    return cells.select(*by, "chunk_row", "chunk_col", F.lit(height).alias("height"), F.lit(width).alias("width"), data.alias("data"))
-
+    """(by, chunk_row, chunk_col, height, width, data): pixels gathered into chunks, row by row; absent ones get ``fill``.
 
-def time_mix(start: DataFrame, end: DataFrame, weight: float) -> DataFrame:
-    """start * weight + end * (1 - weight) by pixel, noise suppressed."""
-    both = start.select(*CELL, F.col("value").alias("_a")).join(end.select(*CELL, F.col("value").alias("_b")), CELL)
-    return both.select(*CELL, suppress_noise(F.col("_a") * weight + F.col("_b") * (1 - weight)).alias("value"))
+    A chunk's pixels are sorted by place once, and the gaps between neighbours are filled in
+    the same pass, so that the work is in proportion to the chunk. A pixel that comes twice
+    keeps its largest value.
+    """
+    place = ((F.col("row") % height) * width + F.col("col") % width).cast("int")
+    chunk = [F.floor(F.col("row") / height).cast("int").alias("chunk_row"), F.floor(F.col("col") / width).cast("int").alias("chunk_col")]
+    end = F.struct(F.lit(height * width).alias("p"), F.lit(None).cast("float").alias("v"))  # one place beyond the last
+    cells = long.groupBy(*by, *chunk).agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), F.col("value").cast("float").alias("v")))).alias("_m"))
+    cells = cells.withColumn("_m", F.array_append("_m", end))
+    # Of each pixel the places since the one before, which are absent, and itself; a pixel's next one tells whether it is repeated.
+    before = F.concat(F.array(F.lit(-1)), F.transform("_m", lambda x: x["p"]))
+    gaps = F.zip_with("_m", F.slice(before, 1, F.size("_m")), lambda x, b: F.struct((x["p"] - b).alias("step"), x["p"].alias("p"), x["v"].alias("v")))
+    absent = F.lit(fill).cast("float")
+    following = F.slice(F.concat(F.transform("_m", lambda x: x["p"]), F.array(F.lit(-1))), 2, F.size("_m"))
+    pieces = F.zip_with(
+        gaps,
+        following,
+        lambda x, n: F.concat(
+            F.when(x["step"] > 1, F.array_repeat(absent, x["step"] - 1)).otherwise(F.array().cast("array<float>")),
+            F.when((x["p"] == n) | (x["p"] == height * width), F.array().cast("array<float>")).otherwise(F.array(F.coalesce(x["v"], absent))),
+        ),
+    )
+    return cells.select(*by, "chunk_row", "chunk_col", F.lit(height).alias("height"), F.lit(width).alias("width"), F.flatten(pieces).alias("data"))
 
 
 def derived_measures(bands: DataFrame) -> DataFrame:

@@ -182,6 +182,20 @@ def test_tiles_and_pixels(spark):
         raster.resample(long, 2, "mode")
 
 
+def test_whole_tiles_take_seconds(spark):
+    import time
+
+    n = 512
+    long = spark.range(n * n).filter("id % 7 <> 3").select(F.lit("b").alias("block_key"), (F.col("id") / n).cast("int").alias("row"), (F.col("id") % n).cast("int").alias("col"), F.col("id").cast("double").alias("value"))
+    raster.to_tiles(long.filter("row < 4"), 4, n).collect()
+    began = time.time()
+    (tile,) = raster.to_tiles(long, n, n).collect()
+    assert time.time() - began < 5
+    assert tile["data"] == [None if k % 7 == 3 else float(k) for k in range(n * n)]
+    twice = spark.createDataFrame([("b", 0, 0, 1.0), ("b", 0, 0, 3.0), ("b", 0, 0, None), ("b", 1, 0, None)], "block_key string, row int, col int, value double")
+    assert raster.to_tiles(twice, 2, 2).first()["data"] == [3.0, None, None, None] and raster.to_tiles(twice, 2, 2, fill=0.0).first()["data"] == [3.0, 0.0, 0.0, 0.0]
+
+
 def test_gap_fill_takes_the_nearest():
     a = np.full((5, 5), np.nan)
     a[0, 0], a[4, 4] = 7, 9
@@ -209,7 +223,7 @@ def test_wkb_round_trip():
 @given(st.integers(0, 10**6))
 def test_clipping_keeps_area(seed):
     rng = np.random.default_rng(seed)
-    angles = np.sort(rng.random(9) * 2 * math.pi)
+    angles = (np.arange(9) + rng.random(9)) * 2 * math.pi / 9  # gaps under a half turn: the ring does not cross itself
     ring = np.stack([np.cos(angles), np.sin(angles)], 1) * rng.uniform(0.5, 4, 9)[:, None]
     parts = [[ring]]
     cells = sum(G.area(G.clip(parts, x, y, x + 1, y + 1)) for x in range(-4, 4) for y in range(-4, 4))
@@ -240,6 +254,58 @@ def test_spatial_columns(spark):
     assert clipped.first()[0] == 3.0
 
 
+def random_polygon(rng, n=40):
+    """A star-shaped ring with a hole, and a second part beside it."""
+    angles = (np.arange(n) + rng.random(n)) * 2 * math.pi / n
+    unit = np.stack([np.cos(angles), np.sin(angles)], 1)
+    ring = unit * rng.uniform(2, 7, n)[:, None] + rng.uniform(-2, 2, 2)
+    hole = (unit * 0.9)[::-1] + ring.mean(0)
+    return [[ring, hole], [np.array([[9, -3], [11.5, -3], [9, 2.25]], float)]]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0.7, 1.0, 3.0]))
+def test_cells_decide_like_the_whole_polygon(seed, size):
+    rng = np.random.default_rng(seed)
+    parts = random_polygon(rng)
+    edges = G.edges_of(parts)
+    x, y = rng.uniform(-10, 12, (2, 3000))
+    got = np.zeros(3000, dtype=bool)
+    for cx, cy, own in G.cells_of(edges, size, math.floor(-10 / size), math.floor(12 / size)):
+        mine = (np.floor(x / size) == cx) & (np.floor(y / size) == cy)
+        got[mine] = True if own is None else G.inside_edges(own, x[mine], y[mine])
+    assert (got == G.contains(parts, x, y)).all() and got.any()
+    assert sum(own is None for *_, own in G.cells_of(edges, 0.1, -100, 120)) > 500
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([1 << 20, 30]))
+def test_coverage_is_clipping(seed, most):
+    parts = random_polygon(np.random.default_rng(seed))
+    parts[0] = parts[0][:1]
+    col, row, areas = G.coverage(G.edges_of(parts), 0.8, 0.3, -0.1, -15, 18, most)
+    for c, r, a in zip(col, row, areas):
+        x, y = 0.3 + 0.8 * c, -0.1 + 0.8 * r
+        assert a == pytest.approx(G.area(G.clip(parts, x, y, x + 0.8, y + 0.8)), abs=1e-9)
+    assert areas.sum() == pytest.approx(G.area(parts), abs=1e-6) and len(set(zip(col, row))) == len(col)
+
+
+def test_many_vertices_over_many_cells_are_fast(spark):
+    import time
+
+    angles = np.arange(500) * 2 * math.pi / 500
+    ring = np.stack([np.cos(angles), np.sin(angles)], 1) * (40 + 2 * np.cos(17 * angles))[:, None]
+    shape = G.with_bounds(spark.createDataFrame([(1, bytearray(G.write_wkb([[ring]])))], "shape_id int, geometry binary"))
+    points = spark.range(200 * 200).select(((F.col("id") % 200) - 99.5).alias("x"), (F.floor(F.col("id") / 200) - 99.5).alias("y"))
+    spatial_join.points_in(points, shape, 8.0).count()
+    began = time.time()
+    assert spatial_join.overlay(shape, 1.0).count() > 5000
+    inside = spatial_join.points_in(points, shape, 8.0).count()
+    assert time.time() - began < 10
+    x, y = np.meshgrid(np.arange(200) - 99.5, np.arange(200) - 99.5)
+    assert inside == G.contains([[ring]], x, y).sum()
+
+
 def test_points_on_shared_edges_are_in_one_polygon(spark):
     rows = [(k, bytearray(G.write_wkb(G.box(k, 0, k + 1, 1)))) for k in range(3)]
     shapes = G.with_bounds(spark.createDataFrame(rows, "k int, geometry binary"))
