@@ -364,11 +364,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_
 
 
 def one_of_each(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, one row for each; rows without doc_id stay."""
-    kept = jaccard_components(docs, width, least).filter("doc_id = component_id").select("doc_id").distinct()
-    nth = fresh("nth", docs.columns)
-    one = docs.join(kept, "doc_id", "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
-    return one.filter(F.col(nth) == 1).drop(nth).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """The documents without those that link to one that stays: of each component the row of the smallest doc_id.
+
+    Rows are told apart by doc_id and text together (by a 64-bit hash of both), so that rows
+    that share a doc_id but not the text go or stay by their own text; rows without doc_id
+    take part and come last in their component. Of rows that are equal in both, one stays.
+    Rows without words link with nothing and all stay. Ties go by the hash, so that a task
+    that is run again keeps the same row.
+    """
+    key, nth = fresh("key", docs.columns), fresh("nth", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), width, least).filter("n_shingles > 0").distinct()
+    named = keyed.select(F.col(key).alias("_key"), "doc_id").groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
+    member = found.select(F.col("doc_id").alias("_key"), "component_id").join(named, "_key")
+    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")).alias("first"))
+    kept = first.select(F.col("first._key").alias(key))
+    words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    one = keyed.filter(words).join(kept, key, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    return one.filter(F.col(nth) == 1).select(*docs.columns).unionByName(docs.filter(~words))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,7 +277,17 @@ def test_join_of_odd_rows(spark):
     assert rows == sorted([(None, 2, None), (3, 2, 3), (3, 2, 3), (5, 2, 3), (9, 0, 9)], key=str)
     assert jaccard.jaccard_components(docs.limit(0), sketch_bits=10).count() == 0
     kept = [r["doc_id"] for r in jaccard.one_of_each(docs.withColumnRenamed("source", "nth")).collect()]
-    assert sorted(kept, key=str) == [3, 9, None]
+    assert sorted(kept, key=str) == [3, 9]  # the row without an id is a copy of the third document's
+
+
+def test_one_of_each_tells_rows_apart(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (3, b + " more", "w"), (None, a, "v"), (None, "alone in the world", "u"), (None, "alone in the world", "u"), (5, None, "t"), (5, "", "s"), (5, "", "s"), (7, "short", "r"), (7, "short", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    for parts in (1, 5):
+        kept = sorted(map(tuple, jaccard.one_of_each(docs.repartition(parts)).collect()), key=str)
+        assert kept == sorted([rows[0], rows[1], rows[5], rows[7], rows[8], rows[9], rows[10]], key=str)
+    assert jaccard.one_of_each(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("first", [None, 0, 3, 9])
