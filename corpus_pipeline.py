@@ -28,7 +28,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near duplicates."""
+    """Keeps the document of the smallest doc_id of each group of near duplicates, and rows apart that share only a doc_id."""
     prepare(spark)
     return jaccard.one_of_each(docs)
 
@@ -56,12 +56,25 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that ``run`` has made, on whatever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; what a stage returns is written in the shared folder and read again."""
+    """Applies the stages to ``documents``; what a stage returns is written in the shared folder and read again.
+
+    A stage's input is removed as soon as its output is there; the last output stays for whoever reads the result.
+    """
     prepare(spark)
     shared = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{shared}/{k}-{name}")
-        docs = spark.read.parquet(f"{shared}/{k}-{name}")
+        at = f"{shared}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(at), at
     return docs
