@@ -59,7 +59,3 @@ def census_year_of(name: Column) -> Column:
 def version_number(version: Column) -> Column:
     """Of ``2025_06_21.003``."""
     return F.substring_index(version, ".", -1).cast("int")
-
-
-def location_prefix(code: Column, iso3: str) -> Column:
-    return code.startswith(iso3.upper())

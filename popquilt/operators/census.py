@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from popquilt.functions.semantics import cut, ratio
+from popquilt.operators.ranks import percentiles
 
 CENSUS_COLUMNS = ("shape_id", "parent_id", "admin_level", "shape_name", "shape_name_simple", "path_to_top_parent", "population_total", "household_total", "geometry")
 INF = float("inf")
@@ -72,8 +73,10 @@ def under(path: Column, ids: list[str]) -> Column:
 
 def country_locations(hierarchy: DataFrame, iso3: str) -> DataFrame:
     """Locations with that code, or if there are none those whose code starts with it."""
-    exact = hierarchy.filter(F.col("location_code") == iso3)
-    return exact if not exact.isEmpty() else hierarchy.filter(F.col("location_code").startswith(iso3))
+    code = F.col("location_code")
+    found = hierarchy.filter(code.startswith(iso3))
+    exact = found.filter(code == iso3).limit(1).select(F.lit(True).alias("_exact"))
+    return found.join(F.broadcast(exact), F.lit(True), "left").filter((code == iso3) | F.col("_exact").isNull()).drop("_exact")  # at most one row
 
 
 def deepest(units: DataFrame) -> DataFrame:
@@ -82,6 +85,13 @@ def deepest(units: DataFrame) -> DataFrame:
     return units.join(top, ["iso3", "admin_level"])
 
 
+def last_levels(units: DataFrame, count: int = 2) -> DataFrame:
+    """The units of their country's ``count`` deepest levels among those given."""
+    levels = units.select("iso3", "admin_level").distinct()
+    order = Window.partitionBy("iso3").orderBy(F.desc("admin_level"))
+    return units.join(levels.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= count).drop("_k"), ["iso3", "admin_level"], "left_semi")
+
+
 def near_anti_meridian(blocks: DataFrame, margin: int = 8) -> DataFrame:
     """Blocks (block_key, block_x) of the first and last columns."""
     last = blocks.agg(F.max("block_x").alias("_last"))
@@ -114,12 +124,12 @@ def pivoted(shares: DataFrame, bins: int) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """Count, mean, standard deviation, extremes and exact percentiles in one scan."""
+    """Count, mean, standard deviation, extremes and exact percentiles; the latter are found at once (see ``ranks``)."""
     c = F.col(column)
+    found = zip(shares, percentiles(df, column, shares))
     return df.agg(
         F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
-        *(F.percentile(c, F.lit(s)).alias(f"p{s * 100:g}") for s in shares),
-    )
+    ).withColumns({f"p{s * 100:g}": F.lit(v).cast("double") for s, v in found})
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from popquilt.operators.ranks import percentiles
+
 Parts = list[list[np.ndarray]]
 BOUNDS = T.StructType([T.StructField(c, T.DoubleType()) for c in ("minx", "miny", "maxx", "maxy")])
 
@@ -344,5 +346,5 @@ def unwrapped(minx: Column, maxx: Column, threshold: float = 100.0) -> Column:
 def valid_spans(frame: DataFrame, slack: float = 1.001) -> DataFrame:
     """Adds ``valid``: the tile's width is under the median's by the slack; others were broken by a reprojection."""
     span = F.col("maxx") - F.col("minx")
-    middle = frame.agg(F.percentile(span, F.lit(0.5)).alias("_m"))
-    return frame.crossJoin(F.broadcast(middle)).withColumn("valid", span < slack * F.col("_m")).drop("_m")
+    (middle,) = percentiles(frame.select(span.alias("span")), "span", [0.5])
+    return frame.withColumn("valid", span < F.lit(middle).cast("double") * slack)

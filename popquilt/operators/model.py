@@ -8,6 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from popquilt.functions.metrics import METRICS
+from popquilt.functions.transforms import PIXEL_AREA, targets
+from popquilt.operators.ranks import percentiles
+
 SPLITS, TEST, VALIDATE = 10, 0.2, 0.1
 TRAIN_NAMES = ("train", "validate", "test")
 
@@ -38,13 +42,24 @@ def splits(tiles: DataFrame, key: str = "tile_key", count: int = SPLITS) -> Data
 
 
 def ranked_split(tiles: DataFrame, number: int, key: str = "tile_key", test: float = TEST, validate: float = VALIDATE) -> DataFrame:
-    """Like ``split`` with exact shares. It sorts the tiles by digest, with ties by key; for tables of tiles, which are small."""
-    order = Window.orderBy(_place(key, f"split-{number}-"), key)
-    n = tiles.count()
+    """Like ``split`` with exact shares, in the order of digests and, for ties, keys.
+
+    A tile's rank is its rank among those with the same leading digits, of which there are
+    at most 4,096, and the number of tiles before these.
+    """
+    place = _place(key, f"split-{number}-")
+    lead = F.substring("_place", 1, 3)
+    placed = tiles.select(key, place.alias("_place")).withColumn("_lead", lead)
+    counts = sorted((r["_lead"], r["count"]) for r in placed.groupBy("_lead").count().collect())
+    n = sum(c for _, c in counts)
     n_test = int(np.ceil(test * n))
     n_validate = int(np.ceil(validate * (1 - test) * (n - n_test)))
-    k = F.row_number().over(order)
-    return tiles.select(key, F.when(k <= n_test, "test").when(k <= n_test + n_validate, "validate").otherwise("train").alias("split"))
+    before = np.cumsum([0, *(c for _, c in counts)])
+    offsets = tiles.sparkSession.createDataFrame([(p, int(b)) for (p, _), b in zip(counts, before)], "_lead string, _before long")
+    k = F.col("_before") + F.row_number().over(Window.partitionBy("_lead").orderBy("_place", key))
+    ranked = placed.join(F.broadcast(offsets), "_lead").withColumn("_k", k)
+    k = F.col("_k")
+    return ranked.select(key, F.when(k <= n_test, "test").when(k <= n_test + n_validate, "validate").otherwise("train").alias("split"))
 
 
 def part(rows: DataFrame, parts: DataFrame, name: str, key: str = "tile_key") -> DataFrame:
@@ -96,7 +111,7 @@ def fit_least_absolute(rows: DataFrame, target: str, features: list[str] = (), r
     y = F.col(target)
     clean = rows.select(target, *features).dropna()
     if not features:
-        found = clean.agg(F.percentile(y, F.lit(0.5))).first()[0]
+        (found,) = percentiles(clean, target, [0.5])
         if found is None:
             raise ValueError("no rows to fit")
         return Linear(float(found))
@@ -126,6 +141,28 @@ def predict(pixels: DataFrame, model: Linear, built: str = "built") -> DataFrame
     return pixels.withColumn("population", model.population(built))
 
 
+def score(rows: DataFrame, model: Linear, kind: str, target: str, truth: str, metrics: tuple[str, ...] = tuple(METRICS), built: str = "built", area: float | Column = PIXEL_AREA) -> DataFrame:
+    """One row of metrics: the model's output, which is of a ``kind``, is turned into ``target`` and compared with the column ``truth``."""
+    y, p = F.col("_y"), F.col("_p")
+    both = rows.select(F.col(truth).cast("double").alias("_y"), targets(kind, model.output(), F.col(built), area)[target].alias("_p")).dropna()
+    return both.agg(F.count(F.lit(1)).alias("rows"), *(METRICS[m](y, p).alias(m) for m in metrics))
+
+
+def scores(rows: DataFrame, parts: DataFrame, model: Linear, kind: str, target: str, truth: str, key: str = "tile_key", **of) -> DataFrame:
+    """(split, rows, metrics) for the training, validation and test tiles, one scan."""
+    y, p = F.col("_y"), F.col("_p")
+    metrics = of.pop("metrics", tuple(METRICS))
+    output = targets(kind, model.output(), F.col(of.pop("built", "built")), of.pop("area", PIXEL_AREA))[target]
+    both = rows.join(parts.select(key, "split"), key).select("split", F.col(truth).cast("double").alias("_y"), output.alias("_p")).dropna()
+    return both.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), *(METRICS[m](y, p).alias(m) for m in metrics))
+
+
+def renamed(units: DataFrame, denominator: str, prefix: str = "admin_") -> DataFrame:
+    """Units with the prefix taken off their columns (but for the key), and ``built`` under the denominator's name."""
+    short = {c: c.removeprefix(prefix) for c in units.columns if c.startswith(prefix) and c != f"{prefix}id"}
+    return units.withColumnsRenamed(short).withColumnRenamed("built", denominator)
+
+
 def todo(blocks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks without a result yet."""
     return blocks.join(done.select(*keys).distinct(), keys, "left_anti")

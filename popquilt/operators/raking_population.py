@@ -91,49 +91,41 @@ def residual_population(estimates: DataFrame) -> DataFrame:
 
 
 def missing_populations(wpp: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Locations of ``wpp`` (with scalar) that ``estimates`` lacks, with their part of the region's residual."""
+    """Locations of ``wpp`` (with scalar) that ``estimates`` lacks, with their part of the region's residual.
+
+    A region without any residual in a year stops the job, for its people would be lost.
+    """
     subset = wpp.join(estimates.select("location_id").distinct(), "location_id", "left_anti").join(estimates.select("year_id").distinct(), "year_id", "left_semi")
     among = Window.partitionBy("region_id", "year_id")
     part = F.when(F.col("scalar") == 0, F.lit(0.0)).otherwise(ratio("scalar", F.sum("scalar").over(among)))
+    residual = residual_population(estimates).withColumn("_known", F.lit(True))
+    lost = F.raise_error(F.concat(F.lit("no residual population of region "), F.col("region_id"), F.lit(" in "), F.col("year_id"))).cast("double")
     return (
         subset.withColumn("_part", part)
-        .join(residual_population(estimates), ["region_id", "year_id"], "left")
-        .withColumn("population", F.col("left") * F.col("_part"))
+        .join(residual, ["region_id", "year_id"], "left")
+        .withColumn("population", F.when(F.col("_known").isNull() & F.col("region_id").isNotNull(), lost).otherwise(F.col("left") * F.col("_part")))
         .withColumns({"most_detailed": F.lit(1), "level": F.lit(3), "parent_id": F.col("region_id")})
-        .drop("left", "_part", "scalar")
+        .drop("left", "_part", "scalar", "_known")
     )
 
 
 def nearest_ancestor(locations: DataFrame, parents: DataFrame, goals: DataFrame, hops: int = 8) -> DataFrame:
     """(location_id, ancestor_id): the nearest location at or above that is among the goals.
 
-    ``parents`` has (location_id, parent_id). Every hop is a join with the parents, up to
-    ``hops`` of them, which a tree's depth bounds; locations without such an ancestor get
-    NULL. Cycles end at the last hop.
+    ``parents`` has (location_id, parent_id). Every location points at itself if it is a goal
+    and else at its parent; pointers are followed to where they point, so that each join
+    doubles the levels that are climbed, until ``hops`` are. Locations without such an
+    ancestor get NULL, and so do those whose climb goes round in a circle.
     """
     goal = goals.select(F.col("location_id").alias("_goal")).distinct()
-    parent = parents.filter("parent_id is not null").groupBy(F.col("location_id").alias("_child")).agg(F.min("parent_id").alias("_parent"))
-
-    def seek(df: DataFrame) -> DataFrame:
-        return df.join(goal, F.col("_at") == F.col("_goal"), "left").withColumn("ancestor_id", F.coalesce("ancestor_id", "_goal")).drop("_goal")
-
-    now = seek(locations.select("location_id").distinct().withColumns({"_at": F.col("location_id"), "ancestor_id": F.lit(None).cast("int")}))
-    for _ in range(hops):
-        moved = now.join(parent, F.col("_at") == F.col("_child"), "left")
-        now = seek(moved.withColumn("_at", F.when(F.col("ancestor_id").isNull(), F.col("_parent"))).drop("_child", "_parent"))
-    return now.select("location_id", "ancestor_id")
-
-
-def ancestors_sql(parents_view: str, goals_view: str) -> str:
-    """The same climb as a recursive query, for sessions that have the tables as views."""
-    return f"""
-    WITH RECURSIVE climb(location_id, at, hop) AS (
-      SELECT location_id, location_id, 0 FROM {parents_view}
-      UNION ALL
-      SELECT c.location_id, p.parent_id, c.hop + 1 FROM climb c JOIN {parents_view} p ON p.location_id = c.at
-      WHERE p.parent_id IS NOT NULL AND c.at NOT IN (SELECT location_id FROM {goals_view}) AND c.hop < 16)
-    SELECT location_id, min_by(at, hop) AS ancestor_id FROM climb
-    WHERE at IN (SELECT location_id FROM {goals_view}) GROUP BY location_id"""
+    parent = parents.filter("parent_id is not null").groupBy(F.col("location_id").alias("_at")).agg(F.min("parent_id").alias("_parent"))
+    ids = [locations.select(F.col("location_id").alias("_at")), parent.select("_at"), parent.select(F.col("_parent").alias("_at"))]
+    known = ids[0].union(ids[1]).union(ids[2]).distinct()
+    known = known.join(goal, F.col("_at") == F.col("_goal"), "left").join(parent, "_at", "left").select("_at", F.coalesce("_goal", "_parent").alias("_to"))
+    for _ in range((hops - 1).bit_length()):
+        known = known.join(known.select(F.col("_at").alias("_to"), F.col("_to").alias("_beyond")), "_to", "left").select("_at", F.col("_beyond").alias("_to"))
+    found = known.join(goal, F.col("_to") == F.col("_goal")).select(F.col("_at").alias("location_id"), F.col("_goal").alias("ancestor_id"))
+    return locations.select("location_id").distinct().join(found, "location_id", "left").select("location_id", "ancestor_id")
 
 
 def raking_population(estimates: DataFrame, wpp: DataFrame, missing: DataFrame) -> DataFrame:

@@ -10,8 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from popquilt.functions.constants import AVERAGE_NOISE, LEAST_DENSITY, LEAST_HEIGHT
 from popquilt.functions.keys import group_key
@@ -20,14 +23,19 @@ from popquilt.functions.semantics import nan_to_null, suppress_noise
 CELL = ["block_key", "row", "col"]
 
 
-def pixels(tiles: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Long view of a tile table: row and column in the block, cell centre, value; no-data is NULL."""
+def pixels(tiles: DataFrame, keep: tuple[str, ...] = (), beside: tuple[str, ...] = ()) -> DataFrame:
+    """Long view of a tile table: row and column in the block, cell centre, value; no-data is NULL.
+
+    ``beside`` names further arrays as long as ``data``, which are spread along with it.
+    """
     t = F.col("transform")  # (x0, dx, y0, dy): the upper left corner and the cell's size, dy < 0
-    long = tiles.select(*keep, "block_key", "chunk_row", "chunk_col", "height", "width", "transform", "nodata", F.posexplode("data").alias("_p", "_v"))
+    held = ("block_key", "chunk_row", "chunk_col", "height", "width", "transform", "nodata")
+    long = tiles.select(*keep, *held, F.posexplode(F.arrays_zip("data", *beside)).alias("_p", "_z"))
+    long = long.select(*keep, *held, "_p", F.col("_z.data").alias("_v"), *(F.col(f"_z.{b}").alias(b) for b in beside))
     value = nan_to_null(F.col("_v").cast("double"))
     row, col = F.col("chunk_row") * F.col("height") + F.floor(F.col("_p") / F.col("width")), F.col("chunk_col") * F.col("width") + F.col("_p") % F.col("width")
     return long.withColumns({"row": row.cast("int"), "col": col.cast("int")}).select(
-        *keep, "block_key", "row", "col",
+        *keep, *beside, "block_key", "row", "col",
         (t[0] + (F.col("col") + 0.5) * t[1]).alias("x"), (t[2] + (F.col("row") + 0.5) * t[3]).alias("y"),
         F.when(value != F.coalesce("nodata", F.lit(float("nan"))), value).alias("value"),
     )
@@ -143,6 +151,56 @@ def average_tiles(tiles: DataFrame, resolution: float, radius: float, kind: str
     return tiles.select("block_key", "height", "width", "data").mapInPandas(run, "block_key string, height int, width int, data array<float>")
 
 
+def average_with_neighbours(tiles: DataFrame, cell: float, radius: float, kind: str = "gaussian") -> DataFrame:
+    """Neighbourhood average of tiles (with their transform), across the edges of tiles and blocks.
+
+    A tile goes whole to its own group and in strips to its neighbours' as far as the kernel
+    reaches; a group holds one tile and its margin. All tiles are of one size and lie on one
+    grid. Beyond the outermost tiles it is empty. Each block's least average is taken off;
+    what is then under the threshold is 0.
+    """
+    w = kernel(cell, radius, kind)
+    r = len(w) // 2
+    part = T.StructType.fromDDL("_ty long, _tx long, _top int, _left int, _h int, _w int, height int, width int, block_key string, chunk_row int, chunk_col int, _part array<double>")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile in (row for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
+                h, n = tile["height"], tile["width"]
+                a = np.nan_to_num(np.array(tile["data"], dtype=np.float64).reshape(h, n))
+                x0, dx, y0, dy = tile["transform"]
+                ty, tx, rows = round(y0 / dy) // h, round(x0 / dx) // n, []
+                for oy in range(-(-(-r // h)) if r else 0, (-(-r // h)) + 1):
+                    for ox in range(-(-(-r // n)) if r else 0, (-(-r // n)) + 1):
+                        top, left = -oy * h + r, -ox * n + r  # of this tile in the other one's margin
+                        y, x = slice(max(0, -top), min(h, h + 2 * r - top)), slice(max(0, -left), min(n, n + 2 * r - left))
+                        if y.start >= y.stop or x.start >= x.stop:
+                            continue
+                        own = (oy, ox) == (0, 0)
+                        piece = a[y, x]
+                        rows.append((ty + oy, tx + ox, top + y.start, left + x.start, *piece.shape, h, n, *((tile[c] if own else None) for c in ("block_key", "chunk_row", "chunk_col")), piece.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), to_arrow_schema(part))], schema=to_arrow_schema(part))
+
+    out = T.StructType.fromDDL("block_key string, chunk_row int, chunk_col int, height int, width int, _mean array<double>")
+
+    def gather(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        own = [x for x in rows if x["block_key"] is not None]
+        if not own:
+            return to_arrow_schema(out).empty_table()
+        h, n = own[0]["height"], own[0]["width"]
+        wide = np.zeros((h + 2 * r, n + 2 * r))
+        for x in rows:
+            wide[x["_top"] : x["_top"] + x["_h"], x["_left"] : x["_left"] + x["_w"]] = np.reshape(x["_part"], (x["_h"], x["_w"]))
+        mean = convolve(wide, w)[r : r + h, r : r + n]
+        return pa.Table.from_pylist([{k: own[0][k] for k in ("block_key", "chunk_row", "chunk_col", "height", "width")} | {"_mean": mean.ravel()}], schema=to_arrow_schema(out))
+
+    mean = tiles.select("block_key", "chunk_row", "chunk_col", "height", "width", "transform", "data").mapInArrow(spread, part).groupBy("_ty", "_tx").applyInArrow(gather, out)
+    least = F.min(F.array_min("_mean")).over(Window.partitionBy("block_key"))
+    data = F.transform("_mean", lambda v: suppress_noise(v - F.col("_least"), AVERAGE_NOISE).cast("float"))
+    return mean.withColumn("_least", least).select("block_key", "chunk_row", "chunk_col", "height", "width", data.alias("data"))
+
+
 def with_halo(long: DataFrame, blocks: DataFrame, size: int, halo: int) -> DataFrame:
     """Pixels of each block and of its neighbours up to ``halo`` cells away, in the block's own coordinates.
 
@@ -214,19 +272,23 @@ def last_wins(labels: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ("bloc
 def fill_nearest(tiles: DataFrame, distance: int = 100) -> DataFrame:
     """Tiles whose missing cells take the nearest known cell's value, up to a distance in cells.
 
-    Tiles (block_key, height, width, data); rings of growing distance, one tile in memory.
+    Tiles have height, width and data; other columns stay. Rings of growing distance, one
+    tile in memory.
     """
+    schema = ", ".join(f"`{c}` {t}" for c, t in tiles.withColumn("data", F.col("data").cast("array<float>")).dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(data=[nearest_fill(np.array(d, dtype=np.float64).reshape(h, w), distance).astype(np.float32).ravel() for h, w, d in zip(batch["height"], batch["width"], batch["data"])])
 
-    return tiles.select("block_key", "height", "width", "data").mapInPandas(run, "block_key string, height int, width int, data array<float>")
+    return tiles.mapInPandas(run, schema)
 
 
 def nearest_fill(a: np.ndarray, distance: int) -> np.ndarray:
     """Offsets in order of distance, then row, then column; the first known value wins."""
     out, todo = a.copy(), np.isnan(a)
+    if todo.all():
+        return out
     h, w = a.shape
     d = min(distance, max(h, w))
     offsets = sorted((y * y + x * x, y, x) for y in range(-d, d + 1) for x in range(-d, d + 1) if 0 < y * y + x * x <= distance * distance)

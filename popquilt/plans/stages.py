@@ -7,12 +7,14 @@ system; a pixel's global cell is (floor(x / cell), floor(y / cell)).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popquilt.functions import projections as P
 from popquilt.functions.constants import BUILT_VERSIONS, CRS, DERIVED, UPSAMPLE
-from popquilt.functions.semantics import nan_to_null
+from popquilt.functions.semantics import nan_to_null, total
 from popquilt.operators import allocate, census, model, raster, spatial_join, timeaxis
 from popquilt.operators import geometry as G
 from popquilt.operators import rake as rk
@@ -22,15 +24,16 @@ from popquilt.sources.catalog import Catalog
 CELL = ["block_key", "row", "col"]
 #: Cells along a side of the grid in which polygons and pixels meet.
 JOIN_CELLS = 256
+NAN = float("nan")
 
 
 def cell_size(cat: Catalog) -> float:
     return float(cat.info("frame")["cell"])
 
 
-def long_view(tiles: DataFrame, cell: float, *keep: str) -> DataFrame:
+def long_view(tiles: DataFrame, cell: float, *keep: str, beside: tuple[str, ...] = ()) -> DataFrame:
     """Pixels with their global cell (gx, gy)."""
-    p = raster.pixels(tiles, keep)
+    p = raster.pixels(tiles, keep, beside)
     return p.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)})
 
 
@@ -102,7 +105,7 @@ def features(cat: Catalog, resolution: str, built_version: str, height: str | No
     """Derived measures at the version's time points, interpolated ones between, and aliases beyond."""
     v = BUILT_VERSIONS[built_version]
     cell = cell_size(cat)
-    source = {"density": v.name, "height": v.name if "height" in v.measures else height or "ghsl_r2023a", "proportion_residential": "ghsl_r2023a"}
+    source = {"density": v.name, "height": v.name if v.has_height else height or "ghsl_r2023a", "proportion_residential": "ghsl_r2023a"}
     at = list(v.time_points)
 
     def band(name: str) -> DataFrame:
@@ -125,20 +128,22 @@ def features(cat: Catalog, resolution: str, built_version: str, height: str | No
             cat.link(resolution, f"{v.name}_{m}", row["time_point"], f"{v.name}_{m}", row["copy_of"])
 
 
-def night_lights(cat: Catalog, resolution: str, time_points: list[str]) -> None:
-    """Night lights of each time point's nearest year."""
+def night_lights(cat: Catalog, resolution: str, time_points: list[str], distance: int = 100) -> None:
+    """Night lights of each time point's nearest year; missing cells take the nearest light within ``distance`` cells, else none."""
     for t in time_points:
         tiles = cat.night_lights(resolution, int(t[:4]))
+        absent = lambda v: F.when(F.isnan(v) | (v == F.coalesce("nodata", F.lit(NAN))), F.lit(NAN)).otherwise(F.coalesce(v, F.lit(NAN)))
+        tiles = raster.fill_nearest(tiles.withColumn("data", F.transform("data", lambda v: absent(v.cast("double")))), distance)
         light = raster.night_lights(long_view(tiles, cell_size(cat)).select(*CELL, "value")).select(*CELL, "value")
         cat.write(as_tiles(light, tiles), "features", resolution=resolution, feature="nighttime_lights", time_point=t)
 
 
 def averages(cat: Catalog, resolution: str, feature: str, time_point: str, radii: list[float], kind: str = "gaussian") -> None:
-    """Neighbourhood averages of a feature; a block must be one chunk, and its edge counts as empty beyond."""
+    """Neighbourhood averages of a feature, across the edges of blocks."""
     tiles = cat.feature(resolution, feature, time_point)
     place = tiles.select("block_key", "chunk_row", "chunk_col", "transform", "crs", "nodata")
     for r in radii:
-        made = raster.average_tiles(tiles, cell_size(cat), r, kind).join(place, "block_key")
+        made = raster.average_with_neighbours(tiles, cell_size(cat), r, kind).join(place, ["block_key", "chunk_row", "chunk_col"])
         cat.write(made, "features", resolution=resolution, feature=f"{feature}_{r:g}m", time_point=time_point)
 
 
@@ -173,18 +178,26 @@ def training_data(cat: Catalog, resolution: str, time_point: str, denominators:
 
 
 def train(cat: Catalog, spec: model.Specification) -> model.Linear:
-    """Fits on the units of the split's training tiles and keeps model and specification."""
+    """Fits on the units of the split's training tiles; keeps model, specification, and the scores of all three parts.
+
+    Scores compare the output with the model's target, and people with counted people.
+    """
     frame = cat.read("modeling_frame", resolution=spec.resolution).select("tile_key", F.col(f"split_{spec.split}").alias("split"))
     units = cat.read("people_per_structure_summary", resolution=spec.resolution).filter(F.col("denominator") == spec.denominator)
-    rows = allocate.training_units(units, frame.filter("split = 'train'"))
+    rows = allocate.training_units(units, frame)
     time_point = cat.read("people_per_structure", ["time_point"], resolution=spec.resolution).agg(F.max("time_point")).first()[0]
     for f in spec.features:
         values = long_view(cat.feature(spec.resolution, f, time_point), cell_size(cat)).select("gx", "gy", "value")
         weights = cat.read("pixel_area_weights", resolution=spec.resolution).withColumns({"gy": F.split("pixel_id", "_")[0].cast("long"), "gx": F.split("pixel_id", "_")[1].cast("long")})
         means = weights.join(values, ["gx", "gy"]).groupBy("admin_id").agg(F.sum(F.col("value") * F.col("weight")).alias(f))
         rows = rows.join(means, "admin_id")
-    fitted = model.fit_least_absolute(rows, spec.target, list(spec.features))
+    fitted = model.fit_least_absolute(model.part(rows, frame, "train"), spec.target, list(spec.features))
     cat.write_model(fitted, spec.resolution, spec.version)
+    kind = spec.target.removeprefix("admin_")
+    found = [model.scores(rows, frame, fitted, kind, kind, spec.target, built=spec.target).withColumn("target", F.lit(kind))]
+    if {"admin_built", "admin_population"} <= set(rows.columns):
+        found.append(model.scores(rows, frame, fitted, kind, "population", "admin_population", built="admin_built", area=1.0).withColumn("target", F.lit("population")))
+    cat.write(reduce(DataFrame.unionByName, found), "model_scores", resolution=spec.resolution, version=spec.version)
     cat.write_specification(spec)
     return fitted
 
@@ -207,11 +220,24 @@ def inference(cat: Catalog, resolution: str, version: str, time_points: list[str
 
 
 def _labelled(cat: Catalog, resolution: str, version: str, time_point: str, raking_version: str) -> DataFrame:
-    """Predicted pixels with the last location that covers them."""
+    """Predicted pixels with the last location that covers them, from the label raster."""
+    tiles, place = cat.raw_predictions(resolution, version, time_point), ["block_key", "chunk_row", "chunk_col"]
+    label_raster(cat, tiles, resolution, raking_version)
+    labels = cat.read("label_rasters", resolution=resolution, raking_version=raking_version).select(*place, F.col("data").alias("location_id"))
+    pixels = long_view(tiles.join(labels, place, "left"), cell_size(cat), beside=("location_id",))
+    return pixels.select(*CELL, "x", "y", "value", F.col("location_id").cast("int").alias("location_id"))
+
+
+def label_raster(cat: Catalog, tiles: DataFrame, resolution: str, raking_version: str) -> None:
+    """Writes the locations of the tiles' pixels, once for each block: they do not depend on the time point."""
+    todo = cat.unfinished(tiles, "label_rasters", ["block_key"], resolution=resolution, raking_version=raking_version)
+    if todo.isEmpty():
+        return
     cell = cell_size(cat)
     shapes = cat.read("raking_shapes", version=raking_version).select("location_id", "geometry", "minx", "miny", "maxx", "maxy", F.col("location_id").alias("ordinal"))
-    pixels = long_view(cat.raw_predictions(resolution, version, time_point), cell).select(*CELL, "x", "y", "value")
-    return spatial_join.labelled(pixels, shapes, cell * JOIN_CELLS, CELL, "ordinal", "location_id")
+    placed = spatial_join.labelled(long_view(todo, cell).select(*CELL, "x", "y"), shapes, cell * JOIN_CELLS, CELL, "ordinal", "location_id")
+    made = as_tiles(placed.select(*CELL, F.col("location_id").cast("double").alias("value")), todo)
+    cat.append(made, "label_rasters", resolution=resolution, raking_version=raking_version)
 
 
 def raking_factors(cat: Catalog, resolution: str, version: str, time_points: list[str], raking_version: str = "primary", last_year: int | None = None) -> None:
@@ -223,7 +249,8 @@ def raking_factors(cat: Catalog, resolution: str, version: str, time_points: lis
         if not row["available"]:
             raise ValueError(f"{row['time_point']}: {row['source']} was not predicted")
         pixels = _labelled(cat, resolution, version, row["source"], raking_version)
-        found = rk.by_block(rk.factors(pixels, targets.filter(F.col("time_point") == row["time_point"]).drop("time_point")), pixels.filter("location_id is not null"))
+        sums = pixels.filter("location_id is not null").groupBy("block_key", "location_id").agg(total("value").alias("value"))
+        found = rk.by_block(rk.factors(sums, targets.filter(F.col("time_point") == row["time_point"]).drop("time_point")), sums)
         cat.write(found, "raking_factors", resolution=resolution, version=version, time_point=row["time_point"])
 
 

@@ -1,9 +1,29 @@
-"""A session with the settings that the operators expect."""
+"""A session with the settings that the operators expect, and the package for its workers."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends the package to the session's Python workers, once for each application, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        at = f"{tempfile.mkdtemp(prefix='popquilt-')}/popquilt.zip"  # read by the driver's file server only
+        with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(PACKAGE.rglob("*.py")):
+                z.write(f, f.relative_to(PACKAGE.parent))
+        sc.addPyFile(at)
+        _shipped.add(sc.applicationId)
+    return spark
+
 
 def session(name: str = "popquilt", master: str | None = None, **conf: str) -> SparkSession:
     """Adaptive execution with skew joins, UTC and dynamic partition overwrite; ``conf`` adds or replaces settings (``_`` for ``.``)."""
@@ -16,7 +36,8 @@ def session(name: str = "popquilt", master: str | None = None, **conf: str) -> S
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.parquet.compression.codec": "zstd",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("_", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())

@@ -12,7 +12,7 @@ import json
 from dataclasses import asdict
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popquilt.functions.constants import NIGHT_LIGHT_YEARS, RESOLUTIONS
@@ -48,6 +48,8 @@ TABLES: dict[str, tuple[str, ...]] = {
     "models": ("resolution", "version"),
     "specifications": ("resolution", "version"),
     "raw_predictions": ("resolution", "version", "time_point"),
+    "model_scores": ("resolution", "version"),
+    "label_rasters": ("resolution", "raking_version"),
     "raking_factors": ("resolution", "version", "time_point"),
     "raked_predictions": ("resolution", "version", "time_point"),
     "compiled_predictions": ("resolution", "version", "spec", "time_point"),
@@ -250,7 +252,3 @@ class Catalog:
 
 def version_of(version: str) -> int:
     return int(version.rsplit(".", 1)[1])
-
-
-def bounded(x0: float, y0: float, x1: float, y1: float) -> Column:
-    return meets_bounds(x0, y0, x1, y1)

@@ -12,11 +12,6 @@ def running_sums(pixels: DataFrame, by: list[str], value: str = "value") -> Data
     return pixels.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.sum(value).alias(value), F.count(F.lit(1)).alias("pixels"))
 
 
-def windowed_sums(pixels: DataFrame, by: list[str], time: str, window: str, late: str, value: str = "value") -> DataFrame:
-    """Sums by zone and time window; rows later than the watermark are dropped, and finished windows leave the state."""
-    return pixels.withWatermark(time, late).groupBy(F.window(time, window), *by).agg(F.sum(value).alias(value)).select("window.start", "window.end", *by, value)
-
-
 def start(sums: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Writes each batch's changed zones as a Parquet folder of its own, then stops at the input's end."""
 
