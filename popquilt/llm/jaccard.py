@@ -27,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ FRAGMENTS = 4
 BLOCK, LEAST_WEIGHT = 1 << 20, 512
 #: Runs of up to this many documents that share an n-gram are counted pair by pair, longer ones by matrix product.
 SHORT_RUN = 24
+#: Places of a table of marks, as a power of two: 2 MB of bits.
+MARK_BITS = 24
 #: N-grams that the sketch gathers before it adds them.
 CHUNK = 1 << 20
 
@@ -169,25 +172,71 @@ def _prefixes(width: int, least: int, bits: int, levels):
     return run
 
 
-def _sets_of_units(width: int):
+def marks(ids: DataFrame, bits: int = MARK_BITS) -> np.ndarray:
+    """A table of fixed size with a mark for the hash of every id of a one-column table.
+
+    Who finds no mark is not among the ids; who finds one may be, and an exact join follows.
+    Where the ids are many more than the table's places, it lets all through to the join.
+    """
+    step = min(PIECE, 1 << bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("unit", pa.string()), ("side", pa.int32())]))
+        own = np.zeros(1 << bits, np.uint8)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                rows = []
-                for doc_id, own, units in zip(part.column(0).to_pylist(), ngram_sets(part.column(1), width), part.column(2).to_pylist()):
-                    for x in units:
-                        if x["n"] == len(own):
-                            rows.append((doc_id, own.tobytes(), x["units"]))
-                cols = list(zip(*rows)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), kind))], names=["doc_id", "grams", "units"]
-                )
+            own[_places(batch.column(0), bits)] = 1
+        for k in range(len(own) // step):
+            if (part := own[k * step : (k + 1) * step]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(part).tobytes(), 1)], pa.binary())], names=["piece", "blob"])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(step // 8, np.uint8)
+        for batch in batches:
+            for blob in batch.column("blob"):
+                total |= np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["piece", "blob"])
+
+    found = np.zeros((1 << bits) // 8, np.uint8)
+    pieces = ids.filter(F.col(ids.columns[0]).isNotNull()).mapInArrow(run, "piece int, blob binary").groupBy("piece").applyInArrow(add, "piece int, blob binary")
+    for row in pieces.collect():  # at most (1 << bits) / PIECE rows
+        found[row["piece"] * step // 8 : (row["piece"] + 1) * step // 8] = np.frombuffer(zlib.decompress(row["blob"]), np.uint8)
+    return found
+
+
+def _places(ids: pa.Array, bits: int) -> np.ndarray:
+    return (splitmix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def marked(ids: pa.Array, found: np.ndarray) -> np.ndarray:
+    """Which ids find a mark; null finds none."""
+    at = _places(ids, (8 * len(found)).bit_length() - 1)
+    return (found[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _sets(width: int, wanted):
+    """(doc_id, n, grams) of the texts whose doc_id is marked; of equal sets of one doc_id in a task, one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            batch = batch.filter(pa.array(marked(batch.column(0), wanted.value)))
+            rows = []
+            for doc_id, own in zip(batch.column(0).to_pylist(), ngram_sets(batch.column(1), width)):
+                if len(own) and (d := (doc_id, digest_of(own))) not in seen:
+                    seen.add(d)
+                    rows.append((doc_id, len(own), own.tobytes()))
+                if len(rows) >= 200:
+                    yield _set_rows(rows)
+                    rows = []
+            yield _set_rows(rows)
 
     return run
 
 
+def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n", "grams"])
+
+
 def overlaps(sets: list[np.ndarray], first: int | None) -> np.ndarray:
     """Intersection sizes of all pairs (first None), or of the first ``first`` sets with the others.
 
@@ -281,7 +330,7 @@ def _compare(least: int):
 
 
 def work_units(sets: DataFrame, clusters: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
-    """(doc_id, units): for each set size of the document, the units in which it is compared.
+    """(doc_id, n, units): for each set size of a document, the units in which it is compared.
 
     A cluster of up to ``block`` is one unit. A heavier one is cut by classes of set size
     (sets that link are in equal or neighbouring classes) and each class by salt; every two
@@ -312,12 +361,11 @@ def work_units(sets: DataFrame, clusters: DataFrame, least: int, block: int = BL
     above = each("s_up", lambda j: ("cluster", c, "i", c + 1, j), lambda j: F.lit(0))
     below = each("s_down", lambda j: ("cluster", c - 1, j, c, "i"), lambda j: F.lit(1))
     alone = F.array(F.struct(F.col("cluster").cast("string").alias("unit"), F.lit(2).alias("side")))
-    units = (
+    return (
         member.join(salts, ["cluster", "class"], "left")
         .withColumn("i", i)
         .select("doc_id", "n", F.when(F.col("s").isNull(), alone).otherwise(F.concat(own, above, below)).alias("units"))
     )
-    return units.groupBy("doc_id").agg(F.collect_list(F.struct("n", "units")).alias("units"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_bits: int = 24) -> DataFrame:
@@ -346,9 +394,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_
     clusters = components(chained)
 
     member = work_units(sets, clusters, least).checkpoint()
+    wanted = spark.sparkContext.broadcast(marks(member.select("doc_id")))
     compared = (
-        texts.join(member, "doc_id")
-        .mapInArrow(_sets_of_units(width), "doc_id long, grams binary, units array<struct<unit:string,side:int>>")
+        texts.mapInArrow(_sets(width, wanted), "doc_id long, n long, grams binary")
+        .join(member, ["doc_id", "n"])
         .select("doc_id", "grams", F.explode("units").alias("u"))
         .select("u.unit", "u.side", "doc_id", "grams")
         .repartition("unit")
@@ -372,16 +421,25 @@ def one_of_each(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
     Rows without words link with nothing and all stay. Ties go by the hash, so that a task
     that is run again keeps the same row.
     """
-    key, nth = fresh("key", docs.columns), fresh("nth", docs.columns)
+    key, group, won, nth = (fresh(c, docs.columns) for c in ("key", "group", "won", "nth"))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    found = jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), width, least).filter("n_shingles > 0").distinct()
-    named = keyed.select(F.col(key).alias("_key"), "doc_id").groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
-    member = found.select(F.col("doc_id").alias("_key"), "component_id").join(named, "_key")
-    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")).alias("first"))
-    kept = first.select(F.col("first._key").alias(key))
-    words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = keyed.filter(words).join(kept, key, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
-    return one.filter(F.col(nth) == 1).select(*docs.columns).unionByName(docs.filter(~words))
+    found = jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), width, least).filter("n_shingles > 0")
+    found = found.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("rows"))
+    several = found.filter((F.col("doc_id") != F.col("component_id")) | (F.col("rows") > 1)).select("component_id").distinct()
+    member = found.join(several, "component_id", "left_semi").select(F.col("doc_id").alias(key), F.col("component_id").alias(group)).checkpoint()
+    held = docs.sparkSession.sparkContext.broadcast(marks(member.select(key)))
+
+    @F.pandas_udf("boolean")
+    def is_marked(keys):
+        return pd.Series(marked(pa.array(keys, pa.int64()), held.value))
+
+    # Rows that no member's mark meets are alone in their component and stay where they are; the others meet their component.
+    doubtful = is_marked(key) & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    first = keyed.filter(doubtful).select(key, "doc_id").join(member, key).groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)).alias("first"))
+    first = first.select(F.col(f"first.{key}").alias(key), F.lit(True).alias(won))
+    met = keyed.filter(doubtful).join(member, key, "left").join(first, key, "left").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    kept = met.filter(F.col(group).isNull() | (F.col(won) & (F.col(nth) == 1)))
+    return kept.select(*docs.columns).unionByName(keyed.filter(~doubtful).select(*docs.columns))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ what the labels mean. Texts are scanned twice and never shuffled.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -233,7 +234,7 @@ def _evidence(share: float):
             for p in patterns:
                 counts[p] = counts.get(p, 0) + 1
             drawn = np.flatnonzero(part.column(1).to_numpy() < share)
-            yield rows([patterns[k] for k in drawn], [0] * len(drawn), [x[k].astype(np.float16).tobytes() for k in drawn])
+            yield rows([patterns[k] for k in drawn], [0] * len(drawn), [zlib.compress(x[k].astype(np.float16).tobytes(), 1) for k in drawn])
         yield rows(list(counts), list(counts.values()), [None] * len(counts))
 
     return run
@@ -249,7 +250,7 @@ def fit(docs: DataFrame, sample: int = 3000) -> tuple[LabelModel, Scorer]:
     rows = [(r["votes"], bytes(r["x"])) for r in seen if r["x"] is not None][: 2 * sample]
     if not rows:
         return model, Scorer(np.zeros(DIMENSIONS, np.float32), 0.0)
-    x = np.frombuffer(b"".join(b for _, b in rows), np.float16).reshape(-1, DIMENSIONS)
+    x = np.frombuffer(b"".join(zlib.decompress(b) for _, b in rows), np.float16).reshape(-1, DIMENSIONS)
     return model, fit_scorer(x, np.array([model.posterior(p) for p, _ in rows]))
 
 
