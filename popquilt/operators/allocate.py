@@ -79,6 +79,11 @@ def one_per_admin(allocated: DataFrame, order: str = "pixel_id") -> DataFrame:
     return allocated.groupBy("admin_id", "denominator").agg(*(first_by(x, F.struct("tile_key", order)).alias(x) for x in columns))
 
 
+def with_geometry(units: DataFrame, shapes: DataFrame, key: str = "admin_id") -> DataFrame:
+    """Units with the geometry of the shape that has their key, added again after an aggregation; one without a shape keeps NULL."""
+    return units.join(shapes.select(key, "geometry"), key, "left")
+
+
 def pixel_weights(allocated: DataFrame) -> DataFrame:
     """(admin_id, tile_key, pixel_id, weight), one row a pair."""
     return allocated.groupBy("admin_id", "tile_key", "pixel_id").agg(F.min("admin_area_weight").alias("weight"))

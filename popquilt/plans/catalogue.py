@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from popquilt.operators import allocate, census, model, rake, raster, spatial_jo
 from popquilt.operators import geometry as G
 from popquilt.operators import raking_population as R
 from popquilt.plans import inputs as I
+from popquilt.session import shared_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,7 +27,7 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = wraps(f)(lambda spark, sf: f(ship(spark), sf))
         if sql is not None:
             ORACLES[f.__name__] = sql
         return f
@@ -54,15 +56,16 @@ def rake_to_target(spark, sf):
     )
 
 
-@query("""WITH c AS (SELECT c_nationkey AS location_id, c_custkey % 10 AS b, sum(c_acctbal) AS v FROM customer WHERE c_nationkey < 20 GROUP BY 1, 2),
-t AS (SELECT s_nationkey AS location_id, sum(s_acctbal) AS population FROM supplier WHERE s_nationkey > 3 GROUP BY 1),
+@query("""WITH c AS (SELECT c_nationkey + CASE WHEN c_nationkey < 20 THEN 0 ELSE 100 END AS location_id, c_custkey % 10 AS b, sum(c_acctbal) AS v FROM customer GROUP BY 1, 2),
+t AS (SELECT s_nationkey + CASE WHEN s_nationkey > 3 THEN 0 ELSE 200 END AS location_id, sum(s_acctbal) AS population FROM supplier GROUP BY 1),
 f AS (SELECT location_id, r.raw_pop, t.population AS true_pop FROM (SELECT location_id, sum(v) AS raw_pop FROM c GROUP BY 1) r FULL JOIN t USING (location_id))
 SELECT 'B-000' || b || 'X-0000Y' AS block_key, location_id, round(raw_pop, 2) AS raw_pop, round(true_pop, 2) AS true_pop, round(true_pop / nullif(raw_pop, 0), 6) AS raking_factor
 FROM (SELECT DISTINCT b, location_id FROM c) JOIN f USING (location_id)""")
 def raking_factors_by_block(spark, sf):
-    c = I.table(spark, sf, "customer").filter("c_nationkey < 20")
-    pixels = c.select(F.col("c_nationkey").alias("location_id"), K.block_key(F.col("c_custkey") % 10, F.lit(0)).alias("block_key"), F.col("c_acctbal").alias("value"))
-    t = I.table(spark, sf, "supplier").filter("s_nationkey > 3").groupBy(F.col("s_nationkey").alias("location_id")).agg(F.sum("s_acctbal").alias("population"))
+    apart = lambda c, near, by: F.col(c) + F.when(near, 0).otherwise(by)
+    c = I.table(spark, sf, "customer")
+    pixels = c.select(apart("c_nationkey", F.col("c_nationkey") < 20, 100).alias("location_id"), K.block_key(F.col("c_custkey") % 10, F.lit(0)).alias("block_key"), F.col("c_acctbal").alias("value"))
+    t = I.table(spark, sf, "supplier").groupBy(apart("s_nationkey", F.col("s_nationkey") > 3, 200).alias("location_id")).agg(F.sum("s_acctbal").alias("population"))
     f = rake.by_block(rake.factors(pixels, t), pixels)
     return f.select("block_key", "location_id", F.round("raw_pop", 2).alias("raw_pop"), F.round("true_pop", 2).alias("true_pop"), F.round("raking_factor", 6).alias("raking_factor"))
 
@@ -133,22 +136,24 @@ def hierarchy_climb(spark, sf):
     return R.nearest_ancestor(n.select(F.col("n_nationkey").alias("location_id")), parents, goals).select("location_id", F.col("ancestor_id").cast("int").alias("ancestor_id"))
 
 
-@query(f"""WITH {I.SERIES}, {I.ESTIMATES}, forecast AS (SELECT location_id, year_id, 2 * population AS population, 7 AS level FROM series WHERE year_id = 2002 AND location_id < 18),
+@query(f"""WITH {I.SERIES}, {I.ESTIMATES}, forecast AS (SELECT location_id + CASE WHEN location_id < 18 THEN 0 ELSE 100 END AS location_id, year_id, 2 * population AS population, 7 AS level FROM series WHERE year_id = 2002),
 kept AS (SELECT * FROM estimates WHERE parent_id <> 101)
 SELECT location_id, year_id, round(population, 2) AS population, 7 AS level FROM kept WHERE year_id <> 2002 AND location_id IN (SELECT location_id FROM forecast)
 UNION ALL SELECT location_id, year_id, round(population, 2), level FROM forecast""")
 def forecast_series(spark, sf):
-    s = I.named(I.series(spark, sf).filter("year_id = 2002 and location_id < 18"))
+    moved = F.col("location_id") + F.when(F.col("location_id") < 18, 0).otherwise(100)
+    s = I.named(I.series(spark, sf).filter("year_id = 2002").withColumn("location_id", moved))
     forecast = s.withColumns({"population": 2 * F.col("population"), "level": F.lit(7), "most_detailed": F.lit(1), "parent_id": F.col("region_id")})
     drop = spark.createDataFrame([(101,)], "location_id int")
     return R.prepare_series(I.estimates(spark, sf), drop, forecast).select("location_id", "year_id", F.round("population", 2).alias("population"), "level")
 
 
-@query("""SELECT DISTINCT c_nationkey AS location_id, 'shape' AS missing FROM customer WHERE c_nationkey % 3 <> 0 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 4 <> 1)
-UNION ALL SELECT DISTINCT s_nationkey, 'population' FROM supplier WHERE s_nationkey % 4 <> 1 AND s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey % 3 <> 0)""")
+@query("""WITH c AS (SELECT DISTINCT c_nationkey + CASE WHEN c_nationkey % 3 = 0 THEN 100 ELSE 0 END AS id FROM customer), s AS (SELECT DISTINCT s_nationkey + CASE WHEN s_nationkey % 4 = 1 THEN 200 ELSE 0 END AS id FROM supplier)
+SELECT id AS location_id, 'shape' AS missing FROM c WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT id, 'population' FROM s WHERE id NOT IN (SELECT id FROM c)""")
 def set_checks(spark, sf):
-    p = I.table(spark, sf, "customer").filter("c_nationkey % 3 <> 0").select(F.col("c_nationkey").alias("location_id"))
-    return R.unmatched(p, I.table(spark, sf, "supplier").filter("s_nationkey % 4 <> 1").select(F.col("s_nationkey").alias("location_id")))
+    c, s = F.col("c_nationkey"), F.col("s_nationkey")
+    p = I.table(spark, sf, "customer").select((c + F.when(c % 3 == 0, 100).otherwise(0)).alias("location_id"))
+    return R.unmatched(p, I.table(spark, sf, "supplier").select((s + F.when(s % 4 == 1, 200).otherwise(0)).alias("location_id")))
 
 
 @query("""SELECT n_nationkey AS location_id, CASE WHEN n_nationkey % 6 = 0 THEN 77 WHEN n_nationkey % 2 = 0 THEN 100 + n_regionkey ELSE n_regionkey END AS region_id FROM nation""")
@@ -214,22 +219,12 @@ def time_weights(spark, sf):
     return timeaxis.weights(wanted, known, ["version"]).select("version", "time_point", "t_from", "t_to", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""WITH {I.RASTER}, s AS (SELECT vec_id % 3 AS k, vec_id // 3 AS g, "row", col, value FROM raster WHERE vec_id % 3 < 2)
-SELECT g AS cell_group, a."row", a.col, t AS time_point, round(CASE WHEN x < 0.01 THEN 0 ELSE x END, 5) AS value FROM (
-  SELECT g, a."row", a.col, t, CASE WHEN w = 1 THEN a.value ELSE a.value * w + b.value * (1 - w) END AS x
-  FROM s a JOIN s b USING (g, "row", col) CROSS JOIN (VALUES ('2000q1', 1.0::double), ('2002q3', 0.5::double), ('2003q4', 0.25::double)) v(t, w) WHERE a.k = 0 AND b.k = 1) a""")
-def raster_interpolation(spark, sf):
-    r = I.raster(spark, sf).filter("vec_id % 3 < 2")
-    values = r.select(F.floor(F.col("vec_id") / 3).alias("cell_group"), "row", "col", F.when(F.col("vec_id") % 3 == 0, "2000q1").otherwise("2005q1").alias("time_point"), "value")
-    return _interpolated(spark, values)
-
-
 @query(f"""WITH {I.RASTER}
 SELECT cell_group, "row", col, t AS time_point, round(CASE WHEN x < 0.01 THEN 0 ELSE x END, 5) AS value FROM (
   SELECT a.vec_id AS cell_group, a."row", a.col, t, CASE WHEN w = 1 THEN a.value ELSE a.value * w + b.value * (1 - w) END AS x
   FROM raster a JOIN raster b ON b.vec_id = a.vec_id + 1 AND b."row" = a."row" AND b.col = a.col
   CROSS JOIN (VALUES ('2000q1', 1.0::double), ('2002q3', 0.5::double), ('2003q4', 0.25::double)) v(t, w))""")
-def raster_interpolation_all(spark, sf):
+def raster_interpolation(spark, sf):
     # Each tile is the start of its own group and the end of the one before it.
     ends = F.array(F.struct(F.col("vec_id").alias("cell_group"), F.lit("2000q1").alias("time_point")), F.struct((F.col("vec_id") - 1).alias("cell_group"), F.lit("2005q1").alias("time_point")))
     values = I.raster(spark, sf).select(F.explode(ends).alias("e"), "row", "col", "value").select("e.cell_group", "row", "col", "e.time_point", "value")
@@ -285,18 +280,9 @@ def admin_one_row(spark, sf):
     return one.select("admin_id", F.round("admin_population", 2).alias("admin_population"), F.round("admin_built", 4).alias("admin_built"), "admin_multi_tile", F.round("admin_area_weight", 6).alias("admin_area_weight"))
 
 
-@query(f"""WITH {_ALLOCATED}, f AS (SELECT tile_key, pixel_id, min(pixel_population) AS v FROM q GROUP BY 1, 2), t AS (SELECT DISTINCT tile_key FROM q WHERE tile_key < 3)
-SELECT tile_key, k AS pixel_id, round(coalesce(v, 0), 4) AS pixel_population FROM (SELECT tile_key, unnest(range(0, 500)) AS k FROM t) g LEFT JOIN f USING (tile_key) WHERE f.pixel_id = k OR k NOT IN (SELECT pixel_id FROM f x WHERE x.tile_key = g.tile_key) GROUP BY ALL
-HAVING true""".replace("LEFT JOIN f USING (tile_key) WHERE f.pixel_id = k OR k NOT IN (SELECT pixel_id FROM f x WHERE x.tile_key = g.tile_key) GROUP BY ALL\nHAVING true", "LEFT JOIN f ON f.tile_key = g.tile_key AND f.pixel_id = k").replace("SELECT tile_key, k", "SELECT g.tile_key, k"))
-def pixel_densify(spark, sf):
-    a = allocate.allocate(I.intersections(spark, sf))
-    tiles = a.filter("tile_key < 3").select("tile_key").distinct().withColumn("n_pixels", F.lit(500))
-    return rounded(allocate.densify(a, tiles, "pixel_population").withColumn("pixel_id", F.col("pixel_id").cast("long")))
-
-
 @query(f"""WITH {_ALLOCATED}, f AS (SELECT tile_key, pixel_id, min(pixel_population) AS v FROM q GROUP BY 1, 2), t AS (SELECT DISTINCT tile_key FROM q), n AS (SELECT max(p_partkey) + 1 AS n FROM part)
 SELECT g.tile_key, k AS pixel_id, round(coalesce(v, 0), 4) AS pixel_population FROM (SELECT tile_key, unnest(range(0, n)) AS k FROM t, n) g LEFT JOIN f ON f.tile_key = g.tile_key AND f.pixel_id = k""")
-def pixel_densify_all(spark, sf):
+def pixel_densify(spark, sf):
     a = allocate.allocate(I.intersections(spark, sf))
     n = I.table(spark, sf, "part").agg((F.max("p_partkey") + 1).alias("n_pixels"))
     tiles = a.select("tile_key").distinct().crossJoin(F.broadcast(n))  # one row
@@ -429,19 +415,11 @@ def merge_layers(spark, sf):
     return out.select(F.col("block_key").cast("long").alias("vec_id"), "row", "col", "value")
 
 
-@query(f"""WITH {I.RASTER}, k AS (SELECT * FROM raster WHERE vec_id % 10 = 0), h AS (SELECT * FROM k WHERE value >= 0.2),
-x AS (SELECT k.vec_id, k."row", k.col, k.value, arg_min(h.value, ((h."row" - k."row") ** 2 + (h.col - k.col) ** 2, h."row" - k."row", h.col - k.col)) AS near_ FROM k LEFT JOIN h
-  ON h.vec_id = k.vec_id AND (h."row" - k."row") ** 2 + (h.col - k.col) ** 2 <= 16 GROUP BY ALL)
-SELECT vec_id, "row", col, round(CASE WHEN value >= 0.2 THEN value ELSE near_ END, 3) AS value FROM x""")
-def nearest_gap_fill(spark, sf):
-    return _gap_fill(I.table(spark, sf, "embeddings").filter("vec_id % 10 = 0"))
-
-
 @query(f"""WITH {I.RASTER}, h AS (SELECT * FROM raster WHERE value >= 0.2),
 x AS (SELECT k.vec_id, k."row", k.col, k.value, arg_min(h.value, ((h."row" - k."row") ** 2 + (h.col - k.col) ** 2, h."row" - k."row", h.col - k.col)) AS near_ FROM raster k LEFT JOIN h
   ON h.vec_id = k.vec_id AND (h."row" - k."row") ** 2 + (h.col - k.col) ** 2 <= 16 GROUP BY ALL)
 SELECT vec_id, "row", col, round(CASE WHEN value >= 0.2 THEN value ELSE near_ END, 3) AS value FROM x""")
-def nearest_gap_fill_all(spark, sf):
+def nearest_gap_fill(spark, sf):
     return _gap_fill(I.table(spark, sf, "embeddings"))
 
 
@@ -465,18 +443,11 @@ def chunked_tiles(spark, sf):
     return t.select(F.col("block_key").cast("long").alias("vec_id"), "chunk_row", "chunk_col", F.round(total, 3).alias("total"), F.round(F.element_at("data", 6).cast("double"), 3).alias("sixth"))
 
 
-@query(f"""WITH {I.RASTER}, b AS (SELECT DISTINCT vec_id, vec_id % 5 AS bx, vec_id // 5 AS "by" FROM raster WHERE vec_id < 25),
-g AS (SELECT bx * 8 + col AS gx, "by" * 8 + "row" AS gy, value FROM raster JOIN b USING (vec_id))
-SELECT vec_id, CAST(gy - "by" * 8 AS INT) AS "row", CAST(gx - bx * 8 AS INT) AS col, value FROM b JOIN g ON gx BETWEEN bx * 8 - 2 AND bx * 8 + 9 AND gy BETWEEN "by" * 8 - 2 AND "by" * 8 + 9""")
-def block_halo(spark, sf):
-    return _halo(I.raster(spark, sf).filter("vec_id < 25"))
-
-
 @query(f"""WITH {I.RASTER}, b AS (SELECT DISTINCT vec_id, vec_id % 5 AS bx, vec_id // 5 AS "by" FROM raster),
 near_ AS (SELECT b.vec_id, n.vec_id AS other, (n.bx - b.bx) * 8 AS dx, (n."by" - b."by") * 8 AS dy
   FROM b CROSS JOIN (VALUES (-1), (0), (1)) x(i) CROSS JOIN (VALUES (-1), (0), (1)) y(j) JOIN b n ON n.bx = b.bx + i AND n."by" = b."by" + j)
 SELECT near_.vec_id, CAST("row" + dy AS INT) AS "row", CAST(col + dx AS INT) AS col, value FROM near_ JOIN raster r ON r.vec_id = other WHERE col + dx BETWEEN -2 AND 9 AND "row" + dy BETWEEN -2 AND 9""")
-def block_halo_all(spark, sf):
+def block_halo(spark, sf):
     return _halo(I.raster(spark, sf))
 
 
@@ -522,15 +493,9 @@ def tiles_near_shapes(spark, sf):
     return spatial_join.pairs(I.shapes(spark, boxes=True), tiles, 50.0, 3.0).select("shape_id", "box_id")
 
 
-@query("""WITH t AS (SELECT vec_id % 25 AS x, vec_id // 25 AS y FROM embeddings WHERE vec_id < 500), b AS (SELECT x // 5 AS bx, y // 5 AS "by", min(x) * 10.0 AS x0, max(x) * 10.0 + 10 AS x1, min(y) * 10.0 AS y0, max(y) * 10.0 + 10 AS y1 FROM t GROUP BY 1, 2)
-SELECT a.bx || '_' || a."by" AS block_key, n.bx || '_' || n."by" AS neighbour FROM b a JOIN b n ON greatest(n.x0 - a.x1, a.x0 - n.x1, 0) ** 2 + greatest(n.y0 - a.y1, a.y0 - n.y1, 0) ** 2 <= 625""")
-def block_neighbours(spark, sf):
-    return _neighbours(I.table(spark, sf, "embeddings").filter("vec_id < 500"))
-
-
 @query("""WITH t AS (SELECT vec_id % 25 AS x, vec_id // 25 AS y FROM embeddings), b AS (SELECT x // 5 AS bx, y // 5 AS "by", min(x) * 10.0 AS x0, max(x) * 10.0 + 10 AS x1, min(y) * 10.0 AS y0, max(y) * 10.0 + 10 AS y1 FROM t GROUP BY 1, 2)
 SELECT a.bx || '_' || a."by" AS block_key, n.bx || '_' || n."by" AS neighbour FROM b a JOIN b n ON greatest(n.x0 - a.x1, a.x0 - n.x1, 0) ** 2 + greatest(n.y0 - a.y1, a.y0 - n.y1, 0) ** 2 <= 625""")
-def block_neighbours_all(spark, sf):
+def block_neighbours(spark, sf):
     return _neighbours(I.table(spark, sf, "embeddings"))
 
 
@@ -623,11 +588,12 @@ def iso_intersect(spark, sf):
     return census.common_runs(runs("customer", "c_nationkey", "c_custkey"), runs("supplier", "s_nationkey", "s_suppkey"))
 
 
-@query("""WITH p AS (SELECT c_custkey AS shape_id, c_acctbal AS population_total FROM customer WHERE c_custkey % 3 <> 0), h AS (SELECT o_custkey AS shape_id, sum(o_totalprice) AS household_total FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1)
+@query("""WITH p AS (SELECT c_custkey + CASE WHEN c_custkey % 3 = 0 THEN 10000000 ELSE 0 END AS shape_id, c_acctbal AS population_total FROM customer), h AS (SELECT o_custkey + CASE WHEN o_custkey % 2 = 1 THEN 20000000 ELSE 0 END AS shape_id, sum(o_totalprice) AS household_total FROM orders GROUP BY 1)
 SELECT shape_id, population_total, round(household_total, 2) AS household_total FROM p FULL JOIN h USING (shape_id)""")
 def align_measures(spark, sf):
-    p = I.table(spark, sf, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("shape_id"), F.col("c_acctbal").alias("value"))
-    h = I.table(spark, sf, "orders").filter("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("shape_id")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    c, o = F.col("c_custkey"), F.col("o_custkey")
+    p = I.table(spark, sf, "customer").select((c + F.when(c % 3 == 0, 10_000_000).otherwise(0)).alias("shape_id"), F.col("c_acctbal").alias("value"))
+    h = I.table(spark, sf, "orders").groupBy((o + F.when(o % 2 == 1, 20_000_000).otherwise(0)).alias("shape_id")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
     return census.align_measures({"population_total": p, "household_total": h})
 
 
@@ -762,10 +728,10 @@ def linear_model(spark, sf):
     return spark.createDataFrame([("intercept", fitted.intercept), *fitted.weights.items()], "feature string, weight double")
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)""")
 def unfinished_blocks(spark, sf):
-    c = I.table(spark, sf, "customer").select("c_custkey")
-    return model.todo(c, I.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    done = I.table(spark, sf, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return model.todo(I.table(spark, sf, "orders").select("o_orderkey"), done, ["o_orderkey"])
 
 
 # Streaming
@@ -778,8 +744,7 @@ def streamed_zonal_sums(spark, sf):
 
     from popquilt.streaming import zonal
 
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    at = f"{shared}/zonal-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/zonal-{uuid.uuid4().hex}"
     schema = I.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(sf if sf.endswith(".parquet") else f"{sf}/events.parq[u]et")
     zonal.start(zonal.running_sums(stream, ["user_id", "event_type"]), f"{at}/out", f"{at}/checkpoint").awaitTermination()

@@ -41,3 +41,14 @@ def session(name: str = "popquilt", master: str | None = None, **conf: str) -> S
     for k, v in settings.items():
         builder = builder.config(k, v)
     return ship(builder.getOrCreate())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the checkpoint folder in use, or the one the cluster names; a new one for local masters only."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if sc.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="popquilt-")
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from popquilt.plans import catalogue
+from popquilt.plans import catalogue, worlds  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()

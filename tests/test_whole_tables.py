@@ -18,7 +18,7 @@ def vectors(spark, tmp_path_factory):
 
 def test_gaps_of_all_tiles_are_filled(spark, vectors):
     sf, tiles = vectors
-    got = {(r["vec_id"], r["row"], r["col"]): r["value"] for r in catalogue.QUERIES["nearest_gap_fill_all"](spark, sf).collect()}
+    got = {(r["vec_id"], r["row"], r["col"]): r["value"] for r in catalogue.QUERIES["nearest_gap_fill"](spark, sf).collect()}
     assert len(got) == tiles.size
     for v in (0, 3, 776):
         known = [(y, x) for y in range(8) for x in range(8) if tiles[v, y, x] >= 0.2]
@@ -31,7 +31,7 @@ def test_gaps_of_all_tiles_are_filled(spark, vectors):
 
 def test_every_block_has_its_halo(spark, vectors):
     sf, tiles = vectors
-    rows = catalogue.QUERIES["block_halo_all"](spark, sf).collect()
+    rows = catalogue.QUERIES["block_halo"](spark, sf).collect()
     got = {(r["vec_id"], r["row"], r["col"]): r["value"] for r in rows}
     high = -(-len(tiles) // 5) * 8
     whole = np.full((high + 4, 44), np.nan)
@@ -53,7 +53,7 @@ def test_every_block_has_its_neighbours(spark, vectors):
         blocks[x // 5, y // 5] = [min(a[0], x), min(a[1], y), max(a[2], x + 1), max(a[3], y + 1)]
     gap = lambda a, b, k: max(b[k] - a[k + 2], a[k] - b[k + 2], 0) * 10
     want = {("%d_%d" % p, "%d_%d" % q) for p, a in blocks.items() for q, b in blocks.items() if gap(a, b, 0) ** 2 + gap(a, b, 1) ** 2 <= 625}
-    rows = [tuple(r) for r in catalogue.QUERIES["block_neighbours_all"](spark, sf).collect()]
+    rows = [tuple(r) for r in catalogue.QUERIES["block_neighbours"](spark, sf).collect()]
     assert len(rows) == len(want) and set(rows) == want
 
 
@@ -63,7 +63,7 @@ def test_no_population_is_lost_when_pixels_are_made_dense(spark, tmp_path):
     spark.createDataFrame(lines, "l_suppkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{sf}/lineitem.parquet")
     spark.createDataFrame([(k, 1000.0 + k) for k in range(3)], "s_suppkey long, s_acctbal double").write.parquet(f"{sf}/supplier.parquet")
     spark.createDataFrame([(k,) for k in range(1, 901)], "p_partkey long").write.parquet(f"{sf}/part.parquet")
-    rows = catalogue.QUERIES["pixel_densify_all"](spark, sf).collect()
+    rows = catalogue.QUERIES["pixel_densify"](spark, sf).collect()
     assert len({(r["tile_key"], r["pixel_id"]) for r in rows}) == len(rows) == 7 * 901
     assert sum(r["pixel_population"] for r in rows) == pytest.approx(3003, abs=0.01)
     assert sum(r["pixel_population"] > 0 for r in rows) == 7 * 9
@@ -71,7 +71,7 @@ def test_no_population_is_lost_when_pixels_are_made_dense(spark, tmp_path):
 
 def test_all_tiles_are_interpolated(spark, vectors):
     sf, tiles = vectors
-    rows = catalogue.QUERIES["raster_interpolation_all"](spark, sf).collect()
+    rows = catalogue.QUERIES["raster_interpolation"](spark, sf).collect()
     got = {(r["cell_group"], r["row"], r["col"]): r["value"] for r in rows if r["time_point"] == "2002q3"}
     half = (tiles[:-1] + tiles[1:]) / 2
     want = {(int(v), int(y), int(x)): h if h >= 0.01 else 0.0 for (v, y, x), h in np.ndenumerate(half) if abs(h - 0.01) > 1e-6}
