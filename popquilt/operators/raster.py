@@ -6,6 +6,7 @@ A tile table has one row per chunk (see ``sources.schemas.RASTER_TILE``); the lo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -240,6 +241,40 @@ def warp(long: DataFrame, x: Column, y: Column, bounds: tuple[float, float, floa
     return resample(moved, 1, how, ())
 
 
+def warp_footprints(long: DataFrame, footprint: tuple[Column, Column, Column, Column], bounds: tuple[float, float, float, float], cell: float, how: str) -> DataFrame:
+    """(row, col, value) on another grid, each pixel by the shares of its footprint that lie in the grid's cells.
+
+    ``footprint`` has a pixel's bounds (x0, y0, x1, y1) in the grid's system, where a
+    cylindrical projection keeps it a rectangle. By ``sum`` a pixel's value is dealt out by
+    these shares, so that totals are kept; by ``average`` they are the weights of a mean of
+    what is not missing, so that a grid finer than the pixels has no holes. Only cells that
+    a pixel touches are made.
+    """
+    if how not in ("sum", "average"):
+        raise ValueError(f"unknown statistic {how!r}")
+    bx0, by0, bx1, by1 = bounds
+    rows, cols = math.ceil((by1 - by0) / cell - 1e-9), math.ceil((bx1 - bx0) / cell - 1e-9)
+    at = long.filter("value is not null").select("value", *(c.alias(n) for n, c in zip(("_x0", "_y0", "_x1", "_y1"), footprint)))
+    at = at.filter((F.col("_x1") > bx0) & (F.col("_x0") < bx1) & (F.col("_y1") > by0) & (F.col("_y0") < by1))
+    left, right, top, bottom = (F.col("_x0") - bx0) / cell, (F.col("_x1") - bx0) / cell, (by1 - F.col("_y1")) / cell, (by1 - F.col("_y0")) / cell
+
+    def touched(low: Column, high: Column, n: int) -> Column:
+        first = F.greatest(F.floor(low), F.lit(0)).cast("int")
+        last = F.least(F.ceil(high) - 1, F.lit(n - 1)).cast("int")
+        return F.explode(F.sequence(first, F.greatest(first, last)))
+
+    def share(low: Column, high: Column, k: str) -> Column:
+        return F.greatest(F.least(high, F.col(k) + 1) - F.greatest(low, F.col(k)), F.lit(0.0)) / (high - low)
+
+    met = at.withColumn("row", touched(top, bottom, rows)).withColumn("col", touched(left, right, cols))
+    weight = share(left, right, "col") * share(top, bottom, "row")
+    if how == "average":  # weights are areas, and pixels' footprints need not be of one size
+        weight = weight * (right - left) * (bottom - top)
+    met = met.select("row", "col", "value", weight.alias("_w")).filter("_w > 1e-12")
+    total = F.sum(F.col("value") * F.col("_w"))
+    return met.groupBy("row", "col").agg((total if how == "sum" else total / F.sum("_w")).alias("value"))
+
+
 def pyramid(long: DataFrame, levels: int, how: str = "average") -> list[DataFrame]:
     """Overviews, each of half the size of the one before."""
     out = []

@@ -306,8 +306,11 @@ def upsample(cat: Catalog, resolution: str, version: str, time_point: str, spec:
     name, size, how = UPSAMPLE[spec]
     crs = CRS[name]
     p = long_view(cat.read("raked_predictions", resolution=resolution, version=version, time_point=time_point), cell_size(cat)).filter("value is not null")
-    x, y = (F.col("x"), F.col("y")) if crs.projection == "cea" else P.project(crs.projection, P.longitude(F.col("x")), P.latitude(F.col("y")), crs.meridian)
-    out = raster.warp(p, x, y, crs.bounds, size, how)
+    half = cell_size(cat) / 2
+    corners = ((F.col("x") - half, F.col("y") - half), (F.col("x") + half, F.col("y") + half))
+    if crs.projection != "cea":
+        corners = tuple(P.project(crs.projection, P.longitude(x), P.latitude(y), crs.meridian) for x, y in corners)
+    out = raster.warp_footprints(p, (*corners[0], *corners[1]), crs.bounds, size, how)
     cat.write(out, "compiled_predictions", resolution=resolution, version=version, spec=spec, time_point=time_point)
 
 

@@ -146,6 +146,17 @@ def last_versions(spark, sf):
 # Rasters across blocks
 
 
+@query("""WITH p AS (SELECT l_orderkey % 1024 AS r, (l_partkey * 7 + l_linenumber) % 1024 AS c, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
+SELECT CAST(r // 512 AS INT) AS chunk_row, CAST(c // 512 AS INT) AS chunk_col, CAST((r % 512) * 512 + c % 512 AS INT) AS place, v AS value FROM p""")
+def whole_tiles(spark, sf):
+    """Scattered pixels gathered into chunks of 512 by 512, and the known ones read back by their place."""
+    r, c = F.col("l_orderkey") % 1024, (F.col("l_partkey") * 7 + F.col("l_linenumber")) % 1024
+    long = I.table(spark, sf, "lineitem").select(F.lit("b").alias("block_key"), r.cast("int").alias("row"), c.cast("int").alias("col"), F.col("l_quantity").alias("value"))
+    tiles = raster.to_tiles(long, 512, 512)
+    known = tiles.select("chunk_row", "chunk_col", F.posexplode("data").alias("place", "value")).filter("value is not null")
+    return known.withColumn("value", F.col("value").cast("double"))
+
+
 def _kernel(radius: int, kind: str) -> str:
     w = raster.kernel(1, radius, kind)
     r = len(w) // 2
@@ -230,15 +241,28 @@ def block_factors(spark, sf):
     return cat.raking_factors("100", version, "2020q1").select(vec_id(), "location_id", F.round("raking_factor", 6).alias("raking_factor"))
 
 
-@query(f"""WITH {_RAKED} SELECT CAST(floor((6363885.33 + gy + 0.5) / 1000) AS INT) AS "row", CAST(floor((gx + 0.5 + 20037508.34) / 1000) AS INT) AS col, round(sum(value * factor), 1) AS value
-FROM labelled JOIN f USING (location_id) GROUP BY 1, 2""")
+@query(f"""WITH {_RAKED}, k AS (SELECT unnest([0, 1]) AS k), p AS (SELECT value * factor AS v, gx + 20037508.34::double AS a, gy + 6363885.33::double AS b FROM labelled JOIN f USING (location_id)),
+c AS (SELECT floor(b / 1000) + y.k AS r, floor(a / 1000) + x.k AS c, v, greatest(0, least(a + 1, (floor(a / 1000) + x.k + 1) * 1000) - greatest(a, (floor(a / 1000) + x.k) * 1000))
+  * greatest(0, least(b + 1, (floor(b / 1000) + y.k + 1) * 1000) - greatest(b, (floor(b / 1000) + y.k) * 1000)) AS w FROM p, k x, k y)
+SELECT CAST(r AS INT) AS "row", CAST(c AS INT) AS col, round(sum(v * w), 1) AS value FROM c WHERE w > 1e-12 GROUP BY 1, 2""")
 def upsampled_cells(spark, sf):
-    """Raked pixels summed to an output grid's cells."""
+    """Raked pixels dealt out to an output grid's cells by area."""
     cat, version = _raked(spark, sf)
     stages.upsample(cat, "100", version, "2020q1", "world_cylindrical_1000")
     return cat.read("compiled_predictions", spec="world_cylindrical_1000").select("row", "col", F.round("value", 1).alias("value"))
 
 
+@query(f"""WITH {GRID}, k AS (SELECT unnest(range(-1, 5)) AS k), p AS (SELECT value AS v, (gx + 3) / 0.75::double AS a, (gx + 4) / 0.75::double AS z, (gy + 2) / 0.75::double AS b, (gy + 3) / 0.75::double AS y FROM world),
+c AS (SELECT floor(b) + r.k AS "row", floor(a) + c.k AS col, v, greatest(0, least(z, floor(a) + c.k + 1) - greatest(a, floor(a) + c.k)) * greatest(0, least(y, floor(b) + r.k + 1) - greatest(b, floor(b) + r.k)) AS w FROM p, k r, k c)
+SELECT CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, round(sum(v * w) / sum(w), 4) AS value FROM c WHERE w > 1e-9 GROUP BY 1, 2""")
+def averaged_footprints(spark, sf):
+    """Pixels averaged by area on a grid that is finer than they are: it has no holes."""
+    p = raster.pixels(block_tiles(spark, sf))
+    x, y = F.col("x"), F.col("y")
+    out = raster.warp_footprints(p.withColumn("value", F.round("value", 3)), (x - 0.5, y - 0.5, x + 0.5, y + 0.5), (-3.0, -1e5, 1e5, 2.0), 0.75, "average")
+    return out.select("row", "col", F.round("value", 4).alias("value"))
+
+
 _PARTS = """d AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validate' ELSE 'test' END AS split, l_quantity / 10.0::double AS y, exp(0.1::double + l_discount) * (l_tax + 0.01) * 100 AS p FROM lineitem)"""
 
 
@@ -254,12 +278,12 @@ def split_scores(spark, sf):
 
 
 @query("""WITH d AS (SELECT l_quantity AS y, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS o FROM lineitem), m AS (SELECT o, quantile_cont(y, 0.5) AS m FROM d GROUP BY 1)
-SELECT count(*) AS "rows", round(avg(abs(y - m)), 4) AS loss FROM d JOIN m USING (o)""")
+SELECT count(*) AS "rows", round(avg(abs(y - m)), 2) AS loss FROM d JOIN m USING (o)""")
 def linear_model_loss(spark, sf):
     """Least absolute deviations with an indicator: no line is nearer than the two groups' medians, and the fit is as near."""
     lines = I.table(spark, sf, "lineitem").select(F.col("l_quantity").alias("y"), F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0).alias("o"))
     fitted = model.fit_least_absolute(lines, "y", ["o"])
-    return lines.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(F.abs(F.col("y") - fitted.output())), 4).alias("loss"))
+    return lines.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(F.abs(F.col("y") - fitted.output())), 2).alias("loss"))
 
 
 # Filters and expressions

@@ -14,7 +14,7 @@ from popquilt.functions import projections as P
 from popquilt.functions import semantics as S
 from popquilt.functions.metrics import METRICS
 from popquilt.functions.transforms import TARGETS, TRANSFORMS, targets
-from popquilt.operators import allocate, census, model, rake, raster, spatial_join, timeaxis
+from popquilt.operators import allocate, census, model, rake, ranks, raster, spatial_join, timeaxis
 from popquilt.operators import geometry as G
 from popquilt.operators import raking_population as R
 
@@ -114,6 +114,13 @@ def test_merging_keeps_missing(spark):
     assert {r["iso3"]: r["population"] for r in R.merge_countries(wpp).collect()} == {"CHN": 7.0, "SRB": None}
 
 
+def test_lost_regions_stop_the_job(spark):
+    wpp = spark.createDataFrame([(5, 70, 2020, 10.0, 1.0, "n", "c")], "location_id int, region_id int, year_id int, population double, scalar double, location_name string, location_code string")
+    estimates = spark.createDataFrame([(10, 1, 10, 2020, 9.0, 2, 0, "r", "R")], "location_id int, parent_id int, region_id int, year_id int, population double, level int, most_detailed int, location_name string, location_code string")
+    with pytest.raises(Exception, match="no residual population of region 70"):
+        R.missing_populations(wpp, estimates).collect()
+
+
 def test_climb_ends_in_cycles(spark):
     parents = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (4, None)], "location_id int, parent_id int")
     goals = spark.createDataFrame([(4,)], "location_id int")
@@ -196,6 +203,45 @@ def test_whole_tiles_take_seconds(spark):
     assert raster.to_tiles(twice, 2, 2).first()["data"] == [3.0, None, None, None] and raster.to_tiles(twice, 2, 2, fill=0.0).first()["data"] == [3.0, 0.0, 0.0, 0.0]
 
 
+@pytest.mark.parametrize(("radius", "kind"), [(2, "uniform"), (3, "gaussian"), (11, "gaussian")])
+def test_averages_see_the_next_block(spark, radius, kind):
+    """Two by three blocks, of which one is absent, against the convolution of the whole map; the kernel may be wider than a block."""
+    rng = np.random.default_rng(radius)
+    whole = rng.uniform(0, 9, (16, 24))
+    whole[8:, 8:16] = 0
+    whole[3, 9] = np.nan
+    at = [(y, x) for y in range(2) for x in range(3) if (y, x) != (1, 1)]
+    rows = [(f"b{y}{x}", 0, 0, 8, 8, [100.0 * x * 8, 100.0, -100.0 * y * 8, -100.0], whole[y * 8 : y * 8 + 8, x * 8 : x * 8 + 8].ravel().tolist()) for y, x in at]
+    tiles = spark.createDataFrame(rows, "block_key string, chunk_row int, chunk_col int, height int, width int, transform array<double>, data array<double>")
+    w = raster.kernel(100, radius * 100, kind)
+    want = raster.convolve(np.nan_to_num(whole), w)
+    got = {r["block_key"]: np.array(r["data"]).reshape(8, 8) for r in raster.average_with_neighbours(tiles, 100, radius * 100, kind).collect()}
+    assert len(got) == 5
+    for y, x in at:
+        own = want[y * 8 : y * 8 + 8, x * 8 : x * 8 + 8]
+        own = own - own.min()
+        own[own < C.AVERAGE_NOISE] = 0
+        assert np.allclose(got[f"b{y}{x}"], own, atol=1e-5)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.floats(allow_infinity=True), st.sampled_from([0.0, 1.0, 1e300, -1e300, 5e-324])), max_size=60))
+def test_ranks_are_those_of_sorting(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    known = sorted(v for v in values if v is not None and not math.isnan(v))
+    assert ranks.values_at(df, "x", list(range(0, len(known), 3))) == known[::3] if known else ranks.percentiles(df, "x", [0.5]) == [None]
+    with pytest.raises(ValueError):
+        ranks.values_at(df, "x", [len(known)])
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=3001), np.repeat(0.25, 500), rng.normal(size=50) * 1e9])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    shares = [0, 0.01, 0.25, 0.5, 0.9, 1]
+    assert ranks.percentiles(df, "x", shares) == pytest.approx(np.quantile(x, shares).tolist(), rel=1e-12)
+
+
 def test_gap_fill_takes_the_nearest():
     a = np.full((5, 5), np.nan)
     a[0, 0], a[4, 4] = 7, 9

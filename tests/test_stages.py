@@ -111,6 +111,7 @@ def test_stages_run_in_order(cat, spark):
     cat.copy_version("100", copy, version)
     assert cat.origin("100", copy) == version and cat.raw_predictions("100", copy, TIME).count() == 4
     stages.raking_factors(cat, "100", copy, [TIME, "2020q3"])
+    assert cat.read("label_rasters", resolution="100", raking_version="primary").count() == 4  # once for both time points
     stages.rake(cat, "100", copy, [TIME])
     assert pixel_total(cat, "raked_predictions", resolution="100", version=copy, time_point=TIME) == pytest.approx(900, rel=1e-4)
     half = cat.raking_factors("100", copy, "2020q3").filter("location_id = 11").first()
@@ -135,6 +136,10 @@ def test_training_on_units_of_one_tile(cat, spark):
     cat.write(frame, "modeling_frame", resolution="40")
     fitted = stages.train(cat, Specification("d", "40", version="v.001"))
     assert fitted.intercept == 15.0 and cat.model("40", "v.001").intercept == 15.0
+    found = {r["split"]: r for r in cat.read("model_scores", resolution="40", version="v.001").collect()}
+    assert set(found) == {"train", "test"} and {r["target"] for r in found.values()} == {"log_occupancy_rate"}
+    assert found["train"]["rows"] == 14 and found["train"]["mae"] == np.mean([abs(k - 15) for k in range(2, 30, 2)])
+    assert found["test"]["rows"] == 15 and found["test"]["rmse"] == pytest.approx(np.sqrt(np.mean([(k - 15) ** 2 for k in range(1, 30, 2)])))
 
 
 def test_fine_raking(cat, spark):
