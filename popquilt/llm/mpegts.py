@@ -213,7 +213,12 @@ MEDIA = "doc_id long, n_bytes long, media binary"
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
-    """The documents' texts as a column of transport streams. Null texts are empty; empty ones are 64 zero bytes."""
+    """The documents' texts as a column of transport streams. Null texts are empty; empty ones are 64 zero bytes.
+
+    A null doc_id stays null, repeated rows give repeated rows, equal texts give equal
+    streams, other columns are not read, and an empty table gives no rows. A text is one
+    stream however long; a task holds some hundred streams at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +237,8 @@ def read_media(media: DataFrame, column: str = "media") -> DataFrame:
     """What ``demux`` finds in a column of streams; other columns stay.
 
     Adds payload, feature, pts and access_points (both lists in stream order, the latter as
-    byte positions) and lost (packets missing by the counters). A null stream is empty.
+    byte positions) and lost (packets missing by the counters). A null stream is empty;
+    repeated rows stay, and an empty table gives no rows.
     """
     kept = [c for c in media.columns if c != column]
     added = "payload binary, feature string, pts array<long>, access_points array<long>, lost long"

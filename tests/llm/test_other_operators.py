@@ -63,6 +63,15 @@ def test_stream_query_rows(spark, tmp_path):
     assert all(bytes(r["payload"]).rstrip(b"\0") == texts[r["doc_id"]].encode() for r in read)
 
 
+def test_streams_of_odd_rows(spark):
+    rows = [(None, "a", "m"), (1, None, "m"), (1, None, "m"), (2, "", "m"), (3, "x" * 3_000_000, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, media string")
+    made = mpegts.encode_media(docs)
+    back = mpegts.read_media(made).collect()
+    assert sorted((str(r["doc_id"]), len(r["payload"])) for r in back) == [("1", 64), ("1", 64), ("2", 64), ("3", 3_000_000), ("None", 64)]
+    assert mpegts.read_media(mpegts.encode_media(docs.limit(0))).count() == 0
+
+
 # Nearest neighbours
 
 

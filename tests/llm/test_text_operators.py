@@ -538,3 +538,66 @@ def test_pipeline_drops_and_keeps(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert not any(SECRET in (r["text"] or "") for r in docs.collect())
     assert sum(r["length"] for r in pieces) == sum({(r["doc_id"], r["doc_tokens"]): r["doc_tokens"] for r in pieces}.values())
+
+
+def test_every_stage_is_its_plain_version(spark, tmp_path):
+    """Each stage on its own input: what stays is what the plain version keeps, row by row; the last one's pieces hold every id once."""
+    import corpus_pipeline
+    from popquilt.llm import packing
+
+    rng = np.random.default_rng(12)
+    rows = [(i, t, "xx") for i, t, _ in quality_rows(rng)]
+    rows += [(400 + i, t.replace(" ba", ", ba") + ".", "xx") for i, t in enumerate(secret_corpus(rng)[:120])]
+    rows += [(600, rows[1][1] + " ba", "xx"), (601, rows[2][1], "xx"), (2, rows[3][1] + " entirely", "xx"), (None, rows[4][1], None), (None, sentence(rng, "xx", 80).replace(" ba", ", ba") + ".", None), (602, "12 34", "xx"), (603, None, "xx"), (604, "", None)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(*r, "s", 0) for r in rows], DOCS).write.parquet(path)
+    docs = spark.read.parquet(path)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def step(name, docs):
+        at = str(tmp_path / name)
+        stages[name](spark, docs, str(tmp_path)).write.parquet(at)
+        return spark.read.parquet(at)
+
+    def texts(df):
+        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    told = step("language", docs)
+    net = langid.fit(docs)
+    assert texts(told) == [(i, t) for i, t in texts(docs) if (p := langid.predict_column(net, net.tables(), pa.array([t], pa.string())))[0][0] != langid.UNDETERMINED and p[1][0] >= 0.4]
+    good = step("quality", told)
+    _, scorer = quality.fit(told)
+    want = []
+    for i, t in texts(told):
+        votes = plain_votes(t)
+        clear = scorer.score(quality.features(pa.array([t]))[1])[0]
+        if (clear >= 0.8 if any(v >= 0 for v in votes) else t.strip(" ")):
+            want.append((i, t))
+    assert texts(good) == want and len(want) < len(texts(told))
+    one = step("one_of_each", good)
+    own = sorted(texts(good), key=lambda r: (r[0] is None, r[0] or 0))
+    first = {}
+    for place, (i, t) in zip(components_of([t for _, t in own])[0], own):
+        first.setdefault(place, (i, t))
+    assert texts(one) == sorted(first.values(), key=str) and len(first) < len(own)
+    clean = step("secrets", one)
+    before = texts(one)
+    found = plain_secrets([t for _, t in before])
+    for (i, t), spans in zip(before, found):
+        out, at = [], 0
+        for _, s, e in sorted(spans, key=lambda x: (x[1], x[2])):
+            if s >= at:
+                out += [t[at:s], "[secret]"]
+            at = max(at, e)
+        assert (i, "".join(out) + t[at:]) in texts(clean)
+    assert len(texts(clean)) == len(before) and any(found)
+    pieces = stages["packing"](spark, clean, str(tmp_path)).collect()
+    encode = packing.byte_bpe()
+    assert sum(r["length"] for r in pieces) == sum(len(encode(t or "")) + 1 for _, t in texts(clean))
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
