@@ -397,7 +397,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_
     wanted = spark.sparkContext.broadcast(marks(member.select("doc_id")))
     compared = (
         texts.mapInArrow(_sets(width, wanted), "doc_id long, n long, grams binary")
-        .join(member, ["doc_id", "n"])
+        .join(member.hint("merge"), ["doc_id", "n"])  # one plan at every size
         .select("doc_id", "grams", F.explode("units").alias("u"))
         .select("u.unit", "u.side", "doc_id", "grams")
         .repartition("unit")
