@@ -114,19 +114,24 @@ class Viterbi:
         out, step = [], self.v.longest
         for at in range(0, len(chars), step):
             self.text += chars[at : at + step]
-            out += self.draw(len(self.text) - step + 1)
+            if (end := len(self.text) - step + 1) > self.done:
+                self.draw(end)
+                if end >= step:
+                    out += self.commit()
         return out
 
     def finish(self) -> list[int]:
-        out = self.draw(len(self.text))
-        return out + self.leave(len(self.text))
+        """The ids that are left, at the end of the text."""
+        self.draw(len(self.text))
+        return self.path(len(self.text))
 
-    def draw(self, end: int) -> list[int]:
-        """Draws the edges of living boundaries before ``end``, which no longer piece can change; the ids that have become final."""
+    def draw(self, end: int) -> None:
+        """Draws the edges of living boundaries before ``end``, whose pieces are all within the text so far."""
         v, text, window = self.v, self.text, self.window
         window += [None] * (len(text) + 1 - len(window))
         self.most = max(self.most, len(window))
-        tree, scores, longest, bpe = v.tree, v.scores, v.longest, v.kind == "bpe"
+        tree, scores, longest = v.tree, v.scores, v.longest
+        bpe = v.kind == "bpe"
         allowed, follows = (v.allowed, v.follows) if bpe else (None, None)
         for start in range(self.done, end):
             at = window[start]
@@ -151,7 +156,6 @@ class Viterbi:
                 elif old is None or score + scores[piece] > old[2]:
                     window[stop] = (piece, start, score + scores[piece])
         self.done = max(self.done, end)
-        return self.commit() if self.done >= longest else []
 
     def commit(self) -> list[int]:
         """Ids up to the last boundary that all living paths share."""
@@ -163,17 +167,24 @@ class Viterbi:
             heads.add(window[last][1])
         return self.leave(heads.pop()) if heads else []
 
-    def leave(self, at: int) -> list[int]:
-        out, k = [], at
-        while k > 0:
-            piece, k, _ = self.window[k]
+    def path(self, at: int) -> list[int]:
+        """The ids of the path to a boundary."""
+        out, window = [], self.window
+        while at > 0:
+            piece, at, _ = window[at]
             out.append(piece)
+        out.reverse()
+        return out
+
+    def leave(self, at: int) -> list[int]:
+        """Takes the ids up to a boundary out of the window."""
+        out = self.path(at)
         if at:
             shift = [None if w is None else (w[0], w[1] - at, w[2]) for w in self.window[at:]]
             self.window = [(shift[0][0], -1, shift[0][2]), *shift[1:]]
             self.text = self.text[at:]
             self.done = max(0, self.done - at)
-        return out[::-1]
+        return out
 
 
 class _Memo(dict):
