@@ -368,7 +368,7 @@ def work_units(sets: DataFrame, clusters: DataFrame, least: int, block: int = BL
     )
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_bits: int = 24) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_bits: int = 25) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``.
 
     Two documents link where ``100 * |A and B| >= least * |A or B|`` for their sets of word
