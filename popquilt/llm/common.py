@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -175,3 +176,21 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         total = splitmix(total * _MUL + words[k : k + n])
     return total
 
+
+
+def shared_name(spark: SparkSession, name: str) -> str:
+    """A new name in the folder that driver and executors share; ``prepare`` has set it."""
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders that the caller has made, on whatever store they are."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, at: str) -> DataFrame:
+    """The table as read back from where it is now written, so that what comes later does not run it again."""
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

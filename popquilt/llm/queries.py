@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from popquilt.llm import ann, jaccard, langid, lmscore, mpegts, packing, quality, secrets, spm, urlrules
+from popquilt.llm import ann, codes, fingerprints, jaccard, langid, lmscore, mpegts, packing, quality, secrets, spm, urlrules, whitening
 
 QUERIES = {
     "op1_hierarchical_packing": packing.op1_hierarchical_packing,
@@ -17,8 +17,17 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_byte_cnn_language": langid.op9_byte_cnn_language,
     "op10_weak_label_quality": quality.op10_weak_label_quality,
+    "op11_polynomial_fingerprints": fingerprints.op11_polynomial_fingerprints,
+    "op12_tiled_whitening": whitening.op12_tiled_whitening,
+    "op13_filtering_lloyd": codes.op13_filtering_lloyd,
+    "vector_deviations": whitening.vector_deviations,
+}
+ORACLES: dict[str, str] = {
+    "op8_ngram_jaccard_join": jaccard.OP8_SQL,
+    "op11_polynomial_fingerprints": fingerprints.OP11_SQL,
+    "op13_filtering_lloyd": codes.OP13_SQL,
+    "vector_deviations": whitening.DEVIATIONS_SQL,
 }
-ORACLES: dict[str, str] = {"op8_ngram_jaccard_join": jaccard.OP8_SQL}
 
 
 # Parts of operators' results that SQL can express, though it can't express the whole.
