@@ -79,10 +79,10 @@ def country_locations(hierarchy: DataFrame, iso3: str) -> DataFrame:
     return found.join(F.broadcast(exact), F.lit(True), "left").filter((code == iso3) | F.col("_exact").isNull()).drop("_exact")  # at most one row
 
 
-def deepest(units: DataFrame) -> DataFrame:
-    """The units of their country's deepest level among those given."""
-    top = units.groupBy("iso3").agg(F.max("admin_level").alias("admin_level"))
-    return units.join(top, ["iso3", "admin_level"])
+def deepest(units: DataFrame, keys: tuple[str, ...] = ("iso3",)) -> DataFrame:
+    """The units of the deepest level of their ``keys`` among those given: a country's, or a census's with (iso3, year)."""
+    top = units.groupBy(*keys).agg(F.max("admin_level").alias("admin_level"))
+    return units.join(top, [*keys, "admin_level"])
 
 
 def last_levels(units: DataFrame, count: int = 2) -> DataFrame:

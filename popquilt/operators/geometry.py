@@ -309,6 +309,12 @@ def st_box(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Ser
     return pd.Series([write_wkb(box(*b)) for b in zip(x0, y0, x1, y1)], dtype=object)
 
 
+@F.pandas_udf(T.BinaryType())
+def st_polygon(ring: pd.Series) -> pd.Series:
+    """A polygon of one ring, an array of structs (x, y)."""
+    return ring.map(lambda points: None if points is None else write_wkb([[np.array([(p["x"], p["y"]) for p in points], float)]]))
+
+
 def with_bounds(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     """Adds minx, miny, maxx and maxy as columns, which Parquet keeps statistics of."""
     return df.withColumn("_b", st_bounds(geometry)).select(*df.columns, "_b.*")

@@ -78,10 +78,23 @@ class Specification:
     version: str = ""
     kind: str = "linear"
     random_seed: int = 42
+    #: What the loss compares, with its level; empty for the target itself. A model of pixels may be compared on units.
+    loss_target: str = ""
+    loss_metric: str = "mae"
+    optimizer: str = "damped"
+    learning_rate: float = 0.05
+    rounds: int = 100
+    patience: int = 10
 
     def __post_init__(self):
         if self.kind != "linear":
             raise ValueError(f"unknown model {self.kind!r}")
+        self.loss_target = self.loss_target or self.target
+        levels = [t.split("_", 1)[0] for t in (self.target, self.loss_target)]
+        if not set(levels) <= {"admin", "pixel"} or levels == ["admin", "pixel"]:
+            raise ValueError(f"no way from {self.target!r} to {self.loss_target!r}")
+        if levels[0] == "admin" and self.loss_target != self.target:
+            raise ValueError("a model of units is fitted to its own target")
         if not 0 <= self.split < SPLITS:
             raise ValueError("split is out of range")
 

@@ -2,8 +2,8 @@
 
 Tables: ``wpp`` (iso3, year_id, population), ``metadata`` (location_id, location_name,
 region_id, location_code), ``supplement`` (the same and category), ``estimates`` (location_id,
-year_id, population and the hierarchy's columns). Every step is a lazy DataFrame; only
-``validate`` runs jobs.
+year_id, population and the hierarchy's columns). Every step is a lazy DataFrame but for
+``nearest_ancestor`` (and what calls it) and ``validate``, which run jobs.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from popquilt.functions.constants import NO_REGION
 from popquilt.functions.semantics import clip_low, ratio, total
+from popquilt.session import checkpointed
 
 WPP, UNMODELED, ZERO = "wpp", "unmodeled", "zero_population"
 HIERARCHY = ("location_id", "location_name", "location_code", "parent_id", "region_id", "level", "most_detailed")
@@ -109,22 +110,32 @@ def missing_populations(wpp: DataFrame, estimates: DataFrame) -> DataFrame:
     )
 
 
-def nearest_ancestor(locations: DataFrame, parents: DataFrame, goals: DataFrame, hops: int = 8) -> DataFrame:
+def nearest_ancestor(locations: DataFrame, parents: DataFrame, goals: DataFrame) -> DataFrame:
     """(location_id, ancestor_id): the nearest location at or above that is among the goals.
 
     ``parents`` has (location_id, parent_id). Every location points at itself if it is a goal
     and else at its parent; pointers are followed to where they point, so that each join
-    doubles the levels that are climbed, until ``hops`` are. Locations without such an
-    ancestor get NULL, and so do those whose climb goes round in a circle.
+    doubles the levels that are climbed. The climb is over when every pointer is at a goal or
+    beyond the last parent, or when as many levels are climbed as there are locations, after
+    which only circles go on. Each doubling is a job over distinct locations. Locations without such an ancestor get NULL, and so do
+    those whose climb goes round in a circle.
     """
     goal = goals.select(F.col("location_id").alias("_goal")).distinct()
     parent = parents.filter("parent_id is not null").groupBy(F.col("location_id").alias("_at")).agg(F.min("parent_id").alias("_parent"))
     ids = [locations.select(F.col("location_id").alias("_at")), parent.select("_at"), parent.select(F.col("_parent").alias("_at"))]
     known = ids[0].union(ids[1]).union(ids[2]).distinct()
-    known = known.join(goal, F.col("_at") == F.col("_goal"), "left").join(parent, "_at", "left").select("_at", F.coalesce("_goal", "_parent").alias("_to"))
-    for _ in range((hops - 1).bit_length()):
-        known = known.join(known.select(F.col("_at").alias("_to"), F.col("_to").alias("_beyond")), "_to", "left").select("_at", F.col("_beyond").alias("_to"))
-    found = known.join(goal, F.col("_to") == F.col("_goal")).select(F.col("_at").alias("location_id"), F.col("_goal").alias("ancestor_id"))
+    known = known.join(goal, F.col("_at") == F.col("_goal"), "left").join(parent, "_at", "left")
+    known = checkpointed(known.select("_at", F.coalesce("_goal", "_parent").alias("_to"), (F.col("_goal").isNull() & F.col("_parent").isNotNull()).alias("_open")))
+    climbed = 1
+    while True:
+        going, n = known.agg(F.count_if("_open"), F.count("_at")).first()
+        if not going or climbed >= n:
+            break
+        further = known.select(F.col("_at").alias("_to"), F.col("_to").alias("_beyond"), F.col("_open").alias("_more"))
+        moved = known.filter("_open").join(further, "_to", "left").select("_at", F.col("_beyond").alias("_to"), F.col("_more").alias("_open"))
+        known = checkpointed(known.filter("not _open").unionByName(moved))
+        climbed *= 2
+    found = known.filter("not _open").join(goal, F.col("_to") == F.col("_goal")).select(F.col("_at").alias("location_id"), F.col("_goal").alias("ancestor_id"))
     return locations.select("location_id").distinct().join(found, "location_id", "left").select("location_id", "ancestor_id")
 
 

@@ -29,7 +29,9 @@ def values_at(df: DataFrame, column: str, ranks: list[int]) -> list[float]:
         if low == high:
             found |= dict.fromkeys(wanted, low)
             continue
-        place = F.least(F.floor((F.col("x") / 2 - low / 2) / (high / 2 - low / 2) * BINS), F.lit(BINS - 1))
+        width = high / 2 - low / 2
+        # Neighbours among the smallest numbers have no half of a difference; there are two or three of them, each a bin.
+        place = F.least(F.floor((F.col("x") / 2 - low / 2) / width * BINS), F.lit(BINS - 1)) if width else F.col("x")
         if math.isinf(low) or math.isinf(high):  # an infinite end is a bin of its own
             place = F.when(F.col("x") == -math.inf, -1).when(F.col("x") == math.inf, 1).otherwise(0)
         bins = clean.filter((F.col("x") >= low) & (F.col("x") <= high)).groupBy(place.alias("bin")).agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))

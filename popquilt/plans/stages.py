@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from popquilt.functions import projections as P
 from popquilt.functions.constants import BUILT_VERSIONS, CRS, DERIVED, UPSAMPLE
 from popquilt.functions.semantics import nan_to_null, total
-from popquilt.operators import allocate, census, model, raster, spatial_join, timeaxis
+from popquilt.operators import allocate, census, model, pixel_model, raster, spatial_join, timeaxis
 from popquilt.operators import geometry as G
+from popquilt.operators import polygons as PG
 from popquilt.operators import rake as rk
 from popquilt.operators import raking_population as R
 from popquilt.sources.catalog import Catalog
@@ -52,14 +53,20 @@ def polygons(df: DataFrame) -> DataFrame:
 # Preprocessing
 
 
-def census_data(cat: Catalog, iso3: str = census.RUN_ALL, year: str = census.RUN_ALL) -> None:
-    """Counts joined to shapes, all countries in one job; shapes and counts must match one to one."""
+def census_data(cat: Catalog, iso3: str = census.RUN_ALL, year: str = census.RUN_ALL, repair: float | None = None) -> None:
+    """Counts joined to shapes, all countries in one job; shapes and counts must match one to one.
+
+    With ``repair``, the side of a cell, shapes are made valid.
+    """
     runs = census.select_runs(cat.read("shapefiles", purpose="training").select("iso3", "year").distinct(), iso3, year)
     keys = ["iso3", "year"]
     counts = (
         cat.read("census_counts").join(runs, keys, "left_semi").groupBy(*keys, "shape_id").pivot("measure", ["population_total", "household_total"]).agg(F.max("value"))
     )
-    shapes = polygons(cat.read("shapefiles", purpose="training").join(runs, keys, "left_semi"))
+    shapes = cat.read("shapefiles", purpose="training").join(runs, keys, "left_semi")
+    if repair:
+        shapes = PG.repaired(shapes.drop("minx", "miny", "maxx", "maxy"), [*keys, "shape_id"], repair)
+    shapes = polygons(shapes)
     whole = F.concat_ws("/", *keys, "shape_id")
     both = census.join_counts(shapes.withColumn("_id", whole).withColumnRenamed("shape_id", "_s").withColumnRenamed("_id", "shape_id"), counts.withColumn("shape_id", whole).drop(*keys))
     cat.write(both.drop("shape_id").withColumnRenamed("_s", "shape_id").select(*keys, *census.CENSUS_COLUMNS, "minx", "miny", "maxx", "maxy"), "census")
@@ -96,7 +103,7 @@ def modeling_frame(cat: Catalog, resolution: str, info: dict | None = None) -> N
     frame = index.join(wide, "tile_key").withColumn("geometry", G.st_box("minx", "miny", "maxx", "maxy"))
     cat.write(frame, "modeling_frame", resolution=resolution)
     blocks = spatial_join.dissolve(index, "block_key").select("block_key", *(F.col(a).alias(b) for a, b in zip(("minx", "miny", "maxx", "maxy"), ("bx0", "by0", "bx1", "by1"))))
-    units = census.deepest(cat.read("census"))
+    units = census.deepest(cat.read("census"), ("iso3", "year"))
     met = spatial_join.pairs(units, blocks, cell_size(cat) * JOIN_CELLS).select("iso3", F.col("year").cast("string").alias("year"), "block_key").distinct()
     cat.write(met, "validation_frame", resolution=resolution)
 
@@ -172,16 +179,80 @@ def training_data(cat: Catalog, resolution: str, time_point: str, denominators:
     cat.write(allocate.pixel_weights(done), "pixel_area_weights", resolution=resolution)
     summary = allocate.one_per_admin(done).join(done.groupBy("admin_id").agg(F.min("tile_key").alias("tile_key")), "admin_id")
     cat.write(summary, "people_per_structure_summary", resolution=resolution)
+    cat.write(training_rasters(done, frame, cell), "training_rasters", resolution=resolution)
+
+
+def training_rasters(allocated: DataFrame, frame: DataFrame, cell: float) -> DataFrame:
+    """Rasters of the tiles with what pixels are trained on: people and rates by denominator, and whether a unit of the pixel lies in several tiles; 0 where nobody lives."""
+    of = lambda name: F.concat(F.lit(f"{name}_"), "denominator")
+    pixel = allocated.groupBy("tile_key", "gx", "gy", "denominator").agg(
+        *(F.max(f"pixel_{m}").alias(m) for m in ("population", "occupancy_rate", "log_occupancy_rate")), F.max("admin_multi_tile").cast("double").alias("multi_tile")
+    )
+    measures = F.array(
+        *(F.struct(of(m).alias("measure"), F.col(m).alias("value")) for m in ("population", "occupancy_rate", "log_occupancy_rate")),
+        F.struct(F.lit("multi_tile").alias("measure"), F.col("multi_tile").alias("value")),
+    )
+    corner = frame.select("tile_key", "block_key", F.round(F.col("minx") / cell).cast("long").alias("_left"), F.round(F.col("maxy") / cell).cast("long").alias("_top"), F.array(*(c.cast("double") for c in (F.col("minx"), F.lit(cell), F.col("maxy"), F.lit(-cell)))).alias("transform"))
+    height, width = frame.agg(*(F.max(F.round((F.col(b) - F.col(a)) / cell)).cast("int") for a, b in (("miny", "maxy"), ("minx", "maxx")))).first()
+    long = pixel.select("tile_key", "gx", "gy", F.explode(measures).alias("m")).join(corner.select("tile_key", "_left", "_top"), "tile_key")
+    long = long.select("tile_key", F.col("m.measure").alias("measure"), (F.col("_top") - 1 - F.col("gy")).cast("int").alias("row"), (F.col("gx") - F.col("_left")).cast("int").alias("col"), F.col("m.value").alias("value"))
+    rasters = raster.to_tiles(long, height, width, ("measure", "tile_key"), 0.0)
+    return rasters.join(corner.select("tile_key", "block_key", "transform"), "tile_key").withColumns({"crs": F.lit("equal_area"), "nodata": F.lit(NAN)})
 
 
 # The model
 
 
+def feature_columns(cat: Catalog, resolution: str, names: list[str], time_point: str) -> DataFrame:
+    """(gx, gy, one column a feature): all features of a time point side by side, gathered in one shuffle."""
+    cell = cell_size(cat)
+    parts = [long_view(cat.feature(resolution, f, time_point), cell).select("gx", "gy", F.lit(f).alias("feature"), "value") for f in names]
+    return reduce(DataFrame.unionByName, parts).groupBy("gx", "gy").pivot("feature", names).agg(F.first("value"))
+
+
+def train_pixels(cat: Catalog, spec: model.Specification) -> model.Linear:
+    """Fits a model of pixels to units (or pixels) of the split's training tiles; validation tiles tell when to stop.
+
+    Pixels are those with people in which every unit lies in one tile; units those that
+    ``train`` takes. Scores compare what the loss compares, and people.
+    """
+    cell, features = cell_size(cat), list(spec.features)
+    frame = cat.read("modeling_frame", resolution=spec.resolution).select("tile_key", F.col(f"split_{spec.split}").alias("split"))
+    people = cat.read("people_per_structure", resolution=spec.resolution).filter(F.col("denominator") == spec.denominator)
+    time_point = people.agg(F.max("time_point")).first()[0]
+    pixels = allocate.training_pixels(people.groupBy("tile_key", "pixel_id", "gx", "gy").agg(F.max("admin_multi_tile").alias("admin_multi_tile"), *(F.max(c).alias(c) for c in ("pixel_value", "pixel_population", "pixel_occupancy_rate", "pixel_log_occupancy_rate"))))
+    if features:
+        pixels = pixels.join(feature_columns(cat, spec.resolution, features, time_point), ["gx", "gy"])
+    pixels = pixels.withColumnRenamed("pixel_value", "built").join(frame, "tile_key")
+    units = cat.read("people_per_structure_summary", resolution=spec.resolution).filter(F.col("denominator") == spec.denominator)
+    units = allocate.training_units(units, frame).join(frame, "tile_key")
+    weights = cat.read("pixel_area_weights", resolution=spec.resolution)
+
+    def rows(level: str, target: str) -> DataFrame:
+        base = target.removeprefix("log_") if target.endswith("population_density") else target
+        y = F.col(f"{level}_population") / (cell * cell) if base == "population_density" else F.col(f"{level}_{base}")
+        y = F.log(y) if base != target else y
+        if level == "pixel":
+            return pixel_model.pixel_rows(pixels.withColumn("y", y), features)
+        return pixel_model.unit_rows(weights, pixels, units.withColumn("y", y), features)
+
+    kind, (level, target) = spec.target.removeprefix("pixel_"), spec.loss_target.split("_", 1)
+    fitted = pixel_model.fit(rows(level, target), kind, target, features, spec.loss_metric, spec.optimizer, spec.learning_rate, spec.rounds, patience=spec.patience, area=cell * cell).model
+    found = [pixel_model.scores(rows(level, t), kind, t, fitted, area=cell * cell).withColumn("target", F.lit(t)) for t in dict.fromkeys((target, "population"))]
+    cat.write_model(fitted, spec.resolution, spec.version)
+    cat.write(reduce(DataFrame.unionByName, found), "model_scores", resolution=spec.resolution, version=spec.version)
+    cat.write_specification(spec)
+    return fitted
+
+
 def train(cat: Catalog, spec: model.Specification) -> model.Linear:
     """Fits on the units of the split's training tiles; keeps model, specification, and the scores of all three parts.
 
-    Scores compare the output with the model's target, and people with counted people.
+    Scores compare the output with the model's target, and people with counted people. A
+    target of pixels goes to ``train_pixels``.
     """
+    if spec.target.startswith("pixel_"):
+        return train_pixels(cat, spec)
     frame = cat.read("modeling_frame", resolution=spec.resolution).select("tile_key", F.col(f"split_{spec.split}").alias("split"))
     units = cat.read("people_per_structure_summary", resolution=spec.resolution).filter(F.col("denominator") == spec.denominator)
     rows = allocate.training_units(units, frame)
@@ -314,13 +385,14 @@ def upsample(cat: Catalog, resolution: str, version: str, time_point: str, spec:
     cat.write(out, "compiled_predictions", resolution=resolution, version=version, spec=spec, time_point=time_point)
 
 
-def metrics(cat: Catalog, resolution: str, versions: list[str], time_point: str) -> None:
-    """Predicted population of the deepest census units, for each version."""
+def metrics(cat: Catalog, resolution: str, versions: list[str], time_point: str, raked: bool = True) -> None:
+    """Raked population of each census's deepest units, for each version; that before raking without ``raked``."""
     cell = cell_size(cat)
-    units = census.deepest(cat.read("census")).withColumn("label", F.concat_ws("/", "iso3", "year", "shape_id"))
+    units = census.deepest(cat.read("census"), ("iso3", "year")).withColumn("label", F.concat_ws("/", "iso3", "year", "shape_id"))
     shapes = units.select("label", F.col("label").alias("ordinal"), "geometry", "minx", "miny", "maxx", "maxy", "iso3", "year")
     for version in versions:
-        pixels = long_view(cat.raw_predictions(resolution, version, time_point), cell).select(*CELL, "x", "y", "value")
+        tiles = cat.read("raked_predictions", resolution=resolution, version=version, time_point=time_point) if raked else cat.raw_predictions(resolution, version, time_point)
+        pixels = long_view(tiles, cell).select(*CELL, "x", "y", "value")
         inside = spatial_join.points_in(pixels, shapes, cell * JOIN_CELLS)
         one = inside.groupBy("iso3", "year", *CELL).agg(F.max("label").alias("label"), F.first("value").alias("value"))
         out = census.pixel_metrics(one, units.select("label", "shape_id", "iso3", F.col("year").cast("string").alias("year")))

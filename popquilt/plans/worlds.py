@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from popquilt.functions import keys as K
 from popquilt.functions import projections as P
 from popquilt.functions import semantics as S
-from popquilt.operators import allocate, census, model, raster, spatial_join, timeaxis
+from popquilt.operators import allocate, census, model, pixel_model, raster, spatial_join, timeaxis
 from popquilt.operators import geometry as G
+from popquilt.operators import polygons as PG
+from popquilt.operators import raking_population as R
 from popquilt.plans import inputs as I
 from popquilt.plans import stages
 from popquilt.plans.catalogue import _ALLOCATED, query, rounded
@@ -286,6 +288,63 @@ def linear_model_loss(spark, sf):
     return lines.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(F.abs(F.col("y") - fitted.output())), 2).alias("loss"))
 
 
+_SUPPLIED = """r AS (SELECT l_suppkey AS unit, l_quantity / 50 AS w, l_tax + 0.01 AS b, l_discount AS x, l_extendedprice FROM lineitem),
+u AS (SELECT unit, sum(w * b * 100) AS a, sum(w * b * 100 * x) AS c, sum(l_extendedprice) / 1e5 AS y FROM r GROUP BY 1)"""
+
+
+def _supplied(spark, sf) -> DataFrame:
+    """Lines as pixels of suppliers, which have people; all are training units."""
+    lines = I.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("unit"), F.lit("train").alias("split"), (F.col("l_quantity") / 50).alias("weight"), (F.col("l_tax") + 0.01).alias("built"), "l_discount", "l_extendedprice")
+    people = lines.groupBy("unit").agg((F.sum("l_extendedprice") / 1e5).alias("y"))
+    return lines.join(people, "unit").withColumn("odd", (F.col("unit") % 2).cast("double"))
+
+
+@query(f"""WITH {_SUPPLIED}, m AS (SELECT sum(a * a) AS aa, sum(a * c) AS ac, sum(c * c) AS cc, sum(a * y) AS ay, sum(c * y) AS cy FROM u)
+SELECT unit, round(y, 4) AS y, round(a * (ay * cc - cy * ac) / (aa * cc - ac * ac) + c * (cy * aa - ay * ac) / (aa * cc - ac * ac), 3) AS population FROM u, m""")
+def pixel_model_linear(spark, sf):
+    """Rates of pixels, linear in a feature of theirs, fitted to units' people: the normal equations' solution in the SQL."""
+    rows = _supplied(spark, sf)
+    fitted = pixel_model.fit(rows, "occupancy_rate", "population", ["l_discount"], "mse", area=100.0).model
+    return pixel_model.predictions(rows, "occupancy_rate", "population", fitted, 100.0).select("unit", F.round("y", 4).alias("y"), F.round("p", 3).alias("population"))
+
+
+@query(f"""WITH {_SUPPLIED}, m AS (SELECT unit % 2 AS o, sum(a * y) / sum(a * a) AS e FROM u GROUP BY 1) SELECT unit, round(y, 4) AS y, round(a * e, 3) AS population FROM u JOIN m ON o = unit % 2""")
+def pixel_model_exponential(spark, sf):
+    """Logarithms of rates fitted to units' people through the exponential: with an indicator of the unit, each kind of unit has a solution of its own."""
+    rows = _supplied(spark, sf)
+    fitted = pixel_model.fit(rows, "log_occupancy_rate", "population", ["odd"], "mse", area=100.0, tolerance=1e-14).model
+    return pixel_model.predictions(rows, "log_occupancy_rate", "population", fitted, 100.0).select("unit", F.round("y", 4).alias("y"), F.round("p", 3).alias("population"))
+
+
+@query("""WITH l AS (SELECT p_partkey AS location_id, p_partkey - p_partkey % 40 AS up FROM part) SELECT location_id, g.p_partkey AS ancestor_id FROM l LEFT JOIN part g ON g.p_partkey = up AND up % 80 = 0""")
+def long_climb(spark, sf):
+    """Chains of forty levels, of which each second one has a goal at its top."""
+    k = F.col("p_partkey")
+    parts = I.table(spark, sf, "part").select(k.alias("location_id"), F.when(k % 40 != 0, k - 1).alias("parent_id"))
+    return R.nearest_ancestor(parts.select("location_id"), parts, parts.filter("location_id % 80 = 0").select("location_id"))
+
+
+@query("""WITH u AS (SELECT c_custkey AS shape_id, 'N' || c_nationkey AS iso3, CAST(2000 + c_custkey % 3 * 10 AS INT) AS "year", CAST(c_custkey % (2 + (c_custkey % 3 + c_nationkey) % 3) AS INT) AS admin_level FROM customer)
+SELECT * FROM u WHERE admin_level = (SELECT max(admin_level) FROM u v WHERE v.iso3 = u.iso3 AND v."year" = u."year")""")
+def deepest_of_censuses(spark, sf):
+    """The deepest level of each census: a country's later one may be deeper than the one before."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    u = I.table(spark, sf, "customer").select(k.alias("shape_id"), F.concat(F.lit("N"), n.cast("string")).alias("iso3"), (2000 + k % 3 * 10).cast("int").alias("year"), (k % (2 + (k % 3 + n) % 3)).cast("int").alias("admin_level"))
+    return census.deepest(u, ("iso3", "year")).select("shape_id", "iso3", "year", "admin_level")
+
+
+@query(f"""WITH {_RAKED}, p AS (SELECT gx, value * factor AS v FROM labelled LEFT JOIN f USING (location_id)), u AS (SELECT 's' || k AS shape_id, '2020' AS "year", k * 20 AS a, k * 20 + 20 AS b FROM (SELECT unnest(range(12)) AS k) UNION ALL SELECT 'whole', '2010', 0, 200)
+SELECT shape_id, 'AAA' AS iso3, "year", round(coalesce((SELECT sum(v) FROM p WHERE gx >= a AND gx < b), 0), 1) AS population FROM u""")
+def raked_units(spark, sf):
+    """Raked pixels summed to the deepest units of two censuses, of which the later one is deeper."""
+    cat, version = _raked(spark, sf)
+    boxes = [(f"s{k}", "2020", 1, 20.0 * k, 20.0 * k + 20) for k in range(12)] + [("whole", "2010", 0, 0.0, 200.0), ("left out", "2020", 0, 0.0, 240.0)]
+    units = spark.createDataFrame([(s, "AAA", y, lev, bytearray(G.write_wkb(G.box(a, -1e5, b, 1e3)))) for s, y, lev, a, b in boxes], "shape_id string, iso3 string, year string, admin_level int, geometry binary")
+    cat.write(G.with_bounds(units), "census")
+    stages.metrics(cat, "100", [version], "2020q1")
+    return cat.read("raw_validation", version=version).select("shape_id", "iso3", F.col("year").cast("string").alias("year"), F.round("population", 1).alias("population"))
+
+
 # Filters and expressions
 
 
@@ -402,6 +461,55 @@ def hulls_and_parts(spark, sf):
     return s.select("shape_id", "area", F.size("p").alias("parts"), corners(F.element_at("p", 1)).alias("corners"))
 
 
+# Polygons made of parts
+
+
+def _ring(*points):
+    return F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in points))
+
+
+def _triangles(spark, sf) -> DataFrame:
+    """Halves of squares on whole numbers, below or above the falling diagonal."""
+    k, s = F.col("p_partkey"), 1 + F.col("p_size") % 6
+    x, y = (k * 7) % 60, (k * 13) % 50
+    low, high = _ring((x, y), (x + s, y), (x, y + s)), _ring((x + s, y), (x + s, y + s), (x, y + s))
+    p = I.table(spark, sf, "part").select((k % 20).alias("group"), F.when(k % 3 == 0, high).otherwise(low).alias("ring"))
+    return p.select("group", G.st_polygon("ring").alias("geometry"))
+
+
+@query("""WITH t AS (SELECT p_partkey % 20 AS g, p_partkey % 3 = 0 AS up, (p_partkey * 7) % 60 AS x, (p_partkey * 13) % 50 AS y, 1 + p_size % 6 AS s FROM part),
+c AS (SELECT *, unnest(range(0, s)) AS i FROM t), d AS (SELECT *, unnest(range(0, s)) AS j FROM c), h AS (SELECT *, unnest([0, 1]) AS half FROM d),
+n AS (SELECT DISTINCT g, x + i AS a, y + j AS b, half FROM h WHERE CASE WHEN up THEN i + j + half >= s ELSE i + j + half + 1 <= s END)
+SELECT g AS "group", round(count(*) / 2.0, 4) AS area FROM n GROUP BY 1""")
+def dissolved_triangles(spark, sf):
+    """Overlapping and touching triangles as one polygon a group: half squares that any of them covers, counted in the SQL."""
+    out = PG.union(_triangles(spark, sf), ["group"], 16.0)
+    return out.select("group", F.round(G.st_area("geometry"), 4).alias("area"))
+
+
+@query("""SELECT p_partkey, round(CASE p_partkey % 3 WHEN 0 THEN w * h / 2 ELSE w * h END, 4) AS area, p_partkey % 3 <> 2 AS faulty
+FROM (SELECT p_partkey, 1.0 + p_size AS w, 2.0 + p_partkey % 7 AS h FROM part)""")
+def repaired_shapes(spark, sf):
+    """Boxes whose ring crosses itself, boxes with a spike, and valid ones."""
+    k = F.col("p_partkey")
+    x, y, w, h = k % 100, F.floor(k / 100) * 1.0, 1.0 + F.col("p_size"), 2.0 + k % 7
+    tie, spike, plain = _ring((x, y), (x + w, y + h), (x + w, y), (x, y + h)), _ring((x, y), (x + w, y), (x + w + 3, y), (x + w, y), (x + w, y + h), (x, y + h)), _ring((x, y), (x + w, y), (x + w, y + h), (x, y + h))
+    p = I.table(spark, sf, "part").select(k, F.when(k % 3 == 0, tie).when(k % 3 == 1, spike).otherwise(plain).alias("ring"))
+    p = p.select("p_partkey", G.st_polygon("ring").alias("geometry"))
+    wrong = PG.faults(p, ["p_partkey"], 32.0).select("p_partkey", F.lit(True).alias("faulty")).distinct()
+    done = PG.repaired(p, ["p_partkey"], 32.0).select("p_partkey", F.round(G.st_area("geometry"), 4).alias("area"))
+    return done.join(wrong, "p_partkey", "left").select("p_partkey", "area", F.coalesce("faulty", F.lit(False)).alias("faulty"))
+
+
+@query(f"""SELECT p_partkey, round(w * h + 2 * (w + h) * 0.75 + {PG.ROUND} / 2 * sin(2 * pi() / {PG.ROUND}) * 0.75 ** 2, 3) AS area FROM (SELECT p_partkey, 1.0::double + p_size AS w, 2.0::double + p_partkey % 7 AS h FROM part)""")
+def buffered_boxes(spark, sf):
+    """Boxes grown by a distance: the box, a strip along each side, and a circle in four quarters."""
+    k = F.col("p_partkey")
+    w, h = 1.0 + F.col("p_size"), 2.0 + k % 7
+    p = I.table(spark, sf, "part").select(k, G.st_box(F.lit(0.0), F.lit(0.0), w, h).alias("geometry"))
+    return PG.buffered(p, ["p_partkey"], 0.75, 64.0).select("p_partkey", F.round(G.st_area("geometry"), 3).alias("area"))
+
+
 def _segment(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
     """Squared distance of a point and a segment in SQL."""
     t = f"greatest(0, least(1, (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / (({bx} - {ax}) ** 2 + ({by} - {ay}) ** 2)))"

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -52,3 +52,11 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.master.startswith("local"):
         return tempfile.mkdtemp(prefix="popquilt-")
     raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read from there from now on; Spark removes it when it is no longer used."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

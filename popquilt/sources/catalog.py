@@ -117,6 +117,9 @@ class Catalog:
         for k, v in keys.items():
             df = df.withColumn(k, F.lit(v))
         by = [c for c in TABLES[table] if c in df.columns]
+        if dealt := [c for c in by if c not in keys]:
+            # Rows of a partition meet, so that it gets few files; Spark splits large partitions and joins small ones.
+            df = df.hint("rebalance", *dealt)
         if {"minx", "miny"} <= set(df.columns):
             df = df.sortWithinPartitions(*by, "minx", "miny")
         elif sort:
