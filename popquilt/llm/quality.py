@@ -180,7 +180,7 @@ def fit_labels(counts: dict[str, int], rounds: int = 50, false_alarms: float = 0
         minus, cast = (at == 1).T @ share, (at > 0).T @ share
         prior = belief * cast.sum(1)
         alarm = np.stack([(minus[:, 0] + 1) / (cast[:, 0] + 4), (minus[:, 1] + false_alarms * (prior + 1)) / (cast[:, 1] + prior + 1)], axis=1)
-        model = LabelModel(float(np.clip((share[:, 0].sum() + 1) / (weight.sum() + 10), 1e-3, 0.5)), alarm.clip(1e-4, 0.999))
+        model = LabelModel(float(np.clip((share[:, 0].sum() + 1) / (weight.sum() + 10), 1e-3, 0.999)), alarm.clip(1e-4, 0.999))
         good = 1 / (1 + np.exp(-model.log_odds(at)))
     return model
 
@@ -293,11 +293,13 @@ def _good(least: float, votes: str = "votes", score: str = "score"):
 def good_documents(docs: DataFrame, least: float = 0.8, sample: int = 3000) -> DataFrame:
     """The documents that the scorer finds good, and those too short for any vote unless they are blank.
 
-    Each row is judged by its own text, also where rows share a doc_id.
+    Blank texts are null, empty, or of white space (0x20 and 0x09 to 0x0D) alone. Each row is
+    judged by its own text, also where rows share a doc_id; an empty table gives no rows, and
+    columns that clash with the scorer's names stay as they are.
     """
     votes, posterior, score = (fresh(c, docs.columns) for c in ("votes", "posterior", "quality_score"))
     found = predict(docs, *fit(docs, sample), (votes, posterior, score))
-    short = ~F.col(votes).rlike("[+-]") & (F.length(F.trim("text")) > 0)
+    short = ~F.col(votes).rlike("[+-]") & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return found.filter(_good(least, votes, score) | short).select(*docs.columns)
 
 

@@ -253,7 +253,7 @@ def test_long_hosts_are_read_in_proportion(spark):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
 @pytest.mark.parametrize("name", ["secret_counts", "media_payloads", "given_url_rules"])
