@@ -7,7 +7,7 @@ A tile table has one row per chunk (see ``sources.schemas.RASTER_TILE``); the lo
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -155,20 +155,35 @@ def average_tiles(tiles: DataFrame, resolution: float, radius: float, kind: str
 def average_with_neighbours(tiles: DataFrame, cell: float, radius: float, kind: str = "gaussian") -> DataFrame:
     """Neighbourhood average of tiles (with their transform), across the edges of tiles and blocks.
 
-    A tile goes whole to its own group and in strips to its neighbours' as far as the kernel
-    reaches; a group holds one tile and its margin. All tiles are of one size and lie on one
-    grid. Beyond the outermost tiles it is empty. Each block's least average is taken off;
-    what is then under the threshold is 0.
+    Missing cells and what is beyond the outermost tiles count as 0. Each block's least
+    average is taken off; what is then under the threshold is 0.
     """
     w = kernel(cell, radius, kind)
     r = len(w) // 2
+    mean = neighbourhoods(tiles, r, lambda wide: convolve(np.nan_to_num(wide), w)[r : len(wide) - r, r : wide.shape[1] - r])
+    least = F.min(F.array_min("_made")).over(Window.partitionBy("block_key"))
+    data = F.transform("_made", lambda v: suppress_noise(v - F.col("_least"), AVERAGE_NOISE).cast("float"))
+    return mean.withColumn("_least", least).select("block_key", "chunk_row", "chunk_col", "height", "width", data.alias("data"))
+
+
+def neighbourhoods(tiles: DataFrame, reach: int, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(block_key, chunk_row, chunk_col, height, width, _made): what ``work`` makes of each tile with a margin of ``reach`` cells.
+
+    A tile goes whole to its own group and in strips to its neighbours' as far as the margin
+    reaches; a group holds one tile and its margin. All tiles are of one size and lie on one
+    grid, by their transform. Missing cells and what is beyond the outermost tiles are NaN.
+    """
+    r = reach
     part = T.StructType.fromDDL("_ty long, _tx long, _top int, _left int, _h int, _w int, height int, width int, block_key string, chunk_row int, chunk_col int, _part array<double>")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tile in (row for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
+            lists = batch.column("data")
+            place = lists.offsets.to_numpy()
+            values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            for k, tile in enumerate(batch.drop_columns(["data"]).to_pylist()):
                 h, n = tile["height"], tile["width"]
-                a = np.nan_to_num(np.array(tile["data"], dtype=np.float64).reshape(h, n))
+                a = values[place[k] : place[k + 1]].reshape(h, n)
                 x0, dx, y0, dy = tile["transform"]
                 ty, tx, rows = round(y0 / dy) // h, round(x0 / dx) // n, []
                 for oy in range(-(-(-r // h)) if r else 0, (-(-r // h)) + 1):
@@ -182,24 +197,22 @@ def average_with_neighbours(tiles: DataFrame, cell: float, radius: float, kind:
                         rows.append((ty + oy, tx + ox, top + y.start, left + x.start, *piece.shape, h, n, *((tile[c] if own else None) for c in ("block_key", "chunk_row", "chunk_col")), piece.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), to_arrow_schema(part))], schema=to_arrow_schema(part))
 
-    out = T.StructType.fromDDL("block_key string, chunk_row int, chunk_col int, height int, width int, _mean array<double>")
+    out = T.StructType.fromDDL("block_key string, chunk_row int, chunk_col int, height int, width int, _made array<double>")
 
     def gather(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
+        rows, parts = group.drop_columns(["_part"]).to_pylist(), group.column("_part")
         own = [x for x in rows if x["block_key"] is not None]
         if not own:
             return to_arrow_schema(out).empty_table()
         h, n = own[0]["height"], own[0]["width"]
-        wide = np.zeros((h + 2 * r, n + 2 * r))
-        for x in rows:
-            wide[x["_top"] : x["_top"] + x["_h"], x["_left"] : x["_left"] + x["_w"]] = np.reshape(x["_part"], (x["_h"], x["_w"]))
-        mean = convolve(wide, w)[r : r + h, r : r + n]
-        return pa.Table.from_pylist([{k: own[0][k] for k in ("block_key", "chunk_row", "chunk_col", "height", "width")} | {"_mean": mean.ravel()}], schema=to_arrow_schema(out))
-
-    mean = tiles.select("block_key", "chunk_row", "chunk_col", "height", "width", "transform", "data").mapInArrow(spread, part).groupBy("_ty", "_tx").applyInArrow(gather, out)
-    least = F.min(F.array_min("_mean")).over(Window.partitionBy("block_key"))
-    data = F.transform("_mean", lambda v: suppress_noise(v - F.col("_least"), AVERAGE_NOISE).cast("float"))
-    return mean.withColumn("_least", least).select("block_key", "chunk_row", "chunk_col", "height", "width", data.alias("data"))
+        wide = np.full((h + 2 * r, n + 2 * r), np.nan)
+        for x, piece in zip(rows, parts):
+            wide[x["_top"] : x["_top"] + x["_h"], x["_left"] : x["_left"] + x["_w"]] = piece.values.to_numpy(zero_copy_only=False).reshape(x["_h"], x["_w"])
+        made = pa.ListArray.from_arrays(pa.array([0, h * n], pa.int32()), pa.array(work(wide).ravel()))
+        keys = [pa.array([own[0][c]], to_arrow_schema(out).field(c).type) for c in ("block_key", "chunk_row", "chunk_col", "height", "width")]
+        return pa.Table.from_arrays([*keys, made.cast(to_arrow_schema(out).field("_made").type)], schema=to_arrow_schema(out))
+
+    return tiles.select("block_key", "chunk_row", "chunk_col", "height", "width", "transform", F.col("data").cast("array<double>").alias("data")).mapInArrow(spread, part).groupBy("_ty", "_tx").applyInArrow(gather, out)
 
 
 def with_halo(long: DataFrame, blocks: DataFrame, size: int, halo: int) -> DataFrame:
@@ -307,8 +320,8 @@ def last_wins(labels: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ("bloc
 def fill_nearest(tiles: DataFrame, distance: int = 100) -> DataFrame:
     """Tiles whose missing cells take the nearest known cell's value, up to a distance in cells.
 
-    Tiles have height, width and data; other columns stay. Rings of growing distance, one
-    tile in memory.
+    Tiles have height, width and data; other columns stay. Each tile is filled from itself
+    (see ``fill_across``); one is in memory at a time.
     """
     schema = ", ".join(f"`{c}` {t}" for c, t in tiles.withColumn("data", F.col("data").cast("array<float>")).dtypes)
 
@@ -319,25 +332,109 @@ def fill_nearest(tiles: DataFrame, distance: int = 100) -> DataFrame:
     return tiles.mapInPandas(run, schema)
 
 
-def nearest_fill(a: np.ndarray, distance: int) -> np.ndarray:
-    """Offsets in order of distance, then row, then column; the first known value wins."""
-    out, todo = a.copy(), np.isnan(a)
-    if todo.all():
-        return out
+def fill_across(tiles: DataFrame, distance: int = 100, how: str = "interpolate") -> DataFrame:
+    """Tiles (with their transform) whose missing cells are filled from known ones up to a distance in cells, also in neighbouring tiles.
+
+    ``interpolate`` takes the nearest known cell of each quadrant, weighted by 1 / distance;
+    ``nearest`` the nearest one, by row and then column where several are as near. Cells with
+    nothing known in reach stay NaN.
+    """
+    fill = {"interpolate": interpolated_fill, "nearest": nearest_fill}.get(how)
+    if fill is None:
+        raise ValueError(f"unknown way to fill {how!r}")
+    r = distance
+    made = neighbourhoods(tiles, r, lambda wide: fill(wide, r, (slice(r, len(wide) - r), slice(r, wide.shape[1] - r))))
+    place = ["block_key", "chunk_row", "chunk_col"]
+    return tiles.drop("data").join(made.select(*place, F.col("_made").cast("array<float>").alias("data")), place).select(*tiles.columns)
+
+
+def _known_rows(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell how many rows above it (0 for its own) and below it (1 or more) the nearest known cell of its column is; a large number for none."""
+    far = 1 << 20
+    rows = np.arange(len(a))[:, None]
+    known = ~np.isnan(a)
+    above = rows - np.maximum.accumulate(np.where(known, rows, -far), axis=0)
+    below = np.minimum.accumulate(np.where(known, rows, 2 * far)[::-1], axis=0)[::-1] - rows
+    below = np.vstack([below[1:] + 1, np.full((1, a.shape[1]), far)]) if len(a) else below
+    return np.minimum(above, far), np.minimum(below, far)
+
+
+def _shifts(width: int, part: slice, dx: int) -> tuple[slice, slice]:
+    """Columns of a part that have a column dx to their right (left, if negative) in the whole, and these columns."""
+    first, last = max(part.start, -dx), min(part.stop, width - dx)
+    return slice(first - part.start, max(first, last) - part.start), slice(first + dx, max(first, last) + dx)
+
+
+def nearest_fill(a: np.ndarray, distance: int, part: tuple[slice, slice] | None = None) -> np.ndarray:
+    """Missing cells with the nearest known value, by distance, then row, then column; of the whole or a part of it.
+
+    Two passes: down and up the columns for the nearest known row, and along the rows for the
+    column whose known row is nearest, so that the work is cells times distance.
+    """
     h, w = a.shape
-    d = min(distance, max(h, w))
-    offsets = sorted((y * y + x * x, y, x) for y in range(-d, d + 1) for x in range(-d, d + 1) if 0 < y * y + x * x <= distance * distance)
-    for _, dy, dx in offsets:
-        rows, cols = np.nonzero(todo)
-        if not len(rows):
+    rows, cols = part or (slice(0, h), slice(0, w))
+    out = a[rows, cols].copy()
+    todo = np.isnan(out)
+    if not todo.any() or np.isnan(a).all():
+        return out
+    above, below = (x[rows].astype(np.int64) for x in _known_rows(a))
+    up = above <= below  # the upper one of two as near
+    near = np.where(up, above, below)
+    # Squared distance, row and column in one number, so that the least is the first in order; distances are below 2^14.
+    reach = near <= distance
+    key = (np.where(reach, near * near, distance * distance + 1) << 34) + (np.where(reach, np.where(up, -near, near), 0) + (1 << 16) << 17) + (1 << 16)
+    best = np.full(out.shape, np.iinfo(np.int64).max)
+    worst = distance * distance
+    for step in range(min(distance, w) + 1):
+        if step * step > worst:
             break
-        y, x = rows + dy, cols + dx
-        ok = (y >= 0) & (y < h) & (x >= 0) & (x < w)
-        v = np.full(len(rows), np.nan)
-        v[ok] = a[y[ok], x[ok]]
-        hit = ~np.isnan(v)
-        out[rows[hit], cols[hit]] = v[hit]
-        todo[rows[hit], cols[hit]] = False
+        for dx in {step, -step}:
+            here, there = _shifts(w, cols, dx)
+            if here.start < here.stop:
+                best[:, here] = np.minimum(best[:, here], key[:, there] + (dx * dx << 34) + dx)
+        if step % 8 == 7:
+            worst = min(worst, int((best[todo] >> 34).max()))
+    found = todo & (best >> 34 <= distance * distance)
+    y, x = np.nonzero(found)
+    b = best[found]
+    out[y, x] = a[y + rows.start + (b >> 17 & 0x1FFFF) - (1 << 16), x + cols.start + (b & 0x1FFFF) - (1 << 16)]
+    return out
+
+
+def interpolated_fill(a: np.ndarray, distance: int, part: tuple[slice, slice] | None = None) -> np.ndarray:
+    """Missing cells with the mean, weighted by 1 / distance, of the nearest known cells of the four quadrants; of the whole or a part of it.
+
+    A cell's own column belongs to the left quadrants and its own row to the upper ones; of
+    cells as near, the one in the nearer column counts.
+    """
+    h, w = a.shape
+    rows, cols = part or (slice(0, h), slice(0, w))
+    out = a[rows, cols].copy()
+    todo = np.isnan(out)
+    if not todo.any() or np.isnan(a).all():
+        return out
+    at = np.arange(rows.start, rows.stop)[:, None]
+    value, weight = np.zeros(out.shape), np.zeros(out.shape)
+    for side, (gap, sign) in ((s, g) for s in (-1, 1) for g in zip(_known_rows(a), (-1, 1))):
+        gap = gap[rows].astype(np.int64)
+        own = a[np.clip(at + sign * gap, 0, h - 1), np.arange(w)]
+        square = gap * gap
+        nearest, held = np.full(out.shape, distance * distance + 1), np.zeros(out.shape)
+        for step in range(0 if side < 0 else 1, min(distance, w) + 1):
+            here, there = _shifts(w, cols, side * step)
+            if here.start < here.stop:
+                d = square[:, there] + step * step
+                closer = d < nearest[:, here]
+                np.copyto(nearest[:, here], d, where=closer)
+                np.copyto(held[:, here], own[:, there], where=closer)
+            if step % 8 == 7 and step * step >= nearest[todo].max():
+                break
+        hit = nearest <= distance * distance
+        share = np.where(hit & todo, 1 / np.sqrt(np.maximum(nearest, 1)), 0.0)
+        value += share * held
+        weight += share
+    filled = todo & (weight > 0)
+    out[filled] = value[filled] / weight[filled]
     return out
 
 

@@ -135,12 +135,12 @@ def features(cat: Catalog, resolution: str, built_version: str, height: str | No
             cat.link(resolution, f"{v.name}_{m}", row["time_point"], f"{v.name}_{m}", row["copy_of"])
 
 
-def night_lights(cat: Catalog, resolution: str, time_points: list[str], distance: int = 100) -> None:
-    """Night lights of each time point's nearest year; missing cells take the nearest light within ``distance`` cells, else none."""
+def night_lights(cat: Catalog, resolution: str, time_points: list[str], distance: int = 100, how: str = "interpolate") -> None:
+    """Night lights of each time point's nearest year; missing cells are filled from lights within ``distance`` cells, also across tiles, else none."""
     for t in time_points:
         tiles = cat.night_lights(resolution, int(t[:4]))
         absent = lambda v: F.when(F.isnan(v) | (v == F.coalesce("nodata", F.lit(NAN))), F.lit(NAN)).otherwise(F.coalesce(v, F.lit(NAN)))
-        tiles = raster.fill_nearest(tiles.withColumn("data", F.transform("data", lambda v: absent(v.cast("double")))), distance)
+        tiles = raster.fill_across(tiles.withColumn("data", F.transform("data", lambda v: absent(v.cast("double")))), distance, how)
         light = raster.night_lights(long_view(tiles, cell_size(cat)).select(*CELL, "value")).select(*CELL, "value")
         cat.write(as_tiles(light, tiles), "features", resolution=resolution, feature="nighttime_lights", time_point=t)
 

@@ -179,17 +179,34 @@ def averages_across_blocks(spark, sf):
 
 
 @query(f"""WITH {GRID}, h AS (SELECT * FROM world WHERE value >= 0.2),
-x AS (SELECT k.vec_id, k."row", k.col, k.value, arg_min(h.value, ((h."row" - k."row") ** 2 + (h.col - k.col) ** 2, h."row" - k."row", h.col - k.col)) AS near_ FROM world k LEFT JOIN h
-  ON h.vec_id = k.vec_id AND (h."row" - k."row") ** 2 + (h.col - k.col) ** 2 <= 4 GROUP BY ALL)
+o AS (SELECT unnest(range(-2, 3)) AS dx), n AS (SELECT o.dx, p.dx AS dy FROM o, o p WHERE o.dx ** 2 + p.dx ** 2 <= 4),
+x AS (SELECT k.vec_id, k."row", k.col, k.value, arg_min(h.value, (dx ** 2 + dy ** 2, dy, dx)) FILTER (h.value IS NOT NULL) AS near_ FROM world k CROSS JOIN n LEFT JOIN h ON h.gx = k.gx + dx AND h.gy = k.gy + dy GROUP BY ALL)
 SELECT vec_id, "row", col, round(coalesce(CASE WHEN value >= 0.2 THEN value ELSE near_ END, 0), 3) AS value FROM x""")
 def filled_night_lights(spark, sf):
-    """Night lights as the stage makes them: gaps take the nearest light within two cells, and what is left is dark."""
+    """Night lights as the stage makes them: gaps take the nearest light within two cells, in their own block or the next, and what is left is dark."""
+    return _filled(spark, sf, 2, "nearest").withColumn("value", F.round("value", 3))
+
+
+def _filled(spark, sf, distance: int, how: str) -> DataFrame:
     cat = new_catalog(spark)
     some = F.transform("data", lambda v: F.when(F.round(v.cast("double"), 3) < 0.2, -1.0).otherwise(v.cast("double")).cast("float"))
     cat.write(block_tiles(spark, sf).withColumn("data", some), "tiles", resolution="100", provider="nightlights", time_point="2022q1")
-    stages.night_lights(cat, "100", ["2024q3"], distance=2)
+    stages.night_lights(cat, "100", ["2024q3"], distance=distance, how=how)
     p = raster.pixels(cat.feature("100", "nighttime_lights", "2024q3"))
-    return p.select(vec_id(), "row", "col", F.round("value", 3).alias("value"))
+    return p.select(vec_id(), "row", "col", "value")
+
+
+@query(f"""WITH {GRID}, h AS (SELECT * FROM world WHERE value >= 0.2),
+o AS (SELECT unnest(range(-3, 4)) AS d), n AS (SELECT o.d AS dx, p.d AS dy, o.d ** 2 + p.d ** 2 AS far, (CASE WHEN o.d > 0 THEN 1 ELSE 0 END) + (CASE WHEN p.d > 0 THEN 2 ELSE 0 END) AS quadrant FROM o, o p WHERE o.d ** 2 + p.d ** 2 <= 9),
+q AS (SELECT k.vec_id, k."row", k.col, quadrant, arg_min(h.value, (far, abs(dx))) AS v, min(far) AS far FROM world k CROSS JOIN n JOIN h ON h.gx = k.gx + dx AND h.gy = k.gy + dy WHERE k.value < 0.2 GROUP BY ALL),
+f AS (SELECT vec_id, "row", col, sum(v / sqrt(far)) / sum(1 / sqrt(far)) AS v FROM q GROUP BY ALL)
+SELECT vec_id, "row", col, round(0.7071067812::double * CASE WHEN value >= 0.2 THEN value ELSE coalesce(v, 0) END, 2) AS value FROM world LEFT JOIN f USING (vec_id, "row", col)""")
+def interpolated_night_lights(spark, sf):
+    """Gaps take the mean of the nearest lights of four quadrants within three cells, weighted by 1 / distance, also across blocks.
+
+    Stored values have seven digits, so that they are rounded to two, off the halves of a digit that means of a few are.
+    """
+    return _filled(spark, sf, 3, "interpolate").withColumn("value", F.round(0.7071067812 * F.col("value"), 2))
 
 
 # The model's stages
