@@ -315,6 +315,11 @@ def st_polygon(ring: pd.Series) -> pd.Series:
     return ring.map(lambda points: None if points is None else write_wkb([[np.array([(p["x"], p["y"]) for p in points], float)]]))
 
 
+def count_corners(wkb: pd.Series) -> pd.Series:
+    """Corners of all rings."""
+    return wkb.map(lambda g: None if g is None else sum(len(r) for rings in read_wkb(g) for r in rings))
+
+
 def with_bounds(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     """Adds minx, miny, maxx and maxy as columns, which Parquet keeps statistics of."""
     return df.withColumn("_b", st_bounds(geometry)).select(*df.columns, "_b.*")

@@ -49,14 +49,17 @@ def extrapolated(t: Column, first: Column, last: Column) -> Column:
     return F.when(time_value(t) < time_value(first), first).when(time_value(t) > time_value(last), last).otherwise(t)
 
 
-def strategies(spark: SparkSession) -> DataFrame:
-    """(version, time_point, strategy, source_first, source_last): how each version gives each time point.
+def strategies(spark: SparkSession, wanted: DataFrame | None = None) -> DataFrame:
+    """(version, time_point, strategy, copy_of): how each version gives each time point, or each of those wanted (a column time_point).
 
     ``process`` what is in the version, ``interpolate`` what is between two of its points,
     ``skip`` what is beyond; a skipped point is a copy of the first or last slice.
     """
-    rows = [(v.name, t, t in v.time_points, v.time_points[0], v.time_points[-1]) for v in BUILT_VERSIONS.values() for t in ALL_TIME_POINTS]
-    grid = spark.createDataFrame(rows, "version string, time_point string, known boolean, first string, last string")
+    if wanted is None:
+        wanted = spark.createDataFrame([(t,) for t in ALL_TIME_POINTS], "time_point string")
+    versions = spark.createDataFrame([(v.name, list(v.time_points), v.time_points[0], v.time_points[-1]) for v in BUILT_VERSIONS.values()], "version string, points array<string>, first string, last string")
+    grid = wanted.select("time_point").distinct().crossJoin(F.broadcast(versions))  # a row for each version
+    grid = grid.withColumn("known", F.array_contains("points", F.col("time_point")))
     t = time_value(F.col("time_point"))
     outside = (t < time_value(F.col("first"))) | (t > time_value(F.col("last")))
     strategy = F.when(F.col("known"), "process").when(outside, "skip").otherwise("interpolate")

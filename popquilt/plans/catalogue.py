@@ -189,13 +189,22 @@ _VERSION_ROWS = ", ".join(f"('{v.name}', '{t}')" for v in BUILT_VERSIONS.values(
 _TIME_ROWS = ", ".join(f"('{t}')" for t in ALL_TIME_POINTS)
 
 
-@query(f"""WITH v(version, t) AS (VALUES {_VERSION_ROWS}), a(time_point) AS (VALUES {_TIME_ROWS}),
+#: Quarters of orders, moved to where the versions are.
+_ORDERED = "SELECT DISTINCT year(o_orderdate) + 3 * (o_custkey % 13) || 'q' || quarter(o_orderdate) AS time_point FROM orders"
+
+
+def _ordered(spark, sf):
+    d = F.col("o_orderdate")
+    return I.table(spark, sf, "orders").select(K.time_point((F.year(d) + 3 * (F.col("o_custkey") % 13)).cast("int"), F.quarter(d)).alias("time_point")).distinct()
+
+
+@query(f"""WITH v(version, t) AS (VALUES {_VERSION_ROWS}), a AS ({_ORDERED}),
 b AS (SELECT version, min(t) AS lo, max(t) AS hi FROM v GROUP BY 1)
 SELECT b.version, time_point, CASE WHEN v.t IS NOT NULL THEN 'process' WHEN time_point < lo OR time_point > hi THEN 'skip' ELSE 'interpolate' END AS strategy,
   CASE WHEN time_point < lo THEN lo WHEN time_point > hi THEN hi END AS copy_of
 FROM b CROSS JOIN a LEFT JOIN v ON v.version = b.version AND v.t = time_point""")
 def time_strategies(spark, sf):
-    return timeaxis.strategies(spark)
+    return timeaxis.strategies(spark, _ordered(spark, sf))
 
 
 @query(f"""WITH a(time_point) AS (VALUES {_TIME_ROWS}), o AS (SELECT DISTINCT year(o_orderdate) || 'q' || quarter(o_orderdate) AS t FROM orders WHERE quarter(o_orderdate) < 3),
@@ -208,14 +217,14 @@ def prediction_times(spark, sf):
     return timeaxis.prediction_time(spark.createDataFrame([(t,) for t in ALL_TIME_POINTS], "time_point string"), have)
 
 
-@query(f"""WITH v(version, t) AS (VALUES {_VERSION_ROWS}), a(time_point) AS (VALUES {_TIME_ROWS}),
+@query(f"""WITH v(version, t) AS (VALUES {_VERSION_ROWS}), a AS ({_ORDERED}),
 n AS (SELECT version, t, lead(t) OVER (PARTITION BY version ORDER BY t) AS u FROM v),
 f AS (SELECT *, CAST(time_point[1:4] AS INT) + (CAST(time_point[6:6] AS INT) - 1) / 4.0::double AS x, CAST(t[1:4] AS INT) + (CAST(t[6:6] AS INT) - 1) / 4.0::double AS a0, CAST(u[1:4] AS INT) + (CAST(u[6:6] AS INT) - 1) / 4.0::double AS a1
   FROM n JOIN a ON time_point >= t AND (u IS NULL OR time_point < u))
 SELECT version, time_point, t AS t_from, u AS t_to, round(CASE WHEN u IS NULL OR x = a0 THEN 1 ELSE (a1 - x) / (a1 - a0) END, 6) AS weight FROM f""")
 def time_weights(spark, sf):
     known = spark.createDataFrame([(v.name, t) for v in BUILT_VERSIONS.values() for t in v.time_points], "version string, time_point string")
-    wanted = spark.createDataFrame([(v, t) for v in BUILT_VERSIONS for t in ALL_TIME_POINTS], "version string, time_point string")
+    wanted = _ordered(spark, sf).crossJoin(F.broadcast(spark.createDataFrame([(v,) for v in BUILT_VERSIONS], "version string")))
     return timeaxis.weights(wanted, known, ["version"]).select("version", "time_point", "t_from", "t_to", F.round("weight", 6).alias("weight"))
 
 
@@ -470,18 +479,19 @@ def label_last_wins(spark, sf):
     return spatial_join.labelled(I.points(spark, sf), I.shapes(spark), 50.0, ["p_partkey"], "ordinal", "shape_id").select("p_partkey", "shape_id")
 
 
-@query(f"""WITH {I.edges_sql()}, b AS (SELECT shape_id, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM edges GROUP BY 1),
-c AS (SELECT unnest(range(-1, 10)) AS cx), r AS (SELECT unnest(range(0, 200)) AS cy),
-o AS (SELECT shape_id, cx AS grid_col, cy AS grid_row, greatest(0, least(x1, cx * 12.5 + 12.5) - greatest(x0, cx * 12.5)) * greatest(0, least(y1, cy * 12.5 + 12.5) - greatest(y0, cy * 12.5)) AS a FROM b, c, r)
+@query(f"""WITH {I.PART_EDGES}, c AS (SELECT *, unnest(range(CAST(floor(minx / 12.5) AS BIGINT), CAST(floor(maxx / 12.5) AS BIGINT) + 1)) AS cx FROM bounds),
+r AS (SELECT *, unnest(range(CAST(floor(miny / 12.5) AS BIGINT), CAST(floor(maxy / 12.5) AS BIGINT) + 1)) AS cy FROM c),
+o AS (SELECT shape_id, cx AS grid_col, cy AS grid_row, greatest(0, least(maxx, cx * 12.5 + 12.5) - greatest(minx, cx * 12.5)) * greatest(0, least(maxy, cy * 12.5 + 12.5) - greatest(miny, cy * 12.5)) AS a FROM r)
 SELECT shape_id, grid_col, grid_row, round(a, 6) AS isection_area FROM o WHERE a > 0""")
 def overlay_areas(spark, sf):
-    return rounded(spatial_join.overlay(I.shapes(spark, boxes=True), 12.5).select("shape_id", "grid_col", "grid_row", "isection_area"), 6)
+    """The bounds of parts' polygons cut by a grid."""
+    boxes = G.with_bounds(I.part_shapes(spark, sf)).withColumn("geometry", G.st_box("minx", "miny", "maxx", "maxy"))
+    return rounded(spatial_join.overlay(boxes, 12.5).select("shape_id", "grid_col", "grid_row", "isection_area"), 6)
 
 
-@query(f"""WITH {I.edges_sql()} SELECT shape_id, round(abs(sum(ax * by_ - bx * ay)) / 2, 4) AS area, min(ax) AS minx, max(ay) AS maxy FROM edges GROUP BY 1""")
+@query(f"""WITH {I.PART_EDGES} SELECT shape_id, round(abs(sum(ax * by_ - bx * ay)) / 2, 4) AS area, min(ax) AS minx, max(ay) AS maxy FROM edges GROUP BY 1""")
 def shape_areas(spark, sf):
-    g = I.shapes(spark).drop("minx", "miny", "maxx", "maxy")
-    return G.with_bounds(g).select("shape_id", F.round(G.st_area("geometry"), 4).alias("area"), "minx", "maxy")
+    return G.with_bounds(I.part_shapes(spark, sf)).select("shape_id", F.round(G.st_area("geometry"), 4).alias("area"), "minx", "maxy")
 
 
 @query(f"""WITH {I.edges_sql()}, b AS (SELECT shape_id, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM edges GROUP BY 1),

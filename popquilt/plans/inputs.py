@@ -138,6 +138,30 @@ def edges_sql() -> str:
     return f"edges(shape_id, ordinal, ax, ay, bx, by_) AS (VALUES {', '.join(rows)})"
 
 
+def part_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """A polygon for each part: a box, a triangle, or a box with a notch."""
+    from popquilt.operators import geometry as G
+
+    k, s = F.col("p_partkey"), F.col("p_size")
+    x, y, w, h = (k % 97) * 1.5, s * 2.0 + k % 7, 5.0 + s % 11, 4.0 + k % 13
+
+    def ring(*points):
+        return F.array(*(F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")) for a, b in points))
+
+    box, triangle = ring((x, y), (x + w, y), (x + w, y + h), (x, y + h)), ring((x, y), (x + w, y), (x + w / 2, y + h))
+    notched = ring((x, y), (x + w, y), (x + w, y + h), (x + w / 2, y + h / 4), (x, y + h))
+    rings = table(spark, sf, "part").select(k.alias("shape_id"), F.when(k % 3 == 0, box).when(k % 3 == 1, triangle).otherwise(notched).alias("ring"))
+    return rings.select("shape_id", G.st_polygon("ring").alias("geometry"))
+
+
+#: The same polygons' edges.
+PART_EDGES = """pc AS (SELECT p_partkey AS shape_id, p_partkey % 97 * 1.5::double AS x, p_size * 2.0::double + p_partkey % 7 AS y, 5.0::double + p_size % 11 AS w, 4.0::double + p_partkey % 13 AS h FROM part),
+pr AS (SELECT *, CASE shape_id % 3 WHEN 0 THEN [[x, y], [x + w, y], [x + w, y + h], [x, y + h]] WHEN 1 THEN [[x, y], [x + w, y], [x + w / 2, y + h]]
+  ELSE [[x, y], [x + w, y], [x + w, y + h], [x + w / 2, y + h / 4], [x, y + h]] END AS ring FROM pc),
+pn AS (SELECT *, unnest(range(1, len(ring) + 1)) AS i FROM pr),
+edges AS (SELECT shape_id, ring[i][1] AS ax, ring[i][2] AS ay, ring[i % len(ring) + 1][1] AS bx, ring[i % len(ring) + 1][2] AS by_ FROM pn),
+bounds AS (SELECT shape_id, min(ax) AS minx, max(ax) AS maxx, min(ay) AS miny, max(ay) AS maxy FROM edges GROUP BY 1)"""
+
 INSIDE = """inside AS (
   SELECT p_partkey, x, y, shape_id, ordinal FROM pts JOIN edges ON true
   GROUP BY ALL HAVING sum(CASE WHEN (ay > y) <> (by_ > y) AND ay <> by_ AND x < (bx - ax) * (y - ay) / nullif(by_ - ay, 0) + ax THEN 1 ELSE 0 END) % 2 = 1)"""

@@ -449,32 +449,35 @@ def web_mercator(spark, sf):
 
 
 #: The area of a polygon within a cell: along each edge in the cell's band of y, what lies right of the left side and left of the edge.
-_CELL_AREA = """p AS (SELECT *, greatest(least(ay, by_), y0) AS lo, least(greatest(ay, by_), y1) AS hi FROM edges CROSS JOIN cells WHERE ay <> by_),
+_CELL_AREA = """p AS (SELECT *, greatest(least(ay, by_), y0) AS lo, least(greatest(ay, by_), y1) AS hi FROM edges JOIN cells USING (shape_id) WHERE ay <> by_),
 q AS (SELECT *, ax + (lo - ay) / (by_ - ay) * (bx - ax) AS xl, ax + (hi - ay) / (by_ - ay) * (bx - ax) AS xh FROM p WHERE hi > lo),
 g AS (SELECT *, CASE WHEN xl <= x0 THEN 0 WHEN xl >= x1 THEN (x1 - x0) * (xl - x1) + (x1 - x0) ** 2 / 2 ELSE (xl - x0) ** 2 / 2 END AS gl,
   CASE WHEN xh <= x0 THEN 0 WHEN xh >= x1 THEN (x1 - x0) * (xh - x1) + (x1 - x0) ** 2 / 2 ELSE (xh - x0) ** 2 / 2 END AS gh FROM q),
 areas AS (SELECT shape_id, cx, cy, abs(sum(sign(by_ - ay) * (hi - lo) * CASE WHEN xl = xh THEN least(greatest(xl, x0), x1) - x0 ELSE (gh - gl) / (xh - xl) END)) AS a FROM g GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH {I.edges_sql()}, cells AS (SELECT cx, cy, cx * 12.5 AS x0, cx * 12.5 + 12.5 AS x1, cy * 12.5 AS y0, cy * 12.5 + 12.5 AS y1 FROM (SELECT unnest(range(-1, 10)) AS cx), (SELECT unnest(range(0, 200)) AS cy)),
-{_CELL_AREA} SELECT shape_id, cx AS grid_col, cy AS grid_row, round(a, 4) AS isection_area FROM areas WHERE a > 1e-6""")
+@query(f"""WITH {I.PART_EDGES}, cc AS (SELECT *, unnest(range(CAST(floor(minx / 12.5) AS BIGINT), CAST(floor(maxx / 12.5) AS BIGINT) + 1)) AS cx FROM bounds),
+cr AS (SELECT *, unnest(range(CAST(floor(miny / 12.5) AS BIGINT), CAST(floor(maxy / 12.5) AS BIGINT) + 1)) AS cy FROM cc), cells AS (SELECT shape_id, cx, cy, cx * 12.5 AS x0, cx * 12.5 + 12.5 AS x1, cy * 12.5 AS y0, cy * 12.5 + 12.5 AS y1 FROM cr),
+{_CELL_AREA} SELECT shape_id, cx AS grid_col, cy AS grid_row, round(0.7071067812::double * a, 4) AS scaled_area FROM areas WHERE a > 1e-6""")
 def overlay_polygons(spark, sf):
-    """Polygons that are no rectangles cut by a grid."""
-    return rounded(spatial_join.overlay(I.shapes(spark), 12.5).select("shape_id", "grid_col", "grid_row", "isection_area"), 4)
+    """Polygons that are no rectangles cut by a grid; areas are scaled, for many are halves of the last digit."""
+    cut = spatial_join.overlay(G.with_bounds(I.part_shapes(spark, sf)), 12.5)
+    return cut.select("shape_id", "grid_col", "grid_row", F.round(0.7071067812 * F.col("isection_area"), 4).alias("scaled_area"))
 
 
-@query(f"""WITH {I.edges_sql()}, cells AS (SELECT 0 AS cx, 0 AS cy, 4 AS x0, 22 AS x1, 960 AS y0, 1130 AS y1), {_CELL_AREA} SELECT shape_id, round(a, 6) AS area FROM areas WHERE a > 1e-6""")
+@query(f"""WITH {I.PART_EDGES}, cells AS (SELECT shape_id, 0 AS cx, 0 AS cy, 30 AS x0, 90.5 AS x1, 20 AS y0, 70.25 AS y1 FROM bounds), {_CELL_AREA} SELECT shape_id, round(a, 6) AS area FROM areas WHERE a > 1e-6""")
 def clipped_shapes(spark, sf):
-    box = [F.lit(float(v)) for v in (4, 960, 22, 1130)]
-    cut = I.shapes(spark).select("shape_id", G.st_clip("geometry", *box).alias("piece")).filter("piece is not null")
+    """What is left of parts' polygons in a window."""
+    box = [F.lit(v) for v in (30.0, 20.0, 90.5, 70.25)]
+    cut = I.part_shapes(spark, sf).select("shape_id", G.st_clip("geometry", *box).alias("piece")).filter("piece is not null")
     return cut.select("shape_id", F.round(G.st_area("piece"), 6).alias("area"))
 
 
-@query(f"""WITH {I.edges_sql()}, h(shape_id, area) AS (VALUES (1, 6000.0::double), (2, 9000.0::double), (3, 1000.0::double), (4, 500.0::double)) SELECT shape_id, area, 1 AS parts, count(*) AS corners FROM edges JOIN h USING (shape_id) GROUP BY ALL""")
+@query(f"""WITH {I.PART_EDGES} SELECT shape_id, round(CASE shape_id % 3 WHEN 1 THEN w * h / 2 ELSE w * h END, 6) AS area, 1 AS parts, len(ring) AS corners FROM pr""")
 def hulls_and_parts(spark, sf):
-    """Convex hulls' areas (worked out by hand in the SQL), and the parts with their corners."""
-    corners = F.udf(lambda w: sum(len(r) for rings in G.read_wkb(bytes(w)) for r in rings), "long")
-    s = I.shapes(spark).select("shape_id", G.st_area(G.st_hull("geometry")).alias("area"), G.st_parts("geometry").alias("p"))
+    """Convex hulls' areas (a notch is filled up), and the parts with their corners."""
+    corners = F.pandas_udf(G.count_corners, "long")
+    s = I.part_shapes(spark, sf).select("shape_id", F.round(G.st_area(G.st_hull("geometry")), 6).alias("area"), G.st_parts("geometry").alias("p"))
     return s.select("shape_id", "area", F.size("p").alias("parts"), corners(F.element_at("p", 1)).alias("corners"))
 
 
