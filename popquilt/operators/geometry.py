@@ -213,6 +213,37 @@ def coverage(edges: np.ndarray, cell: float, x_origin: float, y_origin: float, f
     return c + left, r + first, covered[r, c] * cell * cell
 
 
+def near_edges(edges: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, distance: float, most: int = 1 << 19) -> np.ndarray:
+    """Which boxes have an edge no farther than a distance; edges that cross a box are at distance 0."""
+    out = np.zeros(len(x0), bool)
+    low, high = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
+    ax, ay, bx, by = edges.T
+    dx, dy = bx - ax, by - ay
+    length = np.maximum(dx * dx + dy * dy, 1e-300)
+    step = max(1, most // max(1, len(edges)))
+    for at in range(0, len(x0), step):
+        u0, v0, u1, v1 = (c[at : at + step, None] for c in (x0, y0, x1, y1))
+        # Only edges whose bounds are that near.
+        k, e = np.nonzero((low[:, 0] <= u1 + distance) & (high[:, 0] >= u0 - distance) & (low[:, 1] <= v1 + distance) & (high[:, 1] >= v0 - distance))
+        u0, v0, u1, v1 = (c[k, 0] for c in (u0, v0, u1, v1))
+        best = np.full(len(k), np.inf)
+        for px, py in ((ax[e], ay[e]), (bx[e], by[e])):  # ends to the box
+            best = np.minimum(best, np.maximum(np.maximum(u0 - px, px - u1), 0) ** 2 + np.maximum(np.maximum(v0 - py, py - v1), 0) ** 2)
+        for px, py in ((u0, v0), (u1, v0), (u1, v1), (u0, v1)):  # corners to the edge
+            t = (((px - ax[e]) * dx[e] + (py - ay[e]) * dy[e]) / length[e]).clip(0, 1)
+            best = np.minimum(best, (ax[e] + t * dx[e] - px) ** 2 + (ay[e] + t * dy[e] - py) ** 2)
+        start, stop = np.zeros(len(k)), np.ones(len(k))
+        for a, d, lo, hi in ((ax[e], dx[e], u0, u1), (ay[e], dy[e], v0, v1)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s, t = (lo - a) / d, (hi - a) / d
+            level = d == 0
+            start = np.where(level, np.where((a < lo) | (a > hi), 2, start), np.maximum(start, np.minimum(s, t)))
+            stop = np.where(level, stop, np.minimum(stop, np.maximum(s, t)))
+        hit = (best <= distance * distance) | (start <= stop)
+        out[at + k[hit]] = True
+    return out
+
+
 def meets_box(parts: Parts, x0: float, y0: float, x1: float, y1: float) -> bool:
     """Whether a polygon has a point in common with a closed rectangle."""
     corners = contains(parts, np.array([x0, x1, x1, x0]), np.array([y0, y0, y1, y1]))

@@ -109,35 +109,41 @@ def cut(polygons: DataFrame, size: float) -> DataFrame:
     return _mapped(bands, schema, each)
 
 
-def pairs(polygons: DataFrame, boxes: DataFrame, size: float, distance: float = 0.0, key: str = "box_id") -> DataFrame:
-    """Polygons (geometry, minx … maxy, others) with boxes (key, bx0, by0, bx1, by1) no farther than a distance.
+def pairs(polygons: DataFrame, boxes: DataFrame, size: float, distance: float = 0.0) -> DataFrame:
+    """Polygons (minx … maxy, others, without geometry) with the boxes (bx0, by0, bx1, by1, others) no farther than a distance.
 
-    A pair that meets in several cells is kept in the one that holds the lower left corner
-    of the common bounds, so that no distinct is needed.
+    A box goes to the cells that it touches with the distance around it, where the polygon's
+    edges tell: one is near enough, or the box lies in the polygon. A pair that meets in
+    several cells is kept once.
     """
     d = float(distance)
-    left = polygons.withColumn("_c", F.explode(cells(F.col("minx") - d, F.col("miny") - d, F.col("maxx") + d, F.col("maxy") + d, size)))
-    left = left.select("*", F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy")).drop("_c")
-    right = packed(boxes.withColumn("_c", F.explode(cells(F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1"), size))))
+    left = cut(polygons.withColumn("_p", F.monotonically_increasing_id()), size)
+    around = cells(F.col("bx0") - d, F.col("by0") - d, F.col("bx1") + d, F.col("by1") + d, size)
+    right = packed(boxes.withColumn("_b", F.monotonically_increasing_id()).withColumn("_c", F.explode(around)))
     met = left.join(right, ["_cx", "_cy"])
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = batch.schema.names
-        cx, cy, x0, y0, x1, y1, wkb = (batch.column(names.index(c)).to_pylist() for c in ("_cx", "_cy", "minx", "miny", "maxx", "maxy", "geometry"))
+        cx, cy, edges = (batch.column(names.index(c)).to_pylist() for c in ("_cx", "_cy", "_edges"))
 
         def test(i: int, rows: pa.StructArray) -> np.ndarray:
-            a0, b0, a1, b1 = (_number(rows, c) for c in ("bx0", "by0", "bx1", "by1"))
-            near = (x0[i] - d <= a1) & (x1[i] + d >= a0) & (y0[i] - d <= b1) & (y1[i] + d >= b0)
-            near &= (np.floor(np.maximum(x0[i] - d, a0) / size) == cx[i]) & (np.floor(np.maximum(y0[i] - d, b0) / size) == cy[i])
-            if near.any():
-                parts = G.read_wkb(wkb[i])
-                for k in np.flatnonzero(near):
-                    near[k] = G.distance_to_box(parts, a0[k], b0[k], a1[k], b1[k]) <= d
+            box = [_number(rows, c) for c in ("bx0", "by0", "bx1", "by1")]
+            x, y = cx[i] * size, cy[i] * size
+            if edges[i] is None:  # the whole cell is inside
+                gap = [np.maximum(np.maximum(low - (v + size), v - high), 0) for low, high, v in ((box[0], box[2], x), (box[1], box[3], y))]
+                return gap[0] ** 2 + gap[1] ** 2 <= d * d
+            own = np.frombuffer(edges[i]).reshape(-1, 4)
+            near = G.near_edges(own, *box, d)
+            px, py = np.maximum(box[0], x), np.maximum(box[1], y)
+            rest = ~near & (px < x + size) & (py < y + size) & (box[2] >= x) & (box[3] >= y)
+            near[rest] = G.inside_edges(own, px[rest], py[rest])
             return near
 
         return _kept(batch, test)
 
-    return _mapped(met, met.schema, each).withColumn("_r", F.explode("_rows")).select(*polygons.columns, *(f"_r.{c}" for c in boxes.columns))
+    rest = [c for c in polygons.columns if c != "geometry"]
+    found = _mapped(met, met.schema, each).withColumn("_r", F.explode("_rows")).select("_p", *rest, "_r.*")
+    return found.dropDuplicates(["_p", "_b"]).select(*rest, *boxes.columns)
 
 
 def overlay(polygons: DataFrame, cell: float, x_origin: float = 0.0, y_origin: float = 0.0) -> DataFrame:

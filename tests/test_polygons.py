@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from popquilt.operators import arrangement as A
 from popquilt.operators import geometry as G
 from popquilt.operators import polygons as PG
+from popquilt.operators import spatial_join
 
 
 def enclosed(polygons, size, odd=False):
@@ -110,3 +111,34 @@ def test_buffers(spark):
     assert 2.5 + 7 * d < got[5] < 2 * (1 + 4 * d + circle)  # both grow into the gap
     with pytest.raises(ValueError, match="negative"):
         PG.buffered(frame(spark, []), ["id"], -1.0, 4.0)
+
+
+@pytest.mark.parametrize(("distance", "size"), [(0.0, 3.0), (1.5, 3.0), (7.0, 2.0)])
+def test_pairs_are_those_near_enough(spark, distance, size):
+    """Boxes in, around, across and beside polygons, with the distance wider than a cell too."""
+    rng = np.random.default_rng(int(size * 10 + distance))
+    shapes = {}
+    for k in range(8):
+        angle = np.sort(rng.uniform(0, 2 * np.pi, 9))
+        shapes[k] = [[rng.uniform(0, 30, 2) + (rng.uniform(2, 9, 9) * [np.cos(angle), np.sin(angle)]).T]]
+    shapes[8] = [[G.box(2, 2, 28, 28)[0][0], G.box(8, 8, 22, 22)[0][0]]]
+    boxes = [(int(k), *map(float, (*c, *(c + s)))) for k, (c, s) in enumerate(zip(rng.uniform(-5, 35, (60, 2)), rng.choice([0.2, 2.0, 9.0], 60)))]
+    boxes += [(60, 0.0, 0.0, 30.0, 30.0), (61, 12.0, 12.0, 13.0, 13.0), (61, 12.0, 12.0, 13.0, 13.0)]
+    got = spatial_join.pairs(G.with_bounds(frame(spark, shapes.items())), spark.createDataFrame(boxes, "box_id int, bx0 double, by0 double, bx1 double, by1 double"), size, distance)
+    assert got.columns == ["id", "minx", "miny", "maxx", "maxy", "box_id", "bx0", "by0", "bx1", "by1"]
+    want = sorted((k, b[0]) for k, p in shapes.items() for b in boxes if G.distance_to_box(p, *b[1:]) <= distance)
+    assert sorted((r["id"], r["box_id"]) for r in got.collect()) == want
+
+
+def test_pairs_of_a_large_polygon(spark):
+    import time
+
+    angle = 2 * np.pi * np.arange(500) / 500
+    star = [[(1000 * (1 + 0.2 * (np.arange(500) % 2)) * [np.cos(angle), np.sin(angle)]).T]]
+    rows = [(i, float(x), float(y), float(x) + 20.0, float(y) + 20.0) for i, (x, y) in enumerate(np.random.default_rng(0).uniform(-1300, 1300, (5000, 2)))]
+    df, boxes = G.with_bounds(frame(spark, [(1, star)])), spark.createDataFrame(rows, "box_id int, bx0 double, by0 double, bx1 double, by1 double").cache()
+    spatial_join.pairs(df, boxes, 200.0, 10.0).count()
+    began = time.time()
+    found = {r["box_id"] for r in spatial_join.pairs(df, boxes, 200.0, 10.0).collect()}
+    assert time.time() - began < 8
+    assert {i for i, *b in rows[:200] if G.distance_to_box(star, *b) <= 10.0} == {i for i in found if i < 200}
