@@ -13,11 +13,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from popquilt.functions import projections as P
+from popquilt.functions.constants import Crs
 from popquilt.operators import arrangement as A
 from popquilt.operators import geometry as G
 
@@ -25,6 +27,8 @@ from popquilt.operators import geometry as G
 ROUND = 32
 #: Bytes of a polygon that is worked on in one task; a larger one is cut to cells that go to several.
 SMALL = 1 << 15
+#: Degrees beyond which a polygon is taken to go round the other way, and the most pieces of an edge.
+WIDE, MOST_PIECES = 180.0, 4096
 
 
 def _enclosed(polygons: DataFrame, by: list[str], size: float, edges_of: Callable[[G.Parts], np.ndarray], odd: bool) -> DataFrame:
@@ -206,3 +210,87 @@ def buffered(polygons: DataFrame, key: list[str], distance: float, size: float)
     if distance == 0:
         return repaired(polygons, key, size)
     return _each(polygons, key, size, lambda parts: _cover(parts, distance), odd=False)
+
+
+RINGS = "array<struct<part:int,points:array<struct<x:double,y:double>>>>"
+
+
+def _cut_at_seam(meridian: float, least: float, most: float) -> Callable[[pd.Series], pd.Series]:
+    """Rings in degrees east of a meridian, from -180 to 180, of polygons in longitude and latitude; what crosses the other side is cut there."""
+
+    def one(wkb: bytes) -> list[dict]:
+        parts = G.read_wkb(wkb)
+        x0, _, x1, _ = G.bounds(parts)
+        if x1 - x0 > WIDE:  # the other way round is shorter
+            parts = [[np.column_stack([np.where(r[:, 0] < 0, r[:, 0] + 360, r[:, 0]), r[:, 1]]) for r in rings] for rings in parts]
+        out: G.Parts = []
+        for turn in range(-2, 3):
+            shift = [meridian + 360.0 * turn, 0.0]
+            out += [[r - shift for r in rings] for rings in G.clip(parts, shift[0] - 180, least, shift[0] + 180, most)]
+        return [{"part": k, "points": [{"x": float(x), "y": float(y)} for x, y in r]} for k, rings in enumerate(out) for r in rings]
+
+    return lambda wkb: wkb.map(lambda g: None if g is None else one(g))
+
+
+def _joined(rings: list[dict] | None) -> bytes | None:
+    parts: G.Parts = []
+    for r in rings or []:
+        parts += [[] for _ in range(r["part"] + 1 - len(parts))]
+        parts[r["part"]].append(np.array([(p["x"], p["y"]) for p in r["points"]]))
+    return G.write_wkb(parts) if parts else None
+
+
+def reprojected(polygons: DataFrame, crs: Crs, tolerance: float) -> DataFrame:
+    """Polygons in longitude and latitude with ``geometry`` in another system, without bounds.
+
+    A polygon wider than WIDE degrees is taken to cross the anti-meridian; what crosses the
+    seam opposite the system's central meridian is cut there into parts. Edges are split so
+    that a projected chord is about as near as ``tolerance``, in the system's units, to the
+    projected edge; at most MOST_PIECES times. Latitudes that a Mercator system has no place
+    for are cut off. Holes that are cut by the seam stay rings of their part. NULL stays NULL.
+    """
+    limit = 85.0 if crs.projection in ("merc", "webmerc") else 90.0
+    to = lambda x, y: P.project(crs.projection, x, y, 0)  # noqa: E731  longitudes are from the system's meridian already
+
+    def edges(points: Column) -> Column:
+        """(ax, ay, bx, by, n): the edges and into how many pieces they go."""
+        n = F.size(points)
+        pairs = F.zip_with(points, F.concat(F.slice(points, 2, n), F.slice(points, 1, 1)), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+
+        def pieces(e: Column) -> Column:
+            (ax, ay), (bx, by) = to(e["ax"], e["ay"]), to(e["bx"], e["by"])
+            length = F.hypot(bx - ax, by - ay)
+            off = []
+            for t in (0.25, 0.5, 0.75):
+                x, y = to(e["ax"] + (e["bx"] - e["ax"]) * t, e["ay"] + (e["by"] - e["ay"]) * t)
+                off.append(F.when(length > 0, F.abs((x - ax) * (by - ay) - (y - ay) * (bx - ax)) / length).otherwise(F.hypot(x - ax, y - ay)))  # from the chord
+            return F.greatest(F.lit(1), F.least(F.ceil(F.sqrt(F.greatest(*off) / tolerance)).cast("int"), F.lit(MOST_PIECES)))
+
+        return F.transform(pairs, lambda e: F.struct(*(e[c].alias(c) for c in ("ax", "ay", "bx", "by")), pieces(e).alias("n")))
+
+    def split(e: Column) -> Column:
+        def point(k: Column) -> Column:
+            x, y = to(e["ax"] + (e["bx"] - e["ax"]) * k / e["n"], e["ay"] + (e["by"] - e["ay"]) * k / e["n"])
+            return F.struct(x.alias("x"), y.alias("y"))
+
+        return F.transform(F.sequence(F.lit(0), e["n"] - 1), point)
+
+    cut = F.pandas_udf(_typed(_cut_at_seam(crs.meridian, -limit, limit)), RINGS)
+    rings = F.transform("_rings", lambda r: F.struct(r["part"].alias("part"), F.flatten(F.transform(edges(r["points"]), split)).alias("points")))
+    kept = [f for f in polygons.schema.fields if f.name not in ("geometry", "minx", "miny", "maxx", "maxy")]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([_joined(r) for r in batch.column("_rings").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), made], names=[*(f.name for f in kept), "geometry"])
+
+    split_up = polygons.withColumn("_rings", cut("geometry")).select(*(f.name for f in kept), rings.alias("_rings"))
+    made = split_up.mapInArrow(join, T.StructType([*kept, T.StructField("geometry", T.BinaryType())]))
+    return made.select(*(c for c in polygons.columns if c not in ("minx", "miny", "maxx", "maxy")))
+
+
+def _typed(f: Callable[[pd.Series], pd.Series]) -> Callable[[pd.Series], pd.Series]:
+    def typed(wkb: pd.Series) -> pd.Series:
+        return f(wkb)
+
+    return typed

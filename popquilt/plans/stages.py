@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from popquilt.functions import projections as P
@@ -23,6 +23,8 @@ from popquilt.operators import raking_population as R
 from popquilt.sources.catalog import Catalog
 
 CELL = ["block_key", "row", "col"]
+PLACE = ["block_key", "chunk_row", "chunk_col"]
+TILE = [*PLACE, "height", "width", "transform", "crs", "nodata"]
 #: Cells along a side of the grid in which polygons and pixels meet.
 JOIN_CELLS = 256
 NAN = float("nan")
@@ -53,10 +55,12 @@ def polygons(df: DataFrame) -> DataFrame:
 # Preprocessing
 
 
-def census_data(cat: Catalog, iso3: str = census.RUN_ALL, year: str = census.RUN_ALL, repair: float | None = None) -> None:
+def census_data(cat: Catalog, iso3: str = census.RUN_ALL, year: str = census.RUN_ALL, repair: float | None = None, reproject: float | None = None) -> None:
     """Counts joined to shapes, all countries in one job; shapes and counts must match one to one.
 
-    With ``repair``, the side of a cell, shapes are made valid.
+    With ``repair``, the side of a cell, shapes are made valid. With ``reproject``, a tolerance,
+    shapes are in longitude and latitude and go to the equal-area system; countries that are
+    beyond 170 degrees as a whole go to the one about the anti-meridian.
     """
     runs = census.select_runs(cat.read("shapefiles", purpose="training").select("iso3", "year").distinct(), iso3, year)
     keys = ["iso3", "year"]
@@ -66,6 +70,9 @@ def census_data(cat: Catalog, iso3: str = census.RUN_ALL, year: str = census.RUN
     shapes = cat.read("shapefiles", purpose="training").join(runs, keys, "left_semi")
     if repair:
         shapes = PG.repaired(shapes.drop("minx", "miny", "maxx", "maxy"), [*keys, "shape_id"], repair)
+    if reproject:
+        own = polygons(shapes).withColumn("_crs", G.working_crs(F.min("minx").over(Window.partitionBy("iso3")), F.max("maxx").over(Window.partitionBy("iso3"))))
+        shapes = reduce(DataFrame.unionByName, [PG.reprojected(own.filter(F.col("_crs") == c), CRS[c], reproject) for c in ("equal_area", "equal_area_anti_meridian")]).drop("_crs")
     shapes = polygons(shapes)
     whole = F.concat_ws("/", *keys, "shape_id")
     both = census.join_counts(shapes.withColumn("_id", whole).withColumnRenamed("shape_id", "_s").withColumnRenamed("_id", "shape_id"), counts.withColumn("shape_id", whole).drop(*keys))
@@ -273,18 +280,31 @@ def train(cat: Catalog, spec: model.Specification) -> model.Linear:
     return fitted
 
 
+def known() -> Column:
+    """A tile's data as doubles, NULL where there is none."""
+    absent = lambda v: F.isnan(v) | (v == F.coalesce("nodata", F.lit(NAN)))
+    return F.transform("data", lambda v: F.when(~absent(v.cast("double")), v.cast("double")))
+
+
 def inference(cat: Catalog, resolution: str, version: str, time_points: list[str]) -> None:
-    """Predicted population of every block; blocks that are there already are left alone."""
-    spec, fitted, cell = cat.specification(resolution, version), cat.model(resolution, version), cell_size(cat)
+    """Predicted population of every block; blocks that are there already are left alone.
+
+    Tiles of the denominator and the features meet as they are, and the model is an
+    expression of their arrays: no pixel is shuffled.
+    """
+    spec, fitted = cat.specification(resolution, version), cat.model(resolution, version)
     for t in time_points:
         tiles = cat.unfinished(cat.feature(resolution, spec.denominator, t), "raw_predictions", ["block_key"], resolution=resolution, version=version, time_point=t)
         if tiles.isEmpty():
             continue
-        rows = long_view(tiles, cell).select(*CELL, F.col("value").alias("built"))
-        for f in spec.features:
-            rows = rows.join(long_view(cat.feature(resolution, f, t), cell).select(*CELL, F.col("value").alias(f)), CELL, "left")
-        out = as_tiles(model.predict(rows, fitted).select(*CELL, F.col("population").alias("value")), tiles)
-        cat.append(out, "raw_predictions", resolution=resolution, version=version, time_point=t)
+        whole = tiles.select(*TILE, known().alias("built"))
+        for k, f in enumerate(spec.features):
+            whole = whole.join(cat.feature(resolution, f, t).select(*PLACE, known().alias(f"_f{k}")), PLACE, "left")
+        names = {f: f"_f{k}" for k, f in enumerate(spec.features)}
+        same = [F.coalesce(F.size(F.col(c)) == F.size("built"), F.lit(True)) for c in names.values()]
+        checked = F.when(reduce(lambda a, b: a & b, same, F.lit(True)), F.arrays_zip("built", *names.values())).otherwise(F.raise_error(F.lit("features are not on one grid")))
+        data = F.transform(checked, lambda x: (F.exp(sum((x[names[f]] * w for f, w in fitted.weights.items()), F.lit(fitted.intercept))) * x["built"]).cast("float"))
+        cat.append(whole.select(*TILE, data.alias("data")), "raw_predictions", resolution=resolution, version=version, time_point=t)
 
 
 # After the model
@@ -326,13 +346,21 @@ def raking_factors(cat: Catalog, resolution: str, version: str, time_points: lis
 
 
 def rake(cat: Catalog, resolution: str, version: str, time_points: list[str], raking_version: str = "primary") -> None:
-    """Predictions times their location's factor, missing outside all locations."""
+    """Predictions times their location's factor, missing outside all locations.
+
+    A tile meets its labels and the few factors of its block; no pixel is shuffled.
+    """
     have = cat.values("raw_predictions", "time_point", resolution=resolution, version=cat.origin(resolution, version))
     for row in timeaxis.prediction_time(cat.spark.createDataFrame([(t,) for t in time_points], "time_point string"), have).collect():
-        pixels = _labelled(cat, resolution, version, row["source"], raking_version)
-        factor = cat.raking_factors(resolution, version, row["time_point"]).select("block_key", "location_id", "raking_factor")
-        raked = rk.rake(pixels, factor, ("block_key",)).select(*CELL, F.col("raked").alias("value"))
-        cat.write(as_tiles(raked, cat.raw_predictions(resolution, version, row["source"])), "raked_predictions", resolution=resolution, version=version, time_point=row["time_point"])
+        tiles = cat.raw_predictions(resolution, version, row["source"])
+        label_raster(cat, tiles, resolution, raking_version)
+        labels = cat.read("label_rasters", resolution=resolution, raking_version=raking_version).select(*PLACE, F.transform("data", lambda v: F.when(~F.isnan(v), v).cast("int")).alias("_labels"))
+        factor = cat.raking_factors(resolution, version, row["time_point"]).filter("raking_factor is not null")
+        factor = factor.groupBy("block_key").agg(F.map_from_entries(F.collect_list(F.struct(F.col("location_id").cast("int"), "raking_factor"))).alias("_factors"))
+        both = tiles.select(*TILE, known().alias("_values")).join(labels, PLACE, "left").join(factor, "block_key", "left")
+        data = F.zip_with("_values", "_labels", lambda v, k: (v * F.try_element_at("_factors", k)).cast("float"))
+        data = F.coalesce(data, F.transform("_values", lambda v: F.lit(None).cast("float")))
+        cat.write(both.select(*TILE, data.alias("data")), "raked_predictions", resolution=resolution, version=version, time_point=row["time_point"])
 
 
 def rake_fine(cat: Catalog, resolution: str, version: str, iso3: str, time_point: str, raking_version: str = "primary", distance: int = 100) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from popquilt.functions import keys as K
 from popquilt.functions import projections as P
 from popquilt.functions import semantics as S
+from popquilt.functions.constants import CRS
 from popquilt.operators import allocate, census, model, pixel_model, raster, spatial_join, timeaxis
 from popquilt.operators import geometry as G
 from popquilt.operators import polygons as PG
@@ -530,6 +531,20 @@ def buffered_boxes(spark, sf):
     return PG.buffered(p, ["p_partkey"], 0.75, 64.0).select("p_partkey", F.round(G.st_area("geometry"), 3).alias("area"))
 
 
+@query("""WITH b AS (SELECT p_partkey, (p_partkey * 7919) % 3600 / 10.0::double - 180 AS x, (p_partkey * 104729) % 1200 / 10.0::double - 65 AS y, 1.0::double + p_size % 9 AS w FROM part),
+q AS (SELECT *, sin(radians(y)) AS s0, sin(radians(y + 5)) AS s1, 0.0818191908426215::double AS e FROM b),
+a AS (SELECT *, (1 - e * e) * (s0 / (1 - e * e * s0 * s0) + ln((1 + e * s0) / (1 - e * s0)) / (2 * e)) AS q0, (1 - e * e) * (s1 / (1 - e * e * s1 * s1) + ln((1 + e * s1) / (1 - e * s1)) / (2 * e)) AS q1 FROM q)
+SELECT p_partkey, CASE WHEN x < 180 AND x + w > 180 THEN 2 ELSE 1 END AS parts, round(6378.137::double * radians(w) * 6378.137 * (q1 - q0) / 2, 2) AS square_km FROM a""")
+def reprojected_boxes(spark, sf):
+    """Boxes in degrees in an equal-area system; those that cross the anti-meridian, written with longitudes below 180, are in two parts."""
+    k = F.col("p_partkey")
+    x, y, w = (k * 7919) % 3600 / 10.0 - 180, (k * 104729) % 1200 / 10.0 - 65, 1.0 + F.col("p_size") % 9
+    right = F.when(x + w > 180, x + w - 360).otherwise(x + w)
+    p = I.table(spark, sf, "part").select(k, _ring((x, y), (right, y), (right, y + 5), (x, y + 5)).alias("ring")).select("p_partkey", G.st_polygon("ring").alias("geometry"))
+    out = PG.reprojected(p, CRS["equal_area"], 10.0)
+    return out.select("p_partkey", F.size(G.st_parts("geometry")).alias("parts"), F.round(G.st_area("geometry") / 1e6, 2).alias("square_km"))
+
+
 def _segment(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
     """Squared distance of a point and a segment in SQL."""
     t = f"greatest(0, least(1, (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / (({bx} - {ax}) ** 2 + ({by} - {ay}) ** 2)))"

@@ -142,3 +142,24 @@ def test_pairs_of_a_large_polygon(spark):
     found = {r["box_id"] for r in spatial_join.pairs(df, boxes, 200.0, 10.0).collect()}
     assert time.time() - began < 8
     assert {i for i, *b in rows[:200] if G.distance_to_box(star, *b) <= 10.0} == {i for i in found if i < 200}
+
+
+def test_reprojection_follows_the_projected_edges(spark):
+    """A triangle's area where areas are kept, points along its edges elsewhere, and what is at the seam."""
+    from popquilt.functions.constants import CRS
+
+    triangle = [[np.array([[10, 5], [60, 20], [25, 70.0]])]]
+    lon, lat = np.meshgrid(np.arange(0.05, 70, 0.1), np.arange(0.05, 75, 0.1))
+    inside = G.contains(triangle, lon, lat)
+    sphere = 6378137.0**2 * np.sum(np.cos(np.radians(lat[inside]))) * np.radians(0.1) ** 2
+    across = [[np.array([[170, -5], [-165, -5], [-165, 5], [170, 5.0]])]]
+    shapes = frame(spark, [(1, triangle), (2, across), (3, None)])
+    flat = {r["id"]: r["geometry"] for r in PG.reprojected(shapes, CRS["mollweide"], 100.0).collect()}
+    assert G.area(G.read_wkb(bytes(flat[1]))) == pytest.approx(sphere, rel=2e-3) and flat[3] is None
+    assert len(G.read_wkb(bytes(flat[1]))[0][0]) > 30 and len(G.read_wkb(bytes(flat[2]))) == 2
+    turned = G.read_wkb(bytes(PG.reprojected(shapes.filter("id = 2"), CRS["world_cylindrical_anti_meridian"], 100.0).first()["geometry"]))
+    assert len(turned) == 1 and len(turned[0][0]) == 4
+    x = turned[0][0][:, 0]
+    assert sorted(set(np.round(x / 6378137.0 * 180 / np.pi, 6))) == [-10.0, 15.0]
+    coarse, fine = (len(G.read_wkb(bytes(PG.reprojected(shapes.filter("id = 1"), CRS["mollweide"], t).first()["geometry"]))[0][0]) for t in (10_000.0, 100.0))
+    assert coarse < fine
