@@ -131,7 +131,8 @@ def product_codes(df: DataFrame, key: str = "vec_id", column: str = "embedding",
     that is no multiple of ``parts`` is filled up with zeros. Codebooks start as the parts of
     the vectors of the smallest keys (nulls last, ties by the vector; all, if there are fewer);
     at most 256 entries. Rows of a null key, repeated rows, null and NaN labels count as all
-    others; other columns are not read; an empty table gives no rows. Errors beyond a long are null.
+    others; other columns are not read; an empty table gives no rows. Errors beyond a long
+    are null, and so are the sums that they are part of.
     """
     spark = df.sparkSession
     schema = "vec_id long, code string, error long, label_error long, codebooks_sha256 string"
@@ -225,7 +226,8 @@ def product_codes(df: DataFrame, key: str = "vec_id", column: str = "embedding",
 
     coded = trees.mapInArrow(assign, f"vec_id long, label {kind}, code string, error long").checkpoint()
     remove(spark, at)
-    sums = coded.groupBy("label").agg(F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long").alias("label_error")).withColumnRenamed("label", "of").checkpoint()
+    whole = F.when(F.count_if(F.col("error").isNull()) == 0, F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long"))
+    sums = coded.groupBy("label").agg(whole.alias("label_error")).withColumnRenamed("label", "of").checkpoint()
     if sums.count() <= FEW_LABELS:
         sums = F.broadcast(sums)
     joined = coded.join(sums, F.col("label").eqNullSafe(F.col("of")))

@@ -122,7 +122,8 @@ def test_whitening_is_plain_numpy(spark, tile):
         own = sorted(zip(far, want[:, k]))
         sign = np.sign(np.dot([w for _, w in mine], [w for _, w in own]))
         assert np.allclose([sign * w for _, w in mine], [w for _, w in own], atol=1e-7)
-        assert {r["explained"] for r in got if r["component"] == k + 1} == {pytest.approx(values[::-1][k] / values.sum(), rel=1e-6)}
+        (share,) = {r["explained"] for r in got if r["component"] == k + 1}
+        assert share == pytest.approx(values[::-1][k] / values.sum(), rel=1e-6)
     assert {r["identity_error"] for r in got}.pop() < 1e-9 and len({r["identity_error"] for r in got}) == 1
 
 
