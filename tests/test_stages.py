@@ -123,6 +123,10 @@ def test_stages_run_in_order(cat, spark):
     stages.upsample(cat, "100", copy, TIME, "wgs84_0p01")
     assert cat.read("compiled_predictions", spec="wgs84_0p01").agg(F.sum("value")).first()[0] == pytest.approx(900, rel=1e-4)
     stages.metrics(cat, "100", [copy], TIME)
+    assert sum(r["population"] for r in cat.read("raw_validation", resolution="100", version=copy).collect()) == pytest.approx(900, rel=1e-5)
+    rasters = cat.read("training_rasters", resolution="100", measure=f"population_{f}")
+    assert rasters.select(F.sum(F.aggregate("data", F.lit(0.0), lambda a, v: a + v))).first()[0] == pytest.approx(800, rel=1e-4)
+    stages.metrics(cat, "100", [copy], TIME, raked=False)
     found = {r["shape_id"]: r["population"] for r in cat.read("raw_validation", resolution="100", version=copy).collect()}
     assert set(found) == {"A1", "A2", "B1"} and sum(found.values()) == pytest.approx(float(np.exp(0.5) * a.sum()), rel=1e-5)
 
@@ -163,12 +167,12 @@ def test_catalog_refuses(cat):
     with pytest.raises(ValueError):
         cat.path("nope")
     with pytest.raises(FileNotFoundError):
-        cat.read("raked_predictions_missing" if False else "training_rasters")
+        cat.read("compiled_validation")
     with pytest.raises(FileNotFoundError):
         cat.info("nope")
     with pytest.raises(ValueError):
         stages.upsample(cat, "100", "v", TIME, "nope")
-    assert not cat.exists("training_rasters")
+    assert not cat.exists("compiled_validation")
 
 
 def test_command_line(cat):
