@@ -74,7 +74,9 @@ def union(polygons: DataFrame, by: list[str], size: float) -> DataFrame:
 
     Polygons are valid (see ``repaired``). Vertices move by up to 2^-27 of ``size``, the side
     of a cell, of which a polygon should have a moderate number. Shared edges vanish; rings
-    that touch in a point stay apart. Null geometries count for nothing, null keys are a
+    that touch in a point stay apart. Edges that run beside a cell's side at a distance of
+    about a unit (2^-26 of ``size``) may not close; that stops the job with an error, and
+    another ``size`` helps. Null geometries count for nothing, null keys are a
     group, and a group without area has no row.
     """
     return G.with_bounds(_enclosed(polygons, by, size, G.edges_of, odd=False))
