@@ -79,7 +79,9 @@ def union(polygons: DataFrame, by: list[str], size: float) -> DataFrame:
     another ``size`` helps. Null geometries count for nothing, null keys are a
     group, and a group without area has no row.
     """
-    return G.with_bounds(_enclosed(polygons, by, size, G.edges_of, odd=False))
+    # A polygon adds nothing to itself: of equal ones in a group, one is enough.
+    different = polygons.select(*by, "geometry").distinct()
+    return G.with_bounds(_enclosed(different, by, size, G.edges_of, odd=False))
 
 
 def repaired(polygons: DataFrame, key: list[str], size: float) -> DataFrame:
