@@ -10,6 +10,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -304,51 +305,239 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(p) + chain(p[::-1]))
 
 
+# Whole columns: points of all rings in one array, so that small polygons do not cost a call each
+
+#: Columns of polygons: points (n, 2), where rings begin and end among them, and each ring's row, part of the row and whether it is a hole; rows ascend.
+Flat = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+_HEAD = np.frombuffer(struct.pack("<BII", 1, 3, 1), np.uint8)
+#: Points of a row up to which hulls of rows with as many are made together.
+HULL_TOGETHER = 64
+
+
+def ramp(n: np.ndarray) -> np.ndarray:
+    """0, 1, … up to each count."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def read_column(wkb: pd.Series | pa.Array) -> Flat:
+    """All rings of a column of polygons. Those of one ring in this module's byte order are read together, others one by one."""
+    column = wkb if isinstance(wkb, pa.Array) else pa.array(wkb, pa.binary(), from_pandas=True)
+    column = column.cast(pa.large_binary())
+    known = np.flatnonzero(np.asarray(column.is_valid()))
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    length = np.diff(off)[known]
+    points, sizes, row, part, hole, rest = [np.empty((0, 2))], [np.empty(0, np.int64)], [], [], [], []
+    for size in np.unique(length):
+        own = known[length == size]
+        n = (int(size) - 13) // 16
+        if n < 2 or n * 16 + 13 != size:
+            rest.append(own)
+            continue
+        raw = data[off[own][:, None] + np.arange(size)]
+        plain = (raw[:, :9] == _HEAD).all(axis=1) & (np.ascontiguousarray(raw[:, 9:13]).view("<u4")[:, 0] == n)
+        rest.append(own[~plain])
+        xy = np.ascontiguousarray(raw[plain, 13:]).view("<f8").reshape(-1, n, 2).astype(float)
+        closed = (xy[:, 0] == xy[:, -1]).all(axis=1)
+        for some, ends in ((closed, n - 1), (~closed, n)):
+            if some.any():
+                points.append(xy[some, :ends].reshape(-1, 2))
+                sizes.append(np.full(some.sum(), ends))
+                row.append(own[plain][some])
+    count = sum(map(len, row))
+    part, hole = [np.zeros(count, np.int64)], [np.zeros(count, bool)]
+    for i in np.sort(np.concatenate([np.empty(0, np.int64), *rest])).tolist():
+        for k, rings in enumerate(read_wkb(data[off[i] : off[i + 1]].tobytes())):
+            points += rings
+            sizes.append(np.array([len(r) for r in rings], np.int64))
+            row.append(np.full(len(rings), i))
+            part.append(np.full(len(rings), k))
+            hole.append(np.arange(len(rings)) > 0)
+    return _in_order(*map(np.concatenate, (points, sizes, [np.empty(0, np.int64), *row], part, hole)))
+
+
+def _in_order(points: np.ndarray, sizes: np.ndarray, row: np.ndarray, part: np.ndarray, hole: np.ndarray) -> Flat:
+    order = np.argsort(row, kind="stable")
+    start, n = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    return points[np.repeat(start, n) + ramp(n)], np.concatenate([[0], np.cumsum(n)]), row[order], part[order], hole[order]
+
+
+def write_column(flat: Flat, rows: int) -> list[bytes | None]:
+    """The polygons of each row; None for a row without rings."""
+    points, off, row, part, _ = flat
+    out: list[bytes | None] = [None] * rows
+    sizes, single = np.diff(off), np.bincount(row, minlength=rows)[row] == 1
+    for size in np.unique(sizes[single]):
+        own = np.flatnonzero(single & (sizes == size))
+        xy = points[off[own][:, None] + np.append(np.arange(size), 0)].astype("<f8")
+        head = np.frombuffer(_HEAD.tobytes() + struct.pack("<I", int(size) + 1), np.uint8)
+        raw = np.hstack([np.broadcast_to(head, (len(own), 13)), xy.reshape(len(own), -1).view(np.uint8)])
+        made, wide = raw.tobytes(), raw.shape[1]
+        for k, i in enumerate(row[own].tolist()):
+            out[i] = made[k * wide : (k + 1) * wide]
+    many = np.flatnonzero(~single)
+    for own in np.split(many, np.flatnonzero(np.diff(row[many])) + 1) if len(many) else []:
+        parts: dict[int, list[np.ndarray]] = {}
+        for k in own.tolist():
+            parts.setdefault(int(part[k]), []).append(points[off[k] : off[k + 1]])
+        out[int(row[own[0]])] = write_wkb(list(parts.values()))
+    return out
+
+
+def ring_areas(points: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Signed areas of rings, those that run counter-clockwise positive."""
+    n = np.diff(off)
+    ring, at = np.repeat(np.arange(len(n)), n), ramp(n)
+    start = np.repeat(off[:-1], n)
+    local = points - points[start]
+    after = local[start + (at + 1) % np.repeat(n, n)]
+    return (np.bincount(ring, local[:, 0] * after[:, 1], len(n)) - np.bincount(ring, local[:, 1] * after[:, 0], len(n))) / 2
+
+
+def clip_column(flat: Flat, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> Flat:
+    """As ``clip``, for all rings; limits are given for each ring."""
+    points, off, row, part, hole = flat
+    n = np.diff(off)
+    for axis, limit, keep in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        ring, start = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
+        nxt = start + (ramp(n) + 1) % np.repeat(n, n)
+        s = (points[:, axis] - limit[ring]) * keep
+        t = s[nxt]
+        stays, crosses = s >= 0, (s >= 0) != (t >= 0)
+        made = stays.astype(np.int64) + crosses
+        at = np.cumsum(made) - made
+        out = np.empty((int(made.sum()), 2))
+        out[at[stays]] = points[stays]
+        k = np.flatnonzero(crosses)
+        cut = points[k] + (points[nxt[k]] - points[k]) * (s[k] / (s[k] - t[k]))[:, None]
+        cut[:, axis] = limit[ring[k]]
+        out[at[k] + stays[k]] = cut
+        points, n = out, np.bincount(ring, made, len(n)).astype(np.int64)
+    off = np.concatenate([[0], np.cumsum(n)])
+    kept = n >= 3
+    # A part is left while its first ring has area.
+    new = np.flatnonzero(kept)
+    first = np.concatenate([[True], (row[new][1:] != row[new][:-1]) | (part[new][1:] != part[new][:-1])])[: len(new)]
+    area_ = np.abs(ring_areas(points, off))[new]
+    whole = (area_[first] > 0)[np.cumsum(first) - 1] if len(new) else np.empty(0, bool)
+    kept[new[~whole]] = False
+    hole = hole.copy()
+    hole[new] = ~first
+    return points[np.repeat(kept, n)], np.concatenate([[0], np.cumsum(n[kept])]), row[kept], part[kept], hole[kept]
+
+
+def _by_row(flat: Flat, known: np.ndarray, values: np.ndarray) -> pd.Series:
+    """Sums of rings' values by row; None where the polygon is."""
+    sums = np.bincount(flat[2], values, len(known))
+    return pd.Series(np.where(known, sums, np.nan)).astype(object).where(known, None) if not known.all() else pd.Series(sums)
+
+
 @F.pandas_udf(T.DoubleType())
 def st_area(wkb: pd.Series) -> pd.Series:
-    return wkb.map(lambda g: None if g is None else area(read_wkb(g)))
+    flat = read_column(wkb)
+    own = np.abs(ring_areas(*flat[:2]))
+    return _by_row(flat, wkb.notna().to_numpy(), np.where(flat[4], -own, own))
 
 
 @F.pandas_udf(BOUNDS)
 def st_bounds(wkb: pd.Series) -> pd.DataFrame:
-    found = [(None,) * 4 if g is None else bounds(read_wkb(g)) for g in wkb]
-    return pd.DataFrame(found, columns=["minx", "miny", "maxx", "maxy"])
+    points, off, row, _, hole = read_column(wkb)
+    n = np.where(hole, 0, np.diff(off))
+    own = points[np.repeat(off[:-1], n) + ramp(n)]
+    rows, first = np.unique(np.repeat(row, n), return_index=True)
+    out = np.full((len(wkb), 4), np.nan)
+    if len(rows):
+        out[rows] = np.hstack([np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)])
+    made = pd.DataFrame(out, columns=["minx", "miny", "maxx", "maxy"])
+    return made if len(rows) == len(wkb) else made.astype(object).where(made.notna(), None)
 
 
 @F.pandas_udf(T.BinaryType())
 def st_clip(wkb: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     """NULL where nothing is left."""
-    out = []
-    for g, *b in zip(wkb, x0, y0, x1, y1):
-        parts = clip(read_wkb(g), *b) if g is not None else []
-        out.append(write_wkb(parts) if parts else None)
-    return pd.Series(out, dtype=object)
+    flat = read_column(wkb)
+    cut = clip_column(flat, *(b.to_numpy(float)[flat[2]] for b in (x0, y0, x1, y1)))
+    return pd.Series(write_column(cut, len(wkb)), dtype=object)
+
+
+def convex_hulls(points: np.ndarray) -> list[np.ndarray]:
+    """Hulls of rows of as many points each (rows, points, 2), by the steps of ``convex_hull`` for all rows at a time."""
+    count, m = points.shape[:2]
+    order = np.lexsort((points[..., 1], points[..., 0]))
+    p = np.take_along_axis(points, order[..., None], axis=1)
+    rows = np.arange(count)
+
+    def chain(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        stack, size = np.empty((count, m, 2)), np.zeros(count, np.int64)
+        for k in range(m):
+            q, some = p[:, k], rows[size > 1]
+            while len(some):
+                a, b = stack[some, size[some] - 2], stack[some, size[some] - 1]
+                d, e = b - a, q[some] - a
+                some = some[d[:, 0] * e[:, 1] <= d[:, 1] * e[:, 0]]
+                size[some] -= 1
+                some = some[size[some] > 1]
+            stack[rows, size] = q
+            size += 1
+        return stack, size - 1
+
+    different = 1 + (p[:, 1:] != p[:, :-1]).any(axis=2).sum(axis=1)
+    (low, i), (high, j) = chain(p), chain(p[:, ::-1])
+    return [np.concatenate([low[k, : i[k]], high[k, : j[k]]]) if different[k] > 2 else convex_hull(p[k]) for k in range(count)]
 
 
 @F.pandas_udf(T.BinaryType())
 def st_hull(wkb: pd.Series) -> pd.Series:
-    return wkb.map(lambda g: None if g is None else write_wkb([[convex_hull(np.vstack([r for rings in read_wkb(g) for r in rings]))]]))
+    points, off, row, _, _ = read_column(wkb)
+    rows, first = np.unique(row, return_index=True)
+    start, stop = off[first], off[np.append(first[1:], len(row))]
+    hulls: list[np.ndarray] = [np.empty((0, 2))] * len(rows)
+    for m in np.unique(stop - start):
+        own = np.flatnonzero(stop - start == m)
+        if m > HULL_TOGETHER:
+            found = [convex_hull(points[start[k] : stop[k]]) for k in own]
+        else:
+            found = convex_hulls(points[start[own][:, None] + np.arange(m)])
+        for k, h in zip(own.tolist(), found):
+            hulls[k] = h
+    sizes, zero = np.array([len(h) for h in hulls], np.int64), np.zeros(len(rows), np.int64)
+    made = (np.concatenate([np.empty((0, 2)), *hulls]), np.concatenate([[0], np.cumsum(sizes)]), rows, zero, zero > 0)
+    return pd.Series(write_column(made, len(wkb)), dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.BinaryType()))
 def st_parts(wkb: pd.Series) -> pd.Series:
-    return wkb.map(lambda g: None if g is None else [write_wkb([p]) for p in read_wkb(g)])
+    points, off, row, part, hole = read_column(wkb)
+    first = np.flatnonzero(~hole)
+    parts = np.cumsum(~hole) - 1
+    made = write_column((points, off, parts, parts * 0, hole), len(first))
+    out: list[list | None] = [None if g is None else [] for g in wkb]
+    for i, g in zip(row[first].tolist(), made):
+        out[i].append(g)
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(T.BinaryType())
 def st_box(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    return pd.Series([write_wkb(box(*b)) for b in zip(x0, y0, x1, y1)], dtype=object)
+    n = len(x0)
+    corners = np.stack([v.to_numpy(float) for v in (x0, y0, x1, y0, x1, y1, x0, y1)], axis=1).reshape(-1, 2)
+    return pd.Series(write_column((corners, np.arange(n + 1) * 4, np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)), n), dtype=object)
 
 
-@F.pandas_udf(T.BinaryType())
-def st_polygon(ring: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def st_polygon(ring: pa.Array) -> pa.Array:
     """A polygon of one ring, an array of structs (x, y)."""
-    return ring.map(lambda points: None if points is None else write_wkb([[np.array([(p["x"], p["y"]) for p in points], float)]]))
+    known = np.flatnonzero(np.asarray(ring.is_valid()))
+    n = ring.value_lengths().drop_null().to_numpy().astype(np.int64)
+    corners = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in ring.flatten().flatten()])
+    flat = (corners, np.concatenate([[0], np.cumsum(n)]), known, known * 0, known < 0)
+    return pa.array(write_column(flat, len(ring)), pa.binary())
 
 
 def count_corners(wkb: pd.Series) -> pd.Series:
     """Corners of all rings."""
-    return wkb.map(lambda g: None if g is None else sum(len(r) for rings in read_wkb(g) for r in rings))
+    flat = read_column(wkb)
+    return _by_row(flat, wkb.notna().to_numpy(), np.diff(flat[1]).astype(float)).map(lambda v: None if v is None else int(v))
 
 
 def with_bounds(df: DataFrame, geometry: str = "geometry") -> DataFrame:
