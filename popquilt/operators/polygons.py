@@ -31,6 +31,16 @@ SMALL = 1 << 15
 WIDE, MOST_PIECES = 180.0, 4096
 
 
+#: Edges that are taken to cells together.
+AT_ONCE = 1 << 14
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to as many tasks as the session shuffles to: polygons are few bytes and much work, so that a small file would be one task."""
+    session = df.sparkSession
+    return df.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _enclosed(polygons: DataFrame, by: list[str], size: float, edges_of: Callable[[G.Parts], np.ndarray], odd: bool) -> DataFrame:
     """(by, geometry): what the edges of each group enclose, without groups that enclose nothing."""
     keys = [polygons.schema[c] for c in by]
@@ -91,34 +101,81 @@ def repaired(polygons: DataFrame, key: list[str], size: float) -> DataFrame:
     vanish, holes outside become parts. ``key`` tells polygons apart; one without area gets
     NULL.
     """
-    return _each(polygons, key, size, A.raw_edges, odd=True)
+    return _each(polygons, key, size, A.raw_edges, _raw, odd=True)
 
 
-def _each(polygons: DataFrame, key: list[str], size: float, edges_of: Callable[[G.Parts], np.ndarray], odd: bool) -> DataFrame:
-    """Polygons with what the edges of each enclose. Small ones are worked on where they are, large ones are spread over tasks."""
+def _each(polygons: DataFrame, key: list[str], size: float, edges_of: Callable[[G.Parts], np.ndarray], edges_of_all: Callable[[G.Flat], tuple[np.ndarray, np.ndarray]], odd: bool) -> DataFrame:
+    """Polygons with what the edges of each enclose. Small ones are worked on many at a time, large ones are spread over tasks."""
 
     @F.pandas_udf("binary")
     def enclosed(wkb: pd.Series) -> pd.Series:
-        return wkb.map(lambda g: None if g is None else _alone(edges_of(G.read_wkb(g)), size, odd))
+        number, different = pd.factorize(wkb)  # equal polygons of a batch are worked on once
+        found = [*_alone(different, size, edges_of_all, odd), None]
+        return pd.Series([found[k] for k in number], dtype=object)
 
     large = F.coalesce(F.octet_length("geometry") > SMALL, F.lit(False))
-    own = polygons.filter(~large).withColumn("geometry", enclosed("geometry"))
+    own = spread(polygons.filter(~large)).withColumn("geometry", enclosed("geometry"))
     made = _enclosed(polygons.filter(large), key, size, edges_of, odd).withColumnRenamed("geometry", "_made")
     other = [f"_k{i}" for i in range(len(key))]
     made = made.select(*(F.col(k).alias(o) for k, o in zip(key, other)), "_made")
-    spread = polygons.filter(large).join(made, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(key, other)], "left")
-    return own.unionByName(spread.select(*(F.col("_made").alias("geometry") if c == "geometry" else F.col(c) for c in polygons.columns)))
-
-
-def _alone(edges: np.ndarray, size: float, odd: bool) -> bytes | None:
-    """All cells of one polygon."""
-    found = []
-    for cx, cy, winding, own in A.place(A.to_units(edges, size)):
-        if own is not None:
-            box = (cx << A.BITS, cy << A.BITS, (cx + 1) << A.BITS, (cy + 1) << A.BITS)
-            found.append(A.bounding(own, winding, box, (2 * box[0] + A.REF[0], 2 * box[1] + A.REF[1]), odd))
-    kept = np.concatenate([np.empty((0, 4), np.int64), *found])
-    return G.write_wkb(A.polygons_of(kept, size)) if len(kept) else None
+    both = polygons.filter(large).join(made, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(key, other)], "left")
+    return own.unionByName(both.select(*(F.col("_made").alias("geometry") if c == "geometry" else F.col(c) for c in polygons.columns)))
+
+
+def _alone(wkb: np.ndarray, size: float, edges_of_all: Callable[[G.Flat], tuple[np.ndarray, np.ndarray]], odd: bool) -> list[bytes | None]:
+    """All cells of each polygon."""
+    out: list[bytes | None] = []
+    step = 256
+    for at in range(0, len(wkb), step):
+        some = wkb[at : at + step]
+        edges, row = edges_of_all(G.read_column(pd.Series(some, dtype=object)))
+        units = np.rint(edges * (A.UNITS / size)).astype(np.int64)
+        kept = (units[:, :2] != units[:, 2:]).any(axis=1)
+        units, row = units[kept], row[kept]
+        first = 0
+        while first < len(some):  # a slice of polygons of so many edges, one polygon at least
+            begin = np.searchsorted(row, first)
+            last = len(some) if len(row) - begin <= AT_ONCE else max(first + 1, int(row[begin + AT_ONCE]))
+            end = np.searchsorted(row, last)
+            out += G.write_column(A.enclosed_many(units[begin:end], row[begin:end] - first, last - first, size, odd), last - first)
+            first = last
+    return out
+
+
+def _raw(flat: G.Flat) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, row): all rings' edges as they run."""
+    points, off, row, *_ = flat
+    n = np.diff(off)
+    after = np.repeat(off[:-1], n) + (G.ramp(n) + 1) % np.repeat(n, n)
+    return np.hstack([points, points[after]]), np.repeat(row, n)
+
+
+def _turned(flat: G.Flat) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_raw``, outer rings counter-clockwise and holes clockwise."""
+    edges, row = _raw(flat)
+    wrong = np.repeat((G.ring_areas(*flat[:2]) >= 0) == flat[4], np.diff(flat[1]))
+    return np.where(wrong[:, None], edges[:, [2, 3, 0, 1]], edges), row
+
+
+def _covers(distance: float) -> Callable[[G.Flat], tuple[np.ndarray, np.ndarray]]:
+    """``_cover`` for all polygons of a column."""
+
+    def covers(flat: G.Flat) -> tuple[np.ndarray, np.ndarray]:
+        (run, row), (edges, _) = _raw(flat), _turned(flat)
+        d = run[:, 2:] - run[:, :2]
+        length = np.hypot(*d.T)
+        some = length > 0
+        a, b, d = run[some, :2], run[some, 2:], d[some] / length[some, None]
+        side = distance * np.column_stack([d[:, 1], -d[:, 0]])
+        corners = np.stack([a + side, b + side, b - side, a - side], axis=1)
+        angle = 2 * np.pi * np.arange(ROUND) / ROUND
+        around = run[:, None, :2] + distance * np.column_stack([np.cos(angle), np.sin(angle)])
+        boxes, circles = (np.concatenate([r, np.roll(r, -1, axis=1)], axis=2).reshape(-1, 4) for r in (corners, around))
+        rows = np.concatenate([row, np.repeat(row[some], 4), np.repeat(row, ROUND)])
+        order = np.argsort(rows, kind="stable")
+        return np.concatenate([edges, boxes, circles])[order], rows[order]
+
+    return covers
 
 
 def faults(polygons: DataFrame, key: list[str], size: float) -> DataFrame:
@@ -129,36 +186,22 @@ def faults(polygons: DataFrame, key: list[str], size: float) -> DataFrame:
     or lie in each other wrongly has one row ``nesting`` without a place; rings may touch.
     """
     keys = [polygons.schema[c] for c in key]
-    cell = T.StructType([*keys, *(T.StructField(n, t) for n, t in (("_cx", T.LongType()), ("_cy", T.LongType()), ("_ring", T.IntegerType()), ("_edges", T.BinaryType())))])
     found = T.StructType([*keys, T.StructField("_ring", T.IntegerType()), T.StructField("fault", T.StringType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("_n", T.LongType())])
     unit = size / A.UNITS
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, wkb in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                # Each ring by itself, and all of several rings together for what runs along each other.
-                rings = [[[r]] for rings in G.read_wkb(wkb) for r in rings]
-                some = list(enumerate(rings)) + ([(-1, G.read_wkb(wkb))] if len(rings) > 1 else [])
-                rows = [(x, y, ring, e.tobytes()) for ring, parts in some for x, y, _, e in A.place(A.to_units(A.raw_edges(parts), size)) if e is not None]
-                if rows:
-                    at = pa.array(np.full(len(rows), i))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(key))), *(pa.array(c) for c in zip(*rows))], schema=to_arrow_schema(cell))
-
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                cx, cy = (batch.column(len(key) + k)[i].as_py() for k in range(2))
-                ring = batch.column(len(key) + 2)[i].as_py()
-                edges = np.frombuffer(batch.column(len(key) + 3)[i].as_py(), np.int64).reshape(-1, 4)
-                rows = [r for r in _meetings(edges, (cx << A.BITS, cy << A.BITS, (cx + 1) << A.BITS, (cy + 1) << A.BITS)) if ring >= 0 or r[0] == "overlap"]
-                if rows:
-                    at = pa.array(np.full(len(rows), i))
-                    kinds, x, y, n = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(key))), pa.array([ring] * len(rows), pa.int32()), pa.array(kinds), pa.array([v * unit for v in x]), pa.array([v * unit for v in y]), pa.array(n)], schema=to_arrow_schema(found))
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
+                at, ring, overlap, x, y, n = _faults_of(batch.column(batch.num_columns - 1), size)
+                keep = overlap | (ring >= 0)
+                at, kinds = pa.array(at[keep]), np.where(overlap[keep], "overlap", "crossing").astype(object)
+                made = [pa.array(ring[keep], pa.int32()), pa.array(kinds, pa.string()), pa.array(x[keep] * unit), pa.array(y[keep] * unit), pa.array(n[keep])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(key))), *made], schema=to_arrow_schema(found))
 
     some = polygons.filter(F.col("geometry").isNotNull()).select(*key, "geometry")
     # Pieces that end in a point on a cell's side are of several cells; each piece is one cell's own.
-    places = some.mapInArrow(place, cell).mapInArrow(look, found).groupBy(*key, "_ring", "fault", "x", "y").agg(F.sum("_n").alias("_n"))
+    places = spread(some).mapInArrow(look, found).groupBy(*key, "_ring", "fault", "x", "y").agg(F.sum("_n").alias("_n"))
     places = places.filter("fault = 'overlap' or _n > 2").drop("_n", "_ring").distinct()
     # Rings of a valid polygon enclose the shell's area less the holes'.
     made = repaired(some, key, size).withColumn("_after", F.coalesce(G.st_area("geometry"), F.lit(0.0))).drop("geometry")
@@ -170,6 +213,71 @@ def faults(polygons: DataFrame, key: list[str], size: float) -> DataFrame:
     return places.unionByName(nesting)
 
 
+def _faults_of(wkb: pa.Array, size: float) -> tuple[np.ndarray, ...]:
+    """(row, ring, is an overlap, x, y, pieces) of what ``_meetings`` finds in all cells: of each ring by itself, and of several rings together, which are ring -1."""
+    flat = G.read_column(wkb)
+    edges, row = _raw(flat)
+    units = np.rint(edges * (A.UNITS / size)).astype(np.int64)
+    first = np.searchsorted(flat[2], flat[2])
+    number = np.arange(len(flat[2])) - first
+    ring = np.repeat(number, np.diff(flat[1]))
+    several = np.bincount(flat[2], minlength=len(wkb))[row] > 1
+    units, row, ring = np.concatenate([units, units[several]]), np.concatenate([row, row[several]]), np.concatenate([ring, np.full(several.sum(), -1)])
+    kept = (units[:, :2] != units[:, 2:]).any(axis=1)
+    order = np.lexsort((ring, row))
+    order = order[kept[order]]
+    units, row, ring = units[order], row[order], ring[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (ring[1:] != ring[:-1])])[: len(row)]
+    owner = np.cumsum(new) - 1
+    of, rings, count = row[new], ring[new], int(new.sum())
+    out: list[tuple[np.ndarray, ...]] = [tuple(np.empty(0, t) for t in (np.int64, bool, float, float, np.int64))]
+    begin = 0
+    while begin < len(owner):
+        end = len(owner) if len(owner) - begin <= AT_ONCE else int(np.searchsorted(owner, max(owner[begin] + 1, owner[begin + AT_ONCE])))
+        out += _faults_in(units[begin:end], owner[begin:end], count, size)
+        begin = end
+    owner, *rest = (np.concatenate(c) for c in zip(*out))
+    return of[owner], rings[owner], *rest
+
+
+def _faults_in(units: np.ndarray, owner: np.ndarray, count: int, size: float) -> list[tuple[np.ndarray, ...]]:
+    polygon, cx, cy, _, edge, cell, left_out = A.place_many(units, owner, count)
+    order = np.argsort(cell, kind="stable")
+    edge, cell = edge[order], cell[order]
+    bounds = np.searchsorted(cell, np.arange(len(polygon) + 1))
+    x0, y0, out = cx << A.BITS, cy << A.BITS, []
+
+    def alone(k: int, own: np.ndarray, x: int, y: int) -> None:
+        found = _meetings(own, (x << A.BITS, y << A.BITS, (x + 1) << A.BITS, (y + 1) << A.BITS))
+        if found:
+            kinds, px, py, n = zip(*found)
+            out.append((np.full(len(found), k), np.array([f == "overlap" for f in kinds]), np.array(px, float), np.array(py, float), np.array(n, np.int64)))
+
+    for first, last in A.chunks(cell, len(polygon)):
+        own = slice(bounds[first], bounds[last])
+        if last - first == 1 and bounds[last] - bounds[first] > A.CROWDED:
+            alone(int(polygon[first]), units[edge[own]], int(cx[first]), int(cy[first]))
+            continue
+        a, b = x0[first:last], y0[first:last]
+        points, of, start, stop = A.cut_many(units[edge[own]], cell[own] - first, a, b)
+        wide = max(1, len(points))
+        one, n = np.unique(np.minimum(start, stop) * wide + np.maximum(start, stop), return_counts=True)
+        i, j = np.divmod(one, wide)
+        middle, corner = (points[i] + points[j]) / 2, A.corner_of(a, b, of)
+        mine = ((middle >= corner[i]) & (middle < corner[i] + A.UNITS)).all(axis=1)
+        some = mine & (n > 1)
+        out.append((polygon[first + of[i[some]]], np.ones(some.sum(), bool), middle[some, 0], middle[some, 1], np.full(some.sum(), 2)))
+        degree = np.bincount(np.concatenate([i[mine], j[mine]]), minlength=len(points))
+        side = ((points == corner) | (points == corner + A.UNITS)).any(axis=1)
+        at = np.flatnonzero((degree > 0) & (side | (degree > 2)))
+        out.append((polygon[first + of[at]], np.zeros(len(at), bool), points[at, 0].astype(float), points[at, 1].astype(float), degree[at]))
+    for k in left_out.tolist():
+        for x, y, _, own in A.place(units[np.searchsorted(owner, k) : np.searchsorted(owner, k, "right")]):
+            if own is not None:
+                alone(k, own, x, y)
+    return out
+
+
 def _meetings(edges: np.ndarray, box: tuple[int, int, int, int]) -> list[tuple[str, float, float, int]]:
     """A cell's overlaps, and its points at which pieces end with the number of its own pieces that do; inner points only if these are more than two."""
     pieces = A.cut_at_each_other(edges, box)
@@ -213,35 +321,52 @@ def buffered(polygons: DataFrame, key: list[str], distance: float, size: float)
         raise ValueError("the distance is negative")
     if distance == 0:
         return repaired(polygons, key, size)
-    return _each(polygons, key, size, lambda parts: _cover(parts, distance), odd=False)
+    return _each(polygons, key, size, lambda parts: _cover(parts, distance), _covers(distance), odd=False)
 
 
-RINGS = "array<struct<part:int,points:array<struct<x:double,y:double>>>>"
+RINGS = T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("points", T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))]))
 
 
-def _cut_at_seam(meridian: float, least: float, most: float) -> Callable[[pd.Series], pd.Series]:
+def _cut_at_seam(wkb: pa.Array, meridian: float, least: float, most: float) -> pa.Array:
     """Rings in degrees east of a meridian, from -180 to 180, of polygons in longitude and latitude; what crosses the other side is cut there."""
-
-    def one(wkb: bytes) -> list[dict]:
-        parts = G.read_wkb(wkb)
-        x0, _, x1, _ = G.bounds(parts)
-        if x1 - x0 > WIDE:  # the other way round is shorter
-            parts = [[np.column_stack([np.where(r[:, 0] < 0, r[:, 0] + 360, r[:, 0]), r[:, 1]]) for r in rings] for rings in parts]
-        out: G.Parts = []
-        for turn in range(-2, 3):
-            shift = [meridian + 360.0 * turn, 0.0]
-            out += [[r - shift for r in rings] for rings in G.clip(parts, shift[0] - 180, least, shift[0] + 180, most)]
-        return [{"part": k, "points": [{"x": float(x), "y": float(y)} for x, y in r]} for k, rings in enumerate(out) for r in rings]
-
-    return lambda wkb: wkb.map(lambda g: None if g is None else one(g))
-
-
-def _joined(rings: list[dict] | None) -> bytes | None:
-    parts: G.Parts = []
-    for r in rings or []:
-        parts += [[] for _ in range(r["part"] + 1 - len(parts))]
-        parts[r["part"]].append(np.array([(p["x"], p["y"]) for p in r["points"]]))
-    return G.write_wkb(parts) if parts else None
+    points, off, row, part, hole = G.read_column(wkb)
+    n = np.diff(off)
+    at = np.repeat(row, n)
+    low, high = np.full(len(wkb), np.inf), np.full(len(wkb), -np.inf)
+    outer = np.repeat(~hole, n)
+    np.minimum.at(low, at[outer], points[outer, 0])
+    np.maximum.at(high, at[outer], points[outer, 0])
+    wide = (high - low > WIDE)[at]  # the other way round is shorter
+    points = np.column_stack([np.where(wide & (points[:, 0] < 0), points[:, 0] + 360, points[:, 0]), points[:, 1]])
+    turns = []
+    for turn in range(-2, 3):
+        shift = meridian + 360.0 * turn
+        limits = (np.full(len(row), v) for v in (shift - 180, least, shift + 180, most))
+        p, *rest = G.clip_column((points, off, row, part, hole), *limits)
+        turns.append((p - [shift, 0.0], *rest))
+    sizes, row, part, hole = (np.concatenate([np.diff(t[k]) if k == 1 else t[k] for t in turns]) for k in (1, 2, 3, 4))
+    turn = np.repeat(np.arange(len(turns)), [len(t[2]) for t in turns])
+    points = np.concatenate([t[0] for t in turns])
+    order = np.argsort(row, kind="stable")  # by row, then turn, then part
+    start, n = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    points, row, part, turn = points[np.repeat(start, n) + G.ramp(n)], row[order], part[order], turn[order]
+    first = np.concatenate([[True], (row[1:] != row[:-1]) | (turn[1:] != turn[:-1]) | (part[1:] != part[:-1])])[: len(row)]
+    number = np.cumsum(first) - 1
+    begin = np.searchsorted(row, np.arange(len(wkb) + 1))
+    number -= np.append(number, 0)[begin[:-1]][row] if len(row) else 0
+    xy = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(points[:, k])) for k in range(2)], ["x", "y"])
+    rings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), xy)
+    rings = pa.StructArray.from_arrays([pa.array(number, pa.int32()), rings], ["part", "points"])
+    return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), rings, mask=wkb.is_null())
+
+
+def _joined(lists: pa.ListArray) -> pa.Array:
+    """Polygons of lists of rings; NULL where there are none."""
+    rings, count = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy()
+    xy, n = rings.field("points").flatten(), rings.field("points").value_lengths().to_numpy().astype(np.int64)
+    part, row = rings.field("part").to_numpy().astype(np.int64), np.repeat(np.arange(len(lists)), count)
+    points = np.column_stack([c.to_numpy(zero_copy_only=False) for c in xy.flatten()])
+    return pa.array(G.write_column((points, np.concatenate([[0], np.cumsum(n)]), row, part, part < 0), len(lists)), pa.binary())
 
 
 def reprojected(polygons: DataFrame, crs: Crs, tolerance: float) -> DataFrame:
@@ -279,22 +404,20 @@ def reprojected(polygons: DataFrame, crs: Crs, tolerance: float) -> DataFrame:
 
         return F.transform(F.sequence(F.lit(0), e["n"] - 1), point)
 
-    cut = F.pandas_udf(_typed(_cut_at_seam(crs.meridian, -limit, limit)), RINGS)
+    meridian = crs.meridian
+
+    @F.arrow_udf(RINGS)
+    def cut(wkb: pa.Array) -> pa.Array:
+        return _cut_at_seam(wkb, meridian, -limit, limit)
+
     rings = F.transform("_rings", lambda r: F.struct(r["part"].alias("part"), F.flatten(F.transform(edges(r["points"]), split)).alias("points")))
     kept = [f for f in polygons.schema.fields if f.name not in ("geometry", "minx", "miny", "maxx", "maxy")]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([_joined(r) for r in batch.column("_rings").to_pylist()], pa.binary())
+            made = _joined(batch.column("_rings"))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), made], names=[*(f.name for f in kept), "geometry"])
 
-    split_up = polygons.withColumn("_rings", cut("geometry")).select(*(f.name for f in kept), rings.alias("_rings"))
+    split_up = spread(polygons).withColumn("_rings", cut("geometry")).select(*(f.name for f in kept), rings.alias("_rings"))
     made = split_up.mapInArrow(join, T.StructType([*kept, T.StructField("geometry", T.BinaryType())]))
     return made.select(*(c for c in polygons.columns if c not in ("minx", "miny", "maxx", "maxy")))
-
-
-def _typed(f: Callable[[pd.Series], pd.Series]) -> Callable[[pd.Series], pd.Series]:
-    def typed(wkb: pd.Series) -> pd.Series:
-        return f(wkb)
-
-    return typed
