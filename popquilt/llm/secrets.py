@@ -9,9 +9,9 @@ well they agree with chance: chi-squared uniformity over the alphabet, runs abov
 the middle, and lag-one serial correlation, combined by Fisher's method.
 
 Agreement with chance alone proves little for a short string, so what is tested is the
-hypothesis that a candidate is ordinary text. Its distribution comes from the corpus: of
-every document one window of letters and digits, without what stands between them, is
-measured in the same way for every stratum of lengths. A candidate's p-value is the share
+hypothesis that a candidate is ordinary text. Its distribution comes from the corpus: all
+letters and digits of every document, without what stands between them, are cut to windows
+that are measured in the same way, for every stratum of lengths. A candidate's p-value is the share
 of these windows of its stratum that look as random as it does; the procedure of Benjamini
 and Hochberg, in each stratum, bounds the share of false secrets among those found.
 
@@ -24,12 +24,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popquilt.llm.common import prepare, table, text_slices
@@ -63,6 +62,11 @@ SIZES = np.array([len(a) for _, a in ENCODINGS])
 NUMBERS = np.zeros((len(ENCODINGS), 128), dtype=np.int64)
 for _k, (_, _a) in enumerate(ENCODINGS):
     NUMBERS[_k, [ord(c) for c in _a]] = np.arange(len(_a))
+#: Windows of text are of one case: hex or base36, whose letters have the same numbers; other characters are above.
+_HEX_KIND, _BASE36_KIND = 0, 3
+_LETTERS = np.full(256, 255, np.uint8)
+for _k, _c in enumerate("0123456789abcdefghijklmnopqrstuvwxyz"):
+    _LETTERS[[ord(_c), ord(_c.upper())]] = _k
 #: Lower ends of the strata of lengths, in symbols.
 STRATA = (16, 20, 24, 32, 48, 64, 128)
 BINS = 1000
@@ -107,11 +111,13 @@ def battery(texts: list[str], encodings: list[int]) -> np.ndarray:
     """
     if not texts:
         return np.empty(0)
-    n = np.array([len(t) for t in texts])
-    kind = np.array(encodings)
-    off = np.concatenate([[0], np.cumsum(n)])
-    owner = np.repeat(np.arange(len(n)), n)
-    x = NUMBERS[kind[owner], np.frombuffer("".join(texts).encode("ascii"), np.uint8)].astype(np.float64)
+    n, kind = np.array([len(t) for t in texts]), np.array(encodings)
+    return _agreement(n, kind, NUMBERS[np.repeat(kind, n), np.frombuffer("".join(texts).encode("ascii"), np.uint8)])
+
+
+def _agreement(n: np.ndarray, kind: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The battery on symbol numbers of strings of lengths n, one after another."""
+    owner, x = np.repeat(np.arange(len(n)), n), numbers.astype(np.float64)
     size = SIZES[kind].astype(np.float64)
 
     counts = np.bincount(owner * 64 + x.astype(np.int64), minlength=len(n) * 64).reshape(-1, 64)
@@ -151,18 +157,46 @@ def bins(p: np.ndarray) -> np.ndarray:
 
 
 def text_windows(text: str) -> list[str]:
-    """For each stratum, as many letters and digits of the text as its shortest strings have, in lower case, from a place that follows from the text's length."""
-    out = []
+    """For each stratum, all letters and digits of the text in lower case, cut to windows as long as its shortest strings; what is left is in a window that ends with the text."""
+    letters, out = _OTHER.sub("", text).lower(), []
     for length in STRATA:
-        if len(text) < length:
-            break
-        at = zlib.crc32(b"%d" % length, len(text) * 2654435761 & 0xFFFFFFFF) % (len(text) - length + 1)
-        window = _OTHER.sub("", text[at : at + 3 * length])[:length].lower()
-        if len(window) == length and not window.isdigit():
-            out.append(window)
+        n = len(letters)
+        starts = [*range(0, n - length + 1, length), *([n - length] if n > length and n % length else [])]
+        out += [w for w in (letters[k : k + length] for k in starts) if not w.isdigit()]
     return out
 
 
+def window_bins(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, stratum, bin) of the ``text_windows`` of all texts."""
+    raw = [t.encode("ascii", "ignore") for t in texts]
+    letters = _LETTERS[np.frombuffer(b"".join(raw), np.uint8)]
+    kept = letters < 36
+    sizes = np.bincount(np.repeat(np.arange(len(raw)), [len(r) for r in raw])[kept], minlength=len(raw))
+    letters, begin = letters[kept], np.cumsum(sizes) - sizes
+    out = [(np.empty(0, np.int64),) * 3]
+    for s, length in enumerate(STRATA):
+        n = -(-sizes // length) * (sizes >= length)
+        own = np.repeat(np.arange(len(raw)), n)
+        place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * length
+        start = begin[own] + np.minimum(place, sizes[own] - length)
+        step = SYMBOLS // length
+        for at in range(0, len(start), step):
+            x = letters[start[at : at + step, None] + np.arange(length)]
+            top = x.max(axis=1)
+            some = top > 9  # the others are numbers
+            kind = np.where(top[some] < 16, _HEX_KIND, _BASE36_KIND)
+            p = _agreement(np.full(len(kind), length), kind, x[some].ravel()) if len(kind) else np.empty(0)
+            out.append((own[at : at + step][some], np.full(len(kind), s), bins(p)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def window_counts(texts: list[str]) -> dict[tuple[int, int], int]:
+    """How many windows of the texts each (stratum, bin) has."""
+    _, s, b = window_bins(texts)
+    place, n = np.unique(s * BINS + b, return_counts=True)
+    return {divmod(k, BINS): v for k, v in zip(place.tolist(), n.tolist())}
+
+
 def join_spans(spans: list[tuple[int, int, int]], names: tuple[str, ...]) -> str:
     return ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
@@ -170,13 +204,13 @@ def join_spans(spans: list[tuple[int, int, int]], names: tuple[str, ...]) -> str
 _SCAN = (
     "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, "
     "base array<struct<start:long,kind:int,end:long>>, extra array<struct<start:long,end:long,encoding:string,stratum:int,bin:int>>, "
-    "windows array<struct<stratum:int,bin:int>>"
+    "windows array<struct<stratum:int,bin:int,n:long>>"
 )
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 _EXTRA = pa.list_(
     pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("stratum", pa.int32()), ("bin", pa.int32())])
 )
-_WINDOW = pa.list_(pa.struct([("stratum", pa.int32()), ("bin", pa.int32())]))
+_WINDOW = pa.list_(pa.struct([("stratum", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]))
 
 
 def _measured(found: list[tuple[str, int]]) -> list[int]:
@@ -227,13 +261,8 @@ def candidates(texts: list[str]) -> list[list[tuple[int, int, str, int, int]]]:
 
 def ordinary(texts: list[str]) -> list[list[tuple[int, int]]]:
     """For each text, (stratum, bin) of its windows."""
-    owners, found = [], []
-    for i, text in enumerate(texts):
-        for window in text_windows(text):
-            owners.append((i, stratum(len(window))))
-            found.append((window, infer_encoding(window)))
     out: list[list] = [[] for _ in texts]
-    for (i, s), b in zip(owners, _measured(found)):
+    for i, s, b in zip(*(c.tolist() for c in window_bins(texts))):
         out[i].append((s, b))
     return out
 
@@ -249,7 +278,9 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in _parts(batches):
         cols: list[list] = [[] for _ in range(8)]
-        for doc_id, text, extra, windows in zip(part.column(0).to_pylist(), texts, candidates(texts), ordinary(texts)):
+        # A part's windows are counted together and stand in its first row.
+        counted = [[(s, b, n) for (s, b), n in window_counts(texts).items()], *([] for _ in texts[1:])]
+        for doc_id, text, extra, windows in zip(part.column(0).to_pylist(), texts, candidates(texts), counted):
             base = base_spans(text)
             kinds = [k for _, k, _ in base]
             digest = hashlib.sha256(join_spans(base, KINDS).encode()).hexdigest()
@@ -259,7 +290,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (*[pa.int64()] * 4, pa.string(), _SPAN, _EXTRA, _WINDOW)
         cols[5] = [[dict(zip(("start", "kind", "end"), x)) for x in v] for v in cols[5]]
         cols[6] = [[dict(zip(("start", "end", "encoding", "stratum", "bin"), x)) for x in v] for v in cols[6]]
-        cols[7] = [[dict(zip(("stratum", "bin"), x)) for x in v] for v in cols[7]]
+        cols[7] = [[dict(zip(("stratum", "bin", "n"), x)) for x in v] for v in cols[7]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=list(names))
 
 
@@ -297,11 +328,11 @@ def find_secrets(docs: DataFrame, level: float = 0.05) -> DataFrame:
     """
     scanned = docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(_scan, _SCAN).checkpoint()
 
-    def counts(column: str) -> dict[tuple[int, int], int]:
-        seen = scanned.select(F.explode(column).alias("x")).groupBy("x.stratum", "x.bin").count().collect()
-        return {(r["stratum"], r["bin"]): r["count"] for r in seen}
+    def counts(column: str, n: Column) -> dict[tuple[int, int], int]:
+        seen = scanned.select(F.explode(column).alias("x")).groupBy("x.stratum", "x.bin").agg(F.sum(n).alias("n")).collect()
+        return {(r["stratum"], r["bin"]): r["n"] for r in seen}
 
-    limits = F.array(*map(F.lit, secret_bins(counts("extra"), counts("windows"), level)))
+    limits = F.array(*map(F.lit, secret_bins(counts("extra", F.lit(1)), counts("windows", F.col("x.n")), level)))
     added = F.transform(
         F.filter("extra", lambda x: x["bin"] < F.element_at(limits, x["stratum"] + 1)),
         lambda x: F.struct(x["start"], F.lit(len(KINDS)).alias("kind"), x["end"], F.concat(F.lit("random-"), x["encoding"]).alias("name")),
@@ -339,9 +370,10 @@ def redact(docs: DataFrame, mark: str = "[secret]", level: float = 0.05) -> Data
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[tuple[int, int, bool], int] = {}
     for _, texts in _parts(batches):
-        for found, windows in zip(candidates(texts), ordinary(texts)):
-            for key in [(s, b, True) for *_, s, b in found] + [(s, b, False) for s, b in windows]:
-                counts[key] = counts.get(key, 0) + 1
+        for key in ((s, b, True) for found in candidates(texts) for *_, s, b in found):
+            counts[key] = counts.get(key, 0) + 1
+        for (s, b), n in window_counts(texts).items():
+            counts[s, b, False] = counts.get((s, b, False), 0) + n
     rows = [(*key, n) for key, n in counts.items()]
     cols = list(zip(*rows)) or [[], [], [], []]
     types = (pa.int32(), pa.int32(), pa.bool_(), pa.int64())
