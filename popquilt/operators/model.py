@@ -13,6 +13,8 @@ from popquilt.functions.transforms import PIXEL_AREA, targets
 from popquilt.operators.ranks import percentiles
 
 SPLITS, TEST, VALIDATE = 10, 0.2, 0.1
+#: Tiles up to which their parts go to the rows. Few tiles have many rows each, which a shuffle by tile would bring into as few tasks.
+FEW_TILES = 1 << 16
 TRAIN_NAMES = ("train", "validate", "test")
 
 
@@ -161,12 +163,19 @@ def score(rows: DataFrame, model: Linear, kind: str, target: str, truth: str, me
     return both.agg(F.count(F.lit(1)).alias("rows"), *(METRICS[m](y, p).alias(m) for m in metrics))
 
 
+def with_part(rows: DataFrame, parts: DataFrame, key: str = "tile_key") -> DataFrame:
+    """Rows with the ``split`` of their tile; those of other tiles are left out."""
+    own = parts.select(key, "split")
+    few = own.limit(FEW_TILES + 1).count() <= FEW_TILES
+    return rows.join(F.broadcast(own) if few else own, key)
+
+
 def scores(rows: DataFrame, parts: DataFrame, model: Linear, kind: str, target: str, truth: str, key: str = "tile_key", **of) -> DataFrame:
     """(split, rows, metrics) for the training, validation and test tiles, one scan."""
     y, p = F.col("_y"), F.col("_p")
     metrics = of.pop("metrics", tuple(METRICS))
     output = targets(kind, model.output(), F.col(of.pop("built", "built")), of.pop("area", PIXEL_AREA))[target]
-    both = rows.join(parts.select(key, "split"), key).select("split", F.col(truth).cast("double").alias("_y"), output.alias("_p")).dropna()
+    both = with_part(rows, parts, key).select("split", F.col(truth).cast("double").alias("_y"), output.alias("_p")).dropna()
     return both.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), *(METRICS[m](y, p).alias(m) for m in metrics))
 
 
