@@ -21,6 +21,8 @@ from popquilt.operators import geometry as G
 
 #: Rows of cells that a polygon is cut to at once; a tall polygon is cut in several tasks.
 BANDS = 64
+#: Points or boxes that travel as one row: an Arrow batch is a number of rows, so that longer lists would make it any size.
+PACKED = 128
 
 
 def cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
@@ -42,7 +44,7 @@ def _mapped(df: DataFrame, schema: T.StructType, each: Callable[[pa.RecordBatch]
 
 
 def packed(df: DataFrame) -> DataFrame:
-    """(_cx, _cy, _rows): the rows of an Arrow batch that have the same cell ``_c``, as one list of structs without it."""
+    """(_cx, _cy, _rows): the rows of an Arrow batch that have the same cell ``_c``, as lists of at most PACKED structs without it."""
     rest = [f for f in df.schema.fields if f.name != "_c"]
     schema = T.StructType([T.StructField("_cx", T.LongType()), T.StructField("_cy", T.LongType()), T.StructField("_rows", T.ArrayType(T.StructType(rest)))])
 
@@ -51,7 +53,9 @@ def packed(df: DataFrame) -> DataFrame:
         x, y = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in cell.flatten())
         order = np.lexsort((y, x))
         x, y = x[order], y[order]
-        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        within = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        first = np.flatnonzero(within % PACKED == 0)
         own = batch.take(pa.array(order))
         rows = pa.StructArray.from_arrays([own.column(own.schema.get_field_index(f.name)) for f in rest], [f.name for f in rest])
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(x)), pa.int32()), rows)
