@@ -139,8 +139,9 @@ def edges_sql() -> str:
 
 
 def part_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    """A polygon for each part: a box, a triangle, or a box with a notch."""
+    """A polygon for each part: a box, a triangle, or a box with a notch. Rows are dealt out while they are two numbers, as a file of parts may be one task."""
     from popquilt.operators import geometry as G
+    from popquilt.operators import polygons as PG
 
     k, s = F.col("p_partkey"), F.col("p_size")
     x, y, w, h = (k % 97) * 1.5, s * 2.0 + k % 7, 5.0 + s % 11, 4.0 + k % 13
@@ -150,7 +151,7 @@ def part_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
     box, triangle = ring((x, y), (x + w, y), (x + w, y + h), (x, y + h)), ring((x, y), (x + w, y), (x + w / 2, y + h))
     notched = ring((x, y), (x + w, y), (x + w, y + h), (x + w / 2, y + h / 4), (x, y + h))
-    rings = table(spark, sf, "part").select(k.alias("shape_id"), F.when(k % 3 == 0, box).when(k % 3 == 1, triangle).otherwise(notched).alias("ring"))
+    rings = PG.spread(table(spark, sf, "part").select("p_partkey", "p_size")).select(k.alias("shape_id"), F.when(k % 3 == 0, box).when(k % 3 == 1, triangle).otherwise(notched).alias("ring"))
     return rings.select("shape_id", G.st_polygon("ring").alias("geometry"))
 
 
