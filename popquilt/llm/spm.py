@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
 The trellis has a boundary after every character and an edge for every piece. Edges are drawn
-from a boundary once as many characters follow as the longest piece has. From then on, at
-least as often as that many boundaries are done, the paths that are still alive are followed
-back; where they meet, the ids up to there are final and leave the window, so that memory
-does not grow with the text. Every text takes this way.
+to a boundary as its character comes: the tree of pieces has links from what was read to its
+longest end that a piece can begin with, so that each character is one step and gives the
+pieces that end there. At least as often as the longest piece has characters, the paths that
+are still alive are followed back; where they meet, the ids up to there are final and leave
+the window, so that memory does not grow with the text. Every text takes this way.
 
 The trellis serves both kinds of vocabulary. In a unigram vocabulary an edge adds its piece's
 score and the best path to a boundary survives. In a byte-pair vocabulary an edge is allowed
@@ -14,7 +15,8 @@ whole text would give. (Adding up a byte-pair vocabulary's ranks would not give
 
 A character outside the vocabulary becomes its UTF-8 bytes' pieces, and all paths meet on
 both of its sides. So they do before a space that follows another character, since no piece
-has a space after another character; such stretches are memoised in a table of bounded size.
+has a space after another character; such stretches are memoised in a table of bounded size,
+which a worker keeps from task to task.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +33,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from popquilt.llm.common import prepare, table
 
-SPACE, END = "▁", ""
+SPACE = "▁"
 _models: dict[str, Vocabulary] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
+#: Nodes by character; the pieces that end here, longest first, as (id, characters, what is known of pieces before it); characters from the root; the node of the longest shorter end.
+Node = tuple[dict[str, "Node"], tuple[tuple[int, int, dict[int, bool]], ...], int, "Node | None"]
 
-def tree_of(ids: dict[str, int]) -> dict:
-    """The pieces as a tree by characters; a node's id, if it is a piece, is under END."""
-    tree: dict = {}
+
+def tree_of(ids: dict[str, int], before: dict[int, dict[int, bool]] | None = None) -> Node:
+    """The root of the pieces' tree by characters, with links to shorter ends (Aho and Corasick's)."""
+    by_length: dict[int, dict[str, int]] = {}
     for piece, i in ids.items():
-        node = tree
-        for c in piece:
-            node = node.setdefault(c, {})
-        node[END] = i
-    return tree
+        for n in range(1, len(piece) + 1):
+            by_length.setdefault(n, {}).setdefault(piece[:n], -1)
+        by_length[len(piece)][piece] = i
+    root: Node = ({}, (), 0, None)
+    above = {"": root}
+    for n in sorted(by_length):
+        level = {}
+        for text, i in by_length[n].items():
+            parent, c = above[text[:-1]], text[-1]
+            link = parent[3]
+            while link is not None and c not in link[0]:
+                link = link[3]
+            link = root if link is None else link[0][c]
+            own = ((i, n, {} if before is None else before[i]),) if i >= 0 else ()
+            level[text] = parent[0][c] = ({}, own + link[1], n, link)
+        above = level
+    return root
 
 
 class Vocabulary:
@@ -69,32 +87,41 @@ class Vocabulary:
         self.longest_run = max(len(p) for p in self.ids if set(p) == {SPACE})
         splits = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         self.stretches = None if splits else re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-        self.allowed: dict[tuple[int, int], bool] = {}
-        self.tree = tree_of(self.ids)
+        # Per piece, whether it may follow another; ``pairs`` are known in all.
+        self.before: dict[int, dict[int, bool]] = {i: {} for i in self.ids.values()}
+        self.pairs = 0
+        self.tree = tree_of(self.ids, self.before)
+
+    def score(self, piece: str) -> float:
+        i = self.ids.get(piece)
+        return -np.inf if i is None else self.scores[i]
 
     def merged(self, text: str) -> list[str]:
         """Merges neighbours by score, best and then leftmost first."""
         parts = list(text)
-        while len(parts) > 1:
-            best = max(
-                ((self.scores[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None),
-                default=None,
-            )
-            if best is None:
-                break
-            k = -best[1]
+        scores = [self.score(a + b) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > -np.inf:
+            k = scores.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = self.score(parts[k - 1] + parts[k])
+            if k < len(scores):
+                scores[k] = self.score(parts[k] + parts[k + 1])
         return parts
 
     def follows(self, before: int, piece: int) -> bool:
         """Whether a byte-pair encoding may have these two pieces side by side; before is -1 at a start."""
-        known = self.allowed.get((before, piece))
+        known = self.before[piece].get(before)
         if known is None:
-            if len(self.allowed) > 1_000_000:
-                self.allowed.clear()
+            if self.pairs > 1_000_000:
+                for pairs in self.before.values():
+                    pairs.clear()
+                self.pairs = 0
             own = self.pieces[piece]
             two = [own] if before < 0 else [self.pieces[before], own]
-            known = self.allowed[before, piece] = self.merged("".join(two)) == two
+            known = self.before[piece][before] = self.merged("".join(two)) == two
+            self.pairs += 1
         return known
 
 
@@ -105,62 +132,53 @@ class Viterbi:
         self.v = vocabulary
         # Per boundary of the window: (piece, boundary before, score), or None where no path ends.
         self.window: list[tuple[int, int, float] | None] = [(-1, -1, 0.0)]
-        self.text = ""
-        self.done = 0  # boundaries whose edges are drawn
+        self.node: Node = vocabulary.tree
         self.most = 1  # boundaries held at once
 
     def push(self, chars: str) -> list[int]:
         """Takes characters; the ids that have become final."""
         out, step = [], self.v.longest
         for at in range(0, len(chars), step):
-            self.text += chars[at : at + step]
-            if (end := len(self.text) - step + 1) > self.done:
-                self.draw(end)
-                if end >= step:
-                    out += self.commit()
+            self.draw(chars[at : at + step])
+            if len(self.window) > step:
+                out += self.commit()
         return out
 
     def finish(self) -> list[int]:
         """The ids that are left, at the end of the text."""
-        self.draw(len(self.text))
-        return self.path(len(self.text))
-
-    def draw(self, end: int) -> None:
-        """Draws the edges of living boundaries before ``end``, whose pieces are all within the text so far."""
-        v, text, window = self.v, self.text, self.window
-        window += [None] * (len(text) + 1 - len(window))
-        self.most = max(self.most, len(window))
-        tree, scores, longest = v.tree, v.scores, v.longest
-        bpe = v.kind == "bpe"
-        allowed, follows = (v.allowed, v.follows) if bpe else (None, None)
-        for start in range(self.done, end):
-            at = window[start]
-            if at is None:
-                continue
-            before, _, score = at
-            node, stop = tree, start
-            for c in text[start : start + longest]:
-                node = node.get(c)
-                if node is None:
-                    break
-                stop += 1
-                piece = node.get(END)
-                if piece is None:
+        return self.path(len(self.window) - 1)
+
+    def draw(self, chars: str) -> None:
+        """Draws the edges to the boundaries after these characters, of which the surviving path's stay."""
+        v, window, node = self.v, self.window, self.node
+        root, scores, bpe = v.tree, v.scores, v.kind == "bpe"
+        for stop, c in enumerate(chars, len(window)):
+            after = node[0].get(c)
+            while after is None and node is not root:
+                node = node[3]
+                after = node[0].get(c)
+            node = root if after is None else after
+            best = None
+            for piece, size, before in node[1]:
+                start = stop - size
+                if start < 0 or (at := window[start]) is None:
                     continue
-                old = window[stop]
                 if bpe:
-                    if old is None:
-                        known = allowed.get((before, piece))
-                        if known or known is None and follows(before, piece):
-                            window[stop] = (piece, start, 0.0)
-                elif old is None or score + scores[piece] > old[2]:
-                    window[stop] = (piece, start, score + scores[piece])
-        self.done = max(self.done, end)
+                    known = before.get(at[0])
+                    if known or known is None and v.follows(at[0], piece):
+                        best = (piece, start, 0.0)
+                        break
+                elif best is None or at[2] + scores[piece] > best[2]:
+                    best = (piece, start, at[2] + scores[piece])
+            window.append(best)
+        self.node = node
+        self.most = max(self.most, len(window))
 
     def commit(self) -> list[int]:
-        """Ids up to the last boundary that all living paths share."""
+        """Ids up to the last boundary that all living paths share: those to where a piece that goes on can have begun."""
         window = self.window
-        heads = {k for k in range(self.done, len(window)) if window[k] is not None}
+        end = len(window)
+        heads = {k for k in range(max(0, end - 1 - self.node[2]), end) if window[k] is not None}
         while len(heads) > 1:
             last = max(heads)
             heads.remove(last)
@@ -182,20 +200,18 @@ class Viterbi:
         if at:
             shift = [None if w is None else (w[0], w[1] - at, w[2]) for w in self.window[at:]]
             self.window = [(shift[0][0], -1, shift[0][2]), *shift[1:]]
-            self.text = self.text[at:]
-            self.done = max(0, self.done - at)
         return out
 
 
 class _Memo(dict):
-    """Ids of stretches; it starts again when it is full."""
+    """Ids of stretches as bytes; it starts again when it is full."""
 
     def __init__(self, encoder: Encoder, most: int = 1_000_000):
         super().__init__()
         self.encoder, self.most = encoder, most
 
-    def __missing__(self, stretch: str) -> tuple[int, ...]:
-        found = tuple(self.encoder.stretch(stretch))
+    def __missing__(self, stretch: str) -> bytes:
+        found = raw_ids(self.encoder.stretch(stretch))
         if len(stretch) <= 48:
             if len(self) >= self.most:
                 self.clear()
@@ -203,6 +219,10 @@ class _Memo(dict):
         return found
 
 
+def raw_ids(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -212,7 +232,7 @@ class Encoder:
         """Ids of text with spaces already marked; unknown characters become bytes."""
         v, out = self.v, []
         run = len(text) - len(text.lstrip(SPACE))
-        if run and v.kind == "bpe":  # spaces merge last, from the left, and the last of them goes with a word if it can
+        if run > 1 and v.kind == "bpe":  # spaces merge last, from the left, and the last of them goes with a word if it can
             rest = self.known(text[run - 1 :]) if len(text) > run else [v.ids[SPACE]]
             alone = rest[0] == v.ids[SPACE]
             spaces = run if alone else run - 1
@@ -240,19 +260,21 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; a mark of a space in the text itself is kept as bytes."""
-        if not text:
-            return []
-        out: list[int] = []
-        for k, part in enumerate(text.split(SPACE)):
+        return self.ids(text).tolist()
+
+    def ids(self, text: str) -> np.ndarray:
+        """As ``encode``, 32-bit."""
+        out: list[bytes] = []
+        for k, part in enumerate(text.split(SPACE)) if text else ():
             if k:
-                out += [self.v.bytes[b] for b in SPACE.encode()]
+                out.append(raw_ids([self.v.bytes[b] for b in SPACE.encode()]))
             part = part.replace(" ", SPACE)
             part = part if k else SPACE + part
             if self.v.stretches is None:
-                out += self.stretch(part)
+                out.append(raw_ids(self.stretch(part)))
             else:
-                out += chain.from_iterable(map(self.memo.__getitem__, self.v.stretches.findall(part)))
-        return out
+                out += map(self.memo.__getitem__, self.v.stretches.findall(part))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids; it undoes ``encode`` for every text."""
@@ -283,6 +305,13 @@ def vocabulary(name: str = "piece_bpe_32k.model", kind: str = "bpe") -> Vocabula
     return _models[name]
 
 
+def encoder_of(name: str, kind: str) -> Encoder:
+    """This worker's encoder, with what it remembers of stretches."""
+    if (name, kind) not in _encoders:
+        _encoders[name, kind] = Encoder(vocabulary(name, kind))
+    return _encoders[name, kind]
+
+
 def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "bpe") -> DataFrame:
     """(doc_id, ids) for every row; a null or empty text has no ids.
 
@@ -292,11 +321,11 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "bpe"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(name, kind))
+        encoder = encoder_of(name, kind)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                ids = [np.array(encoder.encode(t.as_py() or ""), dtype=np.int32) for t in part.column(1)]
+                ids = [encoder.ids(t.as_py() or "") for t in part.column(1)]
                 off = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
