@@ -1,14 +1,16 @@
 """Exact Jaccard join of word n-gram sets by vertical partitioning.
 
 1. One scan gives each document's set size and a 128-bit digest of its set; equal sets are
-   linked through the digest and their texts are not compared. The scan also counts n-grams
-   in a sketch of fixed size.
+   linked through the digest, and from then on the one of the smallest doc_id stands for
+   them. The scan also counts n-grams in a sketch of fixed size.
 2. The sketch sets the global order of n-grams, rarest buckets first. Any order is right;
    this one keeps passages that several documents share out of the prefixes. Two sets
-   that link share an n-gram of their prefixes (the first ``n - ceil(t n) + 1`` in that
-   order). The prefixes are dealt by n-gram and sorted by set size; neighbours whose sizes
-   allow a link are chained, so that documents that may link fall into one cluster, with as
-   many rows as there are prefix entries and none per pair.
+   that link share at least COMMON n-grams of their prefixes (the first
+   ``n - ceil(t n) + COMMON`` in that order). The prefixes are dealt by n-gram and sorted by
+   set size. An n-gram of at most FEW prefixes gives their pairs, and pairs that have fewer
+   than COMMON such n-grams are dropped: these met by chance. Of an n-gram of more prefixes
+   neighbours whose sizes allow a link are chained. So documents that may link fall into
+   one cluster, with less than FEW / 2 rows for a prefix entry.
 3. A cluster is cut into blocks by set size and salt, each of bounded weight; the blocks
    whose sizes allow a link meet in units of work. A unit cuts the n-gram order into
    fragments, counts the partial overlaps of its pairs fragment by fragment and sums them
@@ -44,8 +46,12 @@ BLOCK, LEAST_WEIGHT = 1 << 20, 512
 SHORT_RUN = 24
 #: Places of a table of marks, as a power of two: 2 MB of bits.
 MARK_BITS = 24
-#: N-grams that the sketch gathers before it adds them.
+#: N-grams that the sketch gathers before it adds them, and prefix entries that are paired together.
 CHUNK = 1 << 20
+#: Sets that link share so many n-grams of their prefixes, or as many as they must share in all where that is less.
+COMMON = 4
+#: An n-gram in the prefixes of up to so many sets gives all their pairs, one in more of them a chain.
+FEW = 4
 
 
 def ngram_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -146,10 +152,13 @@ def frequency_levels(blobs: DataFrame, bits: int) -> np.ndarray:
     return levels
 
 
-def _prefixes(width: int, least: int, bits: int, levels):
+def _prefixes(width: int, least: int, bits: int, levels, wanted):
+    """(gram, doc_id, n) of the prefixes of texts whose doc_id is marked; of equal sets in a task, one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = levels.value, set()
         for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
+            batch = batch.filter(pa.array(marked(batch.column(0), wanted.value)))
             grams, ids, sizes, counts = [], [], [], []
             for doc_id, own in zip(batch.column(0).to_pylist(), ngram_sets(batch.column(1), width)):
                 if doc_id is None or not len(own) or (d := digest_of(own)) in seen:
@@ -159,7 +168,8 @@ def _prefixes(width: int, least: int, bits: int, levels):
                 order = level[(own >> np.uint64(64 - bits)).astype(np.int64)]
                 if order.any():
                     own = own[np.argsort(order, kind="stable")]
-                grams.append(own[: n - -(-n * least // 100) + 1])
+                both = -(-n * least // 100)
+                grams.append(own[: n - both + min(COMMON, both)])
                 ids.append(doc_id)
                 sizes.append(n)
                 counts.append(len(grams[-1]))
@@ -172,6 +182,58 @@ def _prefixes(width: int, least: int, bits: int, levels):
     return run
 
 
+def _met(least: int):
+    """(a, b, need) of prefix entries in the order of gram, n and doc_id: the pair may link if it comes at least ``need`` times."""
+
+    def pairs(gram: np.ndarray, ids: np.ndarray, n: np.ndarray, long: bool) -> Iterator[pa.RecordBatch]:
+        run = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
+        chained = np.bincount(run)[run] > FEW
+        if long:
+            chained[run == 0] = True
+        for k in range(1, FEW):
+            met = (run[k:] == run[:-k]) & (ids[k:] != ids[:-k]) & (100 * n[:-k] >= least * n[k:])
+            if k > 1:
+                met &= ~chained[k:]
+            at = np.flatnonzero(met)
+            if len(at):
+                need = np.where(chained[at], 0, np.minimum(COMMON, -(-n[at] * least // 100)))
+                a, b = ids[at], ids[at + k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need.astype(np.int8))], names=["a", "b", "need"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size, long = [], 0, False
+        for batch in batches:
+            waiting.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size < CHUNK:
+                continue
+            gram, ids, n = (np.concatenate(c) for c in zip(*waiting))
+            last = int(np.searchsorted(gram, gram[-1]))  # the last n-gram's entries may go on in the next batch
+            goes_on = size - last > FEW or (long and last == 0)
+            end = size if goes_on else last
+            yield from pairs(gram[:end], ids[:end], n[:end].astype(np.int64), long) if end else ()
+            keep = size - 1 if goes_on else last
+            waiting, size, long = [[gram[keep:], ids[keep:], n[keep:]]], size - keep, goes_on
+        if size:
+            gram, ids, n = (np.concatenate(c) for c in zip(*waiting))
+            yield from pairs(gram, ids, n.astype(np.int64), long)
+
+    return run
+
+
+def may_link(entries: DataFrame, least: int) -> DataFrame:
+    """(a, b) of the prefix entries, so that every two documents that link are in one component."""
+    return (
+        entries.repartition("gram")
+        .sortWithinPartitions("gram", "n", "doc_id")
+        .mapInArrow(_met(least), "a long, b long, need byte")
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("times"), F.min("need").alias("need"))
+        .filter("times >= need")
+        .select("a", "b")
+    )
+
+
 def marks(ids: DataFrame, bits: int = MARK_BITS) -> np.ndarray:
     """A table of fixed size with a mark for the hash of every id of a one-column table.
 
@@ -384,14 +446,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_
     sets = scanned.filter("piece is null").select("doc_id", "n", "digest")
     levels = spark.sparkContext.broadcast(frequency_levels(scanned.filter("piece is not null"), sketch_bits))
 
-    entries = texts.mapInArrow(_prefixes(width, least, sketch_bits, levels), "gram long, doc_id long, n int")
-    in_order = Window.partitionBy("gram").orderBy("n", "doc_id")
-    chained = (
-        entries.select("doc_id", "n", F.lag("doc_id").over(in_order).alias("before"), F.lag("n").over(in_order).alias("n_before"))
-        .filter(F.col("before").isNotNull() & (F.col("before") != F.col("doc_id")) & (100 * F.col("n_before") >= least * F.col("n")))
-        .select(F.col("doc_id").alias("a"), F.col("before").alias("b"))
-    )
-    clusters = components(chained)
+    # Of equal sets, the first stands for all; a document of several sets stays, for it is more than a copy.
+    firsts = sets.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).checkpoint()
+    copies = sets.join(firsts.filter("copies > 1"), "digest").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct().checkpoint()
+    several = sets.filter("digest is not null").join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y")
+    stands = copies.join(several.select(F.col("doc_id").alias("a")), "a", "left_anti").withColumnRenamed("b", "first").checkpoint()
+    leading = spark.sparkContext.broadcast(marks(firsts.select("first")))
+
+    entries = texts.mapInArrow(_prefixes(width, least, sketch_bits, levels, leading), "gram long, doc_id long, n int")
+    edges = may_link(entries, least)
+    for end, other in (("a", "b"), ("b", "a")):
+        edges = edges.join(stands.withColumnRenamed("a", end), end, "left").select(F.coalesce("first", end).alias(end), other)
+    clusters = components(edges)
 
     member = work_units(sets, clusters, least).checkpoint()
     wanted = spark.sparkContext.broadcast(marks(member.select("doc_id")))
@@ -404,8 +470,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_
         .sortWithinPartitions("unit")
         .mapInArrow(_compare(least), "a long, b long")
     )
-    firsts = sets.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    copies = sets.join(firsts.filter("copies > 1"), "digest").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     found = components(compared.union(copies)).withColumnRenamed("node", "doc_id")
     return sets.join(found, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
